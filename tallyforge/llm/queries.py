@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, quality
+from . import decontam, langid, quality, secretscan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_lang(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.secret_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["rank"] < 3)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secretscan.listed(base), 256).alias("base_sha256"), secretscan.listed(F.col("spans")).alias("spans"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = decontam.n_hit()
@@ -47,11 +53,48 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_secret_scan": op2_secret_scan,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op9_language_id": op9_language_id,
 }
 
+def _located_sql(pattern: str, group: int, least: int) -> str:
+    """DuckDB: list of {start, stop, hit} of the leftmost matches in t."""
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1), lambda i: {{
+      'start': CAST(coalesce(list_sum(list_transform(string_split_regex(t, '{pattern}')[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(regexp_extract_all(t, '{pattern}')[1:i - 1], lambda x: len(x))), 0) AS BIGINT),
+      'hit': regexp_extract_all(t, '{pattern}')[i], 'part': regexp_extract_all(t, '{pattern}', {group})[i]}}), lambda x: len(x.part) >= {least})"""
+
+
+def _op2_sql() -> str:
+    q = lambda p: p.replace("'", "''")
+    allow = q("|".join(f"(?:{p})" for p in secretscan.ALLOW))
+    w, th = secretscan.WINDOW, secretscan.THRESHOLDS
+    # entropy of a window, from plain counts
+    entropy = f"list_entropy(string_split(substr(c.hit, i, {w}), ''))"
+    limit = f"(CASE WHEN regexp_matches(c.hit, '^[0-9a-fA-F]+$') THEN {th['hex']} WHEN regexp_matches(c.hit, '^[0-9A-Za-z]+$') THEN {th['alnum']} ELSE {th['token']} END)"
+    hot = f"list_filter(range(1, len(c.hit) - {w} + 2), lambda i: {entropy} >= {limit})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT r, doc_id,
+  {_located_sql(q(secretscan.ASSIGN), 1, 6)} AS a,
+  {_located_sql(q(secretscan.ACCESS), 0, 0)} AS k,
+  {_located_sql(q(secretscan.HEX), 0, 0)} AS h,
+  {_located_sql(q(secretscan.CANDIDATE), 0, 0)} AS c FROM d),
+base AS (
+  SELECT r, x.start AS s, x.start + len(x.hit) AS e, 0 AS rank, 'assign' AS kind FROM (SELECT r, unnest(a) AS x FROM m)
+  UNION ALL SELECT r, x.start, x.start + len(x.hit), 1, 'access' FROM (SELECT r, unnest(k) AS x FROM m)
+  UNION ALL SELECT r, x.start, x.start + len(x.hit), 2, 'hex' FROM (SELECT r, unnest(h) AS x FROM m)),
+cand AS (SELECT r, c, {hot} AS w FROM (SELECT r, unnest(c) AS c FROM m) WHERE NOT regexp_matches(c.hit, '{allow}')),
+hot AS (SELECT r, c.start + list_min(w) - 1 AS s, c.start + list_max(w) - 1 + {w} AS e, 3 AS rank, 'entropy' AS kind FROM cand WHERE len(w) > 0),
+al AS (SELECT * FROM base UNION ALL SELECT * FROM hot WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = hot.r AND b.s < hot.e AND hot.s < b.e)),
+s AS (SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) AS spans,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e) FILTER (rank < 3) AS base FROM al GROUP BY r)
+SELECT doc_id, len(a) AS n_assign, len(k) AS n_access, len(h) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM m LEFT JOIN s USING (r)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": _op2_sql(),
     "op3_benchmark_decontamination": r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id,
