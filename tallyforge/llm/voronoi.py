@@ -7,6 +7,9 @@ radius and largest norm. From the summaries alone follows which cells a group ca
 cell j, q.x <= c_i.p_j + |c_i| r_j + rho_i |x|max. Rows of open cells are tested once more with their own bound
 c_i.x + rho_i |x| and are sent only to the groups that need them. There the search is solved locally in blocks.
 
+In many dimensions without clusters the bounds close little; then the search is the plain one, queries against all rows in blocks,
+and a row is sent once for every `block_queries` queries.
+
 Scale. What goes to the driver and the executors is a few numbers for each pivot. A group's data and queries are
 cut into blocks of bounded size, so no task holds a whole group or a vector that many rows share; each block gives k rows a query at most.
 """
@@ -63,7 +66,7 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
-def knn_join(vectors: DataFrame, is_query: Column, *, k: int = 10, pivots: int | None = None, block_rows: int = 20_000, block_queries: int = 2_000) -> DataFrame:
+def knn_join(vectors: DataFrame, is_query: Column, *, k: int = 10, pivots: int | None = None, block_rows: int = 8_192, block_queries: int = 1_000) -> DataFrame:
     """The k highest inner products of each query row with all other rows: query_id, rank, vec_id, score; ties go to the smaller vec_id.
 
     vectors: vec_id, x (see integer_vectors). A row is no candidate of a query with the same vec_id. Query rows that repeat get a list each;
@@ -79,6 +82,8 @@ def knn_join(vectors: DataFrame, is_query: Column, *, k: int = 10, pivots: int |
     ids = np.array([r.vec_id for r in rows])
     centre = _dense(pa.array([r.x for r in rows], pa.list_(pa.int64())), dim)
     norm = np.sqrt((centre**2).sum(1))
+    # as few groups as hold the queries: every further group is one more copy of the rows that its bound can't keep out
+    n_groups = min(len(centre), -(-size.queries // block_queries))
     sent = spark.sparkContext.broadcast((centre, ids))
 
     def group_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +93,7 @@ def knn_join(vectors: DataFrame, is_query: Column, *, k: int = 10, pivots: int |
         n0 = TaskContext.get().partitionId() << 40
         for batch in batches:
             q = _dense(batch.column(1), dim)
-            g, d = _nearest(q, c)
+            g, d = _nearest(q, c[:n_groups])
             s = products(q, c).astype(float)
             s[batch.column(0).to_numpy()[:, None] == own[None, :]] = -np.inf
             floor = np.sort(s, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(q), -np.inf)
