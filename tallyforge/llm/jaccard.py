@@ -261,7 +261,7 @@ def _blocks_of_two(home: DataFrame, visits: DataFrame, block_tokens: int) -> Dat
 def _sieve(needed: DataFrame, bits: int = 26) -> np.ndarray:
     """A bit array of fixed size: which (key, doc) may be needed. It is put together on the executors, 64 bits a row."""
     h = F.shiftrightunsigned(F.xxhash64("key", F.coalesce("doc", F.lit(-1))), 64 - bits)
-    words = needed.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("h") % 64).cast("int"))).alias("m")).toArrow()
+    words = needed.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h % 64 AS INT))")).alias("m")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["w"].to_numpy()] = words["m"].to_numpy()
     return out
@@ -285,8 +285,6 @@ def _solve(rows: DataFrame, classes: DataFrame, placed: DataFrame, k: int, num:
                 found = [(set_key(s), s.tobytes()) if len(s) else (None, None) for s in shingles(step, k)]
                 yield pa.RecordBatch.from_arrays([ids.slice(step.lo, step.hi - step.lo).cast(pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["doc", "key", "set"])
 
-    bits = sieve.value
-    del bits
     sets = rows.mapInArrow(fetch, "doc long, key binary, set binary").where("key is not null")
     return _solved(sets, need, placed, sieve, buckets, num, den)
 

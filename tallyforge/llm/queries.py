@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontam, langid, quality, secretscan, voronoi, warc
+from . import classlm, decontam, jaccard, langid, quality, secretscan, voronoi, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.knn_join(voronoi.integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"), k=3, num=90)
+
+
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classlm.score_texts(table(spark, sf_dir, "documents"), crc_mod(10) != 0)
     return scored.select("doc_id", held_out(10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op6_topk_search": op6_topk_search,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_class_lm": op8_class_lm,
     "op9_language_id": op9_language_id,
     "op10_warc_bundles": op10_warc_bundles,
