@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontam, jaccard, langid, quality, secretscan, voronoi, warc
+from . import classlm, decontam, jaccard, langid, linededup, packing, quality, secretscan, voronoi, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,14 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op4_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_units(table(spark, sf_dir, "documents"))
+
+
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi.knn_join(voronoi.integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
@@ -73,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_length_packing": op4_length_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_topk_search": op6_topk_search,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_class_lm": op8_class_lm,
