@@ -1,15 +1,15 @@
 """Exact n-gram Jaccard join with a token-group matrix.
 
 Method. Documents with the same shingle set form one class; classes are joined. A global token order puts frequent shingles last;
-a class's prefix is its first n - ceil(t n) + 1 tokens, and two similar classes share a prefix token. Classes with the same
-first token form a group (similar classes mostly do). The token-group matrix holds, for each group, the union of its
+a class's prefix is its first n - ceil(t n) + 1 tokens, and two similar classes share a prefix token. Classes that lean on the same
+classes by shared prefix tokens form a group. The token-group matrix holds, for each group, the union of its
 members' prefix tokens with their size range. The number of a class's prefix tokens in a group's union bounds the overlap with every
 member (prefix overlap + what can lie behind the prefixes); only groups where the bound reaches the needed overlap are opened.
 Opened groups are solved exactly on the full sets.
 
 Links are kept as components: what is already connected need not be compared again. Round one compares
-each class within its own group and with the largest group that its tokens point to; round two opens the remaining qualifying groups, but
-only where components differ. So thousands of near copies cost one comparison each, and no link between different components is lost.
+each class within its own group; round two opens the other qualifying groups, but only where components differ. So thousands of near
+copies cost one comparison each, and no link between different components is lost.
 
 Scale. Full sets are shuffled only for classes in opened groups. A large group is cut into blocks of `block_tokens` tokens;
 its leader goes to each block, and members that do not connect to it visit all blocks in round two. Hot tokens are joined by
@@ -51,7 +51,8 @@ def set_key(s: np.ndarray) -> bytes:
 def common_shingles(rows: DataFrame, k: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and document counts of about the `keep` most frequent shingles. Only the token order depends on them, no result does.
 
-    A task passes on what at least a thousandth of its documents, and three, share; it forgets rare shingles when its table grows.
+    A task passes on what three, and one of 3000, of its documents share; it forgets rare shingles when its table grows. The list has
+    `keep` entries at most: a histogram of the counts tells from which count on they fit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,10 +68,17 @@ def common_shingles(rows: DataFrame, k: int, keep: int) -> tuple[np.ndarray, np.
                     while len(key) > 3_000_000:
                         key, n = key[n > n.min()], n[n > n.min()]
         key, n = _added(key, n, held)
-        take = n >= max(3, docs // 1000)
+        take = n >= max(3, docs // 3000)
         yield pa.RecordBatch.from_arrays([pa.array(key[take].view(np.int64)), pa.array(n[take])], names=["h", "n"])
 
-    top = rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(keep).toArrow()
+    counts = materialise(rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "common")
+    fit, least = 0, None
+    for r in counts.groupBy(F.floor(F.log2("n") * 8).alias("b")).agg(F.count("*").alias("c"), F.min("n").alias("least")).orderBy(F.desc("b")).collect():
+        fit += r.c
+        if fit > keep:
+            break
+        least = r.least
+    top = counts.where(F.col("n") >= (least if least is not None else 1 << 60)).toArrow()
     h, n = top["h"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -153,7 +161,7 @@ def linked_pairs(sets: list[np.ndarray], labels: list[int], visitor: np.ndarray
     return out
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, common: int = 50_000, block_tokens: int = 500_000, bucket_tokens: int = 2_000_000) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, common: int = 500_000, block_tokens: int = 500_000, bucket_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the smallest doc_id reachable over links den * |A & B| >= num * |A | B|.
 
     Words are lower-cased (A-Z) runs without ASCII white space; sets hold k-word shingles, or all words as one if there are fewer.
@@ -195,46 +203,46 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def _links(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int, block_tokens: int, bucket_tokens: int) -> DataFrame:
     """Edges (a, b) between class ids whose components are those of all links."""
-    posting = classes.select(F.explode("prefix").alias("token"), "rid", "n", F.element_at("prefix", 1).alias("home"))
+    # a smaller class can't be similar to another one: n tokens of n + 1 are already too few
+    posting = classes.where((F.col("n") + 1) * num <= F.col("n") * den).select(F.explode("prefix").alias("token"), "rid", "n")
     shared = posting.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     posting = materialise(posting.join(shared, "token"), "postings")
-    matrix = materialise(posting.groupBy("token", "home").agg(F.count("*").alias("members"), F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
-    mass = matrix.groupBy("home").agg(F.sum("members").alias("mass"))
-    enough = lambda df: df.where(F.col("t") >= _required(F.col("n"), F.col("lo"), F.col("hi"), num, den))
+    needed = _required(F.col("n"), F.col("lo"), F.col("hi"), num, den)
     bound = (F.count("*").alias("t"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
-    # round one: the own group, and for each token the group with most of such tokens
-    inside = enough(posting.join(matrix.where("members > 1"), ["token", "home"]).groupBy("rid", "n", "home").agg(*bound)).select("rid", "n", F.col("home").alias("g"))
-    weighted = matrix.join(mass, "home")
-    target = weighted.groupBy("token").agg(F.max(F.struct("mass", "home", "lo", "hi")).alias("x")).select("token", "x.*").withColumnRenamed("home", "g")
-    visiting = enough(posting.join(target, "token").where("home <> g").groupBy("rid", "n", "g").agg(*bound)).select("rid", "n", "g")
-    visiting = materialise(visiting, "visits")
-    hosts = posting.select("rid", "n", F.col("home").alias("g")).distinct().join(visiting.select("g").distinct(), "g", "left_semi").select("rid", "n", "g")
-    first = materialise(inside.union(visiting).union(hosts).distinct(), "opened")
-    edges = _solve(rows, classes, _blocks_of_one(first, block_tokens), k, num, den, bucket_tokens)
-    parts = connected_components(edges)
+    # groups: each class hangs on the first class of its tokens if half of what a link needs is there; any grouping gives right results
+    first = posting.groupBy("token").agg(F.min(F.struct("rid", "n")).alias("x")).select("token", F.col("x.rid").alias("lead"), F.col("x.n").alias("lo"), F.col("x.n").alias("hi"))
+    leaning = posting.join(first, "token").where("rid <> lead").groupBy("rid", "n", "lead").agg(*bound).where(2 * F.col("t") >= needed)
+    groups = connected_components(leaning.select(F.col("rid").alias("a"), F.col("lead").alias("b")))
+    posting = posting.join(groups.select(F.col("node").alias("rid"), F.col("component").alias("g")), "rid", "left").withColumn("g", F.coalesce("g", "rid"))
+    posting = materialise(posting.select("token", "rid", "n", "g"), "grouped")
+    matrix = materialise(posting.groupBy("token", "g").agg(F.count("*").alias("members"), F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
+
+    # round one: within groups
+    opened = posting.join(matrix.where("members > 1"), ["token", "g"]).groupBy("rid", "n", "g").agg(*bound).where(F.col("t") >= needed)
+    opened = materialise(opened.select("rid", "n", "g"), "opened")
+    edges = _solve(rows, classes, _blocks_of_one(opened, block_tokens), k, num, den, bucket_tokens)
+    comp = connected_components(edges).select(F.col("node").alias("rid"), "component")
 
     # round two: what still differs
-    comp = parts.select(F.col("node").alias("rid"), "component")
     labelled = posting.join(comp, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    left = materialise(labelled.join(mixed, "token").join(mass, "home"), "left-over")
-    groups = left.groupBy("token", F.col("home").alias("g")).agg(F.first("mass").alias("g_mass"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("x"), F.max("component").alias("y"))
-    onward = (F.col("g") != F.col("home")) & (F.struct("g_mass", "g") > F.struct("mass", "home")) & ~((F.col("x") == F.col("y")) & (F.col("x") == F.col("component")))
-    cross = enough(left.join(groups, "token").where(onward).groupBy("rid", "n", "component", "g").agg(*bound)).select("rid", "n", "component", "g")
-    total = first.groupBy("g").agg(F.sum("n").alias("s"), F.min("rid").alias("leader"))
-    single = first.join(total.where(F.col("s") <= block_tokens), "g", "left_semi").select("rid", "g")
-    cross = cross.join(single, ["rid", "g"], "left_anti")
-    split = total.where(F.col("s") > block_tokens)
-    lead = split.join(comp.withColumnRenamed("rid", "leader"), "leader", "left").select("g", F.coalesce("component", "leader").alias("main"))
-    apart = first.join(lead, "g").join(comp, "rid", "left").withColumn("component", F.coalesce("component", "rid")).where("component <> main").select("rid", "n", "component", "g")
-    visits = materialise(cross.union(apart).distinct(), "visits")
+    mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("x <> y AND g0 <> g1").select("token")
+    mass = matrix.groupBy("g").agg(F.sum("members").alias("mass"))
+    left = materialise(labelled.join(mixed, "token").join(mass, "g"), "left-over")
+    other = left.groupBy("token", F.col("g").alias("h")).agg(F.first("mass").alias("h_mass"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("x"), F.max("component").alias("y"))
+    onward = (F.col("h") != F.col("g")) & (F.struct("h_mass", "h") > F.struct("mass", "g")) & ~((F.col("x") == F.col("y")) & (F.col("x") == F.col("component")))
+    fits = (F.col("hi") * den >= F.col("n") * num) & (F.col("lo") * num <= F.col("n") * den)
+    cross = left.join(other, "token").where(onward & fits).groupBy("rid", "n", "component", "h").agg(*bound).where(F.col("t") >= needed).select("rid", "n", "component", F.col("h").alias("g"))
+    # members of a group in several blocks that its leader's component doesn't hold
+    total = opened.groupBy("g").agg(F.sum("n").alias("s"), F.min("rid").alias("leader")).where(F.col("s") > block_tokens)
+    lead = total.join(comp.withColumnRenamed("rid", "leader"), "leader", "left").select("g", F.coalesce("component", "leader").alias("main"))
+    apart = opened.join(lead, "g").join(comp, "rid", "left").withColumn("component", F.coalesce("component", "rid")).where("component <> main").select("rid", "n", "component", "g")
+    visits = materialise(cross.unionByName(apart).distinct(), "visits")
     if visits.isEmpty():
         return edges
-    home = posting.select("rid", "n", F.col("home").alias("g")).distinct().union(first.select("rid", "n", "g")).distinct()
-    home = home.join(visits.select("g").distinct(), "g", "left_semi").join(comp, "rid", "left").withColumn("component", F.coalesce("component", "rid")).select("rid", "n", "component", "g")
-    more = _solve(rows, classes, _blocks_of_two(home, visits, block_tokens), k, num, den, bucket_tokens)
-    return edges.union(more)
+    hosts = labelled.select("rid", "n", "component", "g").distinct().join(visits.select("g").distinct(), "g", "left_semi").select("rid", "n", "component", "g")
+    more = _solve(rows, classes, _blocks_of_two(hosts, visits, block_tokens), k, num, den, bucket_tokens)
+    return edges.unionByName(more)
 
 
 def _blocks_of_one(opened: DataFrame, block_tokens: int) -> DataFrame:
@@ -255,7 +263,7 @@ def _blocks_of_two(home: DataFrame, visits: DataFrame, block_tokens: int) -> Dat
     block = lambda mine, other, which: F.transform(F.sequence(F.lit(0), other - 1), lambda o: (mine * other + o) if which else (o * F.col("hb") + mine))
     hosts = home.join(size, "g").select("g", F.explode(block(F.pmod(F.hash("rid"), F.col("hb")), F.col("vb"), False)).alias("block"), F.lit(1).alias("role"), "rid", F.col("component").alias("label"), "n")
     guests = visits.join(size, "g").select("g", F.explode(block(F.pmod(F.hash("rid"), F.col("vb")), F.col("hb"), True)).alias("block"), F.lit(2).alias("role"), "rid", F.col("component").alias("label"), "n")
-    return hosts.union(guests)
+    return hosts.unionByName(guests)
 
 
 def _sieve(needed: DataFrame, bits: int = 26) -> np.ndarray:
