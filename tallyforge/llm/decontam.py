@@ -239,6 +239,32 @@ def benchmark_hits(
     return out.select("doc_id", "n_words", joined.alias("spans"), "items")
 
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5, block_words: int = 4_000_000) -> DataFrame:
+    """The rows of docs, all columns, in which no window of a test item occurs. Rows without words stay; see benchmark_hits."""
+    spark = docs.sparkSession
+    where = docs.columns.index(text_col)
+    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
+    block = next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        index = spark.sparkContext.broadcast(Index(block, window, gram))
+
+        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for step in text_steps(batch.column(where)):
+                    w = step.words("alnum")
+                    clean = np.ones(step.hi - step.lo, bool)
+                    clean[list(index.value.hits(w.hashes(), w.of))] = False
+                    yield batch.slice(step.lo, step.hi - step.lo).filter(pa.array(clean))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+        if following is not None:  # one block at a time
+            docs = materialise(docs, "decontam")
+            index.destroy()
+        block = following
+    return docs
+
+
 def n_hit(spans: str = "spans"):
     """Column: words within any span."""
     return F.aggregate(spans, F.lit(0).cast("long"), lambda a, x: a + (x[1] - x[0]).cast("long"))

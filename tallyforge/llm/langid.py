@@ -138,6 +138,22 @@ def has_letter(raw: bytes) -> bool:
     return any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
 
+def _judge(sent, ids: int, text: int, gap: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        names = np.array([*m.langs, UNDETERMINED], object)
+        for batch in batches:
+            for step in text_steps(batch.column(text), 1 << 19):
+                n = step.hi - step.lo
+                some = np.array([bool(m.langs) and has_letter(step.raw(i)) for i in range(n)], bool)
+                best, score, margin = decode(m, gram_counts(step, m.features)) if m.langs else (np.zeros(n, int), np.zeros(n), np.zeros(n))
+                best = np.where(some, best, len(m.langs))
+                part = batch.slice(step.lo, n)
+                yield pa.RecordBatch.from_arrays([*part.columns[ids:], pa.array(names[best], pa.string()), pa.array(np.where(some, score, 0.0).astype(float)), pa.array(~some | (margin < gap))], names=[*batch.schema.names[ids:], "lang_pred", "score", "ambiguous"])
+
+    return run
+
+
 def predict_lang(docs: DataFrame, model: LangModel, *, id_col: str = "doc_id", text_col: str = "text", ambiguous_gap: float = 0.2) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous of every row, whole texts.
 
@@ -145,17 +161,15 @@ def predict_lang(docs: DataFrame, model: LangModel, *, id_col: str = "doc_id", t
     ambiguous: the two nearest codewords differ by less than ambiguous_gap in score.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    return rows.mapInArrow(_judge(sent, 1, 0, ambiguous_gap), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        names = np.array([*m.langs, UNDETERMINED], object)
-        for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
-            for step in text_steps(batch.column(1), 1 << 19):
-                n = step.hi - step.lo
-                some = np.array([bool(m.langs) and has_letter(step.raw(i)) for i in range(n)], bool)
-                best, score, gap = (decode(m, gram_counts(step, m.features)) if m.langs else (np.zeros(n, int), np.zeros(n), np.zeros(n)))
-                best = np.where(some, best, len(m.langs))
-                yield pa.RecordBatch.from_arrays([ids.slice(step.lo, n), pa.array(names[best], pa.string()), pa.array(np.where(some, score, 0.0).astype(float)), pa.array(~some | (gap < ambiguous_gap))], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+def predict_rows(docs: DataFrame, model: LangModel, *, text_col: str = "text", ambiguous_gap: float = 0.2) -> DataFrame:
+    """As predict_lang, with all columns of docs before lang_pred, score and ambiguous (docs must not have columns of these names)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    new = {"lang_pred", "score", "ambiguous"}
+    if new & set(docs.columns):
+        raise ValueError(f"docs has columns named {sorted(new & set(docs.columns))}")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, ambiguous boolean"])
+    return docs.mapInArrow(_judge(sent, 0, docs.columns.index(text_col), ambiguous_gap), schema)
