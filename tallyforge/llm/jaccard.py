@@ -62,10 +62,10 @@ def common_shingles(rows: DataFrame, k: int, keep: int) -> tuple[np.ndarray, np.
                 held += list(shingles(step, k))
                 docs += step.hi - step.lo
                 pending += sum(map(len, held[-(step.hi - step.lo) :]))
-                if pending > 1_000_000:
+                if pending > 500_000:
                     key, n = _added(key, n, held)
                     held, pending = [], 0
-                    while len(key) > 3_000_000:
+                    while len(key) > 1_500_000:
                         key, n = key[n > n.min()], n[n > n.min()]
         key, n = _added(key, n, held)
         take = n >= max(3, docs // 3000)
@@ -161,7 +161,7 @@ def linked_pairs(sets: list[np.ndarray], labels: list[int], visitor: np.ndarray
     return out
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, common: int = 500_000, block_tokens: int = 500_000, bucket_tokens: int = 2_000_000) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, common: int = 500_000, block_tokens: int = 500_000, bucket_tokens: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the smallest doc_id reachable over links den * |A & B| >= num * |A | B|.
 
     Words are lower-cased (A-Z) runs without ASCII white space; sets hold k-word shingles, or all words as one if there are fewer.
