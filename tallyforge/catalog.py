@@ -1,4 +1,6 @@
 """All queries of the panel engine by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import anomalies, cleaning, features, forecasts, learning, reports, selection  # noqa: F401  they register their queries
+from .plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
