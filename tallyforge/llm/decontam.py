@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernel import grams, text_steps
-from .scratch import materialise
+from .scratch import materialise, small_batches
 
 HITS = T.StructType(
     [
@@ -190,6 +190,7 @@ def benchmark_hits(
     an empty test set leaves no hits. Several blocks need documents that give the same rows at each read (a table, not a random order).
     Other columns of either table are not looked at. block_words bounds what is sent to an executor at once.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = []
     blocks = _blocks(benchmark, item_col, item_text_col, block_words)
@@ -241,6 +242,7 @@ def benchmark_hits(
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5, block_words: int = 4_000_000) -> DataFrame:
     """The rows of docs, all columns, in which no window of a test item occurs. Rows without words stay; see benchmark_hits."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     where = docs.columns.index(text_col)
     blocks = _blocks(benchmark, item_col, item_text_col, block_words)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernel import Step, grams, text_steps
-from .scratch import materialise
+from .scratch import materialise, small_batches
 
 
 def shingles(step: Step, k: int) -> Iterator[np.ndarray]:
@@ -168,6 +168,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Null texts and texts without words have no shingles and link with nothing: they get their own id. Rows that repeat
     are copies of each other. A null id never names a component unless all its ids are null.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     often = spark.sparkContext.broadcast(common_shingles(rows, k, common))
@@ -266,15 +267,24 @@ def _blocks_of_two(home: DataFrame, visits: DataFrame, block_tokens: int) -> Dat
     return hosts.unionByName(guests)
 
 
-def _sieve(needed: DataFrame, bits: int = 26) -> np.ndarray:
+SIEVE_BITS = 26
+_SPREAD = 40503
+
+
+def _sieve(needed: DataFrame) -> np.ndarray:
     """A bit array of fixed size: which (key, doc) may be needed. It is put together on the executors, 64 bits a row."""
-    h = F.shiftrightunsigned(F.xxhash64("key", F.coalesce("doc", F.lit(-1))), 64 - bits)
+    h = F.pmod(F.conv(F.hex(F.substring("key", 1, 6)), 16, 10).cast("long") + F.pmod(F.coalesce("doc", F.lit(-1)), F.lit(1 << 40)) * _SPREAD, F.lit(1 << SIEVE_BITS))
     words = needed.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h % 64 AS INT))")).alias("m")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
     out[words["w"].to_numpy()] = words["m"].to_numpy()
     return out
 
 
+def _passes(words: np.ndarray, key: bytes, doc: int | None) -> bool:
+    h = (int.from_bytes(key[:6], "big") + (-1 if doc is None else doc) % (1 << 40) * _SPREAD) % (1 << SIEVE_BITS)
+    return bool(int(words[h >> 6]) >> (h & 63) & 1)
+
+
 def _solve(rows: DataFrame, classes: DataFrame, placed: DataFrame, k: int, num: int, den: int, bucket_tokens: int) -> DataFrame:
     """Edges between class ids, found on the full sets of the placed classes."""
     spark = rows.sparkSession
@@ -287,25 +297,16 @@ def _solve(rows: DataFrame, classes: DataFrame, placed: DataFrame, k: int, num:
     sieve = spark.sparkContext.broadcast(_sieve(need))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            for step in text_steps(batch.column(1)):
-                found = [(set_key(s), s.tobytes()) if len(s) else (None, None) for s in shingles(step, k)]
-                yield pa.RecordBatch.from_arrays([ids.slice(step.lo, step.hi - step.lo).cast(pa.int64()), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["doc", "key", "set"])
-
-    sets = rows.mapInArrow(fetch, "doc long, key binary, set binary").where("key is not null")
-    return _solved(sets, need, placed, sieve, buckets, num, den)
-
-
-def _solved(sets: DataFrame, need: DataFrame, placed: DataFrame, sieve, buckets: int, num: int, den: int) -> DataFrame:
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sieve.value
         for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(38)
-            ok = (words[(h >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (h & np.uint64(63))) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3)], names=["doc", "key", "set"]).filter(pa.array(ok.astype(bool)))
+            for step in text_steps(batch.column(1)):
+                found = []
+                for doc, s in zip(batch.column(0).slice(step.lo, step.hi - step.lo).to_pylist(), shingles(step, k), strict=True):
+                    if len(s) and _passes(words, key := set_key(s), doc):
+                        found.append((doc, key, s.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary())], names=["doc", "key", "set"])
 
-    sets = sets.select(F.xxhash64("key", F.coalesce("doc", F.lit(-1))).alias("h"), "doc", "key", "set").mapInArrow(keep, "doc long, key binary, set binary")
+    sets = rows.mapInArrow(fetch, "doc long, key binary, set binary")
     # rows that repeat give the same set again; one is enough
     sets = need.join(sets.withColumnRenamed("key", "key_").withColumnRenamed("doc", "doc_"), (F.col("key") == F.col("key_")) & F.col("doc").eqNullSafe(F.col("doc_"))).groupBy("rid").agg(F.first("set").alias("set"))
     work = placed.join(sets, "rid").select(F.pmod(F.xxhash64("g", "block"), F.lit(buckets)).alias("bucket"), "g", "block", "role", "rid", "label", "set")

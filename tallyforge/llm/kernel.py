@@ -127,8 +127,8 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def text_steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[Step]:
-    """Split a string column into steps; nulls count as empty."""
+def text_steps(column: pa.Array, step_bytes: int = STEP_BYTES, step_rows: int = 4096) -> Iterator[Step]:
+    """Split a string column into steps of bounded bytes (or one text) and rows; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
@@ -142,6 +142,6 @@ def text_steps(column: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[Step]
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + step_bytes, "right")) - 1)
-        hi = min(hi, len(column))
+        hi = min(hi, lo + step_rows, len(column))
         yield Step(lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
         lo = hi

@@ -21,8 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Step, text_steps
+from .scratch import small_batches
 
 UNDETERMINED = "und"
+#: Rows of counts that are held at a time.
+STEP_ROWS = 256
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
@@ -98,7 +101,7 @@ def fit_langid(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "
         if len(texts[r.lang]) < each:
             texts[r.lang].append(r.text)
     codes = codewords(len(langs))
-    x = np.concatenate([gram_counts(s, features) for k in langs for s in text_steps(pa.array(texts[k] or [""], pa.large_string()))])
+    x = np.concatenate([gram_counts(s, features) for k in langs for s in text_steps(pa.array(texts[k] or [""], pa.large_string()), step_rows=STEP_ROWS)])
     y = np.concatenate([np.full(max(1, len(texts[k])), i) for i, k in enumerate(langs)])
     fit = np.arange(len(y)) % 5 != 0
     w, b = _bits(x[fit], codes[y[fit]], rounds)
@@ -143,7 +146,7 @@ def _judge(sent, ids: int, text: int, gap: float):
         m = sent.value
         names = np.array([*m.langs, UNDETERMINED], object)
         for batch in batches:
-            for step in text_steps(batch.column(text), 1 << 19):
+            for step in text_steps(batch.column(text), 1 << 19, STEP_ROWS):
                 n = step.hi - step.lo
                 some = np.array([bool(m.langs) and has_letter(step.raw(i)) for i in range(n)], bool)
                 best, score, margin = decode(m, gram_counts(step, m.features)) if m.langs else (np.zeros(n, int), np.zeros(n), np.zeros(n))
@@ -160,6 +163,7 @@ def predict_lang(docs: DataFrame, model: LangModel, *, id_col: str = "doc_id", t
     Null texts and texts without a letter get 'und' with score 0 (so does all if the model knows no language);
     ambiguous: the two nearest codewords differ by less than ambiguous_gap in score.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))
     return rows.mapInArrow(_judge(sent, 1, 0, ambiguous_gap), "doc_id long, lang_pred string, score double, ambiguous boolean")
@@ -167,6 +171,7 @@ def predict_lang(docs: DataFrame, model: LangModel, *, id_col: str = "doc_id", t
 
 def predict_rows(docs: DataFrame, model: LangModel, *, text_col: str = "text", ambiguous_gap: float = 0.2) -> DataFrame:
     """As predict_lang, with all columns of docs before lang_pred, score and ambiguous (docs must not have columns of these names)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     new = {"lang_pred", "score", "ambiguous"}
     if new & set(docs.columns):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import Step, mix, text_steps
-from .scratch import materialise
+from .scratch import materialise, small_batches
 
 _LAST = (1 << 63) - 1
 
@@ -159,6 +159,7 @@ def dedup_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Null texts stay null without units; empty texts have none. Rows that repeat (same id and text) are one document and get the same result.
     A row without id ranks after all others. Ties cannot arise: the rank is (doc_id, hash of the text, place).
     """
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumns({"rank": F.coalesce("doc_id", F.lit(_LAST)), "mark": F.xxhash64(F.coalesce("text", F.lit("")))})
     places = repeated_places(base, unit_words, bucket_units)

@@ -19,6 +19,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Cap the rows of an Arrow batch for this session: a Python worker holds a batch of whole texts at a time, and many are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no earlier call returned."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .scratch import materialise
+from .scratch import materialise, small_batches
 
 RESULT = "query_id long, rank int, vec_id long, score long"
 
@@ -72,6 +72,7 @@ def knn_join(vectors: DataFrame, is_query: Column, *, k: int = 10, pivots: int |
     vectors: vec_id, x (see integer_vectors). A row is no candidate of a query with the same vec_id. Query rows that repeat get a list each;
     an empty table or query set gives no rows; fewer than k candidates give fewer rows.
     """
+    small_batches(vectors.sparkSession)
     spark = vectors.sparkSession
     size = vectors.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim"), F.count(F.when(is_query, 1)).alias("queries")).first()
     if not size.queries:

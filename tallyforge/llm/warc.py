@@ -27,7 +27,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import fresh_dir
+from .scratch import fresh_dir, small_batches
 
 _SEEK_FRAME, _SEEK_END = 0x184D2A5E, 0x8F92EAB1
 _MAX_FRAME = 1 << 30
@@ -158,6 +158,7 @@ def plan_records(pages: DataFrame, *, id_col: str = "page_id", payload_col: str
 
 def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 27) -> DataFrame:
     """Write the planned records as bundles into folder/bundles; returns the committed index: page_id, bundle, frame, offset, length."""
+    small_batches(records.sparkSession)
     spark = records.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
