@@ -129,12 +129,12 @@ def flagged_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_(MOVES, FLAGS_SQL) + """, lab AS (SELECT p_type AS l1, min(p_name) AS label FROM part GROUP BY 1)
-SELECT f.rule, m.l1, label, count(*) AS n, round(sum(m.committed), 2) AS committed FROM flags f JOIN moves m USING (series_key, year) LEFT JOIN lab USING (l1) GROUP BY 1, 2, 3""")
+SELECT f.rule, m.l1, label, count(*) AS n, round(sum(m.committed), 4) AS committed FROM flags f JOIN moves m USING (series_key, year) LEFT JOIN lab USING (l1) GROUP BY 1, 2, 3""")
 def anomaly_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flags joined back to their rows and to labels (deduplicated first), counted by rule and chapter."""
     labels = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("l1")).agg(F.min("p_name").alias("label"))
     df = flags(spark, sf_dir).select("series_key", "year", "rule").join(movements(spark, sf_dir), ["series_key", "year"]).join(labels, "l1", "left")
-    return df.groupBy("rule", "l1", "label").agg(F.count("*").alias("n"), F.round(F.sum("committed"), 2).alias("committed"))
+    return df.groupBy("rule", "l1", "label").agg(F.count("*").alias("n"), F.round(F.sum("committed"), 4).alias("committed"))
 
 
 _BEN = "(" + ", ".join(f"({d}, {math.log10(1 + 1 / d)!r})" for d in range(1, 10)) + ")"
@@ -293,10 +293,10 @@ def risk_class(r: Column) -> Column:
     return F.when(r < 0.60, "critical").when(r < 0.80, "attention").otherwise("ok")
 
 
-@query(with_(FINE) + f"SELECT CASE WHEN rate < 0.60 THEN 'critical' WHEN rate < 0.80 THEN 'attention' ELSE 'ok' END AS risk, count(*) AS n, round(sum(opened), 2) AS opened FROM fine WHERE year = {TARGET} AND rate IS NOT NULL GROUP BY 1")
+@query(with_(FINE) + f"SELECT CASE WHEN rate < 0.60 THEN 'critical' WHEN rate < 0.80 THEN 'attention' ELSE 'ok' END AS risk, count(*) AS n, round(sum(opened), 4) AS opened FROM fine WHERE year = {TARGET} AND rate IS NOT NULL GROUP BY 1")
 def risk_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series and credits by risk class."""
-    return fine(spark, sf_dir).where((F.col("year") == TARGET) & F.col("rate").isNotNull()).groupBy(risk_class(F.col("rate")).alias("risk")).agg(F.count("*").alias("n"), F.round(F.sum("opened"), 2).alias("opened"))
+    return fine(spark, sf_dir).where((F.col("year") == TARGET) & F.col("rate").isNotNull()).groupBy(risk_class(F.col("rate")).alias("risk")).agg(F.count("*").alias("n"), F.round(F.sum("opened"), 4).alias("opened"))
 
 
 @query(with_(FINE, walk_sql()) + f"SELECT CASE WHEN e < 0.05 THEN 'under 5' WHEN e < 0.10 THEN '5 to 10' WHEN e < 0.15 THEN '10 to 15' ELSE 'over 15' END AS accuracy, method, count(*) AS n FROM (SELECT method, abs_error / nullif(abs(actual), 0) AS e FROM preds WHERE year = {TARGET} AND actual <> 0) GROUP BY 1, 2")

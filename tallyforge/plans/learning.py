@@ -1 +1,136 @@
-"""Queries to come."""
+"""Fitted models: checked by rows, held-out error and properties, as no SQL gives the same fit."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..operators import learners as L
+from ..sources.panels import TARGET, fine
+from .base_sql import QUARTERS, with_
+from .features import WIDE_SQL, pooled, wide
+from .registry import query
+
+
+def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with features t1, t2, prev (year-end of the year before), size and label t4, all known."""
+    w = W.partitionBy("series_key").orderBy("year")
+    df = wide(spark, sf_dir).withColumns({"prev": F.lag("t4").over(w), "size": F.ln("annual")})
+    return df.dropna(subset=["t1", "t2", "t3", "t4", "prev"]).withColumn("label", F.col("t4"))
+
+
+FEATURES = ["t1", "t2", "prev", "size"]
+
+
+def _fitted(name: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = quarterly(spark, sf_dir)
+        model = L.estimator(name, FEATURES).fit(df.where(F.col("year") < TARGET))
+        return model.transform(df.where(F.col("year") == TARGET)).select("series_key", F.round("label", 6).alias("actual"), F.round("prediction", 6).alias("predicted"))
+
+    run.__doc__ = f"Year-end rate by {name}, fitted on earlier years."
+    query(None, f"model_{name}")(run)
+
+
+for _n in L.ESTIMATORS:
+    _fitted(_n)
+
+
+@query()
+def walk_forward_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RMSE, MAE and MAPE of three models by fold: each year is predicted from strictly earlier ones."""
+    return L.walk_forward(quarterly(spark, sf_dir), FEATURES, ("linear", "ridge", "lasso"), range(TARGET - 1, TARGET + 1))
+
+
+@query()
+def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge whose penalty three-fold cross-validation picks."""
+    df = quarterly(spark, sf_dir)
+    model, penalty = L.ridge_by_cv(df.where(F.col("year") < TARGET), FEATURES)
+    return model.transform(df.where(F.col("year") == TARGET)).select("series_key", F.lit(penalty).alias("penalty"), F.round("prediction", 6).alias("predicted"))
+
+
+@query()
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of each feature in a forest."""
+    model = L.estimator("forest", FEATURES).fit(quarterly(spark, sf_dir).where(F.col("year") < TARGET))
+    values = model.stages[-1].featureImportances.toArray()
+    return spark.createDataFrame([(f, float(round(v, 6))) for f, v in zip(FEATURES, values, strict=True)], "feature string, importance double")
+
+
+@query()
+def forecast_pooled_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One boosted model over all series, on slope, mean and lags of strictly earlier years."""
+    df = pooled(spark, sf_dir).withColumn("label", F.col("committed")).fillna(0.0, ["slope", "mean_past", "lag1", "lag2"])
+    features = ["slope", "mean_past", "lag1", "lag2"]
+    model = L.estimator("boosting", features).fit(df.where(F.col("year") < TARGET))
+    return model.transform(df.where(F.col("year") == TARGET)).select("series_key", F.round("prediction", 2).alias("predicted"))
+
+
+@query()
+def forecast_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ridge of each series on its own lags, mean and slope; a line where there is too little history."""
+    df = fine(spark, sf_dir).where(F.col("year") < TARGET).select("series_key", "year", "committed")
+    return L.ridge_by_series(df, "series_key", "year", "committed").select("series_key", F.round("predicted", 2).alias("predicted"))
+
+
+@query()
+def quantile_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantile regression at 5, 50 and 95 percent; crossed bounds are swapped."""
+    df = quarterly(spark, sf_dir)
+    return L.quantile_regression(df.where(F.col("year") < TARGET), df.where(F.col("year") == TARGET), FEATURES, "label", (0.05, 0.5, 0.95)).select("series_key", *[F.round(c, 6).alias(c) for c in ("lo", "mid", "hi")], F.col("label").between(F.col("lo"), F.col("hi")).alias("covered"))
+
+
+@query()
+def two_stage_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Direct forecast of the year's end from its middle, and a rolling one over the third quarter: trained on actual, applied to predicted third quarters."""
+    df = quarterly(spark, sf_dir)
+    train, test = df.where(F.col("year") < TARGET), df.where(F.col("year") == TARGET)
+    direct = L.estimator("linear", FEATURES).fit(train)
+    third = L.estimator("linear", FEATURES).fit(train.withColumn("label", F.col("t3")))
+    last = L.estimator("linear", ["t2", "t3", "prev"]).fit(train)
+    staged = third.transform(test).withColumn("t3", F.col("prediction")).drop("prediction", "features", "raw")
+    rolling = last.transform(staged).select("series_key", F.col("prediction").alias("rolling"))
+    return direct.transform(test).select("series_key", F.round("label", 6).alias("actual"), F.round("prediction", 6).alias("direct")).join(rolling, "series_key").select("series_key", "actual", "direct", F.round("rolling", 6).alias("rolling"))
+
+
+@query()
+def specialised_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of its own for each kind of category: boosting, lasso, or the historical mean."""
+    df = quarterly(spark, sf_dir)
+    kind = F.when(F.col("category") == "AFRICA", "boosting").when(F.col("category") == "ASIA", "lasso").otherwise("mean")
+    df = df.withColumn("kind", kind)
+    out = None
+    for name in ("boosting", "lasso"):
+        own = df.where(F.col("kind") == name)
+        if own.where(F.col("year") < TARGET).isEmpty():
+            continue
+        part = L.estimator(name, FEATURES).fit(own.where(F.col("year") < TARGET)).transform(own.where(F.col("year") == TARGET)).select("series_key", "kind", F.col("prediction").alias("p"))
+        out = part if out is None else out.unionByName(part)
+    rest = df.where("kind = 'mean'")
+    mean = rest.where(F.col("year") < TARGET).groupBy("series_key").agg(F.avg("label").alias("p"))
+    part = rest.where(F.col("year") == TARGET).select("series_key", "kind").join(mean, "series_key")
+    out = part if out is None else out.unionByName(part)
+    return out.select("series_key", "kind", F.round("p", 6).alias("predicted"))
+
+
+@query()
+def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of the last value on the true series and on values exchanged between the series of a year: it must grow."""
+    return L.permuted_error(fine(spark, sf_dir).select("series_key", "year", "committed"), TARGET, seed=7)
+
+
+@query()
+def constrained_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy lines, clipped, scaled to the quarter's aggregate and never falling within a year."""
+    return L.simulate_lines(wide(spark, sf_dir).where(F.col("year") == TARGET), seed=11)
+
+
+@query(with_(QUARTERS, WIDE_SQL) + f"""SELECT series_key, year, round((t2 - med) / nullif(iqr, 0), 6) AS t2_scaled FROM wide, (SELECT median(t2) AS med, quantile_cont(t2, 0.75) - quantile_cont(t2, 0.25) AS iqr FROM wide WHERE year < {TARGET})""")
+def robust_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature scaled by median and quartile distance, both exact."""
+    w = wide(spark, sf_dir)
+    p = lambda q: F.percentile("t2", F.lit(q))
+    fit = w.where(F.col("year") < TARGET).agg(p(0.5).alias("med"), (p(0.75) - p(0.25)).alias("iqr"))
+    return w.crossJoin(F.broadcast(fit)).select("series_key", "year", F.round((F.col("t2") - F.col("med")) / F.nullif(F.col("iqr"), F.lit(0.0)), 6).alias("t2_scaled"))

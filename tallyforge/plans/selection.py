@@ -410,13 +410,13 @@ _SC = {"cut": 0.9, "status_quo": 1.0, "rise": 1.1}
 
 
 @query(with_(FINE, HIST, "base AS (SELECT l1, list_median(rs) * credits AS p FROM hist JOIN target USING (series_key) WHERE len(rs) > 0)", f"tot AS (SELECT l1, scenario, sum(p * f) AS total FROM base, (VALUES {', '.join(f'({k!r}, {v})' for k, v in _SC.items())}) AS s(scenario, f) GROUP BY GROUPING SETS ((l1, scenario), (scenario)))") + """
-SELECT coalesce(t.l1, 'ALL') AS l1, t.scenario, round(t.total, 2) AS total, round((t.total / b.total - 1) * 100, 4) AS vs_status_quo FROM tot t JOIN tot b ON coalesce(t.l1, '') = coalesce(b.l1, '') AND b.scenario = 'status_quo'""")
+SELECT coalesce(t.l1, 'ALL') AS l1, t.scenario, round(t.total, 4) AS total, round((t.total / b.total - 1) * 100, 4) AS vs_status_quo FROM tot t JOIN tot b ON coalesce(t.l1, '') = coalesce(b.l1, '') AND b.scenario = 'status_quo'""")
 def scenario_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three credit scenarios by chapter and in all, against the status quo."""
     base = history(spark, sf_dir).where(F.size("rs") > 0).join(target(spark, sf_dir), "series_key").select("l1", (S.median(F.col("rs")) * F.col("credits")).alias("p"))
     tot = base.rollup("l1").agg(*[F.sum(F.col("p") * v).alias(k) for k, v in _SC.items()])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("scenario"), F.col(k).alias("total")) for k in _SC]))
-    return tot.select(F.coalesce("l1", F.lit("ALL")).alias("l1"), "status_quo", rows.alias("r")).select("l1", "r.scenario", F.round("r.total", 2).alias("total"), F.round((F.col("r.total") / F.col("status_quo") - 1) * 100, 4).alias("vs_status_quo"))
+    return tot.select(F.coalesce("l1", F.lit("ALL")).alias("l1"), "status_quo", rows.alias("r")).select("l1", "r.scenario", F.round("r.total", 4).alias("total"), F.round((F.col("r.total") / F.col("status_quo") - 1) * 100, 4).alias("vs_status_quo"))
 
 
 @query(with_(FINE, HIST, f"up AS (SELECT series_key AS code, credits * 1.25 AS credit_{TARGET} FROM target WHERE series_key LIKE 'PROMO%')") + f"""SELECT series_key, round(coalesce(credit_{TARGET}, credits), 4) AS credits, round(list_median(rs) * coalesce(credit_{TARGET}, credits), 3) AS predicted, credit_{TARGET} IS NOT NULL AS uploaded
