@@ -197,7 +197,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     edges = _links(rows, classes, k, num, den, block_tokens, bucket_tokens)
     parts = connected_components(edges)
     labelled = classes.join(parts, classes.rid == parts.node, "left").select("key", "doc", F.coalesce("component", "rid").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("doc").alias("component_id"))
+    least = materialise(labelled.groupBy("label").agg(F.min("doc").alias("component_id")), "least")
     by_key = labelled.join(least, "label").select("key", "component_id")
     return described.select("doc_id", "key", "n").join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -228,14 +228,14 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int, bloc
     # round two: what still differs
     labelled = posting.join(comp, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("x <> y AND g0 <> g1").select("token")
-    mass = matrix.groupBy("g").agg(F.sum("members").alias("mass"))
+    mass = materialise(matrix.groupBy("g").agg(F.sum("members").alias("mass")), "mass")  # a table of its own, so a join with a large group can be split
     left = materialise(labelled.join(mixed, "token").join(mass, "g"), "left-over")
     other = left.groupBy("token", F.col("g").alias("h")).agg(F.first("mass").alias("h_mass"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("x"), F.max("component").alias("y"))
     onward = (F.col("h") != F.col("g")) & (F.struct("h_mass", "h") > F.struct("mass", "g")) & ~((F.col("x") == F.col("y")) & (F.col("x") == F.col("component")))
     fits = (F.col("hi") * den >= F.col("n") * num) & (F.col("lo") * num <= F.col("n") * den)
     cross = left.join(other, "token").where(onward & fits).groupBy("rid", "n", "component", "h").agg(*bound).where(F.col("t") >= needed).select("rid", "n", "component", F.col("h").alias("g"))
     # members of a group in several blocks that its leader's component doesn't hold
-    total = opened.groupBy("g").agg(F.sum("n").alias("s"), F.min("rid").alias("leader")).where(F.col("s") > block_tokens)
+    total = materialise(opened.groupBy("g").agg(F.sum("n").alias("s"), F.min("rid").alias("leader")).where(F.col("s") > block_tokens), "large")
     lead = total.join(comp.withColumnRenamed("rid", "leader"), "leader", "left").select("g", F.coalesce("component", "leader").alias("main"))
     apart = opened.join(lead, "g").join(comp, "rid", "left").withColumn("component", F.coalesce("component", "rid")).where("component <> main").select("rid", "n", "component", "g")
     visits = materialise(cross.unionByName(apart).distinct(), "visits")
@@ -249,7 +249,7 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int, bloc
 def _blocks_of_one(opened: DataFrame, block_tokens: int) -> DataFrame:
     """g, block, role, rid, label, n: groups of two and more, cut into blocks; the leader of a group that is cut goes to each of its blocks."""
     size = opened.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min("rid").alias("leader")).where("c > 1")
-    size = size.withColumn("blocks", F.ceil(F.col("s") / block_tokens).cast("int"))
+    size = materialise(size.withColumn("blocks", F.ceil(F.col("s") / block_tokens).cast("int")), "sizes")
     placed = opened.join(size, "g")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     one = F.array(F.pmod(F.hash("rid"), F.col("blocks")))
@@ -260,7 +260,7 @@ def _blocks_of_two(home: DataFrame, visits: DataFrame, block_tokens: int) -> Dat
     """As above for visitors (role 2) and hosts (role 1): each block of visitors meets each block of hosts."""
     h = home.groupBy("g").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("hb"))
     v = visits.groupBy("g").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("vb"))
-    size = h.join(v, "g")
+    size = materialise(h.join(v, "g"), "sizes")
     block = lambda mine, other, which: F.transform(F.sequence(F.lit(0), other - 1), lambda o: (mine * other + o) if which else (o * F.col("hb") + mine))
     hosts = home.join(size, "g").select("g", F.explode(block(F.pmod(F.hash("rid"), F.col("hb")), F.col("vb"), False)).alias("block"), F.lit(1).alias("role"), "rid", F.col("component").alias("label"), "n")
     guests = visits.join(size, "g").select("g", F.explode(block(F.pmod(F.hash("rid"), F.col("vb")), F.col("hb"), True)).alias("block"), F.lit(2).alias("role"), "rid", F.col("component").alias("label"), "n")

@@ -27,7 +27,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import fresh_dir, small_batches
+from .scratch import fresh_dir, materialise, small_batches
 
 _SEEK_FRAME, _SEEK_END = 0x184D2A5E, 0x8F92EAB1
 _MAX_FRAME = 1 << 30
@@ -150,8 +150,9 @@ def plan_records(pages: DataFrame, *, id_col: str = "page_id", payload_col: str
     row has an id); the others are revisits. Smaller payloads are all responses.
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")).withColumn("sha1", F.sha1("payload"))
-    first = p.groupBy("sha1").agg(F.min("page_id").alias("first_id")).withColumnRenamed("sha1", "sha1_")
-    joined = p.join(first, p.sha1 == first.sha1_)
+    # only payloads that repeat are looked up, in a table of its own, so that a payload of very many pages is split in the join
+    first = materialise(p.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("c")).where("c > 1").select(F.col("sha1").alias("sha1_"), "first_id"), "digests")
+    joined = p.join(first, p.sha1 == first.sha1_, "left")
     revisit = (F.octet_length("payload") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "payload", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
 
