@@ -28,6 +28,7 @@ from pyspark.sql import Window as W
 
 from .scratch import materialise, small_batches
 
+_MOST = (1 << 63) - 1
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -62,7 +63,8 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products: in doubles where those are exact, else in Python integers."""
     if q.size and x.size and np.abs(q).max() * np.abs(x).max() * q.shape[1] >= 2.0**53:
-        return q.astype(object) @ x.astype(object).T
+        whole = lambda a: np.clip(a, -(2.0**62), 2.0**62).astype(np.int64).astype(object)
+        return whole(q) @ whole(x).T
     return q @ x.T
 
 
@@ -70,7 +72,7 @@ def knn_join(vectors: DataFrame, is_query: Column, *, k: int = 10, pivots: int |
     """The k highest inner products of each query row with all other rows: query_id, rank, vec_id, score; ties go to the smaller vec_id.
 
     vectors: vec_id, x (see integer_vectors). A row is no candidate of a query with the same vec_id. Query rows that repeat get a list each;
-    an empty table or query set gives no rows; fewer than k candidates give fewer rows.
+    an empty table or query set gives no rows; fewer than k candidates give fewer rows. Components are exact up to 2**53; a score beyond a long is cut to its range.
     """
     small_batches(vectors.sparkSession)
     spark = vectors.sparkSession
@@ -172,7 +174,7 @@ def knn_join(vectors: DataFrame, is_query: Column, *, k: int = 10, pivots: int |
                         least = np.partition(score, len(score) - k)[len(score) - k]
                         keep, score = keep[score >= least], score[score >= least]
                     best = np.argsort(-score, kind="stable")[:k]  # at is sorted, so ties keep to the smaller id
-                    out += [(int(rows_[lo + i]), int(own[lo + i]), int(at[keep[b]]), int(score[b])) for b in best]
+                    out += [(int(rows_[lo + i]), int(own[lo + i]), int(at[keep[b]]), max(-_MOST - 1, min(_MOST, int(score[b])))) for b in best]
         return pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"]).astype("int64")
 
     best = asked.unionByName(data).groupBy("g", "part", "block").applyInPandas(solve, "row long, query_id long, vec_id long, score long")
