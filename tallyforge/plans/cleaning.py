@@ -130,7 +130,7 @@ def code_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("s_suppkey", X.normal_code(F.col("s_suppkey").cast("double")).alias("code"), X.normal_code(padded).alias("padded"), X.truthy(F.when(F.col("s_suppkey") % 2 == 0, F.lit(" Yes ")).otherwise(F.lit("no"))).alias("flag"))
 
 
-@query(with_(ANNUAL) + "SELECT DISTINCT series_key, split_part(series_key, '-', 1) AS l1, split_part(series_key, '-', 1) || '-' || split_part(series_key, '-', 4) AS prefix, len(string_split(series_key, '-')) AS depth FROM annual")
+@query(with_(ANNUAL) + "SELECT DISTINCT series_key, split_part(series_key, '-', 1) AS l1, split_part(series_key, '-', 1) || '-' || split_part(series_key, '-', 2) AS prefix, len(string_split(series_key, '-')) AS depth FROM annual")
 def key_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts, prefix and depth of a key."""
     k = F.col("series_key")

@@ -203,14 +203,14 @@ def band_width(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- composite reports ---------------------------------------------------------------------------------
 @query(with_(QUARTERS, WIDE_SQL) + f""", b AS (SELECT series_key, avg(t2) AS m, greatest(coalesce(stddev_samp(t2), 0.01), 0.005) AS s, avg(t4 - t2) AS gain FROM wide WHERE year < {TARGET} GROUP BY 1)
-SELECT series_key, year, t2, t4, CASE WHEN year = {TARGET} THEN round(t2 + gain, 6) END AS predicted, CASE WHEN year = {TARGET} THEN round(abs(t4 - t2 - gain), 6) END AS error, CASE WHEN year = {TARGET} THEN round((t2 - m) / s, 5) END AS z FROM wide JOIN b USING (series_key)""")
+SELECT series_key, year, t2, t4, CASE WHEN year = {TARGET} THEN round(t2 + gain, 9) END AS predicted, CASE WHEN year = {TARGET} THEN round(abs(t4 - t2 - gain), 9) END AS error, CASE WHEN year = {TARGET} THEN round((t2 - m) / s, 5) END AS z FROM wide JOIN b USING (series_key)""")
 def history_recap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each series and year with mid-year and year-end rate; prediction, error and z for the target year."""
     w = wide(spark, sf_dir)
     b = w.where(F.col("year") < TARGET).groupBy("series_key").agg(F.avg("t2").alias("m"), F.greatest(F.coalesce(F.stddev_samp("t2"), F.lit(0.01)), F.lit(0.005)).alias("s"), F.avg(F.col("t4") - F.col("t2")).alias("gain"))
     now = lambda c, d: F.when(F.col("year") == TARGET, F.round(c, d))
     p = F.col("t2") + F.col("gain")
-    return w.join(b, "series_key").select("series_key", "year", "t2", "t4", now(p, 6).alias("predicted"), now(F.abs(F.col("t4") - F.col("t2") - F.col("gain")), 6).alias("error"), now((F.col("t2") - F.col("m")) / F.col("s"), 5).alias("z"))
+    return w.join(b, "series_key").select("series_key", "year", "t2", "t4", now(p, 9).alias("predicted"), now(F.abs(F.col("t4") - F.col("t2") - F.col("gain")), 9).alias("error"), now((F.col("t2") - F.col("m")) / F.col("s"), 5).alias("z"))
 
 
 @query(with_(FINE, HIST) + f"""SELECT round(avg(abs(a - actual)), 3) AS mae_base, round(avg(abs(b - actual)), 3) AS mae_new, round(sqrt(avg(pow(a - actual, 2))), 3) AS rmse_base, round(sqrt(avg(pow(b - actual, 2))), 3) AS rmse_new,
@@ -327,22 +327,22 @@ def experiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ZSQL = f"zz AS (SELECT q.series_key, q.taux, (q.taux - b.m) / b.s AS z FROM quarters q JOIN (SELECT series_key, avg(taux) AS m, greatest(coalesce(stddev_samp(taux), 0.01), 0.005) AS s FROM quarters WHERE quarter = 2 AND year < {TARGET} GROUP BY 1) b USING (series_key) WHERE q.quarter = 2 AND q.year = {TARGET})"
 
 
-@query(with_(QUARTERS, WIDE_SQL, _ZSQL) + f""", st AS (SELECT series_key, round(avg(t4), 6) AS mean_t4, round(stddev_samp(t4), 6) AS std_t4, count(*) AS years FROM wide WHERE year < {TARGET} GROUP BY 1)
+@query(with_(QUARTERS, WIDE_SQL, _ZSQL) + f""", st AS (SELECT series_key, round(avg(t4), 9) AS mean_t4, round(stddev_samp(t4), 6) AS std_t4, count(*) AS years FROM wide WHERE year < {TARGET} GROUP BY 1)
 SELECT series_key, mean_t4, std_t4, years, round(z, 5) AS z, {Z_LABEL_SQL.format(v='taux', z='z')} AS label, t4 AS actual FROM st JOIN zz USING (series_key) JOIN (SELECT series_key, t4 FROM wide WHERE year = {TARGET}) USING (series_key)""")
 def master_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts joined to history statistics and to what the target year brought."""
     w = wide(spark, sf_dir)
-    st = w.where(F.col("year") < TARGET).groupBy("series_key").agg(F.round(F.avg("t4"), 6).alias("mean_t4"), F.round(F.stddev_samp("t4"), 6).alias("std_t4"), F.count("*").alias("years"))
+    st = w.where(F.col("year") < TARGET).groupBy("series_key").agg(F.round(F.avg("t4"), 9).alias("mean_t4"), F.round(F.stddev_samp("t4"), 6).alias("std_t4"), F.count("*").alias("years"))
     now = w.where(F.col("year") == TARGET).select("series_key", F.col("t4").alias("actual"))
     z = mid_year(spark, sf_dir).select("series_key", F.round("z", 5).alias("z"), z_label(F.col("taux"), F.col("z")).alias("label"))
     return st.join(z, "series_key").join(now, "series_key")
 
 
-@query(with_(QUARTERS, WIDE_SQL) + f"SELECT category, count(DISTINCT series_key) AS lines, round(sum(annual) FILTER (year = {TARGET}), 4) AS total, round(avg(t4) FILTER (year = {TARGET - 1}), 6) AS before, round(avg(t4) FILTER (year = {TARGET}), 6) AS now FROM wide GROUP BY 1")
+@query(with_(QUARTERS, WIDE_SQL) + f"SELECT category, count(DISTINCT series_key) AS lines, round(sum(annual) FILTER (year = {TARGET}), 4) AS total, round(avg(t4) FILTER (year = {TARGET - 1}), 9) AS before, round(avg(t4) FILTER (year = {TARGET}), 9) AS now FROM wide GROUP BY 1")
 def budget_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines, total and year-end rates by category."""
     at = lambda y, c: F.when(F.col("year") == y, F.col(c))
-    return wide(spark, sf_dir).groupBy("category").agg(F.countDistinct("series_key").alias("lines"), r4(F.sum(at(TARGET, "annual"))).alias("total"), F.round(F.avg(at(TARGET - 1, "t4")), 6).alias("before"), F.round(F.avg(at(TARGET, "t4")), 6).alias("now"))
+    return wide(spark, sf_dir).groupBy("category").agg(F.countDistinct("series_key").alias("lines"), r4(F.sum(at(TARGET, "annual"))).alias("total"), F.round(F.avg(at(TARGET - 1, "t4")), 9).alias("before"), F.round(F.avg(at(TARGET, "t4")), 9).alias("now"))
 
 
 @query(with_(FINE) + f"""SELECT risk, CAST(CASE risk WHEN 'critical' THEN 1 WHEN 'attention' THEN 2 ELSE 3 END AS INT) AS place, n, opened, CASE risk WHEN 'critical' THEN 'act now' WHEN 'attention' THEN 'watch' ELSE 'none' END AS action FROM (
