@@ -242,6 +242,14 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_id % 7 = 0").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query(with_(MOVES) + "SELECT series_key, CAST(year AS VARCHAR) AS year_text, printf('committed %.4f of %.4f (%.3f %%)', committed, opened, 100 * committed / opened) AS detail, substr(series_key, 1, 8) || CASE WHEN len(series_key) > 8 THEN '...' ELSE '' END AS short FROM moves WHERE opened > 0")
+def detail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years as text, details of a flag as a sentence, labels cut to length."""
+    df = movements(spark, sf_dir).where("opened > 0")
+    text = F.format_string("committed %.4f of %.4f (%.3f %%)", "committed", "opened", 100 * F.col("committed") / F.col("opened"))
+    return df.select("series_key", F.col("year").cast("string").alias("year_text"), text.alias("detail"), F.concat(F.substring("series_key", 1, 8), F.when(F.length("series_key") > 8, "...").otherwise("")).alias("short"))
+
+
 @query("SELECT unnest(['a', 'b', 'c']) AS profile, unnest([0.25, 0.5, 0.25]::DOUBLE[]) AS weight")
 def literal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table embedded in the program."""

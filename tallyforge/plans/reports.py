@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..operators import series as S
 from ..operators.windows import with_group
 from ..sources.panels import TARGET, annual, fine, quarters, rate, table
+from ..sources.snapshots import changes
 from .anomalies import SCORE_SQL as SCORES
 from .anomalies import risk_class, signals
 from .base_sql import ANNUAL, FINE, QUARTERS, with_
@@ -127,9 +128,8 @@ _SNAP = f"old AS (SELECT series_key, rate AS p FROM fine WHERE year = {TARGET -
 @query(with_(FINE, _SNAP) + "SELECT series_key, round(new.p - old.p, 6) AS change, CASE WHEN new.p > old.p THEN 'up' ELSE 'down' END AS direction FROM new JOIN old USING (series_key) WHERE abs(new.p - old.p) >= 0.05")
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changed by five points or more between two runs."""
-    at = lambda y, c: fine(spark, sf_dir).where(F.col("year") == y).select("series_key", F.col("rate").alias(c))
-    d = F.col("new") - F.col("old")
-    return at(TARGET, "new").join(at(TARGET - 1, "old"), "series_key").where(F.abs(d) >= 0.05).select("series_key", F.round(d, 6).alias("change"), F.when(d > 0, "up").otherwise("down").alias("direction"))
+    at = lambda y: fine(spark, sf_dir).where(F.col("year") == y).select("series_key", "rate")
+    return changes(at(TARGET), at(TARGET - 1), "series_key", "rate", 0.05).withColumn("change", F.round("change", 6))
 
 
 FACT_SQL = f"""fact AS (SELECT 'history' AS kind, series_key, year, committed AS actual, CAST(NULL AS DOUBLE) AS predicted FROM fine WHERE year < {TARGET}

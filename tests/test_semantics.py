@@ -145,3 +145,25 @@ def test_streaming_rates(spark, sf_dir):
 
     got = run_once(spark, sf_dir, event_rates)
     assert got and all(r.n > 0 for r in got)
+
+
+def test_snapshots(spark, tmp_path):
+    from tallyforge.sources import snapshots as N
+
+    folder = str(tmp_path / "state")
+    assert N.read_snapshot(spark, folder) is None
+    first = spark.createDataFrame([("a", 0.5), ("b", 0.5), ("c", 0.1)], "k string, v double")
+    second = spark.createDataFrame([("a", 0.6), ("b", 0.52), ("d", 0.9)], "k string, v double")
+    assert [N.write_snapshot(df, folder) for df in (first, second)] == [1, 2]
+    diff = N.changes(N.read_snapshot(spark, folder), N.read_snapshot(spark, folder, 1), "k", "v", 0.05).collect()
+    assert [(r.k, r.direction) for r in diff] == [("a", "up")]
+    for df in (first, second):
+        N.append_log(df, str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 6
+
+
+def test_command_line(spark, sf_dir, tmp_path):
+    from tallyforge.__main__ import main
+
+    assert main([sf_dir, str(tmp_path), "rollup_levels"]) == 0
+    assert spark.read.parquet(str(tmp_path / "rollup_levels")).count() > 0
