@@ -13,11 +13,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def collapse(df: DataFrame, key: list[str], order: str, *values: str) -> DataFrame:
-    """One row a key with an array for `order` (named order + 's') and each value, all in order."""
+def collapse(df: DataFrame, key: list[str], order: str, *values: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key with an array for `order` (named order + 's') and each value, all in order.
+
+    keep: columns that the key determines. They are no part of the grouping, so later steps by the key find their rows in place.
+    """
     packed = F.array_sort(F.collect_list(F.struct(order, *values)))
     pick = lambda v: F.transform("_p", lambda x: x[v]).alias(f"{v}s")
-    return df.groupBy(*key).agg(packed.alias("_p")).select(*key, *map(pick, (order, *values)))
+    return df.groupBy(*key).agg(packed.alias("_p"), *[F.first(c).alias(c) for c in keep]).select(*key, *keep, *map(pick, (order, *values)))
 
 
 def last(h: Column, back: int = 1) -> Column:

@@ -61,7 +61,7 @@ SMAPE = "CASE WHEN abs(actual) + abs(predicted) = 0 THEN 0 ELSE 100 * abs(actual
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series_key, l1, years, h (committed), cs (opened), rs (known rates) before the target year, of series with three years or more."""
     df = fine(spark, sf_dir).where(F.col("year") < TARGET)
-    out = S.collapse(df, ["series_key", "l1"], "year", "committed", "opened", "rate").where(F.size("years") >= 3)
+    out = S.collapse(df, ["series_key"], "year", "committed", "opened", "rate", keep=("l1",)).where(F.size("years") >= 3)
     return out.select("series_key", "l1", "years", F.col("committeds").alias("h"), F.col("openeds").alias("cs"), F.filter("rates", lambda r: r.isNotNull()).alias("rs"))
 
 

@@ -29,7 +29,7 @@ def scored(df: DataFrame) -> DataFrame:
 
 def walk(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = VALID, least: int = 2) -> DataFrame:
     """series_key, l1, year, actual, h: each validation year with all earlier values of its series; one shuffle by series, no self-join."""
-    all_years = S.collapse(fine(spark, sf_dir), ["series_key", "l1"], "year", "committed").select("series_key", "l1", F.explode(F.arrays_zip("years", "committeds")).alias("p"), F.arrays_zip("years", "committeds").alias("z"))
+    all_years = S.collapse(fine(spark, sf_dir), ["series_key"], "year", "committed", keep=("l1",)).select("series_key", "l1", F.explode(F.arrays_zip("years", "committeds")).alias("p"), F.arrays_zip("years", "committeds").alias("z"))
     at = all_years.where(F.col("p.years").isin(*years))
     h = F.transform(F.filter("z", lambda x: x["years"] < F.col("p.years")), lambda x: x["committeds"])
     return at.select("series_key", "l1", F.col("p.years").alias("year"), F.col("p.committeds").alias("actual"), h.alias("h")).where(F.size("h") >= least)
@@ -72,11 +72,14 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(FINE, walk_sql(), BEST_SQL) + f"""SELECT series_key, method, round(err, 4) AS validation_smape, round(p.predicted, 5) AS predicted, round(p.actual, 4) AS actual, round(p.smape, 4) AS smape
 FROM best JOIN preds p USING (series_key, method) WHERE p.year = {TARGET}""", "best_method")
 def best_method_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best of four methods over two validation years, with its forecast and error for the target year."""
-    preds = walked(spark, sf_dir)
-    best = best_method(preds.where(F.col("year") < TARGET))
-    at = preds.where(F.col("year") == TARGET).select("series_key", "method", "predicted", "actual", "smape")
-    return best.join(at, ["series_key", "method"]).select("series_key", "method", F.round("err", 4).alias("validation_smape"), F.round("predicted", 5).alias("predicted"), F.round("actual", 4).alias("actual"), F.round("smape", 4).alias("smape"))
+    """Best of four methods over two validation years, with its forecast and error for the target year.
+
+    Errors and target rows come from one aggregation and the winner from a second; both find their rows where the series were collapsed.
+    """
+    now = F.col("year") == TARGET
+    both = walked(spark, sf_dir).groupBy("series_key", "method").agg(F.avg(F.when(~now, F.col("smape"))).alias("err"), F.max(F.when(now, F.struct("predicted", "actual", "smape"))).alias("t"))
+    best = both.where("err IS NOT NULL").groupBy("series_key").agg(F.min(F.struct(F.round("err", 6).alias("e"), "method", "err", "t")).alias("b")).where("b.t IS NOT NULL")
+    return best.select("series_key", "b.method", F.round("b.err", 4).alias("validation_smape"), F.round("b.t.predicted", 5).alias("predicted"), F.round("b.t.actual", 4).alias("actual"), F.round("b.t.smape", 4).alias("smape"))
 
 
 @query(with_(FINE, walk_sql()) + f"""SELECT series_key, picked, round(predicted, 5) AS predicted, round(smape, 4) AS smape FROM (
