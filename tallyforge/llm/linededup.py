@@ -1,7 +1,7 @@
 """Substring dedup by hashing lines and the sentences within them.
 
-Method. A unit is a sentence within a line (a line without sentence ends is one unit), normalised to its lower-cased words of letters and
-digits. Digests (128 bits) of units of `unit_words` words or more are grouped over the whole corpus; the earliest ranked occurrence
+Method. A unit is a sentence within a line (a line without sentence ends is one unit; very long ones are cut by their content), normalised to
+its lower-cased words of letters and digits. Digests (128 bits) of units of `unit_words` words or more are grouped over the whole corpus; the earliest ranked occurrence
 (doc_id, then text, then place) stays. Later occurrences that follow on each other make a run - shorter units between them
 go along - and a run of `run_words` words or more is removed. What is removed is reported with its offsets in the original text.
 Passages are found by their inner sentences wherever they stand in a line.
@@ -21,32 +21,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Step, mix, text_steps
+from .kernel import WORD_CLASSES, Step, mix, text_steps
 from .scratch import materialise, small_batches
 
 _LAST = (1 << 63) - 1
 
 
+#: Sentences of more words than this are cut further, after word pairs whose hash says so (one in eight), so that equal stretches are cut alike.
+LONG = 24
+
+
 class Units:
     """Units of a step: row, place in the row, words, byte range and digest of each. Units without words are none."""
 
     def __init__(self, step: Step):
         data, w = step.data, step.words("alnum")
         n = len(data)
-        after = np.zeros(n, np.uint8)
-        after[:-1] = data[1:]
-        ends = ((data == 46) | (data == 33) | (data == 63)) & ((after == 32) | (after == 10) | (after == 13) | (after == 9))
-        if n:
-            ends[-1] = True
+        after = np.zeros(n, bool)
+        after[:-1] = WORD_CLASSES["alnum"][data[1:]]
+        ends = ((data == 46) | (data == 33) | (data == 63)) & ~after
         stop = np.flatnonzero(ends | (data == 10) | (data == 13)) + 1
         stop = np.union1d(stop, step.at[1:])  # and where a row ends
         part = np.searchsorted(stop, w.begin, "right")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(part) != 0])) if len(part) else np.empty(0, np.int64)
+        h = w.hashes()
+        opens = np.ones(len(part), bool)
+        opens[1:] = part[1:] != part[:-1]
+        size = np.diff(np.concatenate([np.flatnonzero(opens), [len(part)]]))
+        cut = np.zeros(len(part), bool)
+        cut[1:] = mix(h[:-1] + np.uint64(3) * h[1:]) & np.uint64(7) == 0
+        first = np.flatnonzero(opens | (cut & np.repeat(size > LONG, size)))
         self.row = np.searchsorted(w.of, first, "right") - 1
         self.words = np.diff(np.concatenate([first, [len(part)]]))
         self.place = np.arange(len(first)) - np.searchsorted(first, w.of)[self.row]
-        self.begin, self.end = w.begin[first], stop[part[first]] if len(first) else first
-        h = w.hashes()
+        self.begin, self.end = w.begin[first], stop[part[first]]
+        inner = np.flatnonzero(part[first[1:]] == part[first[:-1]])  # a cut sentence goes on: up to the next word
+        self.end[inner] = self.begin[inner + 1]
         order = np.arange(len(h)) - np.repeat(first, self.words) + 1
         lanes = []
         for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):

@@ -202,11 +202,17 @@ def test_packing(spark):
 
 def units_of(x):
     out, prev = [], 0
-    for c in [m.end() for m in re.finditer(r"[.!?](?=[ \n\r\t])|[\n\r]", x)] + [len(x)]:
+    for c in [m.end() for m in re.finditer(r"[.!?](?=[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]|$(?![\n]))|[\n\r]", x)] + [len(x)]:
         w = [(m.start(), m.group()) for m in ALNUM.finditer(x.translate(LOW), prev, c)]
-        if w:
-            out.append((w[0][0], c, tuple(t for _, t in w)))
         prev = c
+        if not w:
+            continue
+        at = [0]
+        if len(w) > linededup.LONG:
+            h = next(iter(kernel.text_steps(pa.array([" ".join(t for _, t in w)])))).words("alnum").hashes()
+            at += [i for i in range(1, len(w)) if int(kernel.mix(h[i - 1 : i] + np.uint64(3) * h[i : i + 1])[0]) & 7 == 0]
+        for i, j in zip(at, [*at[1:], len(w)], strict=True):
+            out.append((w[i][0], w[j][0] if j < len(w) else c, tuple(t for _, t in w[i:j])))
     return out
 
 
@@ -240,13 +246,17 @@ def brute_dedup(rows, unit_words=4, run_words=10):
     return out
 
 
+LONGISH = " ".join(f"w{i * 7919 % 1000}" for i in range(90))
+
+
 @pytest.mark.parametrize("bucket_units", [1_000_000, 3])
 def test_unit_dedup(spark, bucket_units):
     passage = "The quick brown fox jumps. Over the lazy dog it goes! Né à Paris en été, dit-on? And so on and on it went."
-    rows = [(1, "Start here now.\n" + passage + "\nTail of one."), (2, "Other start of and " + passage + " more of it"), (3, passage), (3, passage), (4, passage + "\n" + passage), (5, None), (6, ""), (7, "Short one. Short one."), (None, passage), (8, "word " * 30000), (9, "word " * 30000)]
+    rows = [(1, "Start here now.\n" + passage + "\nTail of one."), (2, "Other start of and " + passage + " more of it"), (3, passage), (3, passage), (4, passage + "\n" + passage), (5, None), (6, ""), (7, "Short one. Short one."), (10, "pre a b " + LONGISH), (11, "other c " + LONGISH + " and more to follow"), (12, "x.%%% y!*** Z 3.14 a.b e.g. " + LONGISH[:200]), (None, passage), (8, "word " * 30000), (9, "word " * 30000)]
     got = linededup.dedup_units(docs(spark, rows), bucket_units=bucket_units).collect()
     want = brute_dedup(rows)
     assert sorted(repr((r.doc_id, r.text, [tuple(s) for s in r.spans])) for r in got) == sorted(repr(x) for x in want)
+    assert all(r.spans for r in got if r.doc_id == 11)  # a long passage without any sentence end, in the middle of a line
     assert linededup.dedup_units(docs(spark, [])).collect() == []
 
 
