@@ -36,7 +36,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells: file, row_nr, b, c, d, h, k, ah; the top row has label and amounts, the row below it the code."""
     r = records(spark, sf_dir)
-    file = F.format_string("SituationChap-%d", "year")
+    file = F.format_string("ledger-%d", "year")
     top = r.select(file.alias("file"), (6 + 2 * F.col("i")).alias("row_nr"), *[F.lit(None).cast("string").alias(c) for c in "bcd"], "h", F.col("k").cast("string").alias("k"), F.col("ah").cast("string").alias("ah"))
     low = r.select(file.alias("file"), (7 + 2 * F.col("i")).alias("row_nr"), "b", "c", "d", *[F.lit(None).cast("string").alias(c) for c in ("h", "k", "ah")])
     return top.unionByName(low)
@@ -137,10 +137,10 @@ def key_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annual(spark, sf_dir).select("series_key").distinct().select(k, F.split_part(k, F.lit("-"), F.lit(1)).alias("l1"), F.substring_index(k, "-", 2).alias("prefix"), X.level_of_key(k).cast("long").alias("depth"))
 
 
-@query("SELECT n_name, CAST(regexp_extract('SituationChap-' || (2000 + n_nationkey) || '.csv', '((?:19|20)[0-9]{2})', 1) AS INT) AS year FROM nation")
+@query("SELECT n_name, CAST(regexp_extract('ledger-' || (2000 + n_nationkey) || '.csv', '((?:19|20)[0-9]{2})', 1) AS INT) AS year FROM nation")
 def year_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The year in a file name."""
-    return table(spark, sf_dir, "nation").select("n_name", year_of_name(F.format_string("SituationChap-%d.csv", 2000 + F.col("n_nationkey"))).alias("year"))
+    return table(spark, sf_dir, "nation").select("n_name", year_of_name(F.format_string("ledger-%d.csv", 2000 + F.col("n_nationkey"))).alias("year"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'jewels' WHEN p_name LIKE '%widget%' THEN 'parts' ELSE 'other' END AS category, CASE p_type WHEN 'SMALL' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LARGE' THEN 2 END AS code FROM part")
