@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .windows import quantiles
+
 BLOCK = 4096
 
 
@@ -119,7 +121,7 @@ def robust_mahalanobis(df: DataFrame, features: list[str], *, support: float = 0
     mean, cov = _moments(df, features)
     for _ in range(steps):
         near = df.withColumn("_d", _distance(features, mean, cov))
-        cut = near.agg(F.percentile("_d", F.lit(support))).first()[0]
+        cut = quantiles(near, "_d", {"q": support}).first().q
         if cut is None:
             break
         mean, cov = _moments(near.where(F.col("_d") <= cut), features)

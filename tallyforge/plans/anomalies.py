@@ -166,16 +166,14 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fine(spark, sf_dir).withColumns({"z": F.abs(F.try_divide(F.col("rate") - F.avg("rate").over(w), F.stddev_samp("rate").over(w))), "jump": F.abs(F.col("rate") - F.lag("rate").over(O.ordered(["series_key"], "year")))})
     res = walked(spark, sf_dir).where("method = 'Naive'").select("series_key", "year", F.col("smape").alias("residual"))
     df = df.select("series_key", "year", "z", "jump").join(res, ["series_key", "year"], "left").fillna(0.0, list(SIGNALS))
-    for s in SIGNALS:
-        df = O.minmax(df, s, s)
-    return df.select("series_key", "year", *SIGNALS)
+    return O.minmax(df, {s: s for s in SIGNALS}).select("series_key", "year", *SIGNALS)
 
 
 @query(with_(FINE, walk_sql(), SCORE_SQL) + ", e AS (SELECT *, (z + jump + residual) / 3 AS score FROM sig), q AS (SELECT quantile_cont(score, 0.9) AS p FROM e) SELECT series_key, year, round(score, 6) AS score, score >= p AS top FROM e, q")
 def ensemble_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of three scaled signals; its top decile is marked."""
     df = signals(spark, sf_dir).withColumn("score", (F.col("z") + F.col("jump") + F.col("residual")) / 3)
-    return df.crossJoin(F.broadcast(df.agg(F.percentile("score", F.lit(0.9)).alias("p")))).select("series_key", "year", F.round("score", 6).alias("score"), (F.col("score") >= F.col("p")).alias("top"))
+    return df.crossJoin(F.broadcast(O.quantiles(df, "score", {"p": 0.9}))).select("series_key", "year", F.round("score", 6).alias("score"), (F.col("score") >= F.col("p")).alias("top"))
 
 
 _TOP_SQL = f"cuts AS (SELECT {', '.join(f'quantile_cont({s}, 0.9) FILTER ({s} > 0) AS {s}_p' for s in SIGNALS)} FROM sig), votes AS (SELECT series_key, year, {', '.join(f'{s} > 0 AND {s} >= {s}_p AS {s}_top' for s in SIGNALS)} FROM sig, cuts)"
@@ -184,8 +182,10 @@ _TOP_SQL = f"cuts AS (SELECT {', '.join(f'quantile_cont({s}, 0.9) FILTER ({s} >
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which signals put a row into the top decile of their positive values."""
     df = signals(spark, sf_dir)
-    cuts = df.agg(*[F.percentile(F.when(F.col(s) > 0, F.col(s)), F.lit(0.9)).alias(f"{s}_p") for s in SIGNALS])
-    return df.crossJoin(F.broadcast(cuts)).select("series_key", "year", *[((F.col(s) > 0) & (F.col(s) >= F.col(f"{s}_p"))).alias(f"{s}_top") for s in SIGNALS])
+    out = df
+    for s in SIGNALS:
+        out = out.crossJoin(F.broadcast(O.quantiles(df.where(F.col(s) > 0), s, {f"{s}_p": 0.9})))
+    return out.select("series_key", "year", *[((F.col(s) > 0) & (F.col(s) >= F.col(f"{s}_p"))).alias(f"{s}_top") for s in SIGNALS])
 
 
 @query(with_(FINE, walk_sql(), SCORE_SQL, _TOP_SQL) + "SELECT series_key, year, " + " + ".join(f"CAST({s}_top AS INT)" for s in SIGNALS) + " AS n_signals FROM votes")
@@ -261,7 +261,7 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("series_key")
     df = fine(spark, sf_dir).where(F.col("year") < TARGET).withColumns({"z": F.coalesce(F.abs(F.try_divide(F.col("rate") - F.avg("rate").over(w), F.stddev_samp("rate").over(w))), F.lit(0.0)), "share": F.try_divide("opened", F.avg("opened").over(w))}).fillna(0.0)
     scored = isolation_scores(df, ["rate", "share", "z"], trees=200, sample=256, seed=42)
-    cut = scored.agg(F.percentile("isolation", F.lit(0.9)).alias("p"))
+    cut = O.quantiles(scored, "isolation", {"p": 0.9})
     out = scored.crossJoin(F.broadcast(cut)).withColumn("outlier", F.col("isolation") >= F.col("p"))
     risk = F.when(F.col("outlier") & (F.col("z") > 2), "critical").when(F.col("outlier") | (F.col("z") > 2), "high").when(F.col("z") > 1.5, "medium").otherwise("normal")
     priority = F.when(F.col("outlier") & (F.col("z") > 1.5), "P0").when(F.col("z") > 1.5, "P1").when(F.col("outlier"), "P2").otherwise("P4")

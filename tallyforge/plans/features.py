@@ -176,7 +176,8 @@ SELECT c.series_key, c.t2, coalesce(c.t1, c.t2) AS t1, coalesce(p.t2, m2) AS t2_
 def snapshot_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training snapshot with gaps filled: lags of the previous year, else the median; T1, else T2. A third of the series is treated as new."""
     w = wide(spark, sf_dir)
-    med = w.where(F.col("year") < TARGET).agg(F.percentile("t2", F.lit(0.5)).alias("m2"), F.percentile("t4", F.lit(0.5)).alias("m4"))
+    past = w.where(F.col("year") < TARGET)
+    med = O.quantiles(past, "t2", {"m2": 0.5}).crossJoin(F.broadcast(O.quantiles(past, "t4", {"m4": 0.5})))
     prev = w.where((F.col("year") == TARGET - 1) & (F.col("series_key").cast("int") % 3 != 0)).select("series_key", F.col("t2").alias("p2"), F.col("t4").alias("p4"))
     df = w.where((F.col("year") == TARGET) & F.col("t2").isNotNull()).join(prev, "series_key", "left").crossJoin(F.broadcast(med))
     return df.select("series_key", "t2", F.coalesce("t1", "t2").alias("t1"), F.coalesce("p2", "m2").alias("t2_prev"), F.coalesce("p4", "m4").alias("t4_prev"), F.col("p2").isNull().alias("filled"))
@@ -195,14 +196,14 @@ def global_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(FINE) + "SELECT series_key, year, round(CASE WHEN hi - lo < 1e-12 THEN 0 ELSE (opened - lo) / (hi - lo) END, 8) AS scaled FROM fine, (SELECT min(opened) AS lo, max(opened) AS hi FROM fine)")
 def minmax_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column scaled to 0..1 by its extremes (one broadcast row)."""
-    return O.minmax(fine(spark, sf_dir), "opened", "scaled").select("series_key", "year", F.round("scaled", 8).alias("scaled"))
+    return O.minmax(fine(spark, sf_dir), {"scaled": "opened"}).select("series_key", "year", F.round("scaled", 8).alias("scaled"))
 
 
 @query(with_(FINE) + "SELECT series_key, year, opened >= p AS top FROM fine, (SELECT quantile_cont(opened, 0.9) AS p FROM fine)")
 def top_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows at or above the 90th percentile (interpolated)."""
     df = fine(spark, sf_dir)
-    return df.crossJoin(F.broadcast(df.agg(F.percentile("opened", F.lit(0.9)).alias("p")))).select("series_key", "year", (F.col("opened") >= F.col("p")).alias("top"))
+    return df.crossJoin(F.broadcast(O.quantiles(df, "opened", {"p": 0.9}))).select("series_key", "year", (F.col("opened") >= F.col("p")).alias("top"))
 
 
 @query("SELECT l_partkey AS part, count(DISTINCT year(l_shipdate)) AS years, count(DISTINCT year(l_shipdate)) < 6 AS low_history FROM lineitem GROUP BY 1")

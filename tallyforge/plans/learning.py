@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import learners as L
+from ..operators.windows import quantiles
 from ..sources.panels import TARGET, fine
 from .base_sql import QUARTERS, with_
 from .features import WIDE_SQL, pooled, wide
@@ -131,6 +132,5 @@ def constrained_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robust_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature scaled by median and quartile distance, both exact."""
     w = wide(spark, sf_dir)
-    p = lambda q: F.percentile("t2", F.lit(q))
-    fit = w.where(F.col("year") < TARGET).agg(p(0.5).alias("med"), (p(0.75) - p(0.25)).alias("iqr"))
+    fit = quantiles(w.where(F.col("year") < TARGET), "t2", {"med": 0.5, "lo": 0.25, "hi": 0.75}).select("med", (F.col("hi") - F.col("lo")).alias("iqr"))
     return w.crossJoin(F.broadcast(fit)).select("series_key", "year", F.round((F.col("t2") - F.col("med")) / F.nullif(F.col("iqr"), F.lit(0.0)), 6).alias("t2_scaled"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import series as S
+from ..operators.windows import quantiles, ranked_values
 from ..sources.panels import TARGET, fine
 from .base_sql import FINE, with_
 from .forecasts import CREDITS_SQL, GROWTH_SQL, HIST, METHOD_SQL, RATE_MODEL_SQL, RECENT_SQL, SMAPE, exec_rate, growth, history, rate_models, target
@@ -100,10 +101,12 @@ LEADER_SQL = f"""SELECT method, count(*) AS n, round(avg(smape), 4) AS mean_smap
 
 @query(with_(FINE, walk_sql()) + LEADER_SQL)
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error distribution of each method in the target year."""
+    """Error distribution of each method in the target year; its quantiles are exact without a sort of all errors in one task."""
     share = lambda k: F.round(F.avg((F.col("smape") <= k).cast("int")) * 100, 4).alias(f"within_{k}")
-    at = lambda p: F.round(F.percentile("smape", F.lit(p)), 4)
-    return walked(spark, sf_dir, (TARGET,)).groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("smape"), 4).alias("mean_smape"), at(0.5).alias("median_smape"), at(0.75).alias("p75"), at(0.9).alias("p90"), F.round(F.max("smape"), 4).alias("max_smape"), share(10), share(25), share(50), F.round((F.sum("predicted") - F.sum("actual")) / F.sum("actual") * 100, 4).alias("bias"))
+    preds = walked(spark, sf_dir, (TARGET,))
+    stats = preds.groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("smape"), 4).alias("mean_smape"), F.round(F.max("smape"), 4).alias("max_smape"), share(10), share(25), share(50), F.round((F.sum("predicted") - F.sum("actual")) / F.sum("actual") * 100, 4).alias("bias"))
+    q = quantiles(preds, "smape", {"median_smape": 0.5, "p75": 0.75, "p90": 0.9}, ("method",))
+    return stats.join(q.select("method", *[F.round(c, 4).alias(c) for c in ("median_smape", "p75", "p90")]), "method")
 
 
 @query(with_(FINE, walk_sql()) + f"""SELECT method, count(*) AS wins, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (
@@ -165,7 +168,7 @@ SELECT CASE WHEN m <= m1 THEN 'small' WHEN m <= m2 THEN 'medium' ELSE 'large' EN
 def segment_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors by size and volatility tercile (edges by interpolated quantiles; the edge belongs to the lower bin)."""
     lvl = fine(spark, sf_dir).where(F.col("year") < TARGET).groupBy("series_key").agg(F.avg("committed").alias("m"), F.try_divide(F.stddev_samp("committed"), F.avg("committed")).alias("cv"))
-    edge = lvl.agg(*[F.percentile(c, F.lit(q / 3)).alias(f"{c}{q}") for c in ("m", "cv") for q in (1, 2)])
+    edge = quantiles(lvl, "m", {"m1": 1 / 3, "m2": 2 / 3}).crossJoin(F.broadcast(quantiles(lvl, "cv", {"cv1": 1 / 3, "cv2": 2 / 3})))
     cut = lambda c, names: F.when(F.col(c) <= F.col(f"{c}1"), names[0]).when(F.col(c) <= F.col(f"{c}2"), names[1]).otherwise(names[2])
     df = walked(spark, sf_dir, (TARGET,)).join(lvl, "series_key").crossJoin(F.broadcast(edge)).where("cv IS NOT NULL")
     return df.groupBy(cut("m", ("small", "medium", "large")).alias("size"), cut("cv", ("calm", "mixed", "wild")).alias("volatility"), "method").agg(F.count("*").alias("n"), F.round(F.avg("smape"), 4).alias("mean_smape"), F.round(F.percentile("smape", F.lit(0.5)), 4).alias("median_smape"))
@@ -326,18 +329,9 @@ def conformal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_statistics(df: DataFrame, value: str, levels: dict[int, float]) -> DataFrame:
-    """One row with q<k>: the ceil((n + 1) * level)-th smallest value, n at most. Counted by value first, so equal residuals are one row.
-
-    The place of each value follows from range-partitioned counts: a prefix sum over the partitions' totals (one row each) and one within each partition.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    ranged = counts.repartitionByRange(value).withColumn("part", F.spark_partition_id())
-    within = ranged.withColumn("upto", F.sum("c").over(W.partitionBy("part").orderBy(value)))
-    sizes = ranged.groupBy("part").agg(F.sum("c").alias("s"))
-    offset = sizes.select("part", (F.sum("s").over(W.orderBy("part")) - F.col("s")).alias("before"), F.sum("s").over(W.partitionBy()).alias("n"))
-    placed = within.join(offset, "part").withColumn("upto", F.col("upto") + F.col("before"))
+    """One row with q<k>: the ceil((n + 1) * level)-th smallest value, n at most."""
     at = lambda a: F.min(F.when(F.col("upto") >= F.least(F.ceil((F.col("n") + 1) * F.lit(a)), F.col("n")), F.col(value)))
-    return placed.agg(*[at(a).alias(f"q{k}") for k, a in levels.items()])
+    return ranked_values(df, value).agg(*[at(a).alias(f"q{k}") for k, a in levels.items()])
 
 
 @query(with_(FINE, walk_sql(), BEST_SQL) + f""", cb AS (SELECT quantile_cont(abs_error / actual, 0.9) AS q FROM best JOIN preds USING (series_key, method) WHERE year = {TARGET - 1} AND actual > 0)
@@ -346,7 +340,8 @@ def conformal_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands from the 90th percentile of the best method's relative errors in the calibration year."""
     preds = walked(spark, sf_dir)
     best = preds.join(best_method(preds.where(F.col("year") < TARGET)).select("series_key", "method"), ["series_key", "method"])
-    q = best.where((F.col("year") == TARGET - 1) & (F.col("actual") > 0)).agg(F.percentile(F.col("abs_error") / F.col("actual"), F.lit(0.9)).alias("q"))
+    q = best.where((F.col("year") == TARGET - 1) & (F.col("actual") > 0)).select((F.col("abs_error") / F.col("actual")).alias("e"))
+    q = quantiles(q, "e", {"q": 0.9})
     p = F.col("predicted")
     lo, hi = F.greatest(F.lit(0.0), p * (1 - F.col("q"))), p * (1 + F.col("q"))
     return best.where(F.col("year") == TARGET).crossJoin(F.broadcast(q)).select("series_key", F.round(p, 5).alias("predicted"), F.round(lo, 3).alias("lo"), F.round(hi, 3).alias("hi"), F.col("actual").between(lo, hi).cast("int").alias("covered"))

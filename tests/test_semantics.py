@@ -167,3 +167,19 @@ def test_command_line(spark, sf_dir, tmp_path):
 
     assert main([sf_dir, str(tmp_path), "rollup_levels"]) == 0
     assert spark.read.parquet(str(tmp_path / "rollup_levels")).count() > 0
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [("a", float(x)) for x in rng.normal(size=900)] + [("b", float(x)) for x in rng.integers(0, 5, 300)] + [("c", 7.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    levels = {"q1": 0.1, "q5": 0.5, "q9": 0.9, "top": 1.0}
+    by = {r.g: r for r in windows.quantiles(df, "v", levels, ("g",)).collect()}
+    for g in "abc":
+        own = [v for k, v in rows if k == g and v is not None]
+        assert [by[g][k] for k in levels] == pytest.approx([np.quantile(own, p) for p in levels.values()])
+    every = windows.quantiles(df, "v", levels).first()
+    assert [every[k] for k in levels] == pytest.approx([np.quantile([v for _, v in rows if v is not None], p) for p in levels.values()])
+    assert windows.quantiles(df.where("v IS NULL"), "v", {"q": 0.5}).first().q is None
