@@ -115,7 +115,7 @@ def repeated_places(docs: DataFrame, unit_words: int, bucket_units: int) -> Data
                 row = step.lo + u.row[ok]
                 held.append((u.a[ok], u.b[ok], ranks[row], marks[row], u.place[ok]))
                 pending += int(ok.sum())
-                if pending > 1_000_000:
+                if pending > 400_000:
                     yield from packed()
                     held, pending = [], 0
         yield from packed()
@@ -162,7 +162,7 @@ def runs(places: np.ndarray, words: np.ndarray, unit_words: int, run_words: int)
     return out
 
 
-def dedup_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit_words: int = 4, run_words: int = 10, bucket_units: int = 1_000_000) -> DataFrame:
+def dedup_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", unit_words: int = 4, run_words: int = 10, bucket_units: int = 500_000) -> DataFrame:
     """doc_id, n_units, n_removed (units), text (what stays), spans: array of (start, stop) removed from the original, in code points.
 
     Null texts stay null without units; empty texts have none. Rows that repeat (same id and text) are one document and get the same result.
