@@ -5,7 +5,7 @@ Method. Every language gets a codeword of bits. For each bit a binary classifier
 classifiers' outputs under logistic loss, each bit weighted by how well its classifier does on
 training rows that it was not fitted on; a small gap to the second codeword flags the text as ambiguous.
 
-Scale. One aggregation counts the languages, one filtered scan fetches a bounded sample
+Scale. One aggregation counts the languages, one filtered scan fetches a bounded sample, the rows with the smallest hashes of each language
 (`sample_total` rows in all, `sample_per_lang` a language, none above `sample_chars` characters);
 scoring is one map with a weight matrix of fixed size, without a shuffle.
 """
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .kernel import Step, text_steps
 from .scratch import small_batches
@@ -82,27 +83,39 @@ def gram_counts(step: Step, features: int) -> np.ndarray:
     return out / np.maximum(np.sqrt((out**2).sum(1, keepdims=True)), 1e-6)
 
 
+def draw(rows: DataFrame, counts: dict[str, int], each: int) -> dict[str, list[str]]:
+    """The texts of the `each` rows with the smallest h of each language, all rows of a language that has fewer. rows: text, lang, h (62 bits).
+
+    Each language has a hash limit of its own, below which `each` rows are nearly sure to be; one with less (rows that repeat share a hash) is read again with a wider limit.
+    """
+    top, open_, wide = (1 << 62) - 1, dict(counts), 1
+    texts: dict[str, list[str]] = {}
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    while open_:
+        limits = F.create_map(*[x for k, n in open_.items() for x in (F.lit(k), F.lit(min(top, top * wide * (13 * each + 640) // (10 * n))))])
+        got: dict[str, list] = {k: [] for k in open_}
+        for r in rows.where(F.col("h") <= F.element_at(limits, F.col("lang"))).withColumn("i", place).where(F.col("i") <= each).collect():
+            got[r.lang].append((r.i, r.text))
+        texts |= {k: [t for _, t in sorted(v)] for k, v in got.items() if len(v) >= min(each, open_[k])}
+        open_, wide = {k: n for k, n in open_.items() if k not in texts}, wide * 16
+    return texts
+
+
 def fit_langid(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", sample_per_lang: int = 400, sample_total: int = 8000, sample_chars: int = 20_000, features: int = 4096, rounds: int = 120) -> LangModel:
     """Fit on a bounded sample; rows without text or language are left out.
 
     Bound: sample_total rows, sample_per_lang a language, none of more than sample_chars characters (longer ones are not drawn).
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(order_col).cast("string"), F.lit(9)).alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars) & (F.length("text") > 0))
+    h = F.shiftrightunsigned(F.xxhash64(F.col(order_col).cast("string"), F.col(text_col), F.lit(9)), 2)
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), h.alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= sample_chars) & (F.length("text") > 0))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return LangModel([], np.ones((0, 1), np.float32), np.zeros((features, 1), np.float32), np.zeros(1, np.float32), np.ones(1), features)
-    each = max(8, min(sample_per_lang, sample_total // len(langs)))
-    top = (1 << 62) - 1
-    limits = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(top, int(top * 1.3 * each / counts[k]) + (top >> 8))))])
-    drawn = rows.where((F.shiftrightunsigned("h", 2)) <= F.element_at(limits, F.col("lang"))).orderBy("h").limit(2 * each * len(langs) + 64)
-    texts: dict[str, list[str]] = {k: [] for k in langs}
-    for r in drawn.collect():
-        if len(texts[r.lang]) < each:
-            texts[r.lang].append(r.text)
+    texts = draw(rows, counts, max(8, min(sample_per_lang, sample_total // len(langs))))
     codes = codewords(len(langs))
-    x = np.concatenate([gram_counts(s, features) for k in langs for s in text_steps(pa.array(texts[k] or [""], pa.large_string()), step_rows=STEP_ROWS)])
-    y = np.concatenate([np.full(max(1, len(texts[k])), i) for i, k in enumerate(langs)])
+    x = np.concatenate([gram_counts(s, features) for k in langs for s in text_steps(pa.array(texts[k], pa.large_string()), step_rows=STEP_ROWS)])
+    y = np.concatenate([np.full(len(texts[k]), i) for i, k in enumerate(langs)])
     fit = np.arange(len(y)) % 5 != 0
     w, b = _bits(x[fit], codes[y[fit]], rounds)
     right = ((x[~fit] @ w + b) * codes[y[~fit]] > 0).mean(0) if (~fit).any() else np.ones(codes.shape[1])

@@ -201,6 +201,16 @@ def test_language_id_edges(spark):
     assert langid.predict_lang(docs(spark, []), model).collect() == []
 
 
+def test_language_id_draws_each_language_alone(spark):
+    """A rare language gets its rows however many the frequent one has, rows that repeat included."""
+    en = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the cat and the dog "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    de = spark.range(40).select((F.col("id") + 100_000).alias("doc_id"), F.concat(F.lit("der hund und die katze "), F.col("id")).alias("text"), F.lit("de").alias("lang"))
+    fr = spark.range(5_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("le chien et les chats sont ici").alias("text"), F.lit("fr").alias("lang"))
+    model = langid.fit_langid(en.unionByName(de).unionByName(fr), sample_per_lang=8, sample_total=24)
+    rows = [(1, "die katze und der hund"), (2, "the dog and the cat"), (3, "les chats et le chien")]
+    assert {r.doc_id: r.lang_pred for r in langid.predict_lang(docs(spark, rows), model).collect()} == {1: "de", 2: "en", 3: "fr"}
+
+
 def test_codewords_correct_errors():
     for n in (2, 4, 9, 30):
         c = langid.codewords(n)
