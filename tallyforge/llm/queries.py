@@ -56,7 +56,7 @@ def op4_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_units(table(spark, sf_dir, "documents"))
+    return linededup.dedup_units(table(spark, sf_dir, "documents"), lines=True)
 
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

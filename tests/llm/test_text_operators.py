@@ -260,5 +260,28 @@ def test_unit_dedup(spark, bucket_units):
     assert linededup.dedup_units(docs(spark, [])).collect() == []
 
 
+def test_op5_takes_short_lines_and_unspaced_scripts(spark, tmp_path):
+    """Menus, verses, one line of some words, Chinese and Thai passages go where they come again; what is not repeated stays."""
+    from tallyforge.llm import queries
+
+    menu, verse, line = "Home\nAbout us\nContact\n", "He ran. She sat.\n", "Subscribe to our weekly newsletter today\n"
+    han = "春天来了，花园里的花都开了。孩子们在草地上奔跑，老人们坐在树下聊天。"
+    thai = "วันนี้อากาศดีมากเราจึงไปเดินเล่นที่สวนสาธารณะใกล้บ้าน"
+    rows = [(1, menu + "first own words\n" + verse + "more of one\n" + line + "end of one\n" + han + "\n" + thai + "\nlast")]
+    rows += [(2, menu + "second own\n" + verse + "two here\n" + line + "tail second"), (3, "他说：" + han + "她没有回答他的问题。"), (4, "four\n" + thai + "\nHe ran. Nobody sat down"), (5, "Home alone\nHome\nYes")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got[1].text == rows[0][1] and got[1].spans == []
+    assert got[2].text == "second own\ntwo here\ntail second"
+    assert got[3].text.startswith("他说：") and got[3].text.endswith("她没有回答他的问题。") and "孩子们在草地上奔跑" not in got[3].text
+    assert got[4].text == "four\nHe ran. Nobody sat down"
+    assert got[5].text == rows[4][1]  # a short line that stands alone stays
+    for i, t in rows:
+        out, at = "", 0
+        for a, b in got[i].spans:
+            out, at = out + t[at:a], b
+        assert out + t[at:] == got[i].text
+
+
 def test_digest_is_of_the_sorted_names():
     assert decontam.items_digest(["b", "a"]) == hashlib.sha256(b"a,b").hexdigest()
