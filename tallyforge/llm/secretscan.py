@@ -22,13 +22,14 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Bits a character that a window needs, by class.
 THRESHOLDS = {"hex": 3.01, "alnum": 3.71, "token": 3.91}
+PLACEHOLDERS = r"EXAMPLE|example|placeholder|PLACEHOLDER|XXXX|xxxx|0000000000"
 #: Candidates that these match are no secrets: identifiers in UUID form, plain or hyphenated words, numbers, placeholders, paths of plain words.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]+$",
     r"^[A-Za-z]+([-_/+][A-Za-z]+)*[-_/+]?$",
     r"^[-_/+=0-9]+$",
-    r"EXAMPLE|example|placeholder|PLACEHOLDER|XXXX|xxxx|0000000000",
+    PLACEHOLDERS,
 )
 KEY = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
 ASSIGN = KEY + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -79,23 +80,31 @@ def hot_range(candidate: Column, threshold: Column, window: int = WINDOW) -> Col
     return F.aggregate(steps, start, slide, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
-def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW, thresholds: dict[str, float] = THRESHOLDS, keep: tuple[str, ...] = ()) -> DataFrame:
+def _masked(candidate: Column) -> Column:
+    """The candidate with placeholder words as runs of one character, so that a window with such a word has little entropy."""
+    return F.regexp_replace(F.regexp_replace(candidate, "EXAMPLE|example", "=" * 7), "PLACEHOLDER|placeholder", "=" * 11)
+
+
+def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW, thresholds: dict[str, float] = THRESHOLDS, keep: tuple[str, ...] = (), overlapping: bool = False) -> DataFrame:
     """doc_id, text, n_assign, n_access, n_hex and spans: array of (start, rank, stop, kind) by start, in code points, stop exclusive; columns of `keep` follow.
 
     Kinds: assign, access, hex (all kept) and entropy (only where no other span overlaps and no allow-list pattern matches).
+    overlapping: entropy spans stay where other spans overlap them, and placeholder words hide only the windows that they stand in, not the candidate.
     Null texts count as empty and have no spans; rows that repeat are all returned. keep must not name doc_id, text or a result column.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
     df = df.select("*", _located(t, ASSIGN, 1, 6).alias("_a"), _located(t, ACCESS).alias("_k"), _located(t, HEX).alias("_h"), _located(t, CANDIDATE).alias("_c"))
     df = df.select("*", F.concat(_spans(F.col("_a"), "assign", 0), _spans(F.col("_k"), "access", 1), _spans(F.col("_h"), "hex", 2)).alias("_base"))
+    if overlapping:
+        allow = tuple(p for p in allow if p != PLACEHOLDERS)
     allowed = "|".join(f"(?:{p})" for p in allow)
     candidates = F.filter("_c", lambda x: ~x["hit"].rlike(allowed)) if allow else F.col("_c")
     limit = lambda hit: F.when(hit.rlike("^[0-9a-fA-F]+$"), F.lit(thresholds["hex"])).when(hit.rlike("^[0-9A-Za-z]+$"), F.lit(thresholds["alnum"])).otherwise(F.lit(thresholds["token"]))
-    hot = F.transform(candidates, lambda x: F.struct(x["start"].alias("start"), hot_range(x["hit"], limit(x["hit"])).alias("r")))
+    hot = F.transform(candidates, lambda x: F.struct(x["start"].alias("start"), hot_range(_masked(x["hit"]) if overlapping else x["hit"], limit(x["hit"])).alias("r")))
     hot = F.transform(F.filter(hot, lambda x: x["r"]["first"] >= 0), lambda x: F.struct((x["start"] + x["r"]["first"]).alias("start"), F.lit(3).alias("rank"), (x["start"] + x["r"]["last"] + WINDOW).alias("stop"), F.lit("entropy").alias("kind"))).cast(SPAN)
     df = df.select("*", F.when(F.size("_c") > 0, hot).otherwise(F.array().cast(SPAN)).alias("_hot"))
-    fresh = F.filter("_hot", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
+    fresh = F.col("_hot") if overlapping else F.filter("_hot", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
     return df.select("doc_id", "text", F.size("_a").cast("long").alias("n_assign"), F.size("_k").cast("long").alias("n_access"), F.size("_h").cast("long").alias("n_hex"), F.array_sort(F.concat("_base", fresh)).alias("spans"), *keep)
 
 
