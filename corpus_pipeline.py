@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret by a mark; all documents stay. n_chars follows the text."""
-    found = secretscan.secret_spans(docs, keep=("lang", "source", "n_chars"), overlapping=True)
+    found = secretscan.secret_spans(docs, keep=("lang", "source", "n_chars"), overlapping=True, thresholds=secretscan.FULL_THRESHOLDS)
     text = secretscan.redacted(F.col("text"), F.col("spans"))
     return found.select("doc_id", text.alias("text"), "lang", "source", F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col("n_chars")).cast("long").alias("n_chars"))
 

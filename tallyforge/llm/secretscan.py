@@ -22,6 +22,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Bits a character that a window needs, by class.
 THRESHOLDS = {"hex": 3.01, "alnum": 3.71, "token": 3.91}
+#: With classes of their own for letters and digits of one case and for tokens with both cases and digits: what the pipeline redacts by.
+FULL_THRESHOLDS = THRESHOLDS | {"one_case": 3.4, "mixed": 3.71}
 PLACEHOLDERS = r"EXAMPLE|example|placeholder|PLACEHOLDER|XXXX|xxxx|0000000000"
 #: Candidates that these match are no secrets: identifiers in UUID form, plain or hyphenated words, numbers, placeholders, paths of plain words.
 ALLOW = (
@@ -100,7 +102,11 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         allow = tuple(p for p in allow if p != PLACEHOLDERS)
     allowed = "|".join(f"(?:{p})" for p in allow)
     candidates = F.filter("_c", lambda x: ~x["hit"].rlike(allowed)) if allow else F.col("_c")
-    limit = lambda hit: F.when(hit.rlike("^[0-9a-fA-F]+$"), F.lit(thresholds["hex"])).when(hit.rlike("^[0-9A-Za-z]+$"), F.lit(thresholds["alnum"])).otherwise(F.lit(thresholds["token"]))
+    classes = [("hex", "^[0-9a-fA-F]+$"), ("one_case", r"^(?=.*[0-9])(?:[a-z0-9]+|[A-Z0-9]+)$"), ("alnum", "^[0-9A-Za-z]+$"), ("mixed", "^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])")]
+
+    def limit(hit: Column) -> Column:
+        return F.coalesce(*[F.when(hit.rlike(p), F.lit(thresholds[k])) for k, p in classes if k in thresholds], F.lit(thresholds["token"]))
+
     hot = F.transform(candidates, lambda x: F.struct(x["start"].alias("start"), hot_range(_masked(x["hit"]) if overlapping else x["hit"], limit(x["hit"])).alias("r")))
     hot = F.transform(F.filter(hot, lambda x: x["r"]["first"] >= 0), lambda x: F.struct((x["start"] + x["r"]["first"]).alias("start"), F.lit(3).alias("rank"), (x["start"] + x["r"]["last"] + WINDOW).alias("stop"), F.lit("entropy").alias("kind"))).cast(SPAN)
     df = df.select("*", F.when(F.size("_c") > 0, hot).otherwise(F.array().cast(SPAN)).alias("_hot"))

@@ -290,6 +290,18 @@ def test_pipeline_redacts_all_of_joined_secrets(spark, sf_dir):
     assert got[4] == texts[4]
 
 
+def test_pipeline_redacts_random_tokens_of_all_alphabets(spark, sf_dir):
+    """Of random tokens of 20 characters few are missed, whatever their alphabet; slugs stay."""
+    rng, rows = random.Random(3), []
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for kind, alphabet in (("base32", upper + "234567"), ("lower", lower + "0123456789"), ("url", upper + lower + "0123456789-_")):
+        rows += [(len(rows) + i, f"k {''.join(rng.choices(alphabet, k=20))} end", "en", kind, 26) for i in range(400)]
+    rows.append((9999, "see annual-report-of-the-year-2019 end", "en", "slug", 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = collections.Counter(r.source for r in corpus_pipeline.secrets(spark, df, sf_dir).collect() if "[SECRET]" not in r.text)
+    assert kept["slug"] == 1 and kept["base32"] <= 20 and kept["lower"] <= 20 and kept["url"] <= 30, kept
+
+
 def test_pipeline_runs(spark, sf_dir):
     got = corpus_pipeline.run(spark, sf_dir)
     assert got.columns == ["doc_id", "piece", "start", "n_tokens", "bucket", "bucket_tokens", "batch_id", "slot"]
