@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 ESTIMATORS = ("linear", "ridge", "lasso", "forest", "boosting")
+BASELINES = ("seasonal", "mean")
 
 
 def estimator(name: str, features: list[str], label: str = "label", seed: int = 42) -> Pipeline:
@@ -33,13 +34,27 @@ def estimator(name: str, features: list[str], label: str = "label", seed: int =
     return Pipeline(stages=steps)
 
 
-def walk_forward(df: DataFrame, features: list[str], names: Iterable[str], years: Iterable[int]) -> DataFrame:
-    """test_year, category, model, rmse, mae, mape: each year is predicted by models of strictly earlier years. One fit a fold and model."""
+def _baseline(name: str, past: DataFrame, now: DataFrame) -> DataFrame:
+    """now with prediction: the series' last label before (seasonal) or the mean of its category's labels (mean); the mean of all past labels where there is none."""
+    key = {"seasonal": "series_key", "mean": "category"}[name]
+    known = past.groupBy(key).agg((F.max_by("label", "year") if name == "seasonal" else F.avg("label")).alias("known"))
+    rest = past.agg(F.avg("label").alias("rest"))
+    return now.join(known, key, "left").crossJoin(F.broadcast(rest)).withColumn("prediction", F.coalesce("known", "rest"))
+
+
+def walk_forward(df: DataFrame, features: list[str], names: Iterable[str], years: Iterable[int] | None = None) -> DataFrame:
+    """test_year, category, model, rmse, mae, mape: each year is predicted by models of strictly earlier years. One fit a fold and model.
+
+    Without years, all of df that have an earlier one. names: of ESTIMATORS and BASELINES.
+    """
     out = None
     df = df.persist()
+    if years is None:
+        years = sorted(r.year for r in df.select("year").distinct().collect())[1:]
     for year in years:
+        past, now = df.where(F.col("year") < year), df.where(F.col("year") == year)
         for name in names:
-            p = estimator(name, features).fit(df.where(F.col("year") < year)).transform(df.where(F.col("year") == year))
+            p = _baseline(name, past, now) if name in BASELINES else estimator(name, features).fit(past).transform(now)
             e = F.abs(F.col("label") - F.col("prediction"))
             part = p.groupBy("category").agg(F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(e), 6).alias("mae"), F.round(F.avg(F.when(F.col("label") != 0, e / F.abs("label"))) * 100, 4).alias("mape"))
             part = part.select(F.lit(year).alias("test_year"), "category", F.lit(name).alias("model"), "rmse", "mae", "mape")
