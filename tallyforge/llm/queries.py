@@ -99,7 +99,8 @@ def _located_sql(pattern: str, group: int, least: int) -> str:
 
 def _op2_sql() -> str:
     q = lambda p: p.replace("'", "''")
-    allow = q("|".join(f"(?:{p})" for p in secretscan.ALLOW))
+    words = r"^[A-Za-z]+([-_/+][A-Za-z]+)*[-_/+]?$"
+    allow = q("|".join(f"(?:{p})" for p in (words, *secretscan.ALLOW)))
     w, th = secretscan.WINDOW, secretscan.THRESHOLDS
     # entropy of a window, from plain counts
     entropy = f"list_entropy(string_split(substr(c.hit, i, {w}), ''))"
