@@ -8,6 +8,12 @@ within the frame's plain bytes), which the index table holds for each record.
 Dedup. Payload digests are SHA-1 in base32. Of equal payloads the row with the smallest id is the response, the
 others are revisit records without a payload that name it.
 
+Record ids. A response that is the only row of its id and payload is `urn:page:ID:DIGEST`, so a revisit can name it without a look at
+other bundles. All other records have the place in their bundle behind that, which is unique as well.
+
+Reading back. Each bundle is a task of its own. Digest and size of a response are computed from the block that was read and compared
+with its header; a frame's checksum, a digest or a length that differs stops the job. A revisit has no block: its fields are the header's.
+
 Scale. Ids by digest are aggregated with map-side combine; the join back to the pages is a plain equi-join, so
 a payload that a third of all pages share is split by adaptive execution. Each task writes bundles of its own,
 named by a fresh random id, and returns their index rows; only the index rows of finished tasks are committed,
@@ -17,6 +23,7 @@ so files of failed or repeated attempts are never looked at.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import struct
 import uuid
@@ -117,17 +124,42 @@ def _clean(value: str) -> str:
     return value.replace("\r", " ").replace("\n", " ")
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def base32(digest: bytes) -> str:
+    return base64.b32encode(digest).decode()
+
+
+def record_name(page_id: int | None, digest: str, place: str = "") -> str:
+    """Record id without brackets: page, payload digest and, where these two may occur again, the place."""
+    return f"urn:page:{'' if page_id is None else page_id}:{digest}" + (f":{place}" if place else "")
+
+
+def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None, place: str = "") -> bytes:
     """One WARC record. A revisit has no block; its payload's length is in WARC-Payload-Length."""
     body = payload if kind == "response" else b""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}")
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", _clean(url or "")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Payload-Length", str(len(payload))), ("Page-Id", "" if page_id is None else str(page_id))]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_name(page_id, digest, place)}>"), ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", _clean(url or "")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Payload-Length", str(len(payload))), ("Page-Id", "" if page_id is None else str(page_id))]
     if kind == "revisit":
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>"), ("Refers-To-Page", str(refers_to))]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{record_name(refers_to, digest)}>")]
     head += [("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(body)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
+def referred_page(head: dict[str, str]) -> int | None:
+    """The page that a revisit's WARC-Refers-To names."""
+    name = head.get("WARC-Refers-To", "").strip("<>").split(":")
+    return int(name[2]) if len(name) > 2 and name[2] else None
+
+
+def payload_fields(head: dict[str, str], block: bytes) -> tuple[int, str]:
+    """Length and digest of a record's payload: computed from a response's block, and a revisit's own words. Raises where block and header differ."""
+    stated = int(head["WARC-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:")
+    if head["WARC-Type"] != "response":
+        return stated
+    found = len(block), base32(hashlib.sha1(block).digest())
+    if found != stated:
+        raise ValueError(f"the payload of record {head['WARC-Record-ID']} is not what its header says: {found} for {stated}")
+    return found
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Header fields, block and end of the record that begins at `at`."""
     stop = data.index(b"\r\n\r\n", at)
@@ -144,17 +176,22 @@ def record_length(data: bytes, at: int) -> int:
 
 
 def plan_records(pages: DataFrame, *, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (null: empty), sha1 (hex), record_type, refers_to.
+    """page_id, url, payload (null: empty), sha1 (hex), record_type, refers_to, alone (no other response has this id and payload).
 
     Of equal payloads of min_bytes or more the smallest id is the response (all rows that have it, if it repeats; all rows, if no
-    row has an id); the others are revisits. Smaller payloads are all responses.
+    row has an id); the others are revisits. Smaller payloads are all responses. Where the smallest id repeats, what revisits name is the
+    common beginning of its responses' record ids.
     """
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")).withColumn("sha1", F.sha1("payload"))
     # only payloads that repeat are looked up, in a table of its own, so that a payload of very many pages is split in the join
-    first = materialise(p.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("c")).where("c > 1").select(F.col("sha1").alias("sha1_"), "first_id"), "digests")
+    counts = p.groupBy("sha1", "page_id").agg(F.count("*").alias("n")).groupBy("sha1")
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "n")))
+    first = materialise(counts.agg(least.alias("least"), F.sum("n").alias("c")).where("c > 1").select(F.col("sha1").alias("sha1_"), F.col("least.page_id").alias("first_id"), F.col("least.n").alias("first_n")), "digests")
     joined = p.join(first, p.sha1 == first.sha1_, "left")
-    revisit = (F.octet_length("payload") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", "payload", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"))
+    large = F.octet_length("payload") >= min_bytes
+    revisit = large & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    alone = F.col("sha1_").isNull() | F.coalesce(large & (F.col("first_n") == 1), F.lit(False))
+    return joined.select("page_id", "url", "payload", "sha1", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first_id")).alias("refers_to"), (~revisit & alone).alias("alone"))
 
 
 def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = 1 << 18, bundle_bytes: int = 1 << 27) -> DataFrame:
@@ -163,7 +200,7 @@ def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = 1 << 18
     spark = records.sparkSession
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, name = None, ""
+        writer, name, written = None, "", 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 rows = []
@@ -171,8 +208,9 @@ def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = 1 << 18
                     if writer is None:
                         name = f"{folder}/bundles/{uuid.uuid4().hex}.warc.zst"
                         writer = BundleWriter(open_file(name, "wb"), frame_bytes)
-                    digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
-                    record = make_record(r["page_id"], r["url"], r["payload"].encode("utf-8", "surrogatepass"), digest, r["record_type"], r["refers_to"])
+                    place = "" if r["alone"] else f"{os.path.basename(name)[:32]}-{written}"
+                    written += 1
+                    record = make_record(r["page_id"], r["url"], r["payload"].encode("utf-8", "surrogatepass"), base32(bytes.fromhex(r["sha1"])), r["record_type"], r["refers_to"], place)
                     frame, offset = writer.add(record)
                     rows.append((r["page_id"], name, frame, offset, len(record)))
                     if writer.size > bundle_bytes:
@@ -192,7 +230,6 @@ def read_bundles(index: DataFrame) -> DataFrame:
     fields = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.string())]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda s: int(s) if s else None
         for batch in batches:
             for bundle in batch.column(0).to_pylist():
                 reader = BundleReader(bundle)
@@ -201,12 +238,13 @@ def read_bundles(index: DataFrame) -> DataFrame:
                     while at < len(data):
                         head, block, at = parse_record(data, at)
                         answer = head["WARC-Type"] == "response"
-                        rows.append((number(head["Page-Id"]), int(head["WARC-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], number(head.get("Refers-To-Page")), block.decode("utf-8", "replace") if answer else None))
+                        rows.append((int(head["Page-Id"]) if head["Page-Id"] else None, *payload_fields(head, block), head["WARC-Type"], referred_page(head), block.decode("utf-8", "replace") if answer else None))
                     yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, (_, t) in enumerate(fields)], names=[k for k, _ in fields])
                 reader.close()
 
     bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
+    dealt = bundles.repartition(max(1, bundles.count()))  # by number, so that adaptive execution doesn't put bundles together again
+    return dealt.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string")
 
 
 def archive(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
@@ -217,15 +255,20 @@ def archive(pages: DataFrame, folder: str | None = None, **options) -> DataFrame
 
 
 def fetch(spark: SparkSession, index: DataFrame, ids: Column) -> DataFrame:
-    """page_id and raw record of the index rows that satisfy `ids`, opening only their frames."""
+    """page_id and raw record of the index rows that satisfy `ids`. A bundle's seek table is read once, and only their frames are opened."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, reader, at, data = None, None, -1, b""
         for batch in batches:
-            rows = batch.to_pylist()
-            for r in rows:
-                reader = BundleReader(r["bundle"])
-                data = reader.record(r["frame"], r["offset"])
-                reader.close()
-                yield pa.RecordBatch.from_arrays([pa.array([r["page_id"]], pa.int64()), pa.array([data], pa.binary())], names=["page_id", "record"])
-
-    return index.where(ids).mapInArrow(read, "page_id long, record binary")
+            for r in batch.to_pylist():
+                if r["bundle"] != name:
+                    if reader:
+                        reader.close()
+                    name, reader, at = r["bundle"], BundleReader(r["bundle"]), -1
+                if r["frame"] != at:
+                    at, data = r["frame"], reader.frame(r["frame"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["page_id"]], pa.int64()), pa.array([data[r["offset"] : r["offset"] + r["length"]]], pa.binary())], names=["page_id", "record"])
+        if reader:
+            reader.close()
+
+    return index.where(ids).repartition("bundle").sortWithinPartitions("bundle", "frame", "offset").mapInArrow(read, "page_id long, record binary")

@@ -239,12 +239,46 @@ def test_warc_round_trip(spark, tmp_path):
         raw = open(r.bundle, "rb").read()
         with zstd.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as s:
             assert s.read().count(b"WARC/1.1\r\nWARC-Type") >= 1
+    heads = [warc.parse_record(bytes(r.record))[0] for r in warc.fetch(spark, index, F.lit(True)).collect()]
+    names = [h["WARC-Record-ID"] for h in heads]
+    assert len(set(names)) == len(names) == len(rows)  # rows that repeat and rows without id have ids of their own
+    answers = [h["WARC-Record-ID"].strip("<>") for h in heads if h["WARC-Type"] == "response"]
+    assert all(any(a.startswith(h["WARC-Refers-To"].strip("<>")) for a in answers) for h in heads if h["WARC-Type"] == "revisit")
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_bundles(warc.archive(none, str(tmp_path / "e"))).collect() == []
     small = warc.plan_records(pages, min_bytes=100).where("record_type = 'revisit'")
     assert small.isEmpty()
 
 
+def test_warc_refuses_changed_payloads(spark, tmp_path):
+    import numpy as np
+
+    text = "".join(map(chr, np.random.default_rng(1).integers(97, 123, 3000)))
+    pages = spark.createDataFrame([(i, "u", text + str(i)) for i in range(4)], "page_id long, url string, html string").coalesce(1)
+    index = warc.archive(pages, str(tmp_path / "w"))
+    path = index.first().bundle
+    raw = open(path, "rb").read()
+    reader = warc.BundleReader(path)
+    data = reader.frame(0)
+    reader.close()
+    head, block, _ = warc.parse_record(data)
+    assert warc.payload_fields(head, block) == (3001, head["WARC-Payload-Digest"].removeprefix("sha1:"))
+    with pytest.raises(ValueError):
+        warc.payload_fields(head, block[:-1] + b"?")
+    # one payload byte changed, with a frame that is sound in itself
+    at = data.index(b"\r\n\r\n") + 10
+    with open(path, "wb") as out:
+        writer = warc.BundleWriter(out)
+        writer.add(data[:at] + b"?" + data[at + 1 :])
+        writer.close()
+    with pytest.raises(Exception, match="is not what its header says"):
+        warc.read_bundles(index).collect()
+    # one byte of the frame changed
+    open(path, "wb").write(raw[:200] + bytes([raw[200] ^ 1]) + raw[201:])
+    with pytest.raises(Exception, match="ZstdError"):
+        warc.read_bundles(index).collect()
+
+
 # --- pipeline -------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, sf_dir):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
