@@ -67,10 +67,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return w
 
 
-def fit_quality(labelled: DataFrame, *, text_col: str = "text", label_col: str = "label", order_col: str = "doc_id", sample_per_class: int = 1500, sample_chars: int = 40_000, dict_bytes: int = 112_640) -> QualityModel:
+def fit_quality(labelled: DataFrame, share: float | None = None, *, text_col: str = "text", label_col: str = "label", order_col: str = "doc_id", sample_per_class: int = 1500, sample_chars: int = 40_000, dict_bytes: int = 112_640) -> QualityModel:
     """Fit on a bounded sample of labelled rows (label 1 good, 0 bad; others and null texts are left out).
 
     Bound: sample_per_class rows a class, each of at most sample_chars characters (longer rows are not drawn).
+    share: part of good rows among all labelled ones, by default counted over the rows given. The sample has about as many rows of either
+    class, whatever their shares; the intercept is moved from the sample's odds to those of all, so scores mean the same at every size.
     With a class missing, the model knows no difference and scores the share of good rows.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(order_col).cast("string")).alias("h"), F.col(order_col).alias("o")).where(F.col("text").isNotNull() & (F.length("text") <= sample_chars))
@@ -78,8 +80,8 @@ def fit_quality(labelled: DataFrame, *, text_col: str = "text", label_col: str =
     for label in (0, 1):
         got = rows.where(F.col("label") == label).orderBy("h", "o", "text").limit(sample_per_class).collect()
         classes[label] = [r.text.encode() for r in got]
+    share = good_share(labelled, label_col) if share is None else min(max(share, 1e-6), 1 - 1e-6)
     half = {k: (v[::2], v[1::2]) for k, v in classes.items()}
-    share = rows_share(classes)
     if min(len(v) for v in classes.values()) < 8:
         return QualityModel(b"", b"", np.array([np.log(share / (1 - share))]), np.zeros(0), np.ones(0))
     dicts = {k: _dictionary(v[0], dict_bytes) for k, v in half.items()}
@@ -89,11 +91,15 @@ def fit_quality(labelled: DataFrame, *, text_col: str = "text", label_col: str =
     y = np.concatenate([np.zeros(len(half[0][1])), np.ones(len(half[1][1]))])
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = _logistic((x - model.mean) / model.scale, y)
+    model.weights[0] += np.log(share / (1 - share)) - np.log(y.sum() / (len(y) - y.sum()))
     return model
 
 
-def rows_share(classes: dict[int, list]) -> float:
-    return (len(classes[1]) + 1) / (len(classes[0]) + len(classes[1]) + 2)
+def good_share(labelled: DataFrame, label_col: str = "label") -> float:
+    """Part of good rows among all labelled ones, smoothed by one of each class."""
+    label = F.col(label_col).cast("int")
+    r = labelled.agg(F.count(F.when(label == 1, 1)).alias("good"), F.count(F.when(label == 0, 1)).alias("bad")).first()
+    return (r.good + 1) / (r.good + r.bad + 2)
 
 
 def _dictionary(texts: list[bytes], size: int) -> bytes:
