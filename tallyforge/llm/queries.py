@@ -29,7 +29,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the sample's ids are chosen from the labels alone, so only its texts are looked up
     size = 1500
     ids = [labels.where(F.col("label") == k).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(2 * size) for k in (0, 1)]
-    model = quality.fit_quality(docs.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id"), sample_per_class=size)
+    model = quality.fit_quality(docs.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id"), quality.good_share(labels), sample_per_class=size)
     return quality.score_quality(docs, model).select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -69,7 +69,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = classlm.score_texts(table(spark, sf_dir, "documents"), crc_mod(10) != 0)
-    return scored.select("doc_id", held_out(10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held_out(10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

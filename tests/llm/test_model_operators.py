@@ -137,7 +137,8 @@ def test_class_lm(spark, sf_dir):
 
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{sf_dir}/documents.parquet'").fetchall() + [(-1, None), (-2, ""), (-2, ""), (-3, "unseen " * 9000), (None, "the the")]
     learn = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
-    scored = classlm.score_texts(docs(spark, rows), learn, list_words=50, top_words=20, classes=6, bucket_words=500).collect()
+    model = classlm.fit_classes(docs(spark, rows), learn, list_words=50, top_words=20, classes=6)
+    scored = classlm.score_texts(docs(spark, rows), learn, model, bucket_words=500).collect()
     tokens = [(d, [*SPACE.findall((t or "").translate(LOW)), None]) for d, t in rows]
     train = [d is not None and crc(d, 10) != 0 for d, _ in rows]
     count = collections.Counter(w for (_, ws), ok in zip(tokens, train, strict=True) if ok for w in ws)
@@ -146,6 +147,38 @@ def test_class_lm(spark, sf_dir):
     want = sorted((repr(d), len(ws), sum(count[w] > 0 for w in ws), round(base(ws), 4)) for d, ws in tokens)
     assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 4)) for r in scored) == want
     assert {r.train_tokens for r in scored} == {total}
+    # the score by the definition: class transitions (from an end) and emissions, with the model's word classes only
+    def classes_of(ws):
+        import pyarrow as pa
+
+        from tallyforge.llm.kernel import text_steps
+
+        if len(ws) == 1:
+            return [6]
+        kinds = [model.typer.sequence(step, 6)[0].tolist() for step in text_steps(pa.array([" ".join(ws[:-1])]))]
+        return kinds[0]
+
+    of = {d_ws[0]: classes_of(d_ws[1]) for d_ws in ((i, ws) for i, (_, ws) in enumerate(tokens))}
+    steps, within, kinds_of_class = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for i, (_, ws) in enumerate(tokens):
+        if train[i]:
+            steps.update(zip([6, *of[i][:-1]], of[i], strict=True))
+            within.update(of[i])
+            for w, k in zip(ws, of[i], strict=True):
+                kinds_of_class[k].add(w)
+    leaving = collections.Counter()
+    for (a, _), n in steps.items():
+        leaving[a] += n
+
+    def log_probability(i):
+        out = 0.0
+        for w, a, b in zip(tokens[i][1], [6, *of[i][:-1]], of[i], strict=True):
+            out += math.log10((steps[a, b] + 0.5) / (leaving[a] + 0.5 * 7))
+            out += math.log10((count[w] + 0.1) / (within[b] + 0.1 * (len(kinds_of_class[b]) + 1)))
+        return out
+
+    assert sorted((repr(d), round(log_probability(i), 3)) for i, (d, _) in enumerate(tokens)) == sorted((repr(r.doc_id), round(r.score, 3)) for r in scored)
+    assert all(math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens), rel_tol=1e-9) for r in scored)
     held = [r for r in scored if r.doc_id is not None and r.doc_id >= 0 and crc(r.doc_id, 10) == 0]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert classlm.score_texts(docs(spark, []), learn).collect() == []
@@ -163,6 +196,12 @@ def test_class_lm_is_a_distribution():
     table[8, :8] = table[:8, 8] = 3
     cls = classlm.exchange(table, 2)
     assert cls[8] == 2 and len(set(cls[:8])) == 2
+    # words with neighbours in known classes: 0 before 1 before 0, moved from the wrong class
+    grid = np.array([[0, 90, 5], [90, 0, 5], [5, 5, 0]])
+    right, left = np.array([[30, 0, 0], [0, 30, 0]]), np.array([[30, 0, 0], [0, 30, 0]])
+    assert classlm.exchange_by_neighbours(grid, np.array([1, 0]), right, left, np.zeros(2)).tolist() == [1, 0]
+    wrong = np.array([[0, 30, 5], [30, 60, 5], [5, 5, 0]])  # the first word counted in class 0's place
+    assert classlm.exchange_by_neighbours(wrong, np.array([1]), np.array([[0, 30, 0]]), np.array([[0, 30, 0]]), np.zeros(1)).tolist() == [0]
 
 
 # --- classifiers ----------------------------------------------------------------------------------------
@@ -174,6 +213,19 @@ def test_quality(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def test_quality_is_calibrated(spark):
+    """The mean score is the share of good rows, whether the sample has that share or not."""
+    sf = "/root/testdata/sf0.1"
+    labelled = queries.table(spark, sf, "documents").select("doc_id", "text").join(queries.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    train, test = labelled.where(queries.crc_mod(5) != 0), labelled.where(queries.crc_mod(5) == 0)
+    for some, size in ((train, 1500), (train, 400), (train.where("label = 0 OR doc_id % 4 = 0"), 400)):
+        model = quality.fit_quality(some, sample_per_class=size)
+        keep = test if some is train else test.where("label = 0 OR doc_id % 4 = 0")
+        share = keep.agg(F.avg("label")).first()[0]
+        mean = quality.score_quality(keep, model).agg(F.avg("score")).first()[0]
+        assert abs(mean - share) < 0.02, (size, mean, share)
+
+
 def test_quality_edges(spark):
     few = docs(spark, [(1, "good text"), (2, None)]).withColumn("label", F.lit(1))
     model = quality.fit_quality(few)
