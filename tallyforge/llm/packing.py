@@ -2,10 +2,11 @@
 
 Method. Texts longer than the context are cut into pieces of at most `max_tokens` tokens. A global histogram of piece lengths has one row for
 each length, max_tokens at most. Dynamic programming over it chooses `buckets` boundaries so that padding every piece up to its bucket's boundary costs the
-fewest tokens. In each bucket batches of token_budget // boundary pieces form in the order of a hash of document id and text.
+fewest tokens. In each bucket batches of token_budget // boundary pieces form in the order of a digest of document id, piece and text.
 
 Scale. The histogram is an aggregation with map-side combine. Batch numbers are global places in a bucket without a global sort: pieces are
-dealt to slices by that hash, slices have `slice_rows` rows or so, and a prefix sum over the small table of slice sizes gives each slice its first place.
+dealt to slices by that digest, slices have `slice_rows` rows or so, and a prefix sum over the small table of slice sizes gives each slice its first place.
+Rows that repeat (also without id) are counted map-side, take one row of a slice together, and are written out `COPIES` at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import Window as W
 
 from .scratch import materialise
 
+COPIES = 10_000
+
 
 def choose_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Boundaries (ascending, the last is the largest length) that minimise the padding; of equal ones the smallest boundaries, from the last bucket down.
@@ -61,11 +64,11 @@ def pack(docs: DataFrame, n_tokens: Column | None = None, *, id_col: str = "doc_
     Equal pieces (same id and text) may swap places, which does not show. An empty table gives no rows.
     """
     count = F.coalesce(n_tokens if n_tokens is not None else word_count(F.col(text_col)), F.lit(0)).cast("long")
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), count.alias("tokens"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))
-    whole = materialise(whole, "lengths")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), count.alias("tokens"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("mark"))
+    whole = materialise(whole.groupBy("doc_id", "tokens", "mark").agg(F.count("*").alias("copies")), "lengths")
     pieces = whole.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("tokens") / max_tokens) - 1, F.lit(0))))).withColumn("start", F.col("piece") * max_tokens)
-    pieces = pieces.select("doc_id", "mark", F.col("piece").cast("int").alias("piece"), "start", F.least(F.col("tokens") - F.col("start"), F.lit(max_tokens)).cast("int").alias("n_tokens"))
-    histogram = pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).toPandas()
+    pieces = pieces.select("doc_id", "mark", "copies", F.col("piece").cast("int").alias("piece"), "start", F.least(F.col("tokens") - F.col("start"), F.lit(max_tokens)).cast("int").alias("n_tokens"))
+    histogram = pieces.groupBy("n_tokens").agg(F.sum("copies").alias("n")).toPandas()
     if not len(histogram):
         return pieces.select("doc_id", "piece", "start", "n_tokens", F.lit(0).alias("bucket"), F.lit(0).alias("bucket_tokens"), F.lit(0).cast("long").alias("batch_id"), F.lit(0).alias("slot"))
     lengths, counts = histogram["n_tokens"].to_numpy(), histogram["n"].to_numpy()
@@ -75,11 +78,15 @@ def pack(docs: DataFrame, n_tokens: Column | None = None, *, id_col: str = "doc_
     edges, slices = F.array(*map(F.lit, bounds)), F.array(*[F.lit(max(1, -(-h // slice_rows))) for h in held])
     per_batch = F.array(*[F.lit(max(1, token_budget // max(1, b))) for b in bounds])
     bucket = F.size(F.filter(edges, lambda e: e < F.col("n_tokens")))
-    # the hash is uniform over 32 bits, so equal parts of its range are slices of about equal size, in order
-    dealt = pieces.withColumn("bucket", bucket).withColumn("h", F.crc32(F.concat_ws(":", F.col("doc_id").cast("string"), "piece", "mark"))).withColumn("part", F.floor(F.col("h") * F.element_at(slices, F.col("bucket") + 1) / 4294967296).cast("int"))
-    sizes = dealt.groupBy("bucket", "part").agg(F.count("*").alias("rows"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("rows").over(W.partitionBy("bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("bucket", "part", "before")
-    place = F.row_number().over(W.partitionBy("bucket", "part").orderBy("h", "doc_id", "piece", "mark")) - 1
-    placed = dealt.withColumn("here", place).join(before, ["bucket", "part"]).withColumn("at", F.col("before") + F.col("here"))
+    # the first 32 bits of the digest are uniform, so equal parts of their range are slices of about equal size, in order
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece", "mark"))
+    dealt = pieces.withColumn("bucket", bucket).withColumn("h", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")).withColumn("part", F.floor(F.col("h") * F.element_at(slices, F.col("bucket") + 1) / 4294967296).cast("int"))
+    earlier = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    sizes = dealt.groupBy("bucket", "part").agg(F.sum("copies").alias("rows"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("rows").over(earlier(W.partitionBy("bucket").orderBy("part"))), F.lit(0))).select("bucket", "part", "before")
+    here = F.coalesce(F.sum("copies").over(earlier(W.partitionBy("bucket", "part").orderBy("h", "doc_id", "piece", "mark"))), F.lit(0))
+    placed = dealt.withColumn("here", here).join(before, ["bucket", "part"]).withColumn("first", F.col("before") + F.col("here"))
+    some = placed.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    each = some.withColumn("at", F.explode(F.sequence(F.col("first") + F.col("lo"), F.col("first") + F.least(F.col("lo") + COPIES, F.col("copies")) - 1)))
     capacity = F.element_at(per_batch, F.col("bucket") + 1)
-    return placed.select("doc_id", "piece", "start", "n_tokens", "bucket", F.element_at(edges, F.col("bucket") + 1).alias("bucket_tokens"), F.floor(F.col("at") / capacity).cast("long").alias("batch_id"), (F.col("at") % capacity).cast("int").alias("slot"))
+    return each.select("doc_id", "piece", "start", "n_tokens", "bucket", F.element_at(edges, F.col("bucket") + 1).alias("bucket_tokens"), F.floor(F.col("at") / capacity).cast("long").alias("batch_id"), (F.col("at") % capacity).cast("int").alias("slot"))
