@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernel import Step, grams, text_steps
-from .scratch import materialise, small_batches
+from .scratch import materialise, passing, small_batches
 
 
 def shingles(step: Step, k: int) -> Iterator[np.ndarray]:
@@ -161,16 +161,23 @@ def linked_pairs(sets: list[np.ndarray], labels: list[int], visitor: np.ndarray
     return out
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, common: int = 500_000, block_tokens: int = 500_000, bucket_tokens: int = 1_000_000) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, common: int = 500_000, block_tokens: int = 500_000, bucket_tokens: int = 1_000_000, mark: Column | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the smallest doc_id reachable over links den * |A & B| >= num * |A | B|.
 
     Words are lower-cased (A-Z) runs without ASCII white space; sets hold k-word shingles, or all words as one if there are fewer.
     Null texts and texts without words have no shingles and link with nothing: they get their own id. Rows that repeat
-    are copies of each other. A null id never names a component unless all its ids are null.
+    are copies of each other. A null id never names a component unless all its ids are null. Ids that repeat with different texts can name two components.
+    mark: what tells a row besides its id. It is returned, with group: a number of the component that is not shared (null without shingles).
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    with passing(spark) as keep:
+        out = _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(None) if mark is None else mark).cast("string").alias("mark")), k, num, den, common, block_tokens, bucket_tokens, keep)
+    return out if mark is not None else out.select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(marked: DataFrame, k: int, num: int, den: int, common: int, block_tokens: int, bucket_tokens: int, keep: list[DataFrame]) -> DataFrame:
+    spark, rows = marked.sparkSession, marked.select("doc_id", "text")
     often = spark.sparkContext.broadcast(common_shingles(rows, k, common))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,17 +196,19 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                         rank = np.where(hot[i] == s, count[i], 0)
                         s = s[np.argsort(rank, kind="stable")] if rank.any() else s
                     prefixes.append(s[: n - -(-n * num // den) + 1].view(np.int64) if n else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(step.lo, step.hi - step.lo).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids.slice(step.lo, step.hi - step.lo).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), batch.column(2).slice(step.lo, step.hi - step.lo)], names=["doc_id", "key", "n", "prefix", "mark"])
 
-    described = materialise(rows.mapInArrow(describe, "doc_id long, key binary, n long, prefix array<long>"), "shingles")
+    described = materialise(marked.mapInArrow(describe, "doc_id long, key binary, n long, prefix array<long>, mark string"), "shingles")
     classes = described.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("rid"), "key", "doc", "n", "prefix"), "classes")
     edges = _links(rows, classes, k, num, den, block_tokens, bucket_tokens)
     parts = connected_components(edges)
     labelled = classes.join(parts, classes.rid == parts.node, "left").select("key", "doc", F.coalesce("component", "rid").alias("label"))
     least = materialise(labelled.groupBy("label").agg(F.min("doc").alias("component_id")), "least")
-    by_key = labelled.join(least, "label").select("key", "component_id")
-    return described.select("doc_id", "key", "n").join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_key = materialise(labelled.join(least, "label").select("key", "component_id", "label"), "by-key")
+    keep += [described, by_key]
+    joined = described.select("doc_id", "key", "n", "mark").join(by_key, "key", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "mark", F.col("label").alias("group"))
 
 
 def _links(rows: DataFrame, classes: DataFrame, k: int, num: int, den: int, block_tokens: int, bucket_tokens: int) -> DataFrame:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Tables written within each open passing(), innermost last: path to table.
+_open: list[dict[str, DataFrame]] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share: executors can't read each other's disks")
         app = spark.sparkContext.applicationId
         root = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tallyforge-"))
     return root.rstrip("/")
@@ -39,7 +46,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1][path] = out
+    return out
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables materialised inside are deleted at the end, except those put on the list that this gives.
+
+    What is kept counts for the passing() around this one, if there is one. After an error all of them go.
+    """
+    keep: list[DataFrame] = []
+    _open.append({})
+    done = False
+    try:
+        yield keep
+        done = True
+    finally:
+        for path, table in _open.pop().items():
+            if not (done and any(table is k for k in keep)):
+                drop(spark, path)
+            elif _open:
+                _open[-1][path] = table
 
 
 def drop(spark: SparkSession, path: str) -> None:
