@@ -126,6 +126,33 @@ SELECT doc_id, len(a) AS n_assign, len(k) AS n_access, len(h) AS n_hex, sha256(c
 FROM m LEFT JOIN s USING (r)"""
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op4_sql(max_tokens: int = 2048, buckets: int = 8, token_budget: int = 16_384) -> str:
+    """The bucket bounds by dynamic programming, one common table for each bucket; for more lengths than buckets."""
+    levels = ["b1 AS (SELECT j, x * t - m AS cost, 0 AS i FROM l WHERE j > 0)"]
+    for k in range(2, buckets + 1):
+        # cost and the earlier bound in one number: the least cost, then the smallest bound
+        levels.append(f"""b{k} AS (SELECT j, v // 100000 AS cost, v % 100000 AS i FROM (
+  SELECT l.j, min((b.cost + l.x * (l.t - a.t) - (l.m - a.m)) * 100000 + a.j) AS v FROM l JOIN l a ON a.j < l.j JOIN b{k - 1} b ON b.j = a.j GROUP BY l.j))""")
+    ends = [f"e{buckets} AS (SELECT max(j) AS j FROM l)"]
+    ends += [f"e{k} AS (SELECT i AS j FROM b{k + 1} JOIN e{k + 1} USING (j))" for k in range(buckets - 1, 0, -1)]
+    every = " UNION ALL ".join(f"SELECT j FROM e{k}" for k in range(1, buckets + 1))
+    return rf"""
+WITH d AS (SELECT doc_id, md5(coalesce(text, '')) AS mark, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM documents),
+p AS (SELECT doc_id, mark, piece, piece * {max_tokens} AS start, least(tokens - piece * {max_tokens}, {max_tokens}) AS n_tokens
+  FROM (SELECT *, unnest(range(0, greatest((tokens + {max_tokens - 1}) // {max_tokens}, 1))) AS piece FROM d)),
+h AS (SELECT n_tokens AS x, CAST(count(*) AS HUGEINT) AS c FROM p GROUP BY x),
+l AS (SELECT row_number() OVER (ORDER BY x) AS j, x, sum(c) OVER (ORDER BY x) AS t, sum(c * x) OVER (ORDER BY x) AS m FROM h UNION ALL SELECT 0, 0, 0, 0),
+{", ".join(levels)}, {", ".join(ends)},
+bound AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS bucket FROM l WHERE j IN ({every})),
+o AS (SELECT *, md5(concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), piece, mark)) AS digest, (SELECT min(x) FROM bound WHERE x >= n_tokens) AS x FROM p),
+a AS (SELECT o.*, bucket, row_number() OVER (PARTITION BY bucket ORDER BY substr(digest, 1, 8), doc_id NULLS FIRST, piece, mark) - 1 AS place, greatest({token_budget} // greatest(o.x, 1), 1) AS capacity FROM o JOIN bound USING (x))
+SELECT doc_id, CAST(piece AS INT) AS piece, CAST(start AS BIGINT) AS start, CAST(n_tokens AS INT) AS n_tokens, CAST(bucket AS INT) AS bucket, CAST(x AS INT) AS bucket_tokens,
+  CAST(place // capacity AS BIGINT) AS batch_id, CAST(place % capacity AS INT) AS slot FROM a"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": _op2_sql(),
     "op3_benchmark_decontamination": r"""
@@ -149,6 +176,16 @@ it AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)""",
+    "op4_length_packing": _op4_sql(),
+    "op7_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN n USING (r) JOIN (SELECT x AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = y GROUP BY x) m USING (r)""",
     "op6_topk_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings

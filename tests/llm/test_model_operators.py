@@ -366,6 +366,48 @@ def test_pipeline_stages(spark, sf_dir):
         now = out
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, sf_dir):
+    """Ids that repeat with other texts, rows without id, rows that repeat and texts without words, against all pairs."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=6))
+    texts = [" ".join(word() for _ in range(120)) for _ in range(6)]
+    near = lambda t: t.replace(t.split()[0], "other", 1)
+    rows = [(1, texts[0]), (1, texts[1]), (2, near(texts[0])), (2, texts[2]), (3, near(texts[1])), (None, texts[0]), (None, texts[3]), (None, near(texts[3])), (None, texts[3]), (7, texts[4]), (7, texts[4]), (8, ""), (8, ""), (None, " "), (9, None), (5, texts[5]), (4, near(texts[5]))]
+    table = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    got = corpus_pipeline.near_duplicates(spark, table, sf_dir).collect()
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.translate(LOW).split()] for i in range(max(len(w) - 4, 1))} if (t or "").split() else set()
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    want = [(d, t) for (d, t), s in zip(rows, sets, strict=True) if not s]
+    for x in sorted({x for x, s in zip(label, sets, strict=True) if s}):
+        group = [rows[i] for i in range(len(rows)) if label[i] == x]
+        want.append(min(group, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest())))
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text)) for r in got)
+
+
+def test_scratch_tables_of_finished_steps_are_deleted(spark):
+    import os
+
+    from tallyforge.llm import scratch
+
+    root = scratch.shared_root(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    rows = [(i, " ".join(f"w{j + i // 3}" for j in range(40))) for i in range(60)]
+    groups = jaccard.near_groups(docs(spark, rows), k=3, num=90)
+    left = {x.split("-")[0] for x in set(os.listdir(root)) - before}
+    assert left == {"shingles", "by"}
+    assert groups.count() == 60
+    with pytest.raises(ZeroDivisionError), scratch.passing(spark):
+        scratch.materialise(docs(spark, rows), "failed")
+        raise ZeroDivisionError
+    assert not [x for x in os.listdir(root) if x.startswith("failed")]
+
+
 def test_pipeline_redacts_all_of_joined_secrets(spark, sf_dir):
     """A second secret in the same run of characters goes too; a placeholder word hides no key beside it."""
     key = "wJ4lrXUtnFEMIK7MDENGbPxRfiCYq9T8zQ2vL6sB"
