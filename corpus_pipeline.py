@@ -6,7 +6,7 @@ columns of documents. run() writes each stage's result to the shared folder and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import decontam, jaccard, langid, packing, secretscan
@@ -27,14 +27,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8 or more).
+    """Keep one row of each group of near copies (five-word shingles, similarity 0.8 or more): that with the smallest id, then digest of its text.
 
-    Documents without words are no one's copies; rows without id can't be named and stay; of rows that repeat one stays.
+    Rows are told by id and text, so an id that repeats with another text is judged by that text; rows without id come last in their group.
+    Of rows that repeat one stays. Documents without words are no one's copies: all of them stay.
     """
-    groups = jaccard.near_groups(docs, k=5, num=80, den=100)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    groups = jaccard.near_groups(docs, k=5, num=80, den=100, mark=F.md5(F.col("text")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
+    kept = groups.where("n_shingles > 0").groupBy("group").agg(first.alias("x")).select(_row_key(F.col("x.doc_id"), F.col("x.mark")).alias("key"))
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # one shuffle of the texts: rows that repeat go before it as far as a task sees them, and the join finds its keys in place
+    rows = docs.where(worded).select(*COLUMNS, _row_key(F.col("doc_id"), F.md5("text")).alias("key")).dropDuplicates(["key"])
+    return rows.join(kept, "key", "left_semi").select(*COLUMNS).unionByName(docs.where(~worded).select(*COLUMNS))
+
+
+def _row_key(doc_id: Column, mark: Column) -> Column:
+    return F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), mark)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
