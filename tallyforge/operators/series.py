@@ -23,6 +23,11 @@ def collapse(df: DataFrame, key: list[str], order: str, *values: str, keep: tupl
     return df.groupBy(*key).agg(packed.alias("_p"), *[F.first(c).alias(c) for c in keep]).select(*key, *keep, *map(pick, (order, *values)))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once. A column that is used twice is an expression that stands, and runs, twice; a lambda's argument is a value."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def last(h: Column, back: int = 1) -> Column:
     """Element `back` from the end, null if there is none."""
     return F.try_element_at(h, F.lit(-back))
@@ -41,15 +46,13 @@ def mean(h: Column) -> Column:
 
 
 def median(h: Column) -> Column:
-    s = F.array_sort(h)
-    at = lambda i: F.try_element_at(s, i.cast("int"))
-    return (at(F.floor((F.size(h) + 1) / 2)) + at(F.floor(F.size(h) / 2) + 1)) / 2
+    at = lambda s, i: F.try_element_at(s, i.cast("int"))
+    return bound(F.array_sort(h), lambda s: (at(s, F.floor((F.size(s) + 1) / 2)) + at(s, F.floor(F.size(s) / 2) + 1)) / 2)
 
 
 def stddev(h: Column, ddof: int = 0) -> Column:
-    m = mean(h)
     n = F.size(h) - ddof
-    return F.when(n > 0, F.sqrt(total(F.transform(h, lambda x: (x - m) * (x - m))) / n))
+    return F.when(n > 0, F.sqrt(bound(mean(h), lambda m: total(F.transform(h, lambda x: (x - m) * (x - m)))) / n))
 
 
 def naive(h: Column) -> Column:
@@ -83,8 +86,7 @@ def log_trend(h: Column) -> Column:
 
 def weighted(h: Column, lam: float = 0.7) -> Column:
     n = F.size(h)
-    w = F.transform(h, lambda x, i: F.pow(F.lit(lam), (n - 1 - i).cast("double")))
-    return total(F.zip_with(h, w, lambda x, v: x * v)) / total(w)
+    return bound(F.transform(h, lambda x, i: F.pow(F.lit(lam), (n - 1 - i).cast("double"))), lambda w: total(F.zip_with(h, w, lambda x, v: x * v)) / total(w))
 
 
 def _level(h: Column, alpha: float) -> Column:
@@ -95,9 +97,9 @@ def _but_last(h: Column) -> Column:
     return F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(1)))
 
 
-def _least(options: list[Column]) -> Column:
-    """Forecast f of the option with the smallest error e; the first on ties."""
-    return F.array_min(F.array(*options))["f"]
+def _least(options: Column) -> Column:
+    """Forecast f of the option (e, i, f) with the smallest error e; the first on ties."""
+    return F.array_min(options)["f"]
 
 
 ALPHAS = [round(0.1 * i, 1) for i in range(1, 10)]
@@ -105,26 +107,42 @@ ALPHAS = [round(0.1 * i, 1) for i in range(1, 10)]
 
 def ses(h: Column) -> Column:
     """Exponential smoothing; alpha is the first of nine that misses the last value least. Below three values alpha is one half."""
-    options = [F.struct(F.pow(_level(_but_last(h), a) - last(h), F.lit(2.0)).alias("e"), F.lit(i).alias("i"), _level(h, a).alias("f")) for i, a in enumerate(ALPHAS)]
-    return F.when(F.size(h) < 3, _level(h, 0.5)).otherwise(_least(options))
+    alphas = F.array(*map(F.lit, ALPHAS))
+    up = lambda levels, x: F.zip_with(alphas, levels, lambda a, v: a * x + (1 - a) * v)
+    # all nine levels in one pass, up to the value before the last
+    before = F.aggregate(F.slice(h, 2, F.greatest(F.size(h) - 2, F.lit(0))), F.array_repeat(F.element_at(h, 1), len(ALPHAS)), up)
+    option = lambda a, v: F.struct(F.pow(v - last(h), F.lit(2.0)).alias("e"), a.alias("i"), (a * last(h) + (1 - a) * v).alias("f"))
+    return F.when(F.size(h) < 3, _level(h, 0.5)).otherwise(_least(F.zip_with(alphas, before, option)))
 
 
 DAMPED = [(a, b, p) for a in (0.3, 0.6, 0.9) for b in (0.1, 0.3, 0.6) for p in (0.7, 0.9, 0.98)]
 
 
-def _damped(h: Column, a: float, b: float, p: float) -> Column:
-    def step(s: Column, x: Column) -> Column:
-        level = a * x + (1 - a) * (s["l"] + p * s["t"])
-        return F.struct(level.alias("l"), (b * (level - s["l"]) + (1 - b) * p * s["t"]).alias("t"))
+_STATE = "struct<l:double,t:double>"
+
+
+def _start(h: Column) -> Column:
+    return F.struct(F.element_at(h, 1).alias("l"), (F.try_element_at(h, F.lit(2)) - F.element_at(h, 1)).alias("t"))
+
 
-    start = F.struct(F.element_at(h, 1).alias("l"), (F.try_element_at(h, F.lit(2)) - F.element_at(h, 1)).alias("t"))
-    return F.aggregate(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), start, step, lambda s: s["l"] + p * s["t"])
+def _step(s: Column, x: Column, a: Column | float, b: Column | float, p: Column | float) -> Column:
+    """Level and trend after the value x."""
+    return bound(a * x + (1 - a) * (s["l"] + p * s["t"]), lambda level: F.struct(level.alias("l"), (b * (level - s["l"]) + (1 - b) * p * s["t"]).alias("t"))).cast(_STATE)
 
 
 def damped(h: Column) -> Column:
     """Damped trend; its three factors are the first of 27 triples that miss the last value least. Fixed factors for three values, a line below."""
-    options = [F.struct(F.pow(_damped(_but_last(h), *x) - last(h), F.lit(2.0)).alias("e"), F.lit(i).alias("i"), _damped(h, *x).alias("f")) for i, x in enumerate(DAMPED)]
-    return F.when(F.size(h) < 3, trend(h)).when(F.size(h) == 3, _damped(h, 0.6, 0.3, 0.9)).otherwise(_least(options))
+    triples = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(p).alias("p")) for i, (a, b, p) in enumerate(DAMPED)])
+    step = lambda q, s, x: _step(s, x, q["a"], q["b"], q["p"])
+    # the states of all triples in one pass, up to the value before the last; one step more gives the forecast
+    states = F.aggregate(F.slice(h, 2, F.greatest(F.size(h) - 2, F.lit(0))), F.array_repeat(_start(h).cast(_STATE), len(DAMPED)), lambda states, x: F.zip_with(triples, states, lambda q, s: step(q, s, x)))
+
+    def option(q: Column, s: Column) -> Column:
+        error = F.pow(s["l"] + q["p"] * s["t"] - last(h), F.lit(2.0))
+        return bound(step(q, s, last(h)), lambda n: F.struct(error.alias("e"), q["i"].alias("i"), (n["l"] + q["p"] * n["t"]).alias("f")))
+
+    fixed = F.aggregate(F.slice(h, 2, F.greatest(F.size(h) - 1, F.lit(0))), _start(h).cast(_STATE), lambda s, x: _step(s, x, 0.6, 0.3, 0.9), lambda s: s["l"] + 0.9 * s["t"])
+    return F.when(F.size(h) < 3, trend(h)).when(F.size(h) == 3, fixed).otherwise(_least(F.zip_with(triples, states, option)))
 
 
 def theta(h: Column) -> Column:
@@ -133,12 +151,13 @@ def theta(h: Column) -> Column:
 
 def robust_mean(h: Column) -> Column:
     """Mean of the last three values without those more than three median deviations (at least one unit if that is 0) off their median."""
-    t = tail(h, 3)
-    m = median(t)
-    dev = median(F.transform(t, lambda x: F.abs(x - m)))
-    dev = F.when(dev == 0, F.lit(1.0)).otherwise(dev)
-    keep = F.filter(t, lambda x: F.abs(x - m) <= 3 * dev)
-    return F.when(F.size(keep) > 0, mean(keep)).otherwise(m)
+
+    def kept(t: Column, m: Column, dev: Column) -> Column:
+        near = F.filter(t, lambda x: F.abs(x - m) <= 3 * F.when(dev == 0, F.lit(1.0)).otherwise(dev))
+        return bound(near, lambda k: F.when(F.size(k) > 0, mean(k)).otherwise(m))
+
+    around = lambda t, m: bound(median(F.transform(t, lambda x: F.abs(x - m))), lambda dev: kept(t, m, dev))
+    return bound(tail(h, 3), lambda t: bound(median(t), lambda m: around(t, m)))
 
 
 #: Methods on one history alone.
@@ -170,15 +189,19 @@ def smape(actual: Column, predicted: Column) -> Column:
 def smart(h: Column, drift: Column, rate_based: Column) -> Column:
     """Median of drift, last value and rate-based forecast, wrapped: dead series stay dead, reviving ones are halved, breaks follow the last value."""
     candidates = F.filter(F.array(drift, last(h), rate_based), lambda x: x.isNotNull())
-    m = median(candidates)
     before = F.when(F.size(h) > 1, median(_but_last(h))).otherwise(last(h))
-    return (
-        F.when((last(h) == 0) & (F.coalesce(last(h, 2), F.lit(1.0)) == 0), F.lit(0.0))
-        .when(last(h) == 0, F.when(m > 0, 0.5 * m).otherwise(F.lit(0.0)))
-        .when((before > 0) & (last(h) / F.nullif(before, F.lit(0.0)) < 0.3), last(h))
-        .when((before > 0) & (last(h) / F.nullif(before, F.lit(0.0)) > 3.0), 0.7 * last(h) + 0.3 * before)
-        .otherwise(m)
-    )
+
+    def choice(v: Column) -> Column:
+        now, m, b = v["now"], v["m"], v["before"]
+        return (
+            F.when((now == 0) & (F.coalesce(last(h, 2), F.lit(1.0)) == 0), F.lit(0.0))
+            .when(now == 0, F.when(m > 0, 0.5 * m).otherwise(F.lit(0.0)))
+            .when((b > 0) & (now / F.nullif(b, F.lit(0.0)) < 0.3), now)
+            .when((b > 0) & (now / F.nullif(b, F.lit(0.0)) > 3.0), 0.7 * now + 0.3 * b)
+            .otherwise(m)
+        )
+
+    return bound(F.struct(last(h).alias("now"), median(candidates).alias("m"), before.alias("before")), choice)
 
 
 def recursive(h: Column, method: Callable[[Column], Column], horizon: int) -> Column:

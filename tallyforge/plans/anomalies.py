@@ -14,12 +14,12 @@ from ..operators.series import smape
 from ..sources.panels import TARGET, fine, movements, rate, table
 from .base_sql import FINE, MOVES, with_
 from .registry import query
-from .selection import BEST_SQL, best_method, walk_sql, walked
+from .selection import BEST_SQL, VALID, best_method, walk_sql, walked
 
 #: Row rules: name, severity, condition as SQL that both engines read, and the value reported.
 ROW_RULES = {
     "over_execution": ("medium", "ceiling > 0 AND committed > 1.10 * ceiling", "committed / nullif(ceiling, 0)"),
-    "negative_value": ("high", "committed < 0 OR opened < 0 OR ceiling < 0", "committed"),
+    "negative_value": ("high", "committed < 0 OR opened < 0", "committed"),
     "major_transfer": ("medium", "opened > 0 AND abs(transfer_in - transfer_out) / nullif(opened, 0) > 0.5", "(transfer_in - transfer_out) / nullif(opened, 0)"),
     "transfer_inflation": ("medium", "opened > 0 AND transfer_in > opened", "transfer_in / nullif(opened, 0)"),
     "transfer_churn": ("low", "opened > 0 AND transfer_in / nullif(opened, 0) > 0.30 AND transfer_out / nullif(opened, 0) > 0.30", "(transfer_in + transfer_out) / nullif(opened, 0)"),
@@ -77,21 +77,32 @@ def rule_high_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.where("n >= 3 AND m > 0 AND s / m > 0.5").select("series_key", F.lit("high_volatility").alias("rule"), "n", F.round(F.col("s") / F.col("m"), 6).alias("cv"))
 
 
-#: Words of summary lines (fixed values).
-KEYWORDS = ("total", "ring", "sum", "report")
+#: Words that mark a summary line (fixed values).
+KEYWORDS = ("total", "sous-total", "sous total", "s/total")
 
 
-@query(f"SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), '{'|'.join(KEYWORDS)}')")
+def summary_lines(df: DataFrame, label: str, keywords: tuple[str, ...] = KEYWORDS) -> DataFrame:
+    """Rows whose label holds one of the keywords, in any case."""
+    return df.where(F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(label), k)))
+
+
+#: Part names have none of the words above, so the query looks for one that they have besides.
+PART_KEYWORDS = (*KEYWORDS, "ring")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE " + " OR ".join(f"contains(lower(p_name), '{k}')" for k in PART_KEYWORDS))
 def rule_summary_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that hold a summary word."""
-    return table(spark, sf_dir, "part").where(F.lower("p_name").rlike("|".join(KEYWORDS))).select("p_partkey", "p_name")
+    return summary_lines(table(spark, sf_dir, "part"), "p_name", PART_KEYWORDS).select("p_partkey", "p_name")
 
 
 @query(f"SELECT p_brand || '-' || p_size AS key, count(DISTINCT {normal_label_sql('p_name')}) AS labels, array_to_string(list_sort(list(DISTINCT {normal_label_sql('p_name')}))[1:3], ' | ') AS examples FROM part GROUP BY 1 HAVING count(DISTINCT {normal_label_sql('p_name')}) > 1")
 def rule_identity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys with more than one normalised label, and the first three."""
     df = table(spark, sf_dir, "part").select(F.concat_ws("-", "p_brand", "p_size").alias("key"), normal_label(F.col("p_name")).alias("label")).distinct()
-    return df.groupBy("key").agg(F.count("*").alias("labels"), F.array_join(F.slice(F.array_sort(F.collect_list("label")), 1, 3), " | ").alias("examples")).where("labels > 1")
+    # the first three by a bounded window (a limit of its own before the shuffle), so no task holds all labels of a key
+    first = df.withColumn("i", F.row_number().over(W.partitionBy("key").orderBy("label"))).where("i <= 3").groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda x: x["label"]), " | ").alias("examples"))
+    return df.groupBy("key").agg(F.count("*").alias("labels")).where("labels > 1").join(first, "key")
 
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,11 +173,11 @@ SIGNALS = ("z", "jump", "residual")
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three signals of each row scaled to 0..1: z (rate against its series), jump (rate against the year before), residual (error of the last value)."""
-    w = W.partitionBy("series_key")
-    df = fine(spark, sf_dir).withColumns({"z": F.abs(F.try_divide(F.col("rate") - F.avg("rate").over(w), F.stddev_samp("rate").over(w))), "jump": F.abs(F.col("rate") - F.lag("rate").over(O.ordered(["series_key"], "year")))})
-    res = walked(spark, sf_dir).where("method = 'Naive'").select("series_key", "year", F.col("smape").alias("residual"))
-    df = df.select("series_key", "year", "z", "jump").join(res, ["series_key", "year"], "left").fillna(0.0, list(SIGNALS))
-    return O.minmax(df, {s: s for s in SIGNALS}).select("series_key", "year", *SIGNALS)
+    w, o = W.partitionBy("series_key"), O.ordered(["series_key"], "year")
+    known = F.col("year").isin(*VALID) & (F.row_number().over(o) > 2)  # a back-test year with two years or more before it
+    last = F.lag("committed").over(o)
+    df = fine(spark, sf_dir).select("series_key", "year", F.abs(F.try_divide(F.col("rate") - F.avg("rate").over(w), F.stddev_samp("rate").over(w))).alias("z"), F.abs(F.col("rate") - F.lag("rate").over(o)).alias("jump"), F.when(known, smape(F.col("committed"), last)).alias("residual"))
+    return O.minmax(df.fillna(0.0, list(SIGNALS)), {s: s for s in SIGNALS}).select("series_key", "year", *SIGNALS)
 
 
 @query(with_(FINE, walk_sql(), SCORE_SQL) + ", e AS (SELECT *, (z + jump + residual) / 3 AS score FROM sig), q AS (SELECT quantile_cont(score, 0.9) AS p FROM e) SELECT series_key, year, round(score, 6) AS score, score >= p AS top FROM e, q")
@@ -182,10 +193,9 @@ _TOP_SQL = f"cuts AS (SELECT {', '.join(f'quantile_cont({s}, 0.9) FILTER ({s} >
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which signals put a row into the top decile of their positive values."""
     df = signals(spark, sf_dir)
-    out = df
-    for s in SIGNALS:
-        out = out.crossJoin(F.broadcast(O.quantiles(df.where(F.col(s) > 0), s, {f"{s}_p": 0.9})))
-    return out.select("series_key", "year", *[((F.col(s) > 0) & (F.col(s) >= F.col(f"{s}_p"))).alias(f"{s}_top") for s in SIGNALS])
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("v")) for s in SIGNALS])).alias("r")).select("r.*").where("v > 0")
+    cuts = O.quantiles(long, "v", {"p": 0.9}, ("signal",)).agg(*[F.max(F.when(F.col("signal") == s, F.col("p"))).alias(f"{s}_p") for s in SIGNALS])
+    return df.crossJoin(F.broadcast(cuts)).select("series_key", "year", *[((F.col(s) > 0) & (F.col(s) >= F.col(f"{s}_p"))).alias(f"{s}_top") for s in SIGNALS])
 
 
 @query(with_(FINE, walk_sql(), SCORE_SQL, _TOP_SQL) + "SELECT series_key, year, " + " + ".join(f"CAST({s}_top AS INT)" for s in SIGNALS) + " AS n_signals FROM votes")
@@ -235,9 +245,10 @@ def suspect_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Back-test error with and without suspect series: the suspects are marked by one semi-join, then both scopes are one aggregation."""
     preds = walked(spark, sf_dir)
     best = preds.where(F.col("year") == TARGET).join(best_method(preds.where(F.col("year") < TARGET)).select("series_key", "method"), ["series_key", "method"])
-    sus = fine(spark, sf_dir).where(F.col("year") < TARGET).groupBy("series_key").agg(F.min("rate").alias("m")).select("series_key", (F.col("m") < 0.25).alias("suspect"))
+    sus = fine(spark, sf_dir, until=TARGET).groupBy("series_key").agg(F.min("rate").alias("m")).select("series_key", (F.col("m") < 0.25).alias("suspect"))
     df = best.join(sus, "series_key", "left").select("smape", F.explode(F.when(F.coalesce("suspect", F.lit(False)), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("without suspects")))).alias("scope"))
-    return df.groupBy("scope").agg(F.count("*").alias("n"), F.round(F.percentile("smape", F.lit(0.5)), 4).alias("median_smape"), F.round(F.avg("smape"), 4).alias("mean_smape"), F.round(F.avg((F.col("smape") <= 25).cast("int")) * 100, 4).alias("within_25"))
+    q = O.quantiles(df, "smape", {"q": 0.5}, ("scope",)).select("scope", F.round("q", 4).alias("median_smape"))
+    return df.groupBy("scope").agg(F.count("*").alias("n"), F.round(F.avg("smape"), 4).alias("mean_smape"), F.round(F.avg((F.col("smape") <= 25).cast("int")) * 100, 4).alias("within_25")).join(q, "scope")
 
 
 _FEAT = f"feat AS (SELECT series_key, (avg(rate) - (SELECT avg(rate) FROM fine WHERE year < {TARGET})) AS a, avg(rate) AS m, stddev_samp(rate) AS s FROM fine WHERE year < {TARGET} GROUP BY 1)"
@@ -249,7 +260,7 @@ def lof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local outlier factor of each series in the plane of mean and deviation of its rate, by exact nearest neighbours."""
     from ..operators.outliers import local_outlier_factor
 
-    pts = fine(spark, sf_dir).where(F.col("year") < TARGET).groupBy("series_key").agg(F.round(F.avg("rate"), 6).alias("x"), F.round(F.coalesce(F.stddev_samp("rate"), F.lit(0.0)), 6).alias("y"))
+    pts = fine(spark, sf_dir, until=TARGET).groupBy("series_key").agg(F.round(F.avg("rate"), 6).alias("x"), F.round(F.coalesce(F.stddev_samp("rate"), F.lit(0.0)), 6).alias("y"))
     return local_outlier_factor(pts, "series_key", ["x", "y"], K).select("series_key", F.round("lof", 6).alias("lof"))
 
 
@@ -259,7 +270,7 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.outliers import isolation_scores
 
     w = W.partitionBy("series_key")
-    df = fine(spark, sf_dir).where(F.col("year") < TARGET).withColumns({"z": F.coalesce(F.abs(F.try_divide(F.col("rate") - F.avg("rate").over(w), F.stddev_samp("rate").over(w))), F.lit(0.0)), "share": F.try_divide("opened", F.avg("opened").over(w))}).fillna(0.0)
+    df = fine(spark, sf_dir, until=TARGET).withColumns({"z": F.coalesce(F.abs(F.try_divide(F.col("rate") - F.avg("rate").over(w), F.stddev_samp("rate").over(w))), F.lit(0.0)), "share": F.try_divide("opened", F.avg("opened").over(w))}).fillna(0.0)
     scored = isolation_scores(df, ["rate", "share", "z"], trees=200, sample=256, seed=42)
     cut = O.quantiles(scored, "isolation", {"p": 0.9})
     out = scored.crossJoin(F.broadcast(cut)).withColumn("outlier", F.col("isolation") >= F.col("p"))
@@ -273,7 +284,7 @@ def mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust Mahalanobis distance: concentration steps refit mean and covariance to the nine tenths of rows that are closest."""
     from ..operators.outliers import robust_mahalanobis
 
-    df = fine(spark, sf_dir).where(F.col("year") < TARGET).select("series_key", "year", F.coalesce("rate", F.lit(0.0)).alias("rate"), (F.col("opened") / 1e6).alias("size"))
+    df = fine(spark, sf_dir, until=TARGET).select("series_key", "year", F.coalesce("rate", F.lit(0.0)).alias("rate"), (F.col("opened") / 1e6).alias("size"))
     return robust_mahalanobis(df, ["rate", "size"], support=0.9).select("series_key", "year", F.round("distance", 6).alias("distance"))
 
 
@@ -286,7 +297,7 @@ def var_at_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk class, unspent amount, amount at risk and a fixed band."""
     o, r = F.col("opened"), F.col("rate")
     zero = F.lit(0.0)
-    return fine(spark, sf_dir).where((F.col("year") == TARGET) & r.isNotNull()).select("series_key", risk_class(r).alias("risk"), F.round(F.greatest(o * (1 - r), zero), 4).alias("unspent"), F.round(F.when(r < 0.80, o * F.greatest(0.80 - r, zero)).otherwise(zero), 4).alias("at_risk"), F.round(F.greatest(r - 0.10, zero), 6).alias("lo"), F.round(F.least(r + 0.10, F.lit(1.0)), 6).alias("hi"))
+    return fine(spark, sf_dir, TARGET, TARGET + 1).where(r.isNotNull()).select("series_key", risk_class(r).alias("risk"), F.round(F.greatest(o * (1 - r), zero), 4).alias("unspent"), F.round(F.when(r < 0.80, o * F.greatest(0.80 - r, zero)).otherwise(zero), 4).alias("at_risk"), F.round(F.greatest(r - 0.10, zero), 6).alias("lo"), F.round(F.least(r + 0.10, F.lit(1.0)), 6).alias("hi"))
 
 
 def risk_class(r: Column) -> Column:

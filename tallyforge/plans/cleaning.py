@@ -98,12 +98,16 @@ def eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fine(spark, sf_dir).groupBy("series_key").agg(train.alias("n_train"), F.count_if(F.col("year") == TARGET).alias("n_target")).where("n_train >= 3 AND n_target = 1").select("series_key", "n_train")
 
 
-@query(with_(ANNUAL) + "SELECT year, round(sum(opened), 4) AS total, round(sum(opened), 4) < 0.85 * (SELECT median(s) FROM (SELECT sum(opened) AS s FROM annual GROUP BY year)) AS partial FROM annual GROUP BY 1")
+@query(with_(ANNUAL) + "SELECT year, round(sum(opened), 4) AS total, round(sum(opened), 4) < 0.5 * (SELECT median(s) FROM (SELECT sum(opened) AS s FROM annual GROUP BY year)) AS partial FROM annual GROUP BY 1")
 def partial_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Years whose total is well under the median of the years' totals (here 0.85, as the last year is more than half there)."""
-    tot = annual(spark, sf_dir).groupBy("year").agg(F.sum("opened").alias("s"))
-    med = tot.agg(F.percentile("s", F.lit(0.5)).alias("m"))
-    return tot.crossJoin(F.broadcast(med)).select("year", F.round("s", 4).alias("total"), (F.round("s", 4) < 0.85 * F.col("m")).alias("partial"))
+    """Years whose total is less than half the median of the years' totals."""
+    return below_median(annual(spark, sf_dir).groupBy("year").agg(F.sum("opened").alias("s")))
+
+
+def below_median(totals: DataFrame, share: float = 0.5) -> DataFrame:
+    """year, total and partial: whether a year's total s is under `share` of the median total. A row is a year."""
+    med = totals.agg(F.percentile("s", F.lit(0.5)).alias("m"))
+    return totals.crossJoin(F.broadcast(med)).select("year", F.round("s", 4).alias("total"), (F.round("s", 4) < share * F.col("m")).alias("partial"))
 
 
 @query("SELECT p_partkey, " + X.normal_label_sql("'É' || p_name || '  /  Çà'") + " AS label FROM part")
@@ -156,7 +160,7 @@ SELECT series_key, year, round(coalesce(CASE WHEN year % 2 = 0 THEN rate END, lm
 def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing rates filled by the group's median, then the overall mean."""
     df = fine(spark, sf_dir)
-    m, g = df.groupBy("l1").agg(F.percentile("rate", F.lit(0.5)).alias("lm")), df.agg(F.avg("rate").alias("gm"))
+    m, g = O.quantiles(df, "rate", {"lm": 0.5}, ("l1",)), df.agg(F.avg("rate").alias("gm"))
     return df.withColumn("rate", F.when(F.col("year") % 2 == 0, F.col("rate"))).join(m, "l1", "left").crossJoin(F.broadcast(g)).select("series_key", "year", F.round(F.coalesce("rate", "lm", "gm"), 6).alias("rate"))
 
 

@@ -206,15 +206,15 @@ def top_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.crossJoin(F.broadcast(O.quantiles(df, "opened", {"p": 0.9}))).select("series_key", "year", (F.col("opened") >= F.col("p")).alias("top"))
 
 
-@query("SELECT l_partkey AS part, count(DISTINCT year(l_shipdate)) AS years, count(DISTINCT year(l_shipdate)) < 6 AS low_history FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey AS part, count(DISTINCT year(l_shipdate)) AS years, count(DISTINCT year(l_shipdate)) < 3 AS low_history FROM lineitem GROUP BY 1")
 def history_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years on record of each part; few are flagged. Distinct years are collected before the shuffle."""
     from ..sources.panels import table
 
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.countDistinct(F.year("l_shipdate")).alias("years")).withColumn("low_history", F.col("years") < 6)
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.countDistinct(F.year("l_shipdate")).alias("years")).withColumn("low_history", F.col("years") < 3)
 
 
-@query(with_(QUARTERS) + "SELECT series_key, round(stddev_pop(taux), 8) AS volatility, round(stddev_pop(taux) FILTER (year < 2000), 8) AS volatility_no_leak FROM quarters WHERE quarter = 4 GROUP BY 1")
+@query(with_(QUARTERS) + f"SELECT series_key, round(stddev_pop(taux), 8) AS volatility, round(stddev_pop(taux) FILTER (year < {TARGET}), 8) AS volatility_no_leak FROM quarters WHERE quarter = 4 GROUP BY 1")
 def volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deviation of year-end rates, with and without the year to predict."""
     q = quarters(spark, sf_dir).where("quarter = 4")

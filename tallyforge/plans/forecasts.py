@@ -60,13 +60,13 @@ SMAPE = "CASE WHEN abs(actual) + abs(predicted) = 0 THEN 0 ELSE 100 * abs(actual
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series_key, l1, years, h (committed), cs (opened), rs (known rates) before the target year, of series with three years or more."""
-    df = fine(spark, sf_dir).where(F.col("year") < TARGET)
+    df = fine(spark, sf_dir, until=TARGET)
     out = S.collapse(df, ["series_key"], "year", "committed", "opened", "rate", keep=("l1",)).where(F.size("years") >= 3)
     return out.select("series_key", "l1", "years", F.col("committeds").alias("h"), F.col("openeds").alias("cs"), F.filter("rates", lambda r: r.isNotNull()).alias("rs"))
 
 
 def target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fine(spark, sf_dir).where(F.col("year") == TARGET).select("series_key", F.col("committed").alias("actual"), F.col("opened").alias("credits"))
+    return fine(spark, sf_dir, TARGET, TARGET + 1).select("series_key", F.col("committed").alias("actual"), F.col("opened").alias("credits"))
 
 
 def _one_step(method: str) -> None:
@@ -96,10 +96,11 @@ GROWTH_SQL = f"""growth AS (
     SELECT round(sum(committed) FILTER (year = {TARGET - 1}), 4) AS a, round(sum(committed) FILTER (year = {TARGET - 2}), 4) AS b FROM fine))"""
 
 
-def growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: clipped growth of the total over the last two training years."""
+def growth(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """One row: clipped growth of the total over the last two training years. rows: a panel with these years that a plan reads anyway."""
     at = lambda y: F.round(F.sum(F.when(F.col("year") == y, F.col("committed"))), 4)
-    return fine(spark, sf_dir).where(F.col("year").isin(TARGET - 1, TARGET - 2)).agg(at(TARGET - 1).alias("a"), at(TARGET - 2).alias("b")).select(S.clip(F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(F.lit(1.0)), 0.5, 2.0).alias("g"))
+    rows = fine(spark, sf_dir, TARGET - 2, TARGET) if rows is None else rows
+    return rows.agg(at(TARGET - 1).alias("a"), at(TARGET - 2).alias("b")).select(S.clip(F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(F.lit(1.0)), 0.5, 2.0).alias("g"))
 
 
 @query(with_(FINE, HIST, GROWTH_SQL) + f"SELECT series_key, round({_LAST} * g, 5) AS predicted FROM hist, growth")
@@ -132,7 +133,7 @@ def forecast_execrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forecast_hier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Naive forecasts scaled so that each chapter meets its own Theta forecast, within 0.7 to 1.4."""
     bottom = history(spark, sf_dir).select("series_key", "l1", S.last(F.col("h")).alias("p"))
-    totals = fine(spark, sf_dir).where(F.col("year") < TARGET).groupBy("l1", "year").agg(F.round(F.sum("committed"), 4).alias("s"))
+    totals = fine(spark, sf_dir, until=TARGET).groupBy("l1", "year").agg(F.round(F.sum("committed"), 4).alias("s"))
     tops = S.collapse(totals, ["l1"], "year", "s").select("l1", S.theta(F.col("ss")).alias("t"))
     sums = bottom.groupBy("l1").agg(F.round(F.sum("p"), 4).alias("s"))
     k = F.when((F.col("s") > 0) & (F.col("t") > 0), S.clip(F.col("t") / F.nullif(F.col("s"), F.lit(0.0)), 0.7, 1.4)).otherwise(F.lit(1.0))

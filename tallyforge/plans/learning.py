@@ -72,7 +72,7 @@ def forecast_pooled_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def forecast_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ridge of each series on its own lags, mean and slope; a line where there is too little history."""
-    df = fine(spark, sf_dir).where(F.col("year") < TARGET).select("series_key", "year", "committed")
+    df = fine(spark, sf_dir, until=TARGET).select("series_key", "year", "committed")
     return L.ridge_by_series(df, "series_key", "year", "committed").select("series_key", F.round("predicted", 2).alias("predicted"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import series as S
-from ..operators.windows import with_group
+from ..operators.windows import quantiles, with_group
 from ..sources.panels import TARGET, annual, fine, quarters, rate, table
 from ..sources.snapshots import changes
 from .anomalies import SCORE_SQL as SCORES
@@ -54,15 +54,19 @@ def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(FINE) + "SELECT l1, count(*) AS n, round(avg(rate), 6) AS mean_rate, round(stddev_samp(rate), 6) AS std_rate, round(min(rate), 6) AS min_rate, round(max(rate), 6) AS max_rate, round(median(rate), 6) AS median_rate, round(quantile_cont(rate, 0.75), 6) AS p75, round(quantile_cont(rate, 0.9), 6) AS p90, count(DISTINCT l2) AS members FROM fine GROUP BY 1")
 def multi_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many statistics of a chapter at once."""
-    q = lambda p: F.round(F.percentile("rate", F.lit(p)), 6)
+    df = fine(spark, sf_dir)
+    q = quantiles(df, "rate", {"median_rate": 0.5, "p75": 0.75, "p90": 0.9}, ("l1",)).select("l1", *[F.round(c, 6).alias(c) for c in ("median_rate", "p75", "p90")])
     six = lambda c: F.round(c, 6)
-    return fine(spark, sf_dir).groupBy("l1").agg(F.count("*").alias("n"), six(F.avg("rate")).alias("mean_rate"), six(F.stddev_samp("rate")).alias("std_rate"), six(F.min("rate")).alias("min_rate"), six(F.max("rate")).alias("max_rate"), q(0.5).alias("median_rate"), q(0.75).alias("p75"), q(0.9).alias("p90"), F.countDistinct("l2").alias("members"))
+    stats = df.groupBy("l1").agg(F.count("*").alias("n"), six(F.avg("rate")).alias("mean_rate"), six(F.stddev_samp("rate")).alias("std_rate"), six(F.min("rate")).alias("min_rate"), six(F.max("rate")).alias("max_rate"), F.countDistinct("l2").alias("members"))
+    return stats.join(q, "l1", "left")
 
 
 @query(with_(FINE) + "SELECT year, round(median(rate), 6) AS median_rate, round(avg(rate), 6) AS mean_rate, round(stddev_samp(rate), 6) AS std_rate FROM fine GROUP BY 1")
 def rate_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distribution of rates by year."""
-    return fine(spark, sf_dir).groupBy("year").agg(F.round(F.percentile("rate", F.lit(0.5)), 6).alias("median_rate"), F.round(F.avg("rate"), 6).alias("mean_rate"), F.round(F.stddev_samp("rate"), 6).alias("std_rate"))
+    df = fine(spark, sf_dir)
+    q = quantiles(df, "rate", {"q": 0.5}, ("year",)).select("year", F.round("q", 6).alias("median_rate"))
+    return df.groupBy("year").agg(F.round(F.avg("rate"), 6).alias("mean_rate"), F.round(F.stddev_samp("rate"), 6).alias("std_rate")).join(q, "year", "left")
 
 
 @query(with_(ANNUAL) + """SELECT 'lines' AS label, CAST(count(DISTINCT series_key) AS DOUBLE) AS value FROM annual UNION ALL SELECT 'opened', round(sum(opened), 4) FROM annual WHERE year = 2000
@@ -139,7 +143,7 @@ FACT_SQL = f"""fact AS (SELECT 'history' AS kind, series_key, year, committed AS
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, series_key, year, actual, predicted: history, validation and forecast under each other."""
-    hist = fine(spark, sf_dir).where(F.col("year") < TARGET).select(F.lit("history").alias("kind"), "series_key", "year", F.col("committed").alias("actual"))
+    hist = fine(spark, sf_dir, until=TARGET).select(F.lit("history").alias("kind"), "series_key", "year", F.col("committed").alias("actual"))
     w = walk(spark, sf_dir, (TARGET,))
     val = w.select(F.lit("validation").alias("kind"), "series_key", "year", "actual", S.mean3(F.col("h")).alias("predicted"))
     nxt = w.select(F.lit("forecast").alias("kind"), "series_key", F.lit(TARGET + 1).alias("year"), S.mean3(F.concat("h", F.array("actual"))).alias("predicted"))
@@ -181,8 +185,10 @@ def bi_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of the dashboards, from one aggregation."""
     r = rate()
     at = lambda y: F.sum(F.when(F.col("year") == y, F.col("opened")))
-    m = {"rows": F.count("*").cast("double"), "growth_vs_1995": F.round(at(2000) / at(1995) - 1, 6), "median_rate": F.round(F.percentile(r, F.lit(0.5)), 6), "weighted_rate": F.round(F.sum("committed") / F.sum("opened"), 6), "at_risk": F.count_if(r < 0.8).cast("double"), "programmes": F.countDistinct("l2").cast("double")}
-    one = annual(spark, sf_dir).agg(*[v.alias(k) for k, v in m.items()])
+    m = {"rows": F.count("*").cast("double"), "growth_vs_1995": F.round(at(2000) / at(1995) - 1, 6), "median_rate": F.lit(None).cast("double"), "weighted_rate": F.round(F.sum("committed") / F.sum("opened"), 6), "at_risk": F.count_if(r < 0.8).cast("double"), "programmes": F.countDistinct("l2").cast("double")}
+    df = annual(spark, sf_dir)
+    middle = quantiles(df.select(r.alias("r")), "r", {"q": 0.5})
+    one = df.agg(*[v.alias(k) for k, v in m.items()]).crossJoin(F.broadcast(middle)).withColumn("median_rate", F.round("q", 6))
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in m])).alias("r")).select("r.*")
 
 
@@ -321,7 +327,9 @@ _STRAT = {"naive": "nv", "drift": "dn", "exec_rate": "er", "median3": "list_medi
 def experiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strategies scored on the target year."""
     long = scored(long_form(parts(spark, sf_dir), ["actual"], {"naive": F.col("nv"), "drift": F.col("dn"), "exec_rate": F.col("er"), "median3": med3(), "robust": F.col("rb")}))
-    return long.groupBy(F.col("method").alias("strategy")).agg(F.count("*").alias("n"), F.round(F.percentile("smape", F.lit(0.5)), 4).alias("median_smape"), F.round(F.avg("smape"), 4).alias("mean_smape"), F.round((F.sum("predicted") / F.sum("actual") - 1) * 100, 4).alias("bias"))
+    long = long.withColumnRenamed("method", "strategy")
+    q = quantiles(long, "smape", {"q": 0.5}, ("strategy",)).select("strategy", F.round("q", 4).alias("median_smape"))
+    return long.groupBy("strategy").agg(F.count("*").alias("n"), F.round(F.avg("smape"), 4).alias("mean_smape"), F.round((F.sum("predicted") / F.sum("actual") - 1) * 100, 4).alias("bias")).join(q, "strategy")
 
 
 _ZSQL = f"zz AS (SELECT q.series_key, q.taux, (q.taux - b.m) / b.s AS z FROM quarters q JOIN (SELECT series_key, avg(taux) AS m, greatest(coalesce(stddev_samp(taux), 0.01), 0.005) AS s FROM quarters WHERE quarter = 2 AND year < {TARGET} GROUP BY 1) b USING (series_key) WHERE q.quarter = 2 AND q.year = {TARGET})"
@@ -357,7 +365,7 @@ def risk_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_(FINE) + f"SELECT series_key, l1, round(rate, 6) AS rate FROM fine WHERE year = {TARGET} AND l1 = 'PROMO' AND rate < 0.8 AND contains(lower(series_key), '1')")
 def interactive_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters of the screens: chapter, risk and a part of the key."""
-    return filtered(fine(spark, sf_dir).where(F.col("year") == TARGET), chapter="PROMO", below=0.8, text="1").select("series_key", "l1", F.round("rate", 6).alias("rate"))
+    return filtered(fine(spark, sf_dir, TARGET, TARGET + 1), chapter="PROMO", below=0.8, text="1").select("series_key", "l1", F.round("rate", 6).alias("rate"))
 
 
 def filtered(df: DataFrame, chapter: str | None = None, below: float | None = None, text: str | None = None) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql import Window as W
 
 from ..operators import series as S
 from ..operators.windows import quantiles, ranked_values
+from ..settings import METHODS
 from ..sources.panels import TARGET, fine
 from .base_sql import FINE, with_
 from .forecasts import CREDITS_SQL, GROWTH_SQL, HIST, METHOD_SQL, RATE_MODEL_SQL, RECENT_SQL, SMAPE, exec_rate, growth, history, rate_models, target
 from .registry import query
 
-FOUR = ("Mean3", "Median", "Naive", "Trend")
+FOUR = METHODS
 VALID = (TARGET - 2, TARGET - 1, TARGET)
 
 
@@ -83,7 +84,7 @@ def best_method_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("series_key", "b.method", F.round("b.err", 4).alias("validation_smape"), F.round("b.t.predicted", 5).alias("predicted"), F.round("b.t.actual", 4).alias("actual"), F.round("b.t.smape", 4).alias("smape"))
 
 
-@query(with_(FINE, walk_sql()) + f"""SELECT series_key, picked, round(predicted, 5) AS predicted, round(smape, 4) AS smape FROM (
+@query(with_(FINE, walk_sql(VALID[1:])) + f"""SELECT series_key, picked, round(predicted, 5) AS predicted, round(smape, 4) AS smape FROM (
   SELECT t.series_key, v.method AS picked, t.predicted, t.smape FROM (
     SELECT series_key, method FROM (SELECT series_key, method, row_number() OVER (PARTITION BY series_key ORDER BY round(smape, 6), method) AS rn FROM preds WHERE year = {TARGET - 1}) WHERE rn = 1) v
   JOIN preds t ON t.series_key = v.series_key AND t.method = v.method AND t.year = {TARGET})""")
@@ -167,11 +168,14 @@ SELECT CASE WHEN m <= m1 THEN 'small' WHEN m <= m2 THEN 'medium' ELSE 'large' EN
   count(*) AS n, round(avg(smape), 4) AS mean_smape, round(median(smape), 4) AS median_smape FROM preds JOIN lvl USING (series_key), edge WHERE year = {TARGET} AND cv IS NOT NULL GROUP BY 1, 2, 3""")
 def segment_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors by size and volatility tercile (edges by interpolated quantiles; the edge belongs to the lower bin)."""
-    lvl = fine(spark, sf_dir).where(F.col("year") < TARGET).groupBy("series_key").agg(F.avg("committed").alias("m"), F.try_divide(F.stddev_samp("committed"), F.avg("committed")).alias("cv"))
+    lvl = fine(spark, sf_dir, until=TARGET).groupBy("series_key").agg(F.avg("committed").alias("m"), F.try_divide(F.stddev_samp("committed"), F.avg("committed")).alias("cv"))
     edge = quantiles(lvl, "m", {"m1": 1 / 3, "m2": 2 / 3}).crossJoin(F.broadcast(quantiles(lvl, "cv", {"cv1": 1 / 3, "cv2": 2 / 3})))
     cut = lambda c, names: F.when(F.col(c) <= F.col(f"{c}1"), names[0]).when(F.col(c) <= F.col(f"{c}2"), names[1]).otherwise(names[2])
     df = walked(spark, sf_dir, (TARGET,)).join(lvl, "series_key").crossJoin(F.broadcast(edge)).where("cv IS NOT NULL")
-    return df.groupBy(cut("m", ("small", "medium", "large")).alias("size"), cut("cv", ("calm", "mixed", "wild")).alias("volatility"), "method").agg(F.count("*").alias("n"), F.round(F.avg("smape"), 4).alias("mean_smape"), F.round(F.percentile("smape", F.lit(0.5)), 4).alias("median_smape"))
+    df = df.select(cut("m", ("small", "medium", "large")).alias("size"), cut("cv", ("calm", "mixed", "wild")).alias("volatility"), "method", "smape")
+    by = ("size", "volatility", "method")
+    q = quantiles(df, "smape", {"q": 0.5}, by).select(*by, F.round("q", 4).alias("median_smape"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("smape"), 4).alias("mean_smape")).join(q, list(by))
 
 
 _WIN = ", ".join(f"avg(CASE WHEN abs(actual) + abs({c}) = 0 THEN 0 ELSE 100 * abs(actual - {c}) / ((abs(actual) + abs({c})) / 2) END) AS {c}" for c in ("a", "b"))
@@ -218,7 +222,14 @@ PARTS_SQL = f"""parts AS (SELECT series_key, l1, h, ys, actual, credits, {METHOD
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History and target with nv (last value), dn (drift), er (rate), rb (robust mean)."""
-    h = history(spark, sf_dir).join(target(spark, sf_dir), "series_key").crossJoin(F.broadcast(growth(spark, sf_dir)))
+    # one collapse of all years, cut up afterwards: every branch of a plan then reads the same shuffle
+    z = F.arrays_zip("years", "committeds", "openeds", "rates")
+    now = lambda c: F.get(F.filter("z", lambda x: x["years"] == TARGET), F.lit(0))[c]
+    rows = S.collapse(fine(spark, sf_dir), ["series_key"], "year", "committed", "opened", "rate", keep=("l1",)).select("series_key", "l1", z.alias("z"))
+    cut = rows.select("series_key", "l1", F.filter("z", lambda x: x["years"] < TARGET).alias("past"), now("committeds").alias("actual"), now("openeds").alias("credits")).where((F.size("past") >= 3) & F.col("actual").isNotNull())
+    pick = lambda c: F.transform("past", lambda x: x[c])
+    h = cut.select("series_key", "l1", "actual", "credits", pick("years").alias("years"), pick("committeds").alias("h"), pick("openeds").alias("cs"), F.filter(pick("rates"), lambda r: r.isNotNull()).alias("rs"))
+    h = h.crossJoin(F.broadcast(growth(spark, sf_dir, fine(spark, sf_dir))))
     return h.select("series_key", "l1", "h", "years", "rs", "cs", "actual", "credits", "g", S.naive(F.col("h")).alias("nv"), (S.naive(F.col("h")) * F.col("g")).alias("dn"), exec_rate(h).alias("er"), S.robust_mean(F.col("h")).alias("rb"))
 
 
@@ -293,7 +304,8 @@ def blend_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blend of ensemble and last value in steps of a twentieth, by median error; all 21 blends come from one projection."""
     sm = parts(spark, sf_dir).select("nv", "actual", S.smart(F.col("h"), F.col("dn"), F.col("er")).alias("sm"))
     p = F.col("i") / 20 * F.col("sm") + (1 - F.col("i") / 20) * F.col("nv")
-    grid = sm.select("*", F.explode(F.array(*[F.lit(i) for i in range(21)])).alias("i")).groupBy("i").agg(F.percentile(S.smape(F.col("actual"), p), F.lit(0.5)).alias("m"))
+    blends = sm.select("*", F.explode(F.array(*[F.lit(i) for i in range(21)])).alias("i")).select("i", S.smape(F.col("actual"), p).alias("e"))
+    grid = quantiles(blends, "e", {"m": 0.5}, ("i",))
     return grid.select("i", F.round("m", 4).alias("median_smape"), (F.row_number().over(W.partitionBy().orderBy(F.round("m", 6), "i")) == 1).alias("best"))
 
 
