@@ -19,16 +19,16 @@ ESTIMATORS = ("linear", "ridge", "lasso", "forest", "boosting")
 BASELINES = ("seasonal", "mean")
 
 
-def estimator(name: str, features: list[str], label: str = "label", seed: int = 42) -> Pipeline:
-    """Assembled, scaled features and one of: linear, ridge, lasso, forest, boosting."""
+def estimator(name: str, features: list[str], label: str = "label", seed: int = 42, trees: int = 200, rounds: int = 300, rate: float = 0.05) -> Pipeline:
+    """Assembled, scaled features and one of: linear, ridge, lasso, forest (of so many trees), boosting (so many rounds at that rate)."""
     steps = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
     common = {"featuresCol": "features", "labelCol": label}
     if name in ("linear", "ridge", "lasso"):
         steps.append(LinearRegression(regParam={"linear": 0.0, "ridge": 1e-3, "lasso": 1e-3}[name], elasticNetParam=float(name == "lasso"), standardization=False, **common))
     elif name == "forest":
-        steps.append(RandomForestRegressor(numTrees=40, maxDepth=3, minInstancesPerNode=2, seed=seed, **common))
+        steps.append(RandomForestRegressor(numTrees=trees, maxDepth=3, minInstancesPerNode=2, seed=seed, **common))
     elif name == "boosting":
-        steps.append(GBTRegressor(maxIter=20, maxDepth=3, stepSize=0.1, subsamplingRate=0.9, seed=seed, **common))
+        steps.append(GBTRegressor(maxIter=rounds, maxDepth=3, stepSize=rate, subsamplingRate=0.9, seed=seed, **common))
     else:
         raise ValueError(f"no estimator is called {name}")
     return Pipeline(stages=steps)
@@ -42,24 +42,26 @@ def _baseline(name: str, past: DataFrame, now: DataFrame) -> DataFrame:
     return now.join(known, key, "left").crossJoin(F.broadcast(rest)).withColumn("prediction", F.coalesce("known", "rest"))
 
 
-def walk_forward(df: DataFrame, features: list[str], names: Iterable[str], years: Iterable[int] | None = None) -> DataFrame:
+def walk_forward(df: DataFrame, features: list[str], names: Iterable[str], years: Iterable[int] | None = None, **sizes) -> DataFrame:
     """test_year, category, model, rmse, mae, mape: each year is predicted by models of strictly earlier years. One fit a fold and model.
 
-    Without years, all of df that have an earlier one. names: of ESTIMATORS and BASELINES.
+    Without years, all of df that have an earlier one. names: of ESTIMATORS and BASELINES. sizes: trees, rounds and rate of the ensembles.
     """
-    out = None
-    df = df.persist()
+    out, kept = None, df.persist()
+    df = kept
     if years is None:
         years = sorted(r.year for r in df.select("year").distinct().collect())[1:]
     for year in years:
         past, now = df.where(F.col("year") < year), df.where(F.col("year") == year)
         for name in names:
-            p = _baseline(name, past, now) if name in BASELINES else estimator(name, features).fit(past).transform(now)
+            p = _baseline(name, past, now) if name in BASELINES else estimator(name, features, **sizes).fit(past).transform(now)
             e = F.abs(F.col("label") - F.col("prediction"))
             part = p.groupBy("category").agg(F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(e), 6).alias("mae"), F.round(F.avg(F.when(F.col("label") != 0, e / F.abs("label"))) * 100, 4).alias("mape"))
             part = part.select(F.lit(year).alias("test_year"), "category", F.lit(name).alias("model"), "rmse", "mae", "mape")
-            out = part if out is None else out.unionByName(part)
-    return out
+            # a row a category: fetched, so that the rows kept for all folds can go
+            out = [*(out or []), *part.collect()]
+    kept.unpersist()
+    return df.sparkSession.createDataFrame(out or [], "test_year int, category string, model string, rmse double, mae double, mape double")
 
 
 def ridge_by_cv(df: DataFrame, features: list[str], penalties: tuple[float, ...] = (1e-4, 1e-3, 1e-2, 1e-1)) -> tuple[PipelineModel, float]:
@@ -125,12 +127,18 @@ def quantile_regression(train: DataFrame, test: DataFrame, features: list[str],
     return test.withColumns({"_a": a, "mid": m, "_b": b}).withColumns({"lo": F.least("_a", "_b"), "hi": F.greatest("_a", "_b")}).drop("_a", "_b")
 
 
-def permuted_error(df: DataFrame, target: int, seed: int) -> DataFrame:
-    """kind, smape: error of the last value as predictor, on the true panel and after values were exchanged within each year."""
-    place = lambda *o: F.row_number().over(W.partitionBy("year").orderBy(*o))
-    a = df.withColumn("i", place("series_key"))
-    b = df.withColumn("i", place(F.xxhash64("series_key", "year", F.lit(seed)), "series_key")).select("year", "i", F.col("committed").alias("other"))
-    both = a.join(b, ["year", "i"])
+def permuted_error(df: DataFrame, target: int, seed: int, digits: int = 2) -> DataFrame:
+    """kind, smape: error of the last value as predictor, on the true panel and after values were exchanged within each year.
+
+    Values change places within groups of series (`digits` hexadecimal digits of a digest of the key: 256 groups a year), so no task orders a whole year. The
+    order is that of a digest of series, year and seed: the same in every run.
+    """
+    digest = lambda *c: F.md5(F.concat_ws(":", *c))
+    grouped = df.withColumn("g", F.substring(digest("series_key"), 1, digits))
+    place = lambda *o: F.row_number().over(W.partitionBy("year", "g").orderBy(*o))
+    a = grouped.withColumn("i", place("series_key"))
+    b = grouped.withColumn("i", place(digest("series_key", "year", F.lit(seed)), "series_key")).select("year", "g", "i", F.col("committed").alias("other"))
+    both = a.join(b, ["year", "g", "i"])
     w = W.partitionBy("series_key").orderBy("year")
     err = lambda v, p: F.when(F.abs(v) + F.abs(p) == 0, F.lit(0.0)).otherwise(200 * F.abs(v - p) / (F.abs(v) + F.abs(p)))
     e = both.withColumns({"t": F.lag("committed").over(w), "s": F.lag("other").over(w)}).where(F.col("year") == target)
@@ -141,8 +149,8 @@ def permuted_error(df: DataFrame, target: int, seed: int) -> DataFrame:
 def simulate_lines(df: DataFrame, seed: int) -> DataFrame:
     """series_key, quarter, taux: seeded noise around each quarter's rate, clipped, scaled to the aggregate and made monotone."""
     rows = df.select("series_key", F.explode(F.array(*[F.struct(F.lit(q).alias("quarter"), F.col(f"t{q}").alias("base")) for q in (1, 2, 3, 4)])).alias("r")).select("series_key", "r.*").where("base IS NOT NULL")
-    u = lambda k: (F.pmod(F.xxhash64("series_key", "quarter", F.lit(seed + k)), F.lit(1_000_003)) + 0.5) / 1_000_003
-    noise = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * np.pi * u(2))  # a hash as source, so the draw is the same in every run and partition
+    u = lambda k: (F.conv(F.substring(F.md5(F.concat_ws(":", "series_key", "quarter", F.lit(seed + k))), 1, 8), 16, 10).cast("double") + 0.5) / (1 << 32)
+    noise = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * np.pi * u(2))  # a digest as source, so the draw is the same in every run and partition
     noisy = rows.withColumn("taux", F.least(F.greatest(F.col("base") + 0.05 * noise, F.lit(0.0)), F.lit(1.0)))
     scale = noisy.groupBy("quarter").agg((F.avg("base") / F.avg("taux")).alias("k"))
     scaled = noisy.join(F.broadcast(scale), "quarter").withColumn("taux", F.least(F.col("taux") * F.col("k"), F.lit(1.0)))

@@ -188,15 +188,23 @@ def forecast_rate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history(spark, sf_dir).where(F.size("rs") > 0).select("series_key", *[F.round(x, 6).alias(k) for k, x in rate_models(F.col("rs")).items()])
 
 
-@query()
+_FIT_STATE = "{{'m': {m}, 'w': {w}, 'xy': {xy}, 'ww': {ww}, 'yy': {yy}}}"
+_FIT_STEP = _FIT_STATE.format(m="alpha * x.m + (1 - alpha) * s.m", w="s.w * (1 - alpha)", xy="s.xy + s.w * (x.m - s.m)", ww="s.ww + s.w * s.w", yy="s.yy + (x.m - s.m) * (x.m - s.m)")
+_FIT_SQL = f"""fits AS (SELECT series_key, alpha, list_reduce(list_transform(rs, lambda v: {_FIT_STATE.format(m='v', w='0.0::DOUBLE', xy='0.0::DOUBLE', ww='0.0::DOUBLE', yy='0.0::DOUBLE')}), lambda s, x: {_FIT_STEP},
+    {_FIT_STATE.format(m='0.0::DOUBLE', w='1.0::DOUBLE', xy='0.0::DOUBLE', ww='0.0::DOUBLE', yy='0.0::DOUBLE')}) AS s
+  FROM (SELECT series_key, rs, CAST(unnest(range(1, 51)) * 2 / 100.0 AS DOUBLE) AS alpha FROM hist WHERE len(rs) > 1)),
+least_error AS (SELECT series_key, alpha, f, row_number() OVER (PARTITION BY series_key ORDER BY e, alpha) AS rn FROM (SELECT series_key, alpha, round(s.yy - s.xy * s.xy / s.ww, 9) AS e, s.m + s.w * s.xy / s.ww AS f FROM fits))"""
+
+
+@query(with_(FINE, HIST, _FIT_SQL) + "SELECT series_key, round(alpha, 2) AS alpha, round(least(greatest(f, 0), 1), 6) AS predicted FROM least_error WHERE rn = 1")
 def forecast_ses_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential smoothing of rates with alpha and first level fitted: for each alpha of a fine grid the best level has a closed form."""
+    """Exponential smoothing of rates with alpha and first level fitted: for each alpha of a fine grid the best level has a closed form; the first alpha on ties (nine decimals)."""
 
     def fit(r: Column, a: float) -> Column:
         # the one-step error at place i is e_i - w_i * l0, linear in the first level l0
         step = lambda s, x: F.struct((a * x + (1 - a) * s["m"]).alias("m"), (s["w"] * (1 - a)).alias("w"), (s["xy"] + s["w"] * (x - s["m"])).alias("xy"), (s["ww"] + s["w"] * s["w"]).alias("ww"), (s["yy"] + (x - s["m"]) * (x - s["m"])).alias("yy"))
         start = F.struct(*[F.lit(v).alias(k) for k, v in (("m", 0.0), ("w", 1.0), ("xy", 0.0), ("ww", 0.0), ("yy", 0.0))])
-        return F.aggregate(r, start, step, lambda s: F.struct((s["yy"] - s["xy"] * s["xy"] / s["ww"]).alias("e"), F.lit(a).alias("alpha"), (s["m"] + s["w"] * s["xy"] / s["ww"]).alias("f")))
+        return F.aggregate(r, start, step, lambda s: F.struct(F.round(s["yy"] - s["xy"] * s["xy"] / s["ww"], 9).alias("e"), F.lit(a).alias("alpha"), (s["m"] + s["w"] * s["xy"] / s["ww"]).alias("f")))
 
     grid = [round(0.02 * i, 2) for i in range(1, 51)]
     best = F.array_min(F.array(*[fit(F.col("rs"), a) for a in grid]))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from ..operators import learners as L
 from ..operators.windows import quantiles
 from ..sources.panels import TARGET, fine
-from .base_sql import QUARTERS, with_
+from .base_sql import FINE, QUARTERS, with_
 from .features import WIDE_SQL, pooled, wide
 from .registry import query
 
@@ -24,14 +24,46 @@ def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = ["t1", "t2", "prev", "size"]
 
 
+#: Sizes of the ensembles in the queries: smaller than the estimators' defaults, so that all of them run in a test. Neither is checked by SQL.
+SIZES = {"trees": 200, "rounds": 20, "rate": 0.1}
+
+
+def linear_sql(name: str, rows: str, test: str, features: list[str], label: str, penalty: float = 0.0) -> str:
+    """Common tables that end with `name`: all columns of `test` and p, the prediction of a linear fit on `rows`.
+
+    Features are scaled by mean and deviation and made orthogonal one after another, each step with its share of the label taken out. A penalty
+    stands in rows of its own, one a feature.
+    """
+    n = len(features)
+    stats = ", ".join(f"avg({f}) AS m{i}, stddev_samp({f}) AS s{i}" for i, f in enumerate(features))
+    scaled = ", ".join(f"({f} - m{i}) / s{i} AS c{i}" for i, f in enumerate(features))
+    out = [f"{name}_m AS (SELECT count(*) AS n, avg({label}) AS my, stddev_pop({label}) AS sy, {stats} FROM {rows})", f"{name}_t AS (SELECT row_number() OVER () AS rid, * FROM {test})"]
+    parts = [f"SELECT 0 AS rid, 1 AS learn, {scaled}, {label} - my AS y, 0.0 AS p FROM {rows}, {name}_m", f"SELECT rid, 0, {scaled}, 0.0, my FROM {name}_t, {name}_m"]
+    if penalty:
+        parts += [f"SELECT 0, 1, {', '.join(f'sqrt(n * {penalty} / sy)' if i == j else '0.0' for j in range(n))}, 0.0, 0.0 FROM {name}_m" for i in range(n)]
+    out.append(f"{name}_0 AS ({' UNION ALL '.join(parts)})")
+    for i in range(n):
+        later = [f"c{j}" for j in range(i + 1, n)] + ["y"]
+        out.append(f"{name}_g{i} AS (SELECT {', '.join(f'sum(c{i} * {c}) / sum(c{i} * c{i}) AS k_{c}' for c in later)} FROM {name}_{i} WHERE learn = 1)")
+        out.append(f"{name}_{i + 1} AS (SELECT rid, learn, {', '.join(f'{c} - k_{c} * c{i} AS {c}' for c in later)}, p + k_y * c{i} AS p FROM {name}_{i}, {name}_g{i})")
+    return ",\n".join([*out, f"{name} AS (SELECT t.*, p FROM {name}_t t JOIN {name}_{n} USING (rid) WHERE learn = 0)"])
+
+
+QUARTERLY_SQL = f"""qrows AS (SELECT * FROM (SELECT *, lag(t4) OVER (PARTITION BY series_key ORDER BY year) AS prev, ln(annual) AS size FROM wide)
+  WHERE t1 IS NOT NULL AND t2 IS NOT NULL AND t3 IS NOT NULL AND t4 IS NOT NULL AND prev IS NOT NULL),
+train AS (SELECT * FROM qrows WHERE year < {TARGET}), test AS (SELECT * FROM qrows WHERE year = {TARGET})"""
+_PENALTY = {"linear": 0.0, "ridge": 1e-3}
+
+
 def _fitted(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = quarterly(spark, sf_dir)
-        model = L.estimator(name, FEATURES).fit(df.where(F.col("year") < TARGET))
+        model = L.estimator(name, FEATURES, **SIZES).fit(df.where(F.col("year") < TARGET))
         return model.transform(df.where(F.col("year") == TARGET)).select("series_key", F.round("label", 6).alias("actual"), F.round("prediction", 6).alias("predicted"))
 
     run.__doc__ = f"Year-end rate by {name}, fitted on earlier years."
-    query(None, f"model_{name}")(run)
+    sql = with_(QUARTERS, WIDE_SQL, QUARTERLY_SQL, linear_sql("fit", "train", "test", FEATURES, "t4", _PENALTY[name])) + "SELECT series_key, round(t4, 6) AS actual, round(p, 6) AS predicted FROM fit" if name in _PENALTY else None
+    query(sql, f"model_{name}")(run)
 
 
 for _n in L.ESTIMATORS:
@@ -41,7 +73,7 @@ for _n in L.ESTIMATORS:
 @query()
 def walk_forward_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RMSE, MAE and MAPE of all models and baselines by fold: each complete year with an earlier one is predicted from strictly earlier ones."""
-    return L.walk_forward(quarterly(spark, sf_dir).where(F.col("year") <= TARGET), FEATURES, (*L.ESTIMATORS, *L.BASELINES))
+    return L.walk_forward(quarterly(spark, sf_dir).where(F.col("year") <= TARGET), FEATURES, (*L.ESTIMATORS, *L.BASELINES), **SIZES)
 
 
 @query()
@@ -55,7 +87,7 @@ def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance of each feature in a forest."""
-    model = L.estimator("forest", FEATURES).fit(quarterly(spark, sf_dir).where(F.col("year") < TARGET))
+    model = L.estimator("forest", FEATURES, **SIZES).fit(quarterly(spark, sf_dir).where(F.col("year") < TARGET))
     values = model.stages[-1].featureImportances.toArray()
     return spark.createDataFrame([(f, float(round(v, 6))) for f, v in zip(FEATURES, values, strict=True)], "feature string, importance double")
 
@@ -65,7 +97,7 @@ def forecast_pooled_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One boosted model over all series, on slope, mean and lags of strictly earlier years."""
     df = pooled(spark, sf_dir).withColumn("label", F.col("committed")).fillna(0.0, ["slope", "mean_past", "lag1", "lag2"])
     features = ["slope", "mean_past", "lag1", "lag2"]
-    model = L.estimator("boosting", features).fit(df.where(F.col("year") < TARGET))
+    model = L.estimator("boosting", features, **SIZES).fit(df.where(F.col("year") < TARGET))
     return model.transform(df.where(F.col("year") == TARGET)).select("series_key", F.round("prediction", 2).alias("predicted"))
 
 
@@ -83,7 +115,10 @@ def quantile_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.quantile_regression(df.where(F.col("year") < TARGET), df.where(F.col("year") == TARGET), FEATURES, "label", (0.05, 0.5, 0.95)).select("series_key", *[F.round(c, 6).alias(c) for c in ("lo", "mid", "hi")], F.col("label").between(F.col("lo"), F.col("hi")).alias("covered"))
 
 
-@query()
+_STAGED_SQL = ",\n".join([linear_sql("direct", "train", "test", FEATURES, "t4"), linear_sql("third", "train", "test", FEATURES, "t3"), "moved AS (SELECT series_key, t2, p AS t3, prev FROM third)", linear_sql("rolled", "train", "moved", ["t2", "t3", "prev"], "t4")])
+
+
+@query(with_(QUARTERS, WIDE_SQL, QUARTERLY_SQL, _STAGED_SQL) + "SELECT d.series_key, round(d.t4, 6) AS actual, round(d.p, 6) AS direct, round(r.p, 6) AS rolling FROM direct d JOIN rolled r USING (series_key)")
 def two_stage_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct forecast of the year's end from its middle, and a rolling one over the third quarter: trained on actual, applied to predicted third quarters."""
     df = quarterly(spark, sf_dir)
@@ -107,7 +142,7 @@ def specialised_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = df.where(F.col("kind") == name)
         if own.where(F.col("year") < TARGET).isEmpty():
             continue
-        part = L.estimator(name, FEATURES).fit(own.where(F.col("year") < TARGET)).transform(own.where(F.col("year") == TARGET)).select("series_key", "kind", F.col("prediction").alias("p"))
+        part = L.estimator(name, FEATURES, **SIZES).fit(own.where(F.col("year") < TARGET)).transform(own.where(F.col("year") == TARGET)).select("series_key", "kind", F.col("prediction").alias("p"))
         out = part if out is None else out.unionByName(part)
     rest = df.where("kind = 'mean'")
     mean = rest.where(F.col("year") < TARGET).groupBy("series_key").agg(F.avg("label").alias("p"))
@@ -116,13 +151,23 @@ def specialised_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series_key", "kind", F.round("p", 6).alias("predicted"))
 
 
-@query()
+_ERR = "CASE WHEN abs({v}) + abs({p}) = 0 THEN 0 ELSE 200 * abs({v} - {p}) / (abs({v}) + abs({p})) END"
+
+
+@query(with_(FINE, """pg AS (SELECT series_key, year, committed, substr(md5(series_key), 1, 2) AS g FROM fine)""", """pa AS (SELECT *, row_number() OVER (PARTITION BY year, g ORDER BY series_key) AS i FROM pg)""", """pb AS (SELECT year, g, committed AS other, row_number() OVER (PARTITION BY year, g ORDER BY md5(concat_ws(':', series_key, year, 7)), series_key) AS i FROM pg)""", f"""pe AS (
+  SELECT * FROM (SELECT year, committed, other, lag(committed) OVER w AS t, lag(other) OVER w AS s FROM pa JOIN pb USING (year, g, i) WINDOW w AS (PARTITION BY series_key ORDER BY year)) WHERE year = {TARGET})""") + f"SELECT 'true' AS kind, round(avg({_ERR.format(v='committed', p='t')}), 4) AS smape FROM pe UNION ALL SELECT 'permuted', round(avg({_ERR.format(v='other', p='s')}), 4) FROM pe")
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of the last value on the true series and on values exchanged between the series of a year: it must grow."""
     return L.permuted_error(fine(spark, sf_dir).select("series_key", "year", "committed"), TARGET, seed=7)
 
 
-@query()
+def _uniform_sql(seed: int) -> str:
+    return f"((CAST('0x' || substr(md5(concat_ws(':', series_key, quarter, {seed})), 1, 8) AS BIGINT) + 0.5) / 4294967296)"
+
+
+@query(with_(QUARTERS, WIDE_SQL, f"sq AS (SELECT series_key, unnest([1, 2, 3, 4]) AS quarter, unnest([t1, t2, t3, t4]) AS base FROM wide WHERE year = {TARGET})", f"""sn AS (
+  SELECT series_key, CAST(quarter AS INT) AS quarter, base, least(greatest(base + 0.05 * sqrt(-2 * ln({_uniform_sql(12)})) * cos(2 * pi() * {_uniform_sql(13)}), 0), 1) AS v FROM sq WHERE base IS NOT NULL)""") + """
+SELECT series_key, quarter, round(max(v) OVER (PARTITION BY series_key ORDER BY quarter), 6) AS taux FROM (SELECT series_key, quarter, least(v * k, 1) AS v FROM sn JOIN (SELECT quarter, avg(base) / avg(v) AS k FROM sn GROUP BY 1) USING (quarter))""")
 def constrained_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy lines, clipped, scaled to the quarter's aggregate and never falling within a year."""
     return L.simulate_lines(wide(spark, sf_dir).where(F.col("year") == TARGET), seed=11)
