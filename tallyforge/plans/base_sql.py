@@ -1,5 +1,7 @@
 """SQL of the panels, for the oracle."""
 
+from ..settings import TARGET
+
 ANNUAL = """annual AS (
   SELECT CAST(year(l_shipdate) AS INT) AS year, r_name AS l1, n_name AS l2, CAST(s_suppkey AS VARCHAR) AS l3, r_name || '-' || n_name || '-' || s_suppkey AS series_key,
     round(sum(l_extendedprice), 4) AS opened,
@@ -15,13 +17,13 @@ FINE = """fine0 AS (
     round(sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice * (1 - l_discount) ELSE 0 END), 4) AS committed
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3),
 fine AS (SELECT year, l1 || '-' || l2 AS series_key, l1, l2, opened, committed, CASE WHEN opened > 0 THEN committed / opened END AS rate FROM fine0)"""
-MOVES = """moves0 AS (
+MOVES = f"""moves0 AS (
   SELECT CAST(year(l_shipdate) AS INT) AS year, p_type AS l1, CAST(l_suppkey AS VARCHAR) AS l2,
     round(sum(CASE WHEN l_returnflag = 'N' THEN 1.5 * l_extendedprice ELSE 0 END), 4) AS opened,
     round(sum(CASE WHEN l_returnflag = 'R' THEN 0.5 * l_extendedprice ELSE 0 END), 4) AS transfer_in,
     round(sum(CASE WHEN l_returnflag = 'A' THEN 0.4 * l_extendedprice ELSE 0 END), 4) AS transfer_out,
     round(sum(CASE WHEN l_linestatus = 'F' THEN l_extendedprice * (1 - l_discount) ELSE 0 END), 4) AS committed
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) < 2001 GROUP BY 1, 2, 3),
+  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) < {TARGET + 1} GROUP BY 1, 2, 3),
 moves AS (SELECT year, l1 || '-' || l2 AS series_key, l1, l2, opened, transfer_in, transfer_out, committed, round(opened + transfer_in - transfer_out, 4) AS ceiling FROM moves0)"""
 QUARTERS = """quarters0 AS (
   SELECT r_name AS category, CAST(s_suppkey AS VARCHAR) AS series_key, CAST(year(l_shipdate) AS INT) AS year, CAST(quarter(l_shipdate) AS INT) AS quarter,

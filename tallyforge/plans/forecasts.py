@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import series as S
+from ..settings import HORIZON
 from ..sources.panels import TARGET, annual, fine
 from .base_sql import ANNUAL, FINE, with_
 from .registry import query
@@ -272,26 +273,27 @@ def budget_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recursive_sql(method: str) -> str:
-    return f"list_reduce([h, [1.0], [2.0], [3.0]], lambda h, x: list_append(h, {METHOD_SQL[method]}))"
+    more = ", ".join(f"[{i}.0]" for i in range(1, HORIZON + 1))  # a list for each step: its content is not looked at
+    return f"list_reduce([h, {more}], lambda h, x: list_append(h, {METHOD_SQL[method]}))"
 
 
 @query(with_(FINE, HIST, f"grown AS (SELECT series_key, len(h) AS n, {_recursive_sql('Naive')} AS a, {_recursive_sql('Mean3')} AS b, {_recursive_sql('Trend')} AS c FROM hist)") + """
-SELECT series_key, CAST(step AS INT) AS step, round(a[n + step], 5) AS naive, round(b[n + step], 5) AS mean3, round(c[n + step], 5) AS trend FROM grown, (SELECT unnest([1, 2, 3]) AS step)""")
+SELECT series_key, CAST(step AS INT) AS step, round(a[n + step], 5) AS naive, round(b[n + step], 5) AS mean3, round(c[n + step], 5) AS trend FROM grown, (SELECT unnest(range(1, %d)) AS step)""" % (HORIZON + 1))
 def recursive_h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three years ahead, each forecast joining the history of the next."""
     h = F.col("h")
-    three = history(spark, sf_dir).select("series_key", F.arrays_zip(*[S.recursive(h, f, 3).alias(k) for k, f in (("naive", S.naive), ("mean3", S.mean3), ("trend", S.trend))]).alias("z"))
+    three = history(spark, sf_dir).select("series_key", F.arrays_zip(*[S.recursive(h, f, HORIZON).alias(k) for k, f in (("naive", S.naive), ("mean3", S.mean3), ("trend", S.trend))]).alias("z"))
     return three.select("series_key", F.posexplode("z").alias("step", "z")).select("series_key", (F.col("step") + 1).cast("int").alias("step"), *[F.round(F.col("z")[k], 5).alias(k) for k in ("naive", "mean3", "trend")])
 
 
 @query(with_(FINE, HIST) + f"""SELECT series_key, CAST(step AS INT) AS step, CAST({TARGET - 1} + step AS INT) AS year, round(r, 6) AS taux, round(cs[len(cs)], 5) AS credits,
   round(r * cs[len(cs)], 5) AS predicted, round(2 * s * abs(cs[len(cs)]) * sqrt(step), 5) AS half_width
-FROM (SELECT series_key, cs, least(greatest(list_avg(rs), 0), 1) AS r, list_stddev_samp(rs) AS s FROM hist WHERE len(rs) >= 2), (SELECT unnest([1, 2, 3]) AS step)""")
+FROM (SELECT series_key, cs, least(greatest(list_avg(rs), 0), 1) AS r, list_stddev_samp(rs) AS s FROM hist WHERE len(rs) >= 2), (SELECT unnest(range(1, {HORIZON + 1})) AS step)""")
 def sigma_band_h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direct forecasts over three years; the band grows with the root of the horizon."""
     c = S.last(F.col("cs"))
     h = history(spark, sf_dir).where(F.size("rs") >= 2).select("series_key", c.alias("c"), S.clip(S.mean(F.col("rs")), 0, 1).alias("r"), S.stddev(F.col("rs"), 1).alias("s"))
-    h = h.withColumn("step", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    h = h.withColumn("step", F.explode(F.array(*map(F.lit, range(1, HORIZON + 1)))))
     return h.select("series_key", "step", (F.lit(TARGET - 1) + F.col("step")).cast("int").alias("year"), F.round("r", 6).alias("taux"), F.round("c", 5).alias("credits"), F.round(F.col("r") * F.col("c"), 5).alias("predicted"), F.round(2 * F.col("s") * F.abs("c") * F.sqrt("step"), 5).alias("half_width"))
 
 

@@ -17,4 +17,4 @@ TARGET = _number("TARGET_YEAR", 2000)
 #: Years that forecasts over several years look ahead.
 HORIZON = _number("HORIZON", 3)
 #: Methods that back-tests compare.
-METHODS = tuple(sorted(os.environ.get("TALLYFORGE_METHODS", "Mean3,Median,Naive,Trend").split(",")))
+METHODS = tuple(sorted({"Naive", *os.environ.get("TALLYFORGE_METHODS", "Mean3,Median,Naive,Trend").split(",")}))  # the last value is what others are measured by

@@ -191,8 +191,72 @@ def test_walk_forward_has_all_folds_and_models(spark, sf_dir, monkeypatch):
     from tallyforge.plans import learning
 
     real, asked = learners.estimator, set()
-    monkeypatch.setattr(learners, "estimator", lambda name, features: asked.add(name) or real("linear", features))
+    monkeypatch.setattr(learners, "estimator", lambda name, features, **sizes: asked.add(name) or real("linear", features))
     years = sorted(r.year for r in learning.quarterly(spark, sf_dir).select("year").distinct().collect() if r.year <= learning.TARGET)
     got = {(r.test_year, r.model) for r in learning.walk_forward_cv(spark, sf_dir).select("test_year", "model").distinct().collect()}
     assert len(years) > 3 and asked == set(learners.ESTIMATORS)
     assert got == {(y, m) for y in years[1:] for m in (*learners.ESTIMATORS, "seasonal", "mean")}
+
+
+def test_another_target_year_horizon_and_methods(tmp_path, sf_dir):
+    """The command line's settings reach queries and SQL alike, in a process of their own."""
+    import json
+    import subprocess
+    import sys
+
+    code = """
+import json, sys
+sys.path[:0] = ["tests"]
+from oracle import assert_same
+from tallyforge.catalog import ORACLE_SQL, QUERIES
+from tallyforge.session import local_session
+spark = local_session(4, 4, "2g")
+for name in ("best_method", "recursive_h", "adaptive_cv", "rule_counts"):
+    assert_same(QUERIES[name](spark, sys.argv[1]), ORACLE_SQL[name], sys.argv[1])
+steps = QUERIES["recursive_h"](spark, sys.argv[1]).agg({"step": "max"}).first()[0]
+methods = sorted(r.method for r in QUERIES["leaderboard"](spark, sys.argv[1]).collect())
+print(json.dumps([steps, methods]))
+"""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, TALLYFORGE_TARGET_YEAR="1999", TALLYFORGE_HORIZON="2", TALLYFORGE_METHODS="SES,Naive,Trend", PYTHONPATH=root)
+    done = subprocess.run([sys.executable, "-c", code, sf_dir], capture_output=True, text=True, env=env, cwd=root, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert json.loads(done.stdout.strip().splitlines()[-1]) == [2, ["Naive", "SES", "Trend"]]
+    run = subprocess.run([sys.executable, "-m", "tallyforge", sf_dir, str(tmp_path), "recursive_h", "--target-year", "1999", "--horizon", "1"], capture_output=True, text=True, env=env, cwd=root, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
+    import pyarrow.parquet as pq
+
+    assert set(pq.read_table(tmp_path / "recursive_h")["step"].to_pylist()) == {1}
+
+
+def test_bound_values_are_those_of_plain_expressions(spark):
+    """Forecasters that run all parameters in one pass, against a loop over them."""
+    from tallyforge.operators import series as S
+
+    rows = [(i, [float((7 * i + 13 * j * j) % 50) for j in range(n)]) for i, n in enumerate((1, 2, 3, 4, 5, 9))]
+    got = {r.i: r for r in spark.createDataFrame(rows, "i int, h array<double>").select("i", S.ses(F.col("h")).alias("s"), S.damped(F.col("h")).alias("d"), S.robust_mean(F.col("h")).alias("r"), S.median(F.col("h")).alias("m")).collect()}
+
+    def level(h, a):
+        v = h[0]
+        for x in h[1:]:
+            v = a * x + (1 - a) * v
+        return v
+
+    def holt(h, a, b, p):
+        v, t = h[0], h[1] - h[0]
+        for x in h[1:]:
+            n = a * x + (1 - a) * (v + p * t)
+            v, t = n, b * (n - v) + (1 - b) * p * t
+        return v + p * t
+
+    for i, h in rows:
+        if len(h) >= 3:
+            a = min(S.ALPHAS, key=lambda a: ((level(h[:-1], a) - h[-1]) ** 2, a))
+            assert abs(got[i].s - level(h, a)) < 1e-9
+        if len(h) > 3:
+            x = min(enumerate(S.DAMPED), key=lambda q: ((holt(h[:-1], *q[1]) - h[-1]) ** 2, q[0]))[1]
+            assert abs(got[i].d - holt(h, *x)) < 1e-9
+        s = sorted(h)
+        assert got[i].m == (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
