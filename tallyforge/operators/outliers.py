@@ -3,52 +3,115 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .windows import quantiles
 
+#: Places in space that a cell holds, or so, and places of the sample that bounds every search.
 BLOCK = 4096
 
 
-def _neighbours(batches: np.ndarray, points: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """k nearest points of each row, without itself; equal distances (nine decimals) by id."""
-    d = np.sqrt(((batches[:, None, :] - points[None, :, :]) ** 2).sum(2))
-    d[own[:, None] == ids[None, :]] = np.inf
-    order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(ids, kind="stable")), d.shape), np.round(d, 9)), axis=1)[:, :k]
-    return order, np.take_along_axis(d, order, 1)
+class Cells:
+    """Space cut into slabs by the first feature and each slab by the second, if there is one, at quantiles of a sample. Cell number: slab * wide + part."""
 
+    def __init__(self, first: np.ndarray, second: dict[int, np.ndarray], wide: int):
+        self.first, self.wide = np.unique(first), wide
+        self.second = [np.unique(second.get(i, [])) for i in range(len(self.first) + 1)]
 
-def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int) -> DataFrame:
-    """key and lof: mean local density of the k nearest neighbours over the own one. Exact; distances in space, ties by key.
+    def of(self, x: np.ndarray) -> np.ndarray:
+        slab = np.searchsorted(self.first, x[:, 0], "left")
+        part = np.array([np.searchsorted(self.second[i], v, "left") for i, v in zip(slab, x[:, 1] if x.shape[1] > 1 else x[:, 0], strict=True)], np.int64)
+        return slab * self.wide + (part if x.shape[1] > 1 else 0)
 
-    Points are cut into blocks by hash; each pair of blocks is searched locally (queries of one against points of the other), and each row's best k of each
-    block are merged. Memory of a task: two blocks. A null feature counts as 0.
+    def near(self, x: np.ndarray, radius: float) -> list[int]:
+        """Cells that the box around the ball meets."""
+        lo, hi = np.searchsorted(self.first, [x[0] - radius, x[0] + radius], "left")
+        if len(x) == 1:
+            return [i * self.wide for i in range(lo, hi + 1)]
+        out = []
+        for i in range(lo, hi + 1):
+            a, b = np.searchsorted(self.second[i], [x[1] - radius, x[1] + radius], "left")
+            out += range(i * self.wide + a, i * self.wide + b + 1)
+        return out
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
+
+
+def _candidates(x: np.ndarray, places: np.ndarray, ids: list[np.ndarray], k: int) -> Iterator[tuple[int, list[tuple[float, str, float]]]]:
+    """For each query place its k + 1 nearest points as (distance in nine decimals, id, distance), ties by id."""
+    for lo in range(0, len(x), 256):
+        d = _distances(x[lo : lo + 256], places)
+        for row in range(len(d)):
+            v = d[row]
+            # every place has a point, so the k + 1 nearest places hold enough; with them all that are as far to nine decimals
+            reach = np.partition(v, k)[k] + 2e-9 if len(v) > k else np.inf
+            found = [(round(float(v[i]), 9), o, float(v[i])) for i in np.flatnonzero(v <= reach) for o in ids[i]]
+            yield lo + row, sorted(found)[: k + 1]
+
+
+def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int, block: int = BLOCK) -> DataFrame:
+    """key and lof: mean local density of the k nearest neighbours over the own one. Exact; distances in space, ties (nine decimals) by key.
+
+    Points at the same place are searched for once: a place keeps its k + 1 smallest keys, which is all that any neighbour list can hold of it.
+    Places lie in cells of about `block`. The distance to the k-th place in the own cell, or in a sample of `block` places, bounds a search;
+    a place then visits just the cells that its ball meets. The driver holds a number a cell and 16 * `block` places of a sample, from which the cuts are taken. A null feature counts as 0.
     """
-    pts = df.select(F.col(key).alias("id"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
-    n = pts.count()
-    blocks = max(1, -(-n // BLOCK))
-    pts = pts.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    tagged = pts.select("id", "x", F.col("b").alias("q"), every.alias("p"), F.lit(True).alias("ask")).unionByName(pts.select("id", "x", every.alias("q"), F.col("b").alias("p"), F.lit(False).alias("ask")))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask = pdf["ask"].to_numpy(bool)
-        x, ids = np.stack(pdf["x"].to_numpy()), pdf["id"].to_numpy().astype(str)
+    spark = df.sparkSession
+    pts = df.select(F.col(key).cast("string").alias("id"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
+    few = pts.withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy("id"))).where(F.col("rn") <= k + 1)
+    places = few.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    # one job before the search: how many places there are, and a sample of them that tells where to cut
+    counted = Observation()
+    drawn = places.observe(counted, F.count("*").alias("n")).select("x").orderBy(F.xxhash64("x")).limit(16 * block).collect()
+    sample = np.array([r.x for r in drawn]).reshape(-1, len(features))
+    wide = max(1, math.ceil(math.sqrt(counted.get["n"] / block)))
+    at = np.arange(1, wide) / wide
+    first = np.unique(np.quantile(sample[:, 0], at)) if len(sample) else np.empty(0)
+    slab = np.searchsorted(first, sample[:, 0], "left")
+    second = {i: np.quantile(sample[slab == i, 1], at) for i in np.unique(slab).tolist()} if sample.shape[1] > 1 else {}
+    sent = spark.sparkContext.broadcast((Cells(first, second, wide), sample[:block]))
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells, _ = sent.value
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(cell=cells.of(np.stack(pdf["x"].to_numpy())))
+
+    layout = "x array<double>, ids array<string>, cell long"
+    placed = places.mapInPandas(settle, layout)
+
+    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells, some = sent.value
+        x, out = np.stack(pdf["x"].to_numpy()), []
+        for lo in range(0, len(x), 256):
+            own, far = _distances(x[lo : lo + 256], x), _distances(x[lo : lo + 256], some)
+            for i in range(len(own)):
+                radius = min(np.partition(d, k)[k] if len(d) > k else np.inf for d in (own[i], far[i]))
+                out += [(pdf["x"].iloc[lo + i], c) for c in cells.near(x[lo + i], radius + 2e-9)]
+        return pd.DataFrame(out, columns=["x", "cell"])
+
+    asked = placed.groupBy("cell").applyInPandas(visit, "x array<double>, cell long")
+
+    def search(key_: tuple, asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
-        qx, qi, px, pi = x[ask], ids[ask], x[~ask], ids[~ask]
-        for lo in range(0, len(qx), 256):
-            order, d = _neighbours(qx[lo : lo + 256], px, pi, qi[lo : lo + 256], k)
-            out.append(pd.DataFrame({"id": np.repeat(qi[lo : lo + 256], order.shape[1]), "o": pi[order.ravel()], "d": d.ravel()}))
-        found = pd.concat(out) if out else pd.DataFrame({"id": [], "o": [], "d": []})
-        return found[np.isfinite(found["d"].astype(float))]
-
-    near = tagged.groupBy("q", "p").applyInPandas(search, "id string, o string, d double")
-    near = near.withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy(F.round("d", 9), "o"))).where(F.col("rn") <= k).select("id", "o", "d")
+        if len(asks) and len(held):
+            found = _candidates(np.stack(asks["x"].to_numpy()), np.stack(held["x"].to_numpy()), held["ids"].tolist(), k)
+            out = [(asks["x"].iloc[i], o, d) for i, some in found for _, o, d in some]
+        return pd.DataFrame(out, columns=["x", "o", "d"])
+
+    near = asked.groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(search, "x array<double>, o string, d double")
+    near = near.withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy(F.round("d", 9), "o"))).where(F.col("rn") <= k + 1)
+    lists = near.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("rn", "o", "d"))).alias("list"))
+    own = pts.join(lists, "x").select("id", F.explode(F.slice(F.filter("list", lambda v: v["o"] != F.col("id")), 1, k)).alias("v"))
+    near = own.select("id", F.col("v.o").alias("o"), F.col("v.d").alias("d"))
     reach = near.groupBy("id").agg(F.max("d").alias("kd"))
     density = near.join(reach.withColumnRenamed("id", "o"), "o").groupBy("id").agg((1 / (F.avg(F.greatest("kd", "d")) + 1e-10)).alias("lrd"))
     other = density.select(F.col("id").alias("o"), F.col("lrd").alias("their"))
@@ -83,7 +146,8 @@ def isolation_scores(df: DataFrame, features: list[str], *, trees: int = 200, sa
     """df with column isolation (0 to 1, higher is stranger). Trees are grown on the driver from bounded samples (trees * sample rows at most) and sent to the executors."""
     rng = np.random.default_rng(seed)
     vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-    drawn = df.select(vector.alias("x")).orderBy(F.xxhash64("x", F.lit(seed))).limit(min(trees * sample, 20_000)).collect()
+    # by a hash of the whole row: equal feature vectors are drawn each on its own
+    drawn = df.select(vector.alias("x"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed)).alias("h")).orderBy("h").limit(min(trees * sample, 20_000)).select("x").collect()
     pool = np.array([r.x for r in drawn]) if drawn else np.zeros((1, len(features)))
     size = min(sample, len(pool))
     limit = math.ceil(math.log2(max(size, 2)))
