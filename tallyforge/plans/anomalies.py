@@ -322,3 +322,71 @@ def accuracy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def residual_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of the best method in the target year."""
     return walked(spark, sf_dir, (TARGET,)).groupBy("series_key").agg(F.round(F.min(smape(F.col("actual"), F.col("predicted"))), 4).alias("residual"))
+
+
+# --- seven signals ----------------------------------------------------------------------------------
+#: Share of rows below the cut of each signal; rules flag by their number instead.
+SEVEN = {"rules": None, "isolation": 0.95, "forecast": 0.90, "lof": 0.95, "mahalanobis": 0.95, "benford": 0.90, "changepoint": 0.90}
+
+
+def seven_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """series_key, year and the seven raw signals of each row of the movements panel.
+
+    rules: how many rules flag the row; isolation and mahalanobis of rate, net transfer and size; forecast: error of the last value, in the target year alone;
+    lof: outlier factor of the series; benford: distance of its chapter's first digits, the chapters' median where there are too few; changepoint: the
+    series' largest jump of rate or net transfer.
+    """
+    from ..operators.outliers import isolation_scores, local_outlier_factor, robust_mahalanobis
+
+    w, o = W.partitionBy("series_key"), O.ordered(["series_key"], "year")
+    c, before = F.col("committed"), F.lag("committed").over(o)
+    hits = [F.expr(f"coalesce({cond}, false)").cast("int") for _, cond, _ in ROW_RULES.values()]
+    swing = F.coalesce((before > 0) & (c > 0) & ((c > 10 * before) | (c * 10 < before)), F.lit(False)).cast("int")
+    rows = movements(spark, sf_dir).select("*", F.coalesce(rate(den="ceiling"), F.lit(0.0)).alias("r"), F.coalesce(F.try_divide(F.col("transfer_in") - F.col("transfer_out"), F.when(F.col("opened") > 0, F.col("opened"))), F.lit(0.0)).alias("net"), sum(hits[1:], hits[0] + swing).cast("double").alias("rules"))
+    jump = F.greatest(*[F.coalesce(F.abs(F.col(v) - F.lag(v).over(o)), F.lit(0.0)) for v in ("r", "net")])
+    known = (F.col("year") == TARGET) & (F.row_number().over(o) > 2)
+    rows = rows.select("series_key", "l1", "year", "r", "net", "rules", (F.col("opened") / 1e6).alias("size"), F.coalesce(F.when(known, smape(c, before)), F.lit(0.0)).alias("forecast"), jump.alias("jump"))
+    rows = rows.withColumn("changepoint", F.max("jump").over(w)).drop("jump")
+    scored = robust_mahalanobis(isolation_scores(rows, ["r", "net", "size"], trees=100, sample=256, seed=42), ["r", "net", "size"]).withColumnRenamed("distance", "mahalanobis")
+    series = movements(spark, sf_dir).groupBy("series_key").agg(F.round(F.avg(rate()), 6).alias("x"), F.round(F.coalesce(F.stddev_samp(rate()), F.lit(0.0)), 6).alias("y"))
+    chapters = benford(spark, sf_dir).select("l1", "chi2")
+    middle = O.quantiles(chapters, "chi2", {"m": 0.5})
+    ben = chapters.crossJoin(F.broadcast(middle)).select("l1", F.coalesce("chi2", "m", F.lit(0.0)).alias("benford"))
+    out = scored.join(local_outlier_factor(series, "series_key", ["x", "y"], K), "series_key", "left").join(ben, "l1", "left")
+    return out.select("series_key", "year", *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in SEVEN])
+
+
+def seven_flags(df: DataFrame) -> DataFrame:
+    """The signals with one boolean each (name_flag): two rules or more, the share of rows above the cut else; of forecast errors, of the positive ones."""
+    cut = {s: p for s, p in SEVEN.items() if p}
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("v")) for s in cut])).alias("r")).select("r.*").where("signal <> 'forecast' OR v > 0")
+    q = O.quantiles(long, "v", {"p90": 0.90, "p95": 0.95}, ("signal",))
+    cuts = q.agg(*[F.max(F.when(F.col("signal") == s, F.col(f"p{round(p * 100)}"))).alias(f"{s}_p") for s, p in cut.items()])
+    flags_ = [F.coalesce(F.col(s) >= F.col(f"{s}_p"), F.lit(False)).alias(f"{s}_flag") for s in cut]
+    return df.crossJoin(F.broadcast(cuts)).select("*", (F.col("rules") >= 2).alias("rules_flag"), *flags_).drop(*cuts.columns)
+
+
+@query()
+def seven_signal_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean of the seven signals scaled to 0..1, its top decile, and how many signals flag the row."""
+    df = seven_flags(seven_signals(spark, sf_dir))
+    unit = O.minmax(df, {f"u_{s}": s for s in SEVEN})
+    score = sum([F.col(f"u_{s}") for s in list(SEVEN)[1:]], F.col(f"u_{list(SEVEN)[0]}")) / len(SEVEN)
+    n = sum([F.col(f"{s}_flag").cast("int") for s in list(SEVEN)[1:]], F.col("rules_flag").cast("int"))
+    out = unit.select("series_key", "year", score.alias("score"), n.alias("n_signals"))
+    return out.crossJoin(F.broadcast(O.quantiles(out, "score", {"p": 0.9}))).select("series_key", "year", F.round("score", 6).alias("score"), (F.col("score") >= F.col("p")).alias("top"), "n_signals")
+
+
+def agreement(df: DataFrame, names: list[str]) -> DataFrame:
+    """a, b, jaccard: rows that both flag over rows that either flags (0 if none), from one aggregation of name_flag columns."""
+    count = lambda x: F.sum(x.cast("int"))
+    f = lambda s: F.col(f"{s}_flag")
+    pairs = [(a, b) for a in names for b in names]
+    one = df.agg(*[F.coalesce(F.round(F.try_divide(count(f(a) & f(b)), count(f(a) | f(b))), 3), F.lit(0.0)).alias(f"{a}_{b}") for a, b in pairs])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}_{b}").alias("jaccard")) for a, b in pairs])).alias("r")).select("r.*")
+
+
+@query()
+def seven_signal_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of each pair of the seven signals."""
+    return agreement(seven_flags(seven_signals(spark, sf_dir)), list(SEVEN))

@@ -260,3 +260,54 @@ def test_bound_values_are_those_of_plain_expressions(spark):
             assert abs(got[i].d - holt(h, *x)) < 1e-9
         s = sorted(h)
         assert got[i].m == (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+
+
+def test_seven_signals(spark, sf_dir):
+    """Flags, votes and agreement follow from the signals by their definition."""
+    from tallyforge.plans import anomalies as A
+
+    rows = [r.asDict() for r in A.seven_signals(spark, sf_dir).collect()]
+    assert rows and all(r[s] is not None for r in rows for s in A.SEVEN)
+
+    def quantile(v, p):
+        v, at = sorted(v), p * (len(v) - 1)
+        lo = math.floor(at)
+        return v[lo] + (v[min(lo + 1, len(v) - 1)] - v[lo]) * (at - lo)
+
+    flags = {}
+    for s, p in A.SEVEN.items():
+        cut = quantile([r[s] for r in rows if s != "forecast" or r[s] > 0], p) if p else 2
+        flags[s] = {(r["series_key"], r["year"]) for r in rows if r[s] >= cut - 1e-12}
+    got = {(r.series_key, r.year): r for r in A.seven_signal_score(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k].n_signals == sum(k in f for f in flags.values()) for k in got)
+    ends = {s: (min(r[s] for r in rows), max(r[s] for r in rows)) for s in A.SEVEN}
+    for r in rows:
+        unit = [(r[s] - lo) / (hi - lo) if hi - lo >= 1e-12 else 0.0 for s, (lo, hi) in ends.items()]
+        assert abs(got[r["series_key"], r["year"]].score - sum(unit) / 7) < 2e-6
+    pairs = {(r.a, r.b): r.jaccard for r in A.seven_signal_agreement(spark, sf_dir).collect()}
+    assert len(pairs) == 49
+    for (a, b), j in pairs.items():
+        either = flags[a] | flags[b]
+        assert abs(j - (len(flags[a] & flags[b]) / len(either) if either else 0.0)) < 6e-4
+
+
+def test_outlier_factor_equals_brute_force(spark):
+    """Many equal places, a grid full of ties and a cloud; in one cell and in many."""
+    import numpy as np
+
+    rng, k = np.random.default_rng(1), 5
+    pts = np.round(np.concatenate([rng.normal(size=(200, 2)), np.zeros((200, 2)), rng.integers(0, 6, (200, 2))]), 3)
+    ids = [f"k{i}" for i in range(len(pts))]
+    d, rank = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(2)), np.argsort(np.argsort(ids))
+    near = [[j for j in np.lexsort((rank, np.round(d[i], 9))) if j != i][:k] for i in range(len(pts))]
+    kd = [d[i][n].max() for i, n in enumerate(near)]
+    lrd = np.array([1 / (np.mean([max(kd[j], d[i][j]) for j in n]) + 1e-10) for i, n in enumerate(near)])
+    want = {ids[i]: lrd[n].mean() / lrd[i] for i, n in enumerate(near)}
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in zip(ids, pts, strict=True)], "k string, x double, y double").repartition(3)
+    for block in (4096, 60):
+        got = {r.k: r.lof for r in outliers.local_outlier_factor(df, "k", ["x", "y"], k, block=block).collect()}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-7) for i in ids)
+    one = {r.k: r.lof for r in outliers.local_outlier_factor(df.limit(1), "k", ["x"], k).collect()}
+    assert one == {}
