@@ -45,16 +45,27 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
 
 
-def _candidates(x: np.ndarray, places: np.ndarray, ids: list[np.ndarray], k: int) -> Iterator[tuple[int, list[tuple[float, str, float]]]]:
-    """For each query place its k + 1 nearest points as (distance in nine decimals, id, distance), ties by id."""
+def _nearest(x: np.ndarray, places: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k + 1 nearest points of each query place: its row, their ids and distances. Equal distances (nine decimals) by id."""
+    names = np.concatenate(ids).astype(str)
+    rank = np.argsort(np.argsort(names, kind="stable"))
+    where = np.repeat(np.arange(len(places)), [len(i) for i in ids])  # the place of each point
+    n, m = len(names), min(len(names), k + 9)
+    out: list[tuple] = []
     for lo in range(0, len(x), 256):
-        d = _distances(x[lo : lo + 256], places)
-        for row in range(len(d)):
-            v = d[row]
-            # every place has a point, so the k + 1 nearest places hold enough; with them all that are as far to nine decimals
-            reach = np.partition(v, k)[k] + 2e-9 if len(v) > k else np.inf
-            found = [(round(float(v[i]), 9), o, float(v[i])) for i in np.flatnonzero(v <= reach) for o in ids[i]]
-            yield lo + row, sorted(found)[: k + 1]
+        d = _distances(x[lo : lo + 256], places)[:, where]
+        at = np.argpartition(d, m - 1, axis=1)[:, :m] if m < n else np.broadcast_to(np.arange(n), d.shape)
+        some = np.take_along_axis(d, at, 1)
+        order = np.lexsort((rank[at], np.round(some, 9)), axis=1)
+        at, some = np.take_along_axis(at, order, 1)[:, : k + 1], np.take_along_axis(some, order, 1)
+        if m < n:  # where the last of the few is as near as the last wanted one, more points may be: look at all that are so near
+            for r in np.flatnonzero(np.round(some[:, -1], 9) <= np.round(some[:, k], 9) + 2e-9):
+                near = np.flatnonzero(d[r] <= some[r, k] + 2e-9)
+                at[r] = near[np.lexsort((rank[near], np.round(d[r, near], 9)))[: k + 1]]
+        rows = np.repeat(np.arange(lo, lo + len(at)), at.shape[1])
+        out.append((rows, names[at.ravel()], np.take_along_axis(d, at, 1).ravel()))
+    rows, found, d = (np.concatenate(v) for v in zip(*out, strict=True))
+    return rows, found, d
 
 
 def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int, block: int = BLOCK) -> DataFrame:
@@ -92,20 +103,20 @@ def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int, b
         cells, some = sent.value
         x, out = np.stack(pdf["x"].to_numpy()), []
         for lo in range(0, len(x), 256):
-            own, far = _distances(x[lo : lo + 256], x), _distances(x[lo : lo + 256], some)
-            for i in range(len(own)):
-                radius = min(np.partition(d, k)[k] if len(d) > k else np.inf for d in (own[i], far[i]))
-                out += [(pdf["x"].iloc[lo + i], c) for c in cells.near(x[lo + i], radius + 2e-9)]
-        return pd.DataFrame(out, columns=["x", "cell"])
+            part = x[lo : lo + 256]
+            bounds = [np.partition(_distances(part, of), k, axis=1)[:, k] if len(of) > k else np.full(len(part), np.inf) for of in (x, some)]
+            for i, radius in enumerate(np.minimum(*bounds).tolist(), lo):
+                out += [(i, c) for c in cells.near(x[i], radius + 2e-9)]
+        rows = np.array([r for r, _ in out], np.int64)
+        return pd.DataFrame({"x": pdf["x"].to_numpy()[rows], "cell": np.array([c for _, c in out], np.int64)})
 
     asked = placed.groupBy("cell").applyInPandas(visit, "x array<double>, cell long")
 
     def search(key_: tuple, asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asks) and len(held):
-            found = _candidates(np.stack(asks["x"].to_numpy()), np.stack(held["x"].to_numpy()), held["ids"].tolist(), k)
-            out = [(asks["x"].iloc[i], o, d) for i, some in found for _, o, d in some]
-        return pd.DataFrame(out, columns=["x", "o", "d"])
+        if not len(asks) or not len(held):
+            return pd.DataFrame({"x": [], "o": [], "d": []})
+        rows, o, d = _nearest(np.stack(asks["x"].to_numpy()), np.stack(held["x"].to_numpy()), held["ids"].tolist(), k)
+        return pd.DataFrame({"x": asks["x"].to_numpy()[rows], "o": o, "d": d})
 
     near = asked.groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(search, "x array<double>, o string, d double")
     near = near.withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy(F.round("d", 9), "o"))).where(F.col("rn") <= k + 1)

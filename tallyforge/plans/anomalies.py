@@ -12,6 +12,7 @@ from ..functions.scalars import first_digit, first_digit_sql, normal_label, norm
 from ..operators import windows as O
 from ..operators.series import smape
 from ..sources.panels import TARGET, fine, movements, rate, table
+from ..sources.shared import written_once
 from .base_sql import FINE, MOVES, with_
 from .registry import query
 from .selection import BEST_SQL, VALID, best_method, walk_sql, walked
@@ -346,14 +347,14 @@ def seven_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     jump = F.greatest(*[F.coalesce(F.abs(F.col(v) - F.lag(v).over(o)), F.lit(0.0)) for v in ("r", "net")])
     known = (F.col("year") == TARGET) & (F.row_number().over(o) > 2)
     rows = rows.select("series_key", "l1", "year", "r", "net", "rules", (F.col("opened") / 1e6).alias("size"), F.coalesce(F.when(known, smape(c, before)), F.lit(0.0)).alias("forecast"), jump.alias("jump"))
-    rows = rows.withColumn("changepoint", F.max("jump").over(w)).drop("jump")
+    rows = written_once(rows.withColumn("changepoint", F.max("jump").over(w)).drop("jump"), "features")  # the fits below read it again and again
     scored = robust_mahalanobis(isolation_scores(rows, ["r", "net", "size"], trees=100, sample=256, seed=42), ["r", "net", "size"]).withColumnRenamed("distance", "mahalanobis")
     series = movements(spark, sf_dir).groupBy("series_key").agg(F.round(F.avg(rate()), 6).alias("x"), F.round(F.coalesce(F.stddev_samp(rate()), F.lit(0.0)), 6).alias("y"))
     chapters = benford(spark, sf_dir).select("l1", "chi2")
     middle = O.quantiles(chapters, "chi2", {"m": 0.5})
     ben = chapters.crossJoin(F.broadcast(middle)).select("l1", F.coalesce("chi2", "m", F.lit(0.0)).alias("benford"))
     out = scored.join(local_outlier_factor(series, "series_key", ["x", "y"], K), "series_key", "left").join(ben, "l1", "left")
-    return out.select("series_key", "year", *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in SEVEN])
+    return written_once(out.select("series_key", "year", *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in SEVEN]), "signals")
 
 
 def seven_flags(df: DataFrame) -> DataFrame:
