@@ -7,14 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.shared import written_once
 from .windows import quantiles
 
 #: Places in space that a cell holds, or so, and places of the sample that bounds every search.
-BLOCK = 4096
+BLOCK = 1024
 
 
 class Cells:
@@ -79,11 +80,12 @@ def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int, b
     pts = df.select(F.col(key).cast("string").alias("id"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
     few = pts.withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy("id"))).where(F.col("rn") <= k + 1)
     places = few.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    # one job before the search: how many places there are, and a sample of them that tells where to cut
-    counted = Observation()
-    drawn = places.observe(counted, F.count("*").alias("n")).select("x").orderBy(F.xxhash64("x")).limit(16 * block).collect()
+    places = written_once(places, "places")
+    # before the search: how many places there are, and a sample of them that tells where to cut
+    n = places.count()
+    drawn = places.select("x").orderBy(F.xxhash64("x")).limit(16 * block).collect()
     sample = np.array([r.x for r in drawn]).reshape(-1, len(features))
-    wide = max(1, math.ceil(math.sqrt(counted.get["n"] / block)))
+    wide = max(1, math.ceil(math.sqrt(n / block)))
     at = np.arange(1, wide) / wide
     first = np.unique(np.quantile(sample[:, 0], at)) if len(sample) else np.empty(0)
     slab = np.searchsorted(first, sample[:, 0], "left")
@@ -122,7 +124,7 @@ def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int, b
     near = near.withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy(F.round("d", 9), "o"))).where(F.col("rn") <= k + 1)
     lists = near.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("rn", "o", "d"))).alias("list"))
     own = pts.join(lists, "x").select("id", F.explode(F.slice(F.filter("list", lambda v: v["o"] != F.col("id")), 1, k)).alias("v"))
-    near = own.select("id", F.col("v.o").alias("o"), F.col("v.d").alias("d"))
+    near = written_once(own.select("id", F.col("v.o").alias("o"), F.col("v.d").alias("d")), "neighbours")  # read three times below
     reach = near.groupBy("id").agg(F.max("d").alias("kd"))
     density = near.join(reach.withColumnRenamed("id", "o"), "o").groupBy("id").agg((1 / (F.avg(F.greatest("kd", "d")) + 1e-10)).alias("lrd"))
     other = density.select(F.col("id").alias("o"), F.col("lrd").alias("their"))
