@@ -19,8 +19,8 @@ ESTIMATORS = ("linear", "ridge", "lasso", "forest", "boosting")
 BASELINES = ("seasonal", "mean")
 
 
-def estimator(name: str, features: list[str], label: str = "label", seed: int = 42, trees: int = 200, rounds: int = 300, rate: float = 0.05) -> Pipeline:
-    """Assembled, scaled features and one of: linear, ridge, lasso, forest (of so many trees), boosting (so many rounds at that rate)."""
+def estimator(name: str, features: list[str], label: str = "label", seed: int = 42, trees: int = 200, rounds: int = 300, rate: float = 0.05, depth: int = 3, rows: float = 0.9) -> Pipeline:
+    """Assembled, scaled features and one of: linear, ridge, lasso, forest (of so many trees), boosting (so many rounds at that rate, of that depth, each on that share of rows)."""
     steps = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
     common = {"featuresCol": "features", "labelCol": label}
     if name in ("linear", "ridge", "lasso"):
@@ -28,7 +28,7 @@ def estimator(name: str, features: list[str], label: str = "label", seed: int =
     elif name == "forest":
         steps.append(RandomForestRegressor(numTrees=trees, maxDepth=3, minInstancesPerNode=2, seed=seed, **common))
     elif name == "boosting":
-        steps.append(GBTRegressor(maxIter=rounds, maxDepth=3, stepSize=rate, subsamplingRate=0.9, seed=seed, **common))
+        steps.append(GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=rows, seed=seed, **common))
     else:
         raise ValueError(f"no estimator is called {name}")
     return Pipeline(stages=steps)

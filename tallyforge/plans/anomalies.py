@@ -152,10 +152,14 @@ def anomaly_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BEN = "(" + ", ".join(f"({d}, {math.log10(1 + 1 / d)!r})" for d in range(1, 10)) + ")"
 
 
-@query(with_(MOVES) + f""", dg AS (SELECT l1, {first_digit_sql('committed')} AS d FROM moves WHERE committed > 0),
-c AS (SELECT l1, d, count(*) AS n FROM dg GROUP BY 1, 2), t AS (SELECT l1, sum(n) AS n FROM c GROUP BY 1)
-SELECT t.l1, t.n AS n, CASE WHEN t.n >= 10 THEN round(sum(pow(coalesce(c.n, 0) - t.n * e.p, 2) / (t.n * e.p)), 6) END AS chi2
-FROM t CROSS JOIN (VALUES {_BEN[1:-1]}) AS e(d, p) LEFT JOIN c ON c.l1 = t.l1 AND c.d = e.d GROUP BY t.l1, t.n""")
+def benford_sql() -> list[str]:
+    """Common tables that end with ben: l1, n, chi2."""
+    return [f"dg AS (SELECT l1, {first_digit_sql('committed')} AS d FROM moves WHERE committed > 0)", "c AS (SELECT l1, d, count(*) AS n FROM dg GROUP BY 1, 2), t AS (SELECT l1, sum(n) AS n FROM c GROUP BY 1)",
+        f"""ben AS (SELECT t.l1, CAST(t.n AS BIGINT) AS n, CASE WHEN t.n >= 10 THEN round(sum(pow(coalesce(c.n, 0) - t.n * e.p, 2) / (t.n * e.p)), 6) END AS chi2
+  FROM t CROSS JOIN (VALUES {_BEN[1:-1]}) AS e(d, p) LEFT JOIN c ON c.l1 = t.l1 AND c.d = e.d GROUP BY t.l1, t.n)"""]
+
+
+@query(with_(MOVES, *benford_sql()) + "SELECT l1, n, chi2 FROM ben")
 def benford(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of first digits from Benford's law by chapter."""
     df = movements(spark, sf_dir).where("committed > 0").select("l1", first_digit(F.col("committed")).alias("d"))
@@ -267,15 +271,16 @@ def lof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isolation score of each row (200 trees on samples of 256), the top tenth flagged, and a combined risk class."""
+    """Isolation score of each row (200 trees on samples of 256), the top tenth flagged, and a combined risk class by the largest z of the series."""
     from ..operators.outliers import isolation_scores
 
     w = W.partitionBy("series_key")
     df = fine(spark, sf_dir, until=TARGET).withColumns({"z": F.coalesce(F.abs(F.try_divide(F.col("rate") - F.avg("rate").over(w), F.stddev_samp("rate").over(w))), F.lit(0.0)), "share": F.try_divide("opened", F.avg("opened").over(w))}).fillna(0.0)
     scored = isolation_scores(df, ["rate", "share", "z"], trees=200, sample=256, seed=42)
     cut = O.quantiles(scored, "isolation", {"p": 0.9})
-    out = scored.crossJoin(F.broadcast(cut)).withColumn("outlier", F.col("isolation") >= F.col("p"))
-    risk = F.when(F.col("outlier") & (F.col("z") > 2), "critical").when(F.col("outlier") | (F.col("z") > 2), "high").when(F.col("z") > 1.5, "medium").otherwise("normal")
+    out = scored.withColumn("z_line", F.max("z").over(w)).crossJoin(F.broadcast(cut)).withColumn("outlier", F.col("isolation") >= F.col("p"))
+    most = F.col("z_line")
+    risk = F.when(F.col("outlier") & (most > 2), "critical").when(F.col("outlier") | (most > 2), "high").when(most > 1.5, "medium").otherwise("normal")
     priority = F.when(F.col("outlier") & (F.col("z") > 1.5), "P0").when(F.col("z") > 1.5, "P1").when(F.col("outlier"), "P2").otherwise("P4")
     return out.select("series_key", "year", F.round("isolation", 6).alias("isolation"), "outlier", risk.alias("risk"), priority.alias("priority"))
 

@@ -28,19 +28,19 @@ FEATURES = ["t1", "t2", "prev", "size"]
 SIZES = {"trees": 200, "rounds": 20, "rate": 0.1}
 
 
-def linear_sql(name: str, rows: str, test: str, features: list[str], label: str, penalty: float = 0.0) -> str:
+def linear_sql(name: str, rows: str, test: str, features: list[str], label: str, penalty: float = 0.0, scale: bool = True) -> str:
     """Common tables that end with `name`: all columns of `test` and p, the prediction of a linear fit on `rows`.
 
     Features are scaled by mean and deviation and made orthogonal one after another, each step with its share of the label taken out. A penalty
-    stands in rows of its own, one a feature.
+    stands in rows of its own, one a feature. Without scale features are only centred, and the penalty counts against the sum of squares.
     """
     n = len(features)
     stats = ", ".join(f"avg({f}) AS m{i}, stddev_samp({f}) AS s{i}" for i, f in enumerate(features))
-    scaled = ", ".join(f"({f} - m{i}) / s{i} AS c{i}" for i, f in enumerate(features))
+    scaled = ", ".join(f"({f} - m{i}){f' / s{i}' if scale else ''} AS c{i}" for i, f in enumerate(features))
     out = [f"{name}_m AS (SELECT count(*) AS n, avg({label}) AS my, stddev_pop({label}) AS sy, {stats} FROM {rows})", f"{name}_t AS (SELECT row_number() OVER () AS rid, * FROM {test})"]
     parts = [f"SELECT 0 AS rid, 1 AS learn, {scaled}, {label} - my AS y, 0.0 AS p FROM {rows}, {name}_m", f"SELECT rid, 0, {scaled}, 0.0, my FROM {name}_t, {name}_m"]
     if penalty:
-        parts += [f"SELECT 0, 1, {', '.join(f'sqrt(n * {penalty} / sy)' if i == j else '0.0' for j in range(n))}, 0.0, 0.0 FROM {name}_m" for i in range(n)]
+        parts += [f"SELECT 0, 1, {', '.join(f'sqrt({f"n * {penalty} / sy" if scale else penalty})' if i == j else '0.0' for j in range(n))}, 0.0, 0.0 FROM {name}_m" for i in range(n)]
     out.append(f"{name}_0 AS ({' UNION ALL '.join(parts)})")
     for i in range(n):
         later = [f"c{j}" for j in range(i + 1, n)] + ["y"]
