@@ -17,28 +17,30 @@ from .registry import query
 # The sheet: regions, nations and suppliers of the annual panel, one record each, in order; a record names exactly one level.
 _RECORDS = """recs AS (
   SELECT year, row_number() OVER (PARTITION BY year ORDER BY l1, coalesce(l2, ''), coalesce(CAST(l3 AS INT), -1)) - 1 AS i, CASE WHEN l2 IS NULL THEN l1 END AS b, CASE WHEN l2 IS NOT NULL AND l3 IS NULL THEN l2 END AS c, l3 AS d,
-    'label ' || coalesce(l3, l2, l1) AS h, opened AS k, committed AS ah FROM (
-      SELECT year, l1, l2, l3, opened, committed FROM annual
-      UNION ALL SELECT year, l1, l2, NULL, round(sum(opened), 4), round(sum(committed), 4) FROM annual GROUP BY 1, 2, 3
-      UNION ALL SELECT year, l1, NULL, NULL, round(sum(opened), 4), round(sum(committed), 4) FROM annual GROUP BY 1, 2))"""
+    'label ' || coalesce(l3, l2, l1) AS h, opened AS k, transfer_in AS m, transfer_out AS o, ceiling AS ab, committed AS ah FROM (
+      SELECT year, l1, l2, l3, opened, transfer_in, transfer_out, ceiling, committed FROM annual
+      UNION ALL SELECT year, l1, l2, NULL, round(sum(opened), 4), round(sum(transfer_in), 4), round(sum(transfer_out), 4), round(sum(ceiling), 4), round(sum(committed), 4) FROM annual GROUP BY 1, 2, 3
+      UNION ALL SELECT year, l1, NULL, NULL, round(sum(opened), 4), round(sum(transfer_in), 4), round(sum(transfer_out), 4), round(sum(ceiling), 4), round(sum(committed), 4) FROM annual GROUP BY 1, 2))"""
+#: Amount columns of the sheet by letter.
+_AMOUNTS = {"k": "opened", "m": "transfer_in", "o": "transfer_out", "ab": "ceiling", "ah": "committed"}
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hierarchy as ordered records: year, i, codes b, c, d (one is given), h label, k opened, ah committed. Subtotals come from one rollup."""
-    a = annual(spark, sf_dir).select("year", "l1", "l2", "l3", "opened", "committed")
-    up = lambda keys: a.groupBy("year", *keys).agg(F.round(F.sum("opened"), 4).alias("opened"), F.round(F.sum("committed"), 4).alias("committed"))
+    """The hierarchy as ordered records: year, i, codes b, c, d (one is given), h label, k opened, m and o transfers, ab ceiling, ah committed."""
+    a = annual(spark, sf_dir).select("year", "l1", "l2", "l3", *_AMOUNTS.values())
+    up = lambda keys: a.groupBy("year", *keys).agg(*[F.round(F.sum(c), 4).alias(c) for c in _AMOUNTS.values()])
     none = F.lit(None).cast("string")
     al = a.unionByName(up(["l1", "l2"]).withColumn("l3", none)).unionByName(up(["l1"]).withColumns({"l2": none, "l3": none}))
     i = F.row_number().over(W.partitionBy("year").orderBy("l1", F.coalesce("l2", F.lit("")), F.coalesce(F.col("l3").cast("int"), F.lit(-1)))) - 1
-    return al.select("year", i.alias("i"), F.when(F.col("l2").isNull(), F.col("l1")).alias("b"), F.when(F.col("l2").isNotNull() & F.col("l3").isNull(), F.col("l2")).alias("c"), F.col("l3").alias("d"), F.concat(F.lit("label "), F.coalesce("l3", "l2", "l1")).alias("h"), F.col("opened").alias("k"), F.col("committed").alias("ah"))
+    return al.select("year", i.alias("i"), F.when(F.col("l2").isNull(), F.col("l1")).alias("b"), F.when(F.col("l2").isNotNull() & F.col("l3").isNull(), F.col("l2")).alias("c"), F.col("l3").alias("d"), F.concat(F.lit("label "), F.coalesce("l3", "l2", "l1")).alias("h"), *[F.col(c).alias(letter) for letter, c in _AMOUNTS.items()])
 
 
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells: file, row_nr, b, c, d, h, k, ah; the top row has label and amounts, the row below it the code."""
+    """Cells: file, row_nr, b, c, d, h, k, m, o, ab, ah; the top row has label and amounts, the row below it the code."""
     r = records(spark, sf_dir)
     file = F.format_string("ledger-%d", "year")
-    top = r.select(file.alias("file"), (6 + 2 * F.col("i")).alias("row_nr"), *[F.lit(None).cast("string").alias(c) for c in "bcd"], "h", F.col("k").cast("string").alias("k"), F.col("ah").cast("string").alias("ah"))
-    low = r.select(file.alias("file"), (7 + 2 * F.col("i")).alias("row_nr"), "b", "c", "d", *[F.lit(None).cast("string").alias(c) for c in ("h", "k", "ah")])
+    top = r.select(file.alias("file"), (6 + 2 * F.col("i")).alias("row_nr"), *[F.lit(None).cast("string").alias(c) for c in "bcd"], "h", *[F.col(c).cast("string").alias(c) for c in _AMOUNTS])
+    low = r.select(file.alias("file"), (7 + 2 * F.col("i")).alias("row_nr"), "b", "c", "d", *[F.lit(None).cast("string").alias(c) for c in ("h", *_AMOUNTS)])
     return top.unionByName(low)
 
 
@@ -49,6 +51,13 @@ def extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(year_of_name(F.col("file")).alias("year"), "record", "b", "c", "d", F.col("h").alias("label"), F.col("k").try_cast("double").alias("opened"), F.col("ah").try_cast("double").alias("committed"))
 
 
+@query(with_(ANNUAL, _RECORDS) + "SELECT year, i AS record, coalesce(d, c, b) AS code, k AS opened, m AS transfer_in, o AS transfer_out, ab AS ceiling, ah AS committed FROM recs")
+def extract_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-row scan with the columns of the transfers and of the ceiling as well."""
+    df = C.pair_rows(sheet(spark, sf_dir), first_row=6, top=list(_AMOUNTS), low=["b", "c", "d"], keys=["file"])
+    return df.select(year_of_name(F.col("file")).alias("year"), "record", F.coalesce("d", "c", "b").alias("code"), *[F.col(letter).try_cast("double").alias(c) for letter, c in _AMOUNTS.items()])
+
+
 _DEPTH = "CASE WHEN b IS NOT NULL THEN 1 WHEN c IS NOT NULL THEN 2 WHEN d IS NOT NULL THEN 3 END"
 
 

@@ -17,7 +17,14 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, s
     return spark.read.csv(path, header=True, schema=schema, sep=separator, encoding="UTF-8", enforceSchema=True, nullValue="")
 
 
-def write_delimited(df: DataFrame, path: str, separator: str = SEPARATOR) -> None:
+#: What some spreadsheet programs want at the beginning of a UTF-8 file.
+MARK = "\ufeff"
+
+
+def write_delimited(df: DataFrame, path: str, separator: str = SEPARATOR, mark: bool = False) -> None:
+    """Delimited text with a header. mark: each file begins with a byte order mark, as part of its first column's name."""
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], MARK + df.columns[0])
     df.write.mode("overwrite").csv(path, header=True, sep=separator)
 
 
@@ -27,6 +34,25 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").parquet(f"{folder}/{safe_name(name)}")
 
 
+def sheet_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names of a report's sheets, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory())
+
+
+def read_sheet(spark: SparkSession, folder: str, name: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """One sheet of a report by its name; schema: the columns to read and their types (codes as strings), a column that is missing or no such value is null."""
+    names = sheet_names(spark, folder)
+    if safe_name(name) not in names:
+        raise ValueError(f"no sheet is called {name}: {names}")
+    df = spark.read.parquet(f"{folder}/{safe_name(name)}")
+    if schema is None:
+        return df
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    return df.select(*[(F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields])
+
+
 def read_many(spark: SparkSession, folder: str, pattern: str, schema: T.StructType | str) -> DataFrame:
     """All files of a folder whose names match a glob, with the year in their name."""
     df = spark.read.schema(schema).option("pathGlobFilter", pattern).csv(folder, header=True)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -106,10 +108,36 @@ def test_files(spark, tmp_path):
     assert files.first_that_exists(spark, [str(tmp_path / "none"), str(tmp_path / "cache.json")]) == str(tmp_path / "cache.json")
     files.write_sheets({"one two": df}, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report" / "one_two")).count() == 2
+    assert files.sheet_names(spark, str(tmp_path / "report")) == ["one_two"]
+    sheet = files.read_sheet(spark, str(tmp_path / "report"), "one two", "code string, v double, absent date")
+    assert sorted(map(tuple, sheet.collect())) == [("001", 1.5, None), ("002", None, None)]
+    with pytest.raises(ValueError, match="no sheet"):
+        files.read_sheet(spark, str(tmp_path / "report"), "three")
+    files.write_delimited(df, str(tmp_path / "marked"), mark=True)
+    parts = [p.read_bytes() for p in (tmp_path / "marked").glob("part-*.csv")]
+    assert parts and all(p.startswith(b"\xef\xbb\xbfcode,") for p in parts if p)
+    back = files.read_delimited(spark, str(tmp_path / "marked"), "code string, v double")
+    assert sorted(map(tuple, back.collect())) == [("001", 1.5), ("002", None)]
+    (tmp_path / "many").mkdir()
+    for year in (2023, 2024):
+        (tmp_path / "many" / f"ledger-{year}.csv").write_text("code,v\n007,1\n")
+    (tmp_path / "many" / "other.csv").write_text("code,v\n1,1\n")
+    assert sorted(map(tuple, files.read_many(spark, str(tmp_path / "many"), "ledger-*.csv", "code string, v double").collect())) == [("007", 1.0, 2023), ("007", 1.0, 2024)]
     with pytest.raises(ValueError, match="no column"):
         files.find_column(raw, "absent")
 
 
+def test_labels_follow_compatibility_decomposition(spark):
+    texts = ["Élève œuvre", "ﬁn ﬂux", "½ pièce", "ＡＢＣ１２", "n° 5²", "e\u0301te\u0301", "№ 12", "Ǆungla", "", None, "ℂ x", "Ⅳ part", "㎏ 3", "ſtart", "ß"]
+
+    def want(x):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower()
+        return re.sub("[^a-z0-9]+", " ", plain).strip()
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").select("i", X.normal_label(F.col("x")).alias("y"))
+    assert [r.y for r in df.orderBy("i").collect()] == [x if x is None else want(x) for x in texts]
+
+
 def test_lof_marks_the_outlier(spark):
     df = spark.createDataFrame([(str(i), float(i % 7), float(i // 7)) for i in range(49)] + [("far", 60.0, 60.0)], "k string, x double, y double")
     top = outliers.local_outlier_factor(df, "k", ["x", "y"], 5).orderBy(F.desc("lof")).first()
