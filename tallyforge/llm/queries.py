@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontam, jaccard, langid, linededup, packing, quality, secretscan, voronoi, warc
+from . import classlm, decontam, jaccard, langid, linededup, packing, quality, resample, secretscan, voronoi, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(index).drop("payload")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scan": op2_secret_scan,
@@ -88,8 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_class_lm": op8_class_lm,
     "op9_language_id": op9_language_id,
     "op10_warc_bundles": op10_warc_bundles,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
+
 def _located_sql(pattern: str, group: int, least: int) -> str:
     """DuckDB: list of {start, stop, hit} of the leftmost matches in t."""
     return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, '{pattern}')) + 1), lambda i: {{
@@ -153,6 +160,27 @@ SELECT doc_id, CAST(piece AS INT) AS piece, CAST(start AS BIGINT) AS start, CAST
   CAST(place // capacity AS BIGINT) AS batch_id, CAST(place % capacity AS INT) AS slot FROM a"""
 
 
+def _op13_sql(buckets: int = 10_000, percent: int = 10, least_words: int = 20, seed: int = 2024) -> str:
+    """CRC-32 of each distinct word byte by byte, then the sums, gains and ranks as plain SQL."""
+    words = lambda t: rf"SELECT row_number() OVER () AS r, *, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {t}"
+    return f"""
+WITH d AS ({words("documents")}), b AS ({words("benchmark")}),
+dw AS (SELECT r, doc_id, unnest(w) AS word FROM d), bw AS (SELECT unnest(w) AS word FROM b),
+tab AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, {resample.POLYNOMIAL}) ELSE v >> 1 END, i)) AS t),
+hexed AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+crc AS (SELECT word, xor(list_reduce(list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % {buckets} AS bucket FROM hexed, tab),
+s AS (SELECT bucket, count(*) AS n FROM dw JOIN crc USING (word) GROUP BY 1), t AS (SELECT bucket, count(*) AS n FROM bw JOIN crc USING (word) GROUP BY 1),
+tot AS (SELECT CAST((SELECT coalesce(sum(n), 0) FROM s) + {buckets} AS DOUBLE) AS sn, CAST((SELECT coalesce(sum(n), 0) FROM t) + {buckets} AS DOUBLE) AS tn),
+g AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + CAST(1 AS DOUBLE)) * sn / ((s.n + CAST(1 AS DOUBLE)) * tn))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), tot),
+w AS (SELECT r, count(*) AS n, CAST(floor(CAST(sum(gain) AS BIGINT) / count(*)) AS BIGINT) AS weight FROM dw JOIN crc USING (word) JOIN g USING (bucket) GROUP BY r),
+sc AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+  + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN w USING (r)),
+ranked AS (SELECT *, CASE WHEN n_features >= {least_words} THEN row_number() OVER (PARTITION BY n_features >= {least_words} ORDER BY score DESC, doc_id NULLS FIRST, n_features) END AS k,
+  count(*) FILTER (n_features >= {least_words}) OVER () * {percent} // 100 AS wanted FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= wanted THEN k END AS rank FROM ranked"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": _op2_sql(),
     "op3_benchmark_decontamination": r"""
@@ -177,6 +205,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN it USING (r)""",
     "op4_length_packing": _op4_sql(),
+    "op13_importance_resampling": _op13_sql(),
     "op7_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT r, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
