@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontam, jaccard, langid, linededup, packing, quality, resample, secretscan, voronoi, warc, whitening
+from . import classlm, decontam, jaccard, langid, licences, linededup, packing, quality, resample, secretscan, voronoi, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op10_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(index).drop("payload")
 
 
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licence_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.by_component(whitening.whiten(table(spark, sf_dir, "embeddings")))
     return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_class_lm": op8_class_lm,
     "op9_language_id": op9_language_id,
     "op10_warc_bundles": op10_warc_bundles,
+    "op11_licence_scan": op11_licence_scan,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_importance_resampling": op13_importance_resampling,
 }
