@@ -1,34 +1,44 @@
-"""Estimators over DataFrames: MLlib pipelines, and Arrow functions where MLlib has none."""
+"""Estimators over DataFrames: MLlib pipelines, linear models from moments, boosted ensembles."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-ESTIMATORS = ("linear", "ridge", "lasso", "forest", "boosting")
-BASELINES = ("seasonal", "mean")
-
+from ..sources.shared import written_once
+from . import moments as M
+from .boosting import Boosting, Fit, fit_all
 
-def estimator(name: str, features: list[str], label: str = "label", seed: int = 42, trees: int = 200, rounds: int = 300, rate: float = 0.05, depth: int = 3, rows: float = 0.9) -> Pipeline:
-    """Assembled, scaled features and one of: linear, ridge, lasso, forest (of so many trees), boosting (so many rounds at that rate, of that depth, each on that share of rows)."""
+ESTIMATORS = ("linear", "ridge", "lasso", "forest", "boosting", "leafwise")
+BASELINES = ("seasonal", "mean")
+#: Penalties of the folds' ridge and lasso on standardised features (fixed values).
+ALPHAS = {"linear": 0.0, "ridge": 1.0, "lasso": 0.01}
+#: Boosted ensembles of the reports (fixed values). "leafwise" grows by the best leaf; its share of rows is 1, as no bagging frequency is set there.
+BOOSTED = {
+    "selection": Boosting(rounds=200, depth=2, rate=0.05, rows=0.8, l1=0.1),
+    "leafwise": Boosting(rounds=200, depth=3, rate=0.05, columns=0.8, l2=0.0, least=2, leaves=15),
+    "alerts": Boosting(rounds=200, depth=2, rate=0.03, rows=0.7, columns=0.8, l1=0.5),
+    "backtest": Boosting(rounds=300, depth=3, rate=0.05, rows=0.8, l1=0.1),
+    "pooled": Boosting(rounds=300, depth=3, rate=0.05, rows=0.9),
+}
+
+
+def estimator(name: str, features: list[str], label: str = "label", seed: int = 42, trees: int = 200) -> Pipeline:
+    """Assembled, scaled features and one of: linear, ridge, lasso, forest (of so many trees). Boosted ensembles are in operators/boosting.py."""
     steps = [VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
     common = {"featuresCol": "features", "labelCol": label}
     if name in ("linear", "ridge", "lasso"):
         steps.append(LinearRegression(regParam={"linear": 0.0, "ridge": 1e-3, "lasso": 1e-3}[name], elasticNetParam=float(name == "lasso"), standardization=False, **common))
     elif name == "forest":
         steps.append(RandomForestRegressor(numTrees=trees, maxDepth=3, minInstancesPerNode=2, seed=seed, **common))
-    elif name == "boosting":
-        steps.append(GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=rows, seed=seed, **common))
     else:
         raise ValueError(f"no estimator is called {name}")
     return Pipeline(stages=steps)
@@ -42,62 +52,62 @@ def _baseline(name: str, past: DataFrame, now: DataFrame) -> DataFrame:
     return now.join(known, key, "left").crossJoin(F.broadcast(rest)).withColumn("prediction", F.coalesce("known", "rest"))
 
 
-def walk_forward(df: DataFrame, features: list[str], names: Iterable[str], years: Iterable[int] | None = None, **sizes) -> DataFrame:
-    """test_year, category, model, rmse, mae, mape: each year is predicted by models of strictly earlier years. One fit a fold and model.
+def fold_lines(by_year: dict[int, M.Moments], features: list[str], name: str, year: int) -> M.Line | None:
+    """The linear model of a fold, from the moments of its earlier years."""
+    past = M.total([m for y, m in by_year.items() if y < year], len(features) + 1)
+    return M.lasso(past, features, ALPHAS[name]) if name == "lasso" else M.ridge(past, features, ALPHAS[name])
+
+
+def errors_by_category(df: DataFrame, year: int, model: str) -> DataFrame:
+    """test_year, category, model, rmse, mae, mape of label and prediction; mape leaves zero labels out."""
+    e = F.abs(F.col("label") - F.col("prediction"))
+    part = df.groupBy("category").agg(F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(e), 6).alias("mae"), F.round(F.avg(F.when(F.col("label") != 0, e / F.abs("label"))) * 100, 4).alias("mape"))
+    return part.select(F.lit(year).alias("test_year"), "category", F.lit(model).alias("model"), "rmse", "mae", "mape")
+
+
+def walk_forward(df: DataFrame, features: list[str], names: Iterable[str], years: Iterable[int] | None = None, trees: int = 200) -> DataFrame:
+    """test_year, category, model, rmse, mae, mape: each year is predicted by models of strictly earlier years.
 
-    Without years, all of df that have an earlier one. names: of ESTIMATORS and BASELINES. sizes: trees, rounds and rate of the ensembles.
+    Without years, all of df that have an earlier one. names: of ESTIMATORS and BASELINES. The rows are written once. Linear models of all folds come from the moments of
+    one scan, boosted ensembles of all folds are trained side by side; only forests are fitted fold by fold.
     """
-    out, kept = None, df.persist()
-    df = kept
-    if years is None:
-        years = sorted(r.year for r in df.select("year").distinct().collect())[1:]
+    df, names = written_once(df, "folds"), list(names)
+    moments = {y: m for (y,), m in M.group_moments(df, features, "label", ["year"]).items()}
+    years = sorted(moments)[1:] if years is None else list(years)
+    sets = {"boosting": BOOSTED["selection"], "leafwise": BOOSTED["leafwise"]}
+    fits = {(n, y): Fit(tuple(features), "label", F.col("year") < y, sets[n]) for n in names if n in sets for y in years}
+    ensembles = fit_all(df, {f"{n}:{y}": f for (n, y), f in fits.items()}, ["series_key", "year"]) if fits else {}
+    out = []
     for year in years:
         past, now = df.where(F.col("year") < year), df.where(F.col("year") == year)
         for name in names:
-            p = _baseline(name, past, now) if name in BASELINES else estimator(name, features, **sizes).fit(past).transform(now)
-            e = F.abs(F.col("label") - F.col("prediction"))
-            part = p.groupBy("category").agg(F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"), F.round(F.avg(e), 6).alias("mae"), F.round(F.avg(F.when(F.col("label") != 0, e / F.abs("label"))) * 100, 4).alias("mape"))
-            part = part.select(F.lit(year).alias("test_year"), "category", F.lit(name).alias("model"), "rmse", "mae", "mape")
-            # a row a category: fetched, so that the rows kept for all folds can go
-            out = [*(out or []), *part.collect()]
-    kept.unpersist()
-    return df.sparkSession.createDataFrame(out or [], "test_year int, category string, model string, rmse double, mae double, mape double")
-
-
-def ridge_by_cv(df: DataFrame, features: list[str], penalties: tuple[float, ...] = (1e-4, 1e-3, 1e-2, 1e-1)) -> tuple[PipelineModel, float]:
-    """Best ridge of a grid by three-fold cross-validation, and its penalty."""
-    pipe = estimator("ridge", features)
-    reg = pipe.getStages()[-1]
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().addGrid(reg.regParam, list(penalties)).build(), evaluator=RegressionEvaluator(labelCol="label"), numFolds=3, seed=3)
-    df = df.persist()
-    best = cv.fit(df).bestModel
-    df.unpersist()
-    return best, float(best.stages[-1].getRegParam())
-
-
-def _own_ridge(v: np.ndarray) -> float:
-    def row(i: int) -> list[float]:
-        past = v[:i]
-        slope = float(np.polyfit(np.arange(i), past, 1)[0]) if i >= 2 else 0.0
-        return [past[-1], past[-2] if i >= 2 else past[-1], float(past.mean()), slope]
-
-    if len(v) < 4:
-        return max(0.0, float(np.polyval(np.polyfit(np.arange(len(v)), v, 1), len(v)))) if len(v) >= 2 else float(v[-1])
-    x, y = np.array([row(i) for i in range(2, len(v))]), v[2:]
-    mx, my = x.mean(0), y.mean()
-    w = np.linalg.solve((x - mx).T @ (x - mx) + np.eye(4), (x - mx).T @ (y - my))
-    return float(my + (np.array(row(len(v))) - mx) @ w)
-
-
-def ridge_by_series(df: DataFrame, key: str, year: str, value: str) -> DataFrame:
-    """key and predicted: a small ridge of each series. Histories are arrays, so one Arrow batch fits many series."""
-    h = df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(year, value))), lambda x: x[value]).alias("h"))
-
-    @F.pandas_udf("double")
-    def fit(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: _own_ridge(np.asarray(v, float)))
-
-    return h.select(key, fit("h").alias("predicted"))
+            if name in BASELINES:
+                p = _baseline(name, past, now)
+            elif name in ALPHAS:
+                line = fold_lines(moments, features, name, year)
+                p = now.withColumn("prediction", line.column() if line else F.lit(None).cast("double"))
+            elif name in sets:
+                p = ensembles[f"{name}:{year}"].transform(now)
+            else:
+                p = estimator(name, features, trees=trees).fit(past).transform(now)
+            out.append(errors_by_category(p, year, name))
+    if not out:
+        return df.sparkSession.createDataFrame([], "test_year int, category string, model string, rmse double, mae double, mape double")
+    return reduce(DataFrame.unionByName, out)
+
+
+def fold_of(parts: int, *key: str) -> Column:
+    """Fold number from a digest of the key: the same in every run, and in SQL."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *key)), 1, 8), 16, 10).cast("long") % parts).cast("int")
+
+
+PENALTIES = (0.01, 0.1, 1.0, 10.0, 100.0)
+
+
+def ridge_by_cv(df: DataFrame, features: list[str], key: list[str], penalties: tuple[float, ...] = PENALTIES, parts: int = 3) -> tuple[M.Line | None, float]:
+    """Ridge over standardised features whose penalty cross-validation picks, and that penalty, from the moments of one scan; folds by a digest of the key."""
+    found = M.group_moments(df.withColumn("_fold", fold_of(parts, *key)), features, "label", ["_fold"])
+    return M.cross_validated_ridge([found.get((i,), M.Moments.none(len(features) + 1)) for i in range(parts)], features, list(penalties))
 
 
 def quantile_regression(train: DataFrame, test: DataFrame, features: list[str], label: str, quantiles: tuple[float, float, float], rounds: int = 25) -> DataFrame:

@@ -160,6 +160,85 @@ def robust_mean(h: Column) -> Column:
     return bound(tail(h, 3), lambda t: bound(median(t), lambda m: around(t, m)))
 
 
+def _line_slope(h: Column, years: Column) -> Column:
+    """Slope of a straight line over the years; 0 if they are all one."""
+    t = total(F.transform(years, lambda y: y.cast("double"))) / F.size(years)
+
+    def slope(t: Column) -> Column:
+        xx = total(F.transform(years, lambda y: (y - t) * (y - t)))
+        return F.coalesce(total(F.zip_with(h, years, lambda v, y: (y - t) * v)) / F.nullif(xx, F.lit(0.0)), F.lit(0.0))
+
+    return bound(t, slope)
+
+
+def _lag_row(h: Column, years: Column) -> Column:
+    """Features of the value that follows h: last value, the one before, mean, slope."""
+    return F.array(last(h), last(h, 2), mean(h), _line_slope(h, years))
+
+
+def least_squares(columns: Column, y: Column, learn: Column | int, start: Column) -> Column:
+    """Prediction for the last row by making columns orthogonal one after another (modified Gram-Schmidt).
+
+    columns: array of columns, each an array of doubles by row; y: the label by row; learn: how many rows are learnt from, in front of the row that is predicted. Rows of a penalty are rows like
+    others: one a column, with the root of the penalty there and label 0. start: what a row of zeros gets. Each step takes its share out of the later columns and the label in all rows, so the
+    last row's share is its prediction and no system has to be solved.
+    """
+    rows = lambda c: F.slice(c, F.lit(1), learn if isinstance(learn, Column) else F.lit(learn))
+    dot = lambda a, b: total(F.zip_with(rows(a), rows(b), lambda u, v: u * v))
+    less = lambda a, b, k: F.zip_with(a, b, lambda u, v: u - k * v)
+
+    def step(s: Column, i: Column) -> Column:
+        def with_c(c: Column) -> Column:
+            return bound(F.nullif(dot(c, c), F.lit(0.0)), lambda norm: with_norm(c, norm))
+
+        def share(c: Column, other: Column, norm: Column) -> Column:
+            return F.coalesce(dot(c, other) / norm, F.lit(0.0))
+
+        def with_norm(c: Column, norm: Column) -> Column:
+            later = F.transform(s["c"], lambda other, j: F.when(j > i, bound(share(c, other, norm), lambda k: less(other, c, k))).otherwise(other))
+            return bound(share(c, s["y"], norm), lambda k: F.struct(later.alias("c"), less(s["y"], c, k).alias("y"), (s["p"] + k * F.element_at(c, -1)).alias("p")))
+
+        return bound(F.element_at(s["c"], i + 1), with_c)
+
+    state = F.struct(columns.alias("c"), y.alias("y"), start.alias("p"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(columns) - 1), state, step, lambda s: s["p"])
+
+
+def ridge(h: Column, years: Column, target: Column | int, alpha: float = 1.0) -> Column:
+    """A ridge of the series on its own last value, the one before, mean and slope (features centred, not scaled), not below zero.
+
+    Each value with two earlier ones is a row. Below two rows: a straight line over the years, read off at the target year.
+    """
+    places = F.sequence(F.lit(2), F.size(h) - 1)
+    row = lambda i: _lag_row(F.slice(h, F.lit(1), i), F.slice(years, F.lit(1), i))
+    cell = lambda rows, j: F.transform(rows, lambda r: F.element_at(r, j + 1))
+    root = alpha**0.5
+
+    def fit(z: Column) -> Column:
+        """z: rows of the values known and, last, the row to predict."""
+        m = F.size(z) - 1
+        known = F.slice(z, F.lit(1), m)
+
+        def column(j: Column) -> Column:
+            penalty = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.when(k == j, F.lit(root)).otherwise(F.lit(0.0)))
+            return bound(mean(cell(known, j)), lambda c: F.concat(F.transform(cell(known, j), lambda v: v - c), penalty, F.array(F.element_at(F.element_at(z, -1), j + 1) - c)))
+
+        labels = F.slice(h, F.lit(3), m)
+        columns = F.transform(F.sequence(F.lit(0), F.lit(3)), column)
+        y = bound(mean(labels), lambda c: F.concat(F.transform(labels, lambda v: v - c), F.array(*[F.lit(0.0)] * 5)))
+        return F.greatest(F.lit(0.0), least_squares(columns, y, m + 4, mean(labels)))
+
+    every = F.concat(F.transform(places, row), F.array(_lag_row(h, years)))
+    return F.when(F.size(h) < 4, line_at(h, years, target)).otherwise(bound(every, fit))
+
+
+def line_at(h: Column, years: Column, target: Column | int) -> Column:
+    """Straight line over the years read off at the target year, not below zero; the last value if there is only one."""
+    t = total(F.transform(years, lambda y: y.cast("double"))) / F.size(years)
+    at = (target if isinstance(target, Column) else F.lit(target)).cast("double")
+    return F.when(F.size(h) < 2, last(h)).otherwise(F.greatest(F.lit(0.0), mean(h) + _line_slope(h, years) * (at - t)))
+
+
 #: Methods on one history alone.
 METHODS: dict[str, Callable[[Column], Column]] = {"DampedTrend": damped, "LogTrend": log_trend, "Mean3": mean3, "Median": median, "Naive": naive, "RobustMean": robust_mean, "SES": ses, "Theta": theta, "Trend": trend, "Weighted": weighted}
 

@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 from ..operators import learners as L
 from ..operators import series as S
 from ..operators import windows as O
+from ..operators.boosting import Fit, fit_all
 from ..sources import cells as C
 from ..sources.panels import TARGET, annual, fine, rate, table
+from ..sources.shared import written_once
 from .anomalies import SCORE_SQL, SIGNALS, _TOP_SQL, benford, benford_sql, votes
 from .base_sql import ANNUAL, FINE, MOVES, QUARTERS, with_
 from .cleaning import _DEPTH, _RECORDS, records
 from .features import WIDE_SQL, wide
 from .forecasts import CREDITS_SQL, HIST, RECENT_SQL, exec_rate, history, target
-from .learning import FEATURES, QUARTERLY_SQL, SIZES, linear_sql, quarterly
+from .learning import FEATURES, QUARTERLY_SQL, linear_sql, quarterly
 from .registry import query
 from .selection import walk_sql
 
@@ -175,19 +177,13 @@ def model_ab_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_models({"base": L.estimator("linear", BASE).fit(train).transform(test), "improved": robust_ridge(train, test, FEATURES, ALPHA)})
 
 
-#: Boosted ensembles of the reports: rounds, depth, rate and row share of each (fixed values).
-BOOSTED = {"selection": (200, 2, 0.05, 0.8), "leafwise": (200, 3, 0.05, 0.8), "alerts": (200, 2, 0.03, 0.7), "backtest": (300, 3, 0.05, 0.8)}
-
-
 @query()
 def boosting_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four parameter sets of boosting on one hold-out. Rounds are a tenth of each set's, at ten times its rate within 0.3, as SIZES says."""
+    """The four parameter sets of boosting on one hold-out, at all their rounds, trained side by side."""
     df = quarterly(spark, sf_dir)
-    train, test = df.where(F.col("year") < TARGET).persist(), df.where(F.col("year") == TARGET)
-    share = SIZES["rounds"] / 200
-    fits = {k: L.estimator("boosting", FEATURES, rounds=max(1, round(n * share)), depth=d, rate=min(0.3, r / share), rows=s).fit(train).transform(test) for k, (n, d, r, s) in BOOSTED.items()}
-    train.unpersist()
-    return compare_models(fits)
+    test = df.where(F.col("year") == TARGET)
+    fits = fit_all(df, {k: Fit(tuple(FEATURES), where=F.col("year") < TARGET, how=L.BOOSTED[k]) for k in ("selection", "leafwise", "alerts", "backtest")}, ["series_key", "year"])
+    return compare_models({k: f.transform(test) for k, f in fits.items()})
 
 
 #: Isolation forests of the reports: trees and share of rows flagged (fixed values); None follows the share of series that rules flag, within 0.02 and 0.12.
@@ -225,17 +221,22 @@ def isolation_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def two_stage_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean error of the direct and the rolling forecast of the year's end for linear, ridge, forest and boosting: the rolling one learns from actual third quarters and is applied to predicted ones."""
-    df = quarterly(spark, sf_dir)
-    train, test = df.where(F.col("year") < TARGET).persist(), df.where(F.col("year") == TARGET)
+    df = written_once(quarterly(spark, sf_dir), "stages")
+    train, test = df.where(F.col("year") < TARGET), df.where(F.col("year") == TARGET)
+    late = ["t2", "t3", "prev"]
+    own = lambda label, features=FEATURES: Fit(tuple(features), label, F.col("year") < TARGET, L.BOOSTED["selection"])
+    boosted = fit_all(df, {"direct": own("label"), "third": own("t3"), "last": own("label", late)}, ["series_key", "year"])
     out = None
     for name in ("linear", "ridge", "forest", "boosting"):
-        direct = L.estimator(name, FEATURES, **SIZES).fit(train)
-        third = L.estimator(name, FEATURES, **SIZES).fit(train.withColumn("label", F.col("t3")))
-        last = L.estimator(name, ["t2", "t3", "prev"], **SIZES).fit(train)
+        if name == "boosting":
+            direct, third, last = (boosted[k] for k in ("direct", "third", "last"))
+        else:
+            direct = L.estimator(name, FEATURES).fit(train)
+            third = L.estimator(name, FEATURES).fit(train.withColumn("label", F.col("t3")))
+            last = L.estimator(name, late).fit(train)
         one = direct.transform(test).withColumnRenamed("prediction", "direct").drop("features", "raw")
         both = last.transform(third.transform(one).withColumn("t3", F.col("prediction")).drop("prediction", "features", "raw"))
         e = lambda c: F.round(F.avg(F.abs(F.col("label") - F.col(c))), 6)
         part = both.agg(F.count("*").alias("n"), e("direct").alias("direct"), e("prediction").alias("rolling")).select(F.lit(name).alias("model"), "n", "direct", "rolling")
         out = part if out is None else out.unionByName(part)
-    train.unpersist()
     return out

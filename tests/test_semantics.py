@@ -248,7 +248,7 @@ print(json.dumps([steps, methods]))
     import os
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    env = dict(os.environ, TALLYFORGE_TARGET_YEAR="1999", TALLYFORGE_HORIZON="2", TALLYFORGE_METHODS="SES,Naive,Trend", PYTHONPATH=root)
+    env = dict(os.environ, TALLYFORGE_TARGET_YEAR="1999", TALLYFORGE_HORIZON="2", TALLYFORGE_METHODS="SES,Naive,Trend", PYTHONPATH=os.pathsep.join(x for x in (root, os.environ.get("PYTHONPATH")) if x))
     done = subprocess.run([sys.executable, "-c", code, sf_dir], capture_output=True, text=True, env=env, cwd=root, timeout=600)
     assert done.returncode == 0, done.stderr[-2000:]
     assert json.loads(done.stdout.strip().splitlines()[-1]) == [2, ["Naive", "SES", "Trend"]]
