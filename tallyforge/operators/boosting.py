@@ -7,7 +7,8 @@ best-first growth would have made. Rows of a tree are drawn by a digest of their
 
 Each level of a tree is one pass over blocks of bins, for all fits together: the tasks' sums are added on the executors, and the driver sees histograms, cuts and trees only. Blocks are
 numpy arrays in a persisted RDD, as a pass is imperative work on a partition and hundreds of passes follow each other; they come from a table that is written once. Every `chunk` rounds the rows'
-margins are moved on by the new trees, so a pass applies few of them. A lost executor's blocks are made again from the table and the trees.
+margins are moved on by the new trees, so a pass applies few of them. A lost executor's blocks are made again from the table and the trees. A table that is a single block's worth of rows
+needs no passes: the task that holds it has the totals and runs the same rounds by itself.
 """
 
 from __future__ import annotations
@@ -320,20 +321,67 @@ def fit_all(df: DataFrame, fits: dict[str, Fit], key: list[str], *, chunk: int =
     plan = {i: (x.how, cuts[i], [features.index(f) for f in x.features], labels.index(x.label), bases[i]) for i, x in enumerate(fits.values()) if bases[i] is not None}
     if not plan:
         return {name: Trees(fits[name].features, None, []) for name in names}
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast(plan)
+    tasks = max(1, -(-facts.n // ROWS_A_TASK))
+    train = _in_one_task if tasks == 1 else _in_passes
+    for i, tree in train(table.repartition(tasks), plan, chunk):
+        trees[i].append(tree)
+    return {name: Trees(fits[name].features, bases[i], trees[i]) for i, name in enumerate(names)}
+
+
+#: Of each fit: parameters, cuts, number of each feature and of the label among the columns, base.
+Plan = dict[int, tuple[Boosting, list[np.ndarray], list[int], int, float]]
+
+
+def _block(batch: pa.RecordBatch, plan: Plan) -> Blocks:
+    number = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
+    block = {}
+    for i, (_, own, f, y, base) in plan.items():
+        m = batch.column(f"m{i}").to_numpy(zero_copy_only=False).astype(bool)
+        block[i] = Part.of(own, np.column_stack([number(f"f{j}")[m] for j in f]), number(f"y{y}")[m], batch.column("key").to_numpy()[m].astype(np.uint64), base)
+    return block
+
+
+def _growers(plan: Plan, r: int) -> dict[int, Grower]:
+    return {i: Grower(how, own, r) for i, (how, own, *_) in plan.items() if r < how.rounds}
+
+
+def _rounds(plan: Plan) -> int:
+    return max(how.rounds for how, *_ in plan.values())
+
+
+def _in_one_task(table: DataFrame, plan: Plan, chunk: int) -> Iterator[tuple[int, Tree]]:
+    """Where all rows are one task's (ROWS_A_TASK at most), their sums are the totals: that task runs the rounds itself, five chunks to a job. Trees are those of the passes."""
+    grown: dict[int, list[Tree]] = {i: [] for i in plan}
+    for lo in range(0, _rounds(plan), 5 * chunk):
+        sent = table.sparkSession.sparkContext.broadcast((plan, grown))
+
+        def train(batches: Iterator[pa.RecordBatch], sent=sent, lo=lo) -> Iterator[pa.RecordBatch]:
+            plan, grown = sent.value
+            blocks = [moved(_block(batch, plan), grown) for batch in batches]
+            out = []
+            for r in range(lo, min(_rounds(plan), lo + 5 * chunk)):
+                trees = grow(_growers(plan, r), lambda g: sum(measured(block, g) for block in blocks))
+                blocks = [moved(block, {i: [t] for i, t in trees.items()}) for block in blocks]
+                out += trees.items()
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)], pa.binary())], names=["trees"])
+
+        for row in table.mapInArrow(train, "trees binary").collect():
+            for i, tree in pickle.loads(row.trees):
+                grown[i].append(tree)
+                yield i, tree
+        sent.destroy()
+
+
+def _in_passes(table: DataFrame, plan: Plan, chunk: int) -> Iterator[tuple[int, Tree]]:
+    """A pass over all blocks for each level."""
+    sent = table.sparkSession.sparkContext.broadcast(plan)
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number = lambda c, batch=batch: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
-            block = {}
-            for i, (_, own, f, y, base) in sent.value.items():
-                m = batch.column(f"m{i}").to_numpy(zero_copy_only=False).astype(bool)
-                block[i] = Part.of(own, np.column_stack([number(f"f{j}")[m] for j in f]), number(f"y{y}")[m], batch.column("key").to_numpy()[m].astype(np.uint64), base)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], names=["block"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_block(batch, sent.value))], pa.binary())], names=["block"])
 
-    tasks = max(1, -(-facts.n // ROWS_A_TASK))
-    blocks = table.repartition(tasks).mapInArrow(to_blocks, "block binary").rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = table.mapInArrow(to_blocks, "block binary").rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
+    many = blocks.getNumPartitions() > 64
     fresh: dict[int, list[Tree]] = {i: [] for i in plan}  # trees that the blocks' margins don't hold yet
 
     def total(growers: dict[int, Grower]) -> np.ndarray:
@@ -346,18 +394,16 @@ def fit_all(df: DataFrame, fits: dict[str, Fit], key: list[str], *, chunk: int =
             yield out
 
         sums = blocks.mapPartitions(add)
-        return sums.treeReduce(np.add) if tasks > 64 else sums.reduce(np.add)
+        return sums.treeReduce(np.add) if many else sums.reduce(np.add)
 
-    for r in range(max(how.rounds for how, *_ in plan.values())):
-        growers = {i: Grower(how, own, r) for i, (how, own, *_) in plan.items() if r < how.rounds}
-        for i, tree in grow(growers, total).items():
-            trees[i].append(tree)
+    for r in range(_rounds(plan)):
+        for i, tree in grow(_growers(plan, r), total).items():
             fresh[i].append(tree)
-        if (r + 1) % chunk == 0:  # computed by the next pass; the older blocks stay until then
+            yield i, tree
+        if (r + 1) % chunk == 0:  # the margins move on; the older blocks go when the new ones are there
             held, done = blocks, fresh
             blocks = held.map(lambda block, done=done: moved(block, done)).persist(StorageLevel.MEMORY_AND_DISK)
             fresh = {i: [] for i in plan}
             blocks.count()
             held.unpersist()
     blocks.unpersist()
-    return {name: Trees(fits[name].features, bases[i], trees[i]) for i, name in enumerate(names)}

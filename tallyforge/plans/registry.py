@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Stands in SQL that leaves something out, for settings with methods that SQL can't express: such a query is registered without SQL.
+NOT_SQL = "/* not all of it */ "
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -19,7 +21,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         if key in QUERIES:
             raise ValueError(f"two queries are called {key}")
         QUERIES[key] = f
-        if sql:
+        if sql and NOT_SQL not in sql:
             ORACLE_SQL[key] = sql
         return f
 

@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import series as S
+from ..operators.methods import METHODS as METHODS_BY_NAME
+from ..operators.methods import Fitted, long_predictions
 from ..operators.windows import quantiles, ranked_values
 from ..settings import METHODS
 from ..sources.panels import TARGET, fine
+from ..sources.shared import written_once
 from .base_sql import FINE, with_
 from .forecasts import CREDITS_SQL, GROWTH_SQL, HIST, METHOD_SQL, RATE_MODEL_SQL, RECENT_SQL, SMAPE, exec_rate, growth, history, rate_models, target
-from .registry import query
+from .learning import ridge_sql
+from .registry import NOT_SQL, query
 
 FOUR = METHODS
 VALID = (TARGET - 2, TARGET - 1, TARGET)
@@ -30,27 +34,43 @@ def scored(df: DataFrame) -> DataFrame:
 
 
 def walk(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = VALID, least: int = 2) -> DataFrame:
-    """series_key, l1, year, actual, h: each validation year with all earlier values of its series; one shuffle by series, no self-join."""
+    """series_key, l1, year, actual, h, hy: each validation year with all earlier values of its series and their years; one shuffle by series, no self-join."""
     all_years = S.collapse(fine(spark, sf_dir), ["series_key"], "year", "committed", keep=("l1",)).select("series_key", "l1", F.explode(F.arrays_zip("years", "committeds")).alias("p"), F.arrays_zip("years", "committeds").alias("z"))
     at = all_years.where(F.col("p.years").isin(*years))
-    h = F.transform(F.filter("z", lambda x: x["years"] < F.col("p.years")), lambda x: x["committeds"])
-    return at.select("series_key", "l1", F.col("p.years").alias("year"), F.col("p.committeds").alias("actual"), h.alias("h")).where(F.size("h") >= least)
+    past = at.select("series_key", "l1", F.col("p.years").alias("year"), F.col("p.committeds").alias("actual"), F.filter("z", lambda x: x["years"] < F.col("p.years")).alias("past")).where(F.size("past") >= least)
+    pick = lambda c: F.transform("past", lambda x: x[c])
+    return past.select("series_key", "l1", "year", "actual", pick("committeds").alias("h"), pick("years").alias("hy"))
 
 
 def walked(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = VALID) -> DataFrame:
-    """Long scored predictions of the four base methods for each validation year."""
-    return scored(long_form(walk(spark, sf_dir, years), ["series_key", "l1", "year", "actual"], {m: S.METHODS[m](F.col("h")) for m in FOUR}))
+    """Long scored predictions of the methods of the settings for each validation year."""
+    return contest(spark, sf_dir, FOUR, years)
+
+
+def contest(spark: SparkSession, sf_dir: str, methods: tuple[str, ...], years: tuple[int, ...] = VALID, least: int = 2) -> DataFrame:
+    """Long scored predictions of closed and fitted methods for each validation year: series_key, l1, year, actual, method, predicted, abs_error, smape.
+
+    With fitted methods the panel is written once and each year's models learn from strictly earlier rows of it.
+    """
+    rows, keep, panel = walk(spark, sf_dir, years, least), ["series_key", "l1", "year", "actual"], None
+    if any(isinstance(METHODS_BY_NAME[m], Fitted) for m in methods):
+        panel = written_once(fine(spark, sf_dir, until=max(years) + 1).select("series_key", "year", F.col("committed").alias("value")), "panel")
+    return scored(long_predictions(rows, methods, keep, panel, years))
 
 
 def _long_sql(methods: tuple[str, ...], source: str, keep: str) -> str:
-    return " UNION ALL ".join(f"SELECT {keep}, '{m}' AS method, {METHOD_SQL[m]} AS predicted FROM {source}" for m in methods)
+    own = {m: METHOD_SQL[m] for m in methods if m in METHOD_SQL} | {m: "p" for m in methods if m == "Ridge"}
+    return " UNION ALL ".join(f"SELECT {keep}, '{m}' AS method, {e} AS predicted FROM {'ridge_w' if m == 'Ridge' else source}" for m, e in own.items())
 
 
-def walk_sql(years: tuple[int, ...] = VALID) -> str:
-    return f"""walk AS (
-  SELECT v.series_key, v.l1, v.year, v.committed AS actual, list(p.committed ORDER BY p.year) AS h
+def walk_sql(years: tuple[int, ...] = VALID, methods: tuple[str, ...] = FOUR) -> str:
+    """Common tables walk and preds; with methods that SQL can't express, marked so that no query is checked by it."""
+    missing = [m for m in methods if m not in METHOD_SQL and m != "Ridge"]
+    return (NOT_SQL if missing else "") + f"""walk AS (
+  SELECT v.series_key, v.l1, v.year, v.committed AS actual, list(p.committed ORDER BY p.year) AS h, list(p.year ORDER BY p.year) AS ys
   FROM fine v JOIN fine p ON p.series_key = v.series_key AND p.year < v.year WHERE v.year IN {years} GROUP BY ALL HAVING count(*) >= 2),
-raw AS ({_long_sql(FOUR, 'walk', 'series_key, l1, year, actual')}),
+{ridge_sql('ridge_w', 'walk', 's.year') + ',' if 'Ridge' in methods else ''}
+raw AS ({_long_sql(methods, 'walk', 'series_key, l1, year, actual')}),
 preds AS (SELECT *, abs(actual - predicted) AS abs_error, {SMAPE} AS smape FROM raw)"""
 
 
@@ -78,10 +98,58 @@ def best_method_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Errors and target rows come from one aggregation and the winner from a second; both find their rows where the series were collapsed.
     """
+    return winners(walked(spark, sf_dir))
+
+
+def winners(preds: DataFrame) -> DataFrame:
+    """series_key, method, validation_smape, predicted, actual, smape: the method with the least mean error before the target year, with its forecast of that year."""
+    return winners_of(both_errors(preds), 5, 4)
+
+
+def both_errors(preds: DataFrame) -> DataFrame:
+    """series_key, method, err (mean error before the target year) and t, its row of the target year."""
     now = F.col("year") == TARGET
-    both = walked(spark, sf_dir).groupBy("series_key", "method").agg(F.avg(F.when(~now, F.col("smape"))).alias("err"), F.max(F.when(now, F.struct("predicted", "actual", "smape"))).alias("t"))
+    return preds.groupBy("series_key", "method").agg(F.avg(F.when(~now, F.col("smape"))).alias("err"), F.max(F.when(now, F.struct("predicted", "actual", "smape"))).alias("t"))
+
+
+def winners_of(both: DataFrame, digits: int, error_digits: int) -> DataFrame:
     best = both.where("err IS NOT NULL").groupBy("series_key").agg(F.min(F.struct(F.round("err", 6).alias("e"), "method", "err", "t")).alias("b")).where("b.t IS NOT NULL")
-    return best.select("series_key", "b.method", F.round("b.err", 4).alias("validation_smape"), F.round("b.t.predicted", 5).alias("predicted"), F.round("b.t.actual", 4).alias("actual"), F.round("b.t.smape", 4).alias("smape"))
+    return best.select("series_key", "b.method", F.round("b.err", 4).alias("validation_smape"), F.round("b.t.predicted", digits).alias("predicted"), F.round("b.t.actual", 4).alias("actual"), F.round("b.t.smape", error_digits).alias("smape"))
+
+
+#: Contestants of the reports' model choice (fixed values): three closed forms, a ridge of each series and one boosted model over all of them.
+FIVE = ("Naive", "Mean3", "TrendYears", "Ridge", "Boosting")
+_RIDGE = ("Mean3", "Median", "Naive", "Ridge", "Trend")
+
+
+@query()
+def best_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best of the last value, three years' mean, line, ridge and boosting over two validation years, with its forecast and error for the target year."""
+    return winners(contest(spark, sf_dir, FIVE))
+
+
+@query(with_(FINE, walk_sql(methods=_RIDGE), BEST_SQL) + f"""SELECT series_key, method, round(err, 4) AS validation_smape, round(p.predicted, 0) AS predicted, round(p.actual, 4) AS actual, round(p.smape, 3) AS smape
+FROM best JOIN preds p USING (series_key, method) WHERE p.year = {TARGET}""")
+def best_with_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best of four closed forms and each series' own ridge."""
+    return winners_of(both_errors(contest(spark, sf_dir, _RIDGE)), 0, 3)
+
+
+@query(with_(FINE, walk_sql(methods=_RIDGE)) + "SELECT year, method, count(*) AS n, round(avg(smape), 3) AS mean_smape, round(median(smape), 3) AS median_smape FROM preds GROUP BY 1, 2")
+def rolling_with_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four closed forms and the ridge in each validation year."""
+    return yearly_errors(written_once(contest(spark, sf_dir, _RIDGE), "contest"), 3)
+
+
+@query()
+def rolling_fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five contestants in each validation year, ridge and boosting among them."""
+    return yearly_errors(written_once(contest(spark, sf_dir, FIVE), "contest"), 4)
+
+
+def yearly_errors(preds: DataFrame, digits: int) -> DataFrame:
+    q = quantiles(preds, "smape", {"m": 0.5}, ("year", "method")).select("year", "method", F.round("m", digits).alias("median_smape"))
+    return preds.groupBy("year", "method").agg(F.count("*").alias("n"), F.round(F.avg("smape"), digits).alias("mean_smape")).join(q, ["year", "method"])
 
 
 @query(with_(FINE, walk_sql(VALID[1:])) + f"""SELECT series_key, picked, round(predicted, 5) AS predicted, round(smape, 4) AS smape FROM (
@@ -104,7 +172,7 @@ LEADER_SQL = f"""SELECT method, count(*) AS n, round(avg(smape), 4) AS mean_smap
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error distribution of each method in the target year; its quantiles are exact without a sort of all errors in one task."""
     share = lambda k: F.round(F.avg((F.col("smape") <= k).cast("int")) * 100, 4).alias(f"within_{k}")
-    preds = walked(spark, sf_dir, (TARGET,))
+    preds = written_once(walked(spark, sf_dir, (TARGET,)).select("method", "actual", "predicted", "smape"), "predictions")
     stats = preds.groupBy("method").agg(F.count("*").alias("n"), F.round(F.avg("smape"), 4).alias("mean_smape"), F.round(F.max("smape"), 4).alias("max_smape"), share(10), share(25), share(50), F.round((F.sum("predicted") - F.sum("actual")) / F.sum("actual") * 100, 4).alias("bias"))
     q = quantiles(preds, "smape", {"median_smape": 0.5, "p75": 0.75, "p90": 0.9}, ("method",))
     return stats.join(q.select("method", *[F.round(c, 4).alias(c) for c in ("median_smape", "p75", "p90")]), "method")
