@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,31 +15,50 @@ from pyspark.sql import Window as W
 from ..sources.shared import written_once
 from .windows import quantiles
 
-#: Places in space that a cell holds, or so, and places of the sample that bounds every search.
+#: Places in space that a box holds at most, and places of the sample that bounds every search.
 BLOCK = 1024
+#: Places that ask a box at once, or so.
+ASKED = 16_384
 
 
-class Cells:
-    """Space cut into slabs by the first feature and each slab by the second, if there is one, at quantiles of a sample. Cell number: slab * wide + part."""
+class Boxes:
+    """Space cut into boxes of at most `block` distinct places, by as many rounds of splits as that takes.
 
-    def __init__(self, first: np.ndarray, second: dict[int, np.ndarray], wide: int):
-        self.first, self.wide = np.unique(first), wide
-        self.second = [np.unique(second.get(i, [])) for i in range(len(self.first) + 1)]
-
-    def of(self, x: np.ndarray) -> np.ndarray:
-        slab = np.searchsorted(self.first, x[:, 0], "left")
-        part = np.array([np.searchsorted(self.second[i], v, "left") for i, v in zip(slab, x[:, 1] if x.shape[1] > 1 else x[:, 0], strict=True)], np.int64)
-        return slab * self.wide + (part if x.shape[1] > 1 else 0)
+    Each round cuts every cell that holds more at quantiles of its widest feature (sketches of all cells and features in one aggregation). As places are distinct, each cut leaves something on either side, so
+    clusters and ties only take more rounds. levels: for each round a table of parent, cell, lo, hi: the boxes around the places of each cell, unsplit cells as their own children. Nothing of it is collected;
+    tables by cell are joined, which Spark does by broadcast only where it sees that they are small.
+    """
 
-    def near(self, x: np.ndarray, radius: float) -> list[int]:
-        """Cells that the box around the ball meets."""
-        lo, hi = np.searchsorted(self.first, [x[0] - radius, x[0] + radius], "left")
-        if len(x) == 1:
-            return [i * self.wide for i in range(lo, hi + 1)]
-        out = []
-        for i in range(lo, hi + 1):
-            a, b = np.searchsorted(self.second[i], [x[1] - radius, x[1] + radius], "left")
-            out += range(i * self.wide + a, i * self.wide + b + 1)
+    FAN = 16
+
+    def __init__(self, places: DataFrame, dims: int, block: int):
+        self.dims, self.levels = dims, []
+        at = places.withColumn("cell", F.lit(0).cast("long"))
+        own = lambda f, name: [f(F.col("x")[i]).alias(f"{name}{i}") for i in range(dims)]
+        for level in range(64):
+            large = at.groupBy("cell").agg(F.count("*").alias("n"), *own(F.min, "lo"), *own(F.max, "hi"), *[F.percentile_approx(F.col("x")[i], [k / self.FAN for k in range(1, self.FAN)], 200).alias(f"q{i}") for i in range(dims)]).where(F.col("n") > block)
+            wide = F.array_max(F.array(*[F.struct((F.col(f"hi{i}") - F.col(f"lo{i}")).alias("w"), F.lit(-i).alias("i")) for i in range(dims)]))
+            pick = lambda c: F.element_at(F.array(*[F.col(f"{c}{i}") for i in range(dims)]), 1 - F.col("w")["i"])
+            cuts = F.array_distinct(F.filter(pick("q"), lambda v: v < F.col("top")))
+            large = large.withColumn("w", wide).withColumn("top", pick("hi")).select("cell", (-F.col("w")["i"]).alias("dim"), F.when(F.size(cuts) > 0, cuts).otherwise(F.array(pick("lo"))).alias("cuts"))
+            large = written_once(large, "splits")
+            if large.isEmpty():
+                break
+            part = F.size(F.filter("cuts", lambda v: v < F.element_at("x", F.col("dim") + 1)))
+            moved = at.join(large, "cell", "left").select("x", "ids", F.col("cell").alias("parent"), F.when(F.col("cuts").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", part, F.lit(level))).alias("cell"))
+            moved = written_once(moved, "cells")
+            boxes = moved.groupBy("parent", "cell").agg(*own(F.min, "lo"), *own(F.max, "hi"))
+            sides = lambda c: F.array(*[F.col(f"{c}{i}") for i in range(dims)]).alias(c)
+            self.levels.append(written_once(boxes.select("parent", "cell", sides("lo"), sides("hi")), "boxes"))
+            at = moved.drop("parent")
+        self.places = at
+
+    def visited(self, asked: DataFrame) -> DataFrame:
+        """asked (x, radius) with each cell whose box the ball meets, found from the widest boxes down."""
+        out = asked.withColumn("cell", F.lit(0).cast("long"))
+        for boxes in self.levels:
+            gap = F.aggregate(F.zip_with("x", F.arrays_zip("lo", "hi"), lambda v, b: F.greatest(b["lo"] - v, v - b["hi"], F.lit(0.0))), F.lit(0.0), lambda a, g: a + g * g)
+            out = out.withColumnRenamed("cell", "parent").join(boxes, "parent").where(gap <= F.col("radius") * F.col("radius") * (1 + 1e-12)).select("x", "radius", "cell")
         return out
 
 
@@ -73,46 +93,29 @@ def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int, b
     """key and lof: mean local density of the k nearest neighbours over the own one. Exact; distances in space, ties (nine decimals) by key.
 
     Points at the same place are searched for once: a place keeps its k + 1 smallest keys, which is all that any neighbour list can hold of it.
-    Places lie in cells of about `block`. The distance to the k-th place in the own cell, or in a sample of `block` places, bounds a search;
-    a place then visits just the cells that its ball meets. The driver holds a number a cell and 16 * `block` places of a sample, from which the cuts are taken. A null feature counts as 0.
+    Places lie in boxes of at most `block`. The distance to the k-th place in the own box, or in a sample of `block` places, bounds a search; a place then visits just the boxes that its ball
+    meets. Those who ask a box come in parts of bounded size. The driver holds `block` places of a sample. A null feature counts as 0.
     """
-    spark = df.sparkSession
+    spark, dims = df.sparkSession, len(features)
     pts = df.select(F.col(key).cast("string").alias("id"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
     few = pts.withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy("id"))).where(F.col("rn") <= k + 1)
-    places = few.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    places = written_once(places, "places")
-    # before the search: how many places there are, and a sample of them that tells where to cut
-    n = places.count()
-    drawn = places.select("x").orderBy(F.xxhash64("x")).limit(16 * block).collect()
-    sample = np.array([r.x for r in drawn]).reshape(-1, len(features))
-    wide = max(1, math.ceil(math.sqrt(n / block)))
-    at = np.arange(1, wide) / wide
-    first = np.unique(np.quantile(sample[:, 0], at)) if len(sample) else np.empty(0)
-    slab = np.searchsorted(first, sample[:, 0], "left")
-    second = {i: np.quantile(sample[slab == i, 1], at) for i in np.unique(slab).tolist()} if sample.shape[1] > 1 else {}
-    sent = spark.sparkContext.broadcast((Cells(first, second, wide), sample[:block]))
-
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, _ = sent.value
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(cell=cells.of(np.stack(pdf["x"].to_numpy())))
-
-    layout = "x array<double>, ids array<string>, cell long"
-    placed = places.mapInPandas(settle, layout)
+    places = written_once(few.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids")), "places")
+    drawn = places.select("x").orderBy(F.xxhash64("x")).limit(block).collect()
+    sent = spark.sparkContext.broadcast(np.array([r.x for r in drawn]).reshape(-1, dims))
+    boxes = Boxes(places, dims, block)
 
-    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells, some = sent.value
-        x, out = np.stack(pdf["x"].to_numpy()), []
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, radius = np.stack(pdf["x"].to_numpy()), []
         for lo in range(0, len(x), 256):
             part = x[lo : lo + 256]
-            bounds = [np.partition(_distances(part, of), k, axis=1)[:, k] if len(of) > k else np.full(len(part), np.inf) for of in (x, some)]
-            for i, radius in enumerate(np.minimum(*bounds).tolist(), lo):
-                out += [(i, c) for c in cells.near(x[i], radius + 2e-9)]
-        rows = np.array([r for r, _ in out], np.int64)
-        return pd.DataFrame({"x": pdf["x"].to_numpy()[rows], "cell": np.array([c for _, c in out], np.int64)})
+            radius.append(np.minimum(*[np.partition(_distances(part, of), k, axis=1)[:, k] if len(of) > k else np.full(len(part), np.inf) for of in (x, sent.value)]) + 2e-9)
+        return pd.DataFrame({"x": pdf["x"], "radius": np.concatenate(radius)})
 
-    asked = placed.groupBy("cell").applyInPandas(visit, "x array<double>, cell long")
+    asked = boxes.visited(boxes.places.groupBy("cell").applyInPandas(bound, "x array<double>, radius double")).select("x", "cell")
+    asked = written_once(asked, "asked")
+    parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
+    asked = asked.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    held = boxes.places.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def search(key_: tuple, asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asks) or not len(held):
@@ -120,7 +123,7 @@ def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int, b
         rows, o, d = _nearest(np.stack(asks["x"].to_numpy()), np.stack(held["x"].to_numpy()), held["ids"].tolist(), k)
         return pd.DataFrame({"x": asks["x"].to_numpy()[rows], "o": o, "d": d})
 
-    near = asked.groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(search, "x array<double>, o string, d double")
+    near = asked.select("x", "cell", "part").groupBy("cell", "part").cogroup(held.select("x", "ids", "cell", "part").groupBy("cell", "part")).applyInPandas(search, "x array<double>, o string, d double")
     near = near.withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy(F.round("d", 9), "o"))).where(F.col("rn") <= k + 1)
     lists = near.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("rn", "o", "d"))).alias("list"))
     own = pts.join(lists, "x").select("id", F.explode(F.slice(F.filter("list", lambda v: v["o"] != F.col("id")), 1, k)).alias("v"))
@@ -155,24 +158,80 @@ def _path(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def isolation_scores(df: DataFrame, features: list[str], *, trees: int = 200, sample: int = 256, seed: int = 0) -> DataFrame:
-    """df with column isolation (0 to 1, higher is stranger). Trees are grown on the driver from bounded samples (trees * sample rows at most) and sent to the executors."""
-    rng = np.random.default_rng(seed)
+def isolation_forests(df: DataFrame, features: list[str], forests: dict[str, int], *, sample: int = 256, seed: int = 0) -> DataFrame:
+    """df with one column for each forest (0 to 1, higher is stranger); forests: number of trees by column name.
+
+    One pass draws the rows of all trees: a row's hash gives it a number for each tree, a task keeps the `sample` smallest numbers of each tree and the merge of the tasks' lists keeps the
+    smallest of all. Each tree is grown where its rows meet; the trees, of bounded size, come to the driver and go out to score all forests in one pass. Trees of a smaller forest are the first ones
+    of a larger. Rows whose features are alike are drawn each on its own (rows alike in all columns together); a null feature counts as 0.
+    """
+    trees, spark = max(forests.values()), df.sparkSession
     vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
-    # by a hash of the whole row: equal feature vectors are drawn each on its own
-    drawn = df.select(vector.alias("x"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed)).alias("h")).orderBy("h").limit(min(trees * sample, 20_000)).select("x").collect()
-    pool = np.array([r.x for r in drawn]) if drawn else np.zeros((1, len(features)))
-    size = min(sample, len(pool))
-    limit = math.ceil(math.log2(max(size, 2)))
-    forest = df.sparkSession.sparkContext.broadcast([_grow(pool[rng.choice(len(pool), size, replace=False)], rng, 0, limit) for _ in range(trees)])
-    scale = _c(size) or 1.0
-
-    @F.pandas_udf("double")
+    rows = df.select(vector.alias("x"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed)).alias("h"))
+    layout = "tree int, rank double, x array<double>"
+
+    def smallest(rank: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(rank) <= sample:
+            return rank, x
+        at = np.argpartition(rank, sample - 1)[:sample]
+        return rank[at], x[at]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[tuple[np.ndarray, np.ndarray] | None] = [None] * trees
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, h = np.stack(pdf["x"].to_numpy()), pdf["h"].to_numpy().astype(np.uint64)
+            for t in range(trees):
+                rank = _uniform(h, seed, t)
+                # of a batch only those below the largest kept rank can come in
+                if kept[t] is not None and len(kept[t][0]) >= sample:
+                    low = np.flatnonzero(rank < kept[t][0].max())
+                    if not len(low):
+                        continue
+                    rank, some = rank[low], x[low]
+                else:
+                    some = x
+                kept[t] = smallest(rank, some) if kept[t] is None else smallest(np.concatenate([kept[t][0], rank]), np.concatenate([kept[t][1], some]))
+        for t, k in enumerate(kept):
+            if k is not None:
+                yield pd.DataFrame({"tree": np.full(len(k[0]), t, np.int32), "rank": k[0], "x": list(k[1])})
+
+    def plant(pdf: pd.DataFrame) -> pd.DataFrame:
+        rank, x = pdf["rank"].to_numpy(), np.stack(pdf["x"].to_numpy())
+        x = x[np.lexsort((*x.T, rank))[:sample]]
+        t = int(pdf["tree"].iloc[0])
+        tree = _grow(x, np.random.default_rng([seed, t]), 0, math.ceil(math.log2(max(min(sample, len(x)), 2))))
+        return pd.DataFrame({"tree": [t], "size": [len(x)], "grown": [pickle.dumps(tree)]})
+
+    # a task's lists meet again by tree: sample rows of each task and tree at most
+    drawn = rows.mapInPandas(draw, layout)
+    grown = {r.tree: (r.size, pickle.loads(r.grown)) for r in drawn.groupBy("tree").applyInPandas(plant, "tree int, size int, grown binary").collect()}
+    sent = spark.sparkContext.broadcast([grown[t][1] if t in grown else (0.0,) for t in range(trees)])
+    scale = _c(max((n for n, _ in grown.values()), default=1)) or 1.0
+    names = list(forests)
+
+    @F.pandas_udf("array<double>")
     def score(x: pd.Series) -> pd.Series:
         m = np.stack(x.to_numpy())
-        return pd.Series(2 ** (-np.mean([_path(t, m) for t in forest.value], axis=0) / scale))
+        paths = np.cumsum([_path(t, m) for t in sent.value], axis=0)
+        return pd.Series(list(np.column_stack([2 ** (-paths[forests[n] - 1] / forests[n] / scale) for n in names])))
+
+    scored = df.withColumn("_scores", score(vector))
+    return scored.select(*df.columns, *[F.element_at("_scores", i + 1).alias(n) for i, n in enumerate(names)])
+
 
-    return df.withColumn("isolation", score(vector))
+def _uniform(h: np.ndarray, seed: int, tree: int) -> np.ndarray:
+    """A number in 0..1 for each row hash and tree."""
+    h = h + np.uint64((seed * 1_000_003 + tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def isolation_scores(df: DataFrame, features: list[str], *, trees: int = 200, sample: int = 256, seed: int = 0) -> DataFrame:
+    """df with column isolation (0 to 1, higher is stranger), by one forest."""
+    return isolation_forests(df, features, {"isolation": trees}, sample=sample, seed=seed)
 
 
 def _moments(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -261,7 +261,7 @@ K = 20
 
 
 @query(with_(FINE, f"pts AS (SELECT series_key, round(avg(rate), 6) AS x, round(coalesce(stddev_samp(rate), 0), 6) AS y FROM fine WHERE year < {TARGET} GROUP BY 1)", f"nn AS (SELECT * FROM (SELECT p.series_key AS a, q.series_key AS b, sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) AS d, row_number() OVER (PARTITION BY p.series_key ORDER BY round(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)), 9), q.series_key) AS rn FROM pts p JOIN pts q ON p.series_key <> q.series_key) WHERE rn <= {K})", "kd AS (SELECT a, max(d) AS kd FROM nn GROUP BY 1)", "lrd AS (SELECT nn.a, 1 / (avg(greatest(kd.kd, nn.d)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.a = nn.b GROUP BY 1)") + "SELECT nn.a AS series_key, round(avg(o.lrd) / any_value(l.lrd), 6) AS lof FROM nn JOIN lrd l ON l.a = nn.a JOIN lrd o ON o.a = nn.b GROUP BY 1")
-def lof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lof_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local outlier factor of each series in the plane of mean and deviation of its rate, by exact nearest neighbours."""
     from ..operators.outliers import local_outlier_factor
 
@@ -269,6 +269,62 @@ def lof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local_outlier_factor(pts, "series_key", ["x", "y"], K).select("series_key", F.round("lof", 6).alias("lof"))
 
 
+#: The features that every multivariate signal reads: rates against ceiling and opened credits, net and gross transfer, top-up, changes of ceiling and commitments on the year before, distance from the chapter's mean rate.
+EIGHT = ("rate_ceiling", "rate_opened", "transfer_net", "transfer_gross", "topup", "ceiling_change", "committed_change", "rate_vs_chapter")
+
+
+def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """series_key, l1, year and EIGHT of each row of the movements panel, to six decimals; 0 where a ratio has no denominator or there is no year before.
+
+    The chapter's mean of a year is aggregated and joined back, so no chapter is one task's window.
+    """
+    own = O.ordered(["series_key"], "year")
+    over = lambda a, b: F.coalesce(F.try_divide(a, F.col(b)), F.lit(0.0))
+    change = lambda c: F.coalesce(F.try_divide(F.col(c) - F.lag(c).over(own), F.lag(c).over(own)), F.lit(0.0))
+    net, gross = F.col("transfer_in") - F.col("transfer_out"), F.col("transfer_in") + F.col("transfer_out")
+    df = movements(spark, sf_dir).select("series_key", "l1", "year", over(F.col("committed"), "ceiling").alias("rate_ceiling"), over(F.col("committed"), "opened").alias("rate_opened"), over(net, "opened").alias("transfer_net"), over(gross, "opened").alias("transfer_gross"), over(F.col("ceiling") - F.col("opened"), "opened").alias("topup"), change("ceiling").alias("ceiling_change"), change("committed").alias("committed_change"))
+    df = O.with_group(df, ["l1", "year"], F.avg("rate_ceiling").alias("_mean")).withColumn("rate_vs_chapter", F.col("rate_ceiling") - F.col("_mean"))
+    return df.select("series_key", "l1", "year", *[F.round(c, 6).alias(c) for c in EIGHT])
+
+
+def standardised(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
+    """df with each feature less its mean over its population deviation (0 where it is constant); one aggregation, one row broadcast."""
+    one = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in features], *[F.stddev_pop(c).alias(f"_s_{c}") for c in features])
+    return df.crossJoin(F.broadcast(one)).withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c in features}).drop(*one.columns)
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"coalesce(({a}) / nullif({b}, 0), 0)"
+
+
+FEATURES_SQL = f"""feat0 AS (SELECT series_key, l1, year, {_ratio_sql('committed', 'ceiling')} AS rate_ceiling, {_ratio_sql('committed', 'opened')} AS rate_opened, {_ratio_sql('transfer_in - transfer_out', 'opened')} AS transfer_net,
+  {_ratio_sql('transfer_in + transfer_out', 'opened')} AS transfer_gross, {_ratio_sql('ceiling - opened', 'opened')} AS topup, {_ratio_sql('ceiling - lag(ceiling) OVER w', 'lag(ceiling) OVER w')} AS ceiling_change,
+  {_ratio_sql('committed - lag(committed) OVER w', 'lag(committed) OVER w')} AS committed_change FROM moves WINDOW w AS (PARTITION BY series_key ORDER BY year)),
+feat1 AS (SELECT *, rate_ceiling - avg(rate_ceiling) OVER (PARTITION BY l1, year) AS rate_vs_chapter FROM feat0),
+feats AS (SELECT series_key, l1, year, {', '.join(f'round({c}, 6) AS {c}' for c in EIGHT)} FROM feat1)"""
+
+
+@query(with_(MOVES, FEATURES_SQL) + f"SELECT series_key, year, {', '.join(EIGHT)} FROM feats")
+def feature_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight features of each series and year."""
+    return feature_rows(spark, sf_dir).select("series_key", "year", *EIGHT)
+
+
+_FAR = "sqrt(" + " + ".join(f"pow(p.{c} - q.{c}, 2)" for c in EIGHT) + ")"
+
+
+@query(with_(MOVES, FEATURES_SQL, "pts AS (SELECT series_key || ':' || year AS id, series_key, year, " + ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0) AS {c}" for c in EIGHT) + " FROM feats)", f"""near AS (
+  SELECT a, unnest(t) AS t FROM (SELECT p.id AS a, min({{'r': round({_FAR}, 9), 'b': q.id, 'd': {_FAR}}}, {K}) AS t FROM pts p JOIN pts q ON p.id <> q.id GROUP BY 1))""", "nn AS (SELECT a, t.b AS b, t.d AS d FROM near)", "kd AS (SELECT a, max(d) AS kd FROM nn GROUP BY 1)", "lrd AS (SELECT nn.a, 1 / (avg(greatest(kd.kd, nn.d)) + 1e-10) AS lrd FROM nn JOIN kd ON kd.a = nn.b GROUP BY 1)", "lof AS (SELECT nn.a, avg(o.lrd) / any_value(l.lrd) AS lof FROM nn JOIN lrd l ON l.a = nn.a JOIN lrd o ON o.a = nn.b GROUP BY 1)") + "SELECT series_key, year, round(ln(lof), 5) AS log_lof FROM lof JOIN pts ON id = a")
+def lof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logarithm of the local outlier factor of each series and year in eight standardised features, by exact nearest neighbours."""
+    from ..operators.outliers import local_outlier_factor
+
+    rows = standardised(feature_rows(spark, sf_dir), EIGHT).withColumn("id", F.concat_ws(":", "series_key", "year"))
+    found = local_outlier_factor(rows, "id", list(EIGHT), K)
+    at = F.length("id") - 4
+    return found.select(F.substring("id", F.lit(1), at - 1).alias("series_key"), F.substring("id", at + 1, F.lit(4)).cast("int").alias("year"), F.round(F.ln("lof"), 5).alias("log_lof"))
+
+
 @query()
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isolation score of each row (200 trees on samples of 256), the top tenth flagged, and a combined risk class by the largest z of the series."""
@@ -335,30 +391,43 @@ def residual_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEVEN = {"rules": None, "isolation": 0.95, "forecast": 0.90, "lof": 0.95, "mahalanobis": 0.95, "benford": 0.90, "changepoint": 0.90}
 
 
+@query(with_(MOVES, FLAGS_SQL) + """, ext AS (SELECT series_key, count(*) AS n FROM flags WHERE rule = 'huge_swing' GROUP BY 1), bus AS (SELECT series_key, year, count(*) AS n FROM flags WHERE rule <> 'huge_swing' GROUP BY 1, 2)
+SELECT m.series_key, m.year, coalesce(e.n, 0) AS rules_key, coalesce(b.n, 0) AS rules_row, coalesce(e.n, 0) + coalesce(b.n, 0) AS rules FROM moves m LEFT JOIN ext e USING (series_key) LEFT JOIN bus b USING (series_key, year)""")
+def signal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags of each row: those of its year, and the extraction flags of its key, which count in every year."""
+    df = rule_rows(spark, sf_dir)
+    return df.select("series_key", "year", "rules_key", "rules_row", (F.col("rules_key") + F.col("rules_row")).alias("rules"))
+
+
+def rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The movements panel with rules_key (huge swings of the series in any year) and rules_row, from one collapse of each series."""
+    c, before = F.col("committed"), F.lag("committed").over(O.ordered(["series_key"], "year"))
+    hits = [F.expr(f"coalesce({cond}, false)").cast("long") for _, cond, _ in ROW_RULES.values()]
+    swing = F.coalesce((before > 0) & (c > 0) & ((c > 10 * before) | (c * 10 < before)), F.lit(False)).cast("long")
+    rows = movements(spark, sf_dir).select("*", before.alias("before"), swing.alias("swing"), sum(hits[1:], hits[0]).alias("rules_row"))
+    return rows.withColumn("rules_key", F.sum("swing").over(W.partitionBy("series_key")))
+
+
 def seven_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series_key, year and the seven raw signals of each row of the movements panel.
 
-    rules: how many rules flag the row; isolation and mahalanobis of rate, net transfer and size; forecast: error of the last value, in the target year alone;
-    lof: outlier factor of the series; benford: distance of its chapter's first digits, the chapters' median where there are too few; changepoint: the
-    series' largest jump of rate or net transfer.
+    rules: flags of the row and extraction flags of its key; isolation, lof and mahalanobis: of the row in the eight standardised features; forecast: error of the last value, in the target
+    year alone; benford: distance of its chapter's first digits, the chapters' median where there are too few; changepoint: the series' largest jump of rate or net transfer.
     """
     from ..operators.outliers import isolation_scores, local_outlier_factor, robust_mahalanobis
 
     w, o = W.partitionBy("series_key"), O.ordered(["series_key"], "year")
-    c, before = F.col("committed"), F.lag("committed").over(o)
-    hits = [F.expr(f"coalesce({cond}, false)").cast("int") for _, cond, _ in ROW_RULES.values()]
-    swing = F.coalesce((before > 0) & (c > 0) & ((c > 10 * before) | (c * 10 < before)), F.lit(False)).cast("int")
-    rows = movements(spark, sf_dir).select("*", F.coalesce(rate(den="ceiling"), F.lit(0.0)).alias("r"), F.coalesce(F.try_divide(F.col("transfer_in") - F.col("transfer_out"), F.when(F.col("opened") > 0, F.col("opened"))), F.lit(0.0)).alias("net"), sum(hits[1:], hits[0] + swing).cast("double").alias("rules"))
-    jump = F.greatest(*[F.coalesce(F.abs(F.col(v) - F.lag(v).over(o)), F.lit(0.0)) for v in ("r", "net")])
     known = (F.col("year") == TARGET) & (F.row_number().over(o) > 2)
-    rows = rows.select("series_key", "l1", "year", "r", "net", "rules", (F.col("opened") / 1e6).alias("size"), F.coalesce(F.when(known, smape(c, before)), F.lit(0.0)).alias("forecast"), jump.alias("jump"))
-    rows = written_once(rows.withColumn("changepoint", F.max("jump").over(w)).drop("jump"), "features")  # the fits below read it again and again
-    scored = robust_mahalanobis(isolation_scores(rows, ["r", "net", "size"], trees=100, sample=256, seed=42), ["r", "net", "size"]).withColumnRenamed("distance", "mahalanobis")
-    series = movements(spark, sf_dir).groupBy("series_key").agg(F.round(F.avg(rate()), 6).alias("x"), F.round(F.coalesce(F.stddev_samp(rate()), F.lit(0.0)), 6).alias("y"))
+    rules = rule_rows(spark, sf_dir).select("series_key", "year", (F.col("rules_key") + F.col("rules_row")).cast("double").alias("rules"), F.coalesce(F.when(known, smape(F.col("committed"), F.col("before"))), F.lit(0.0)).alias("forecast"))
+    feats = feature_rows(spark, sf_dir)
+    jump = F.greatest(*[F.coalesce(F.abs(F.col(v) - F.lag(v).over(o)), F.lit(0.0)) for v in ("rate_ceiling", "transfer_net")])
+    feats = feats.withColumn("jump", jump).withColumn("changepoint", F.max("jump").over(w)).drop("jump")
+    rows = written_once(standardised(feats, EIGHT).join(rules, ["series_key", "year"]).withColumn("id", F.concat_ws(":", "series_key", "year")), "features")  # the fits below read it again and again
+    scored = robust_mahalanobis(isolation_scores(rows, list(EIGHT), trees=300, sample=256, seed=42), list(EIGHT)).withColumnRenamed("distance", "mahalanobis")
     chapters = benford(spark, sf_dir).select("l1", "chi2")
     middle = O.quantiles(chapters, "chi2", {"m": 0.5})
     ben = chapters.crossJoin(F.broadcast(middle)).select("l1", F.coalesce("chi2", "m", F.lit(0.0)).alias("benford"))
-    out = scored.join(local_outlier_factor(series, "series_key", ["x", "y"], K), "series_key", "left").join(ben, "l1", "left")
+    out = scored.join(local_outlier_factor(rows, "id", list(EIGHT), K), "id", "left").join(ben, "l1", "left")
     return written_once(out.select("series_key", "year", *[F.coalesce(F.col(s), F.lit(0.0)).alias(s) for s in SEVEN]), "signals")
 
 

@@ -198,24 +198,22 @@ def flagged_share(found: Column, series: Column) -> Column:
 @query()
 def isolation_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows flagged by each of four isolation forests, the share used, and their agreement with the rule of rates above 1.1 times the series' mean."""
-    from ..operators.outliers import isolation_scores
+    from ..operators.outliers import isolation_forests
 
     df = fine(spark, sf_dir, until=TARGET).select("series_key", "year", F.coalesce("rate", F.lit(0.0)).alias("rate"), (F.col("opened") / 1e6).alias("size"))
     df = O.with_group(df, ["series_key"], F.avg("rate").alias("usual")).withColumn("rule", F.col("rate") > 1.1 * F.col("usual"))
     series = df.groupBy("series_key").agg(F.max("rule").alias("rule")).agg(flagged_share(F.count_if("rule"), F.count("*")).alias("share"))
-    out = None
-    for name, (trees, share) in FORESTS.items():
-        scored = isolation_scores(df, ["rate", "size"], trees=trees, sample=256, seed=42)
-        ranked = O.quantiles(scored, "isolation", {f"p{i}": 1 - i / 100 for i in range(2, 13)} if share is None else {"p": 1 - share})
-        if share is None:  # whole percents, so one row of quantiles serves any share
-            cut = ranked.crossJoin(series).select(F.coalesce(*[F.when(F.round(F.col("share") * 100) == i, F.col(f"p{i}")) for i in range(2, 13)]).alias("p"), F.round("share", 2).alias("share"))
-        else:
-            cut = ranked.withColumn("share", F.lit(share))
-        f = scored.crossJoin(F.broadcast(cut)).withColumn("f", F.col("isolation") >= F.col("p"))
-        part = f.groupBy("share").agg(F.count_if("f").alias("flagged"), F.count("*").alias("n"), F.round(F.try_divide(F.count_if(F.col("f") & F.col("rule")), F.count_if(F.col("f") | F.col("rule"))), 6).alias("jaccard"))
-        part = part.select(F.lit(name).alias("forest"), F.lit(trees).alias("trees"), "share", "flagged", "n", "jaccard")
-        out = part if out is None else out.unionByName(part)
-    return out
+    scored = written_once(isolation_forests(df, ["rate", "size"], {k: n for k, (n, _) in FORESTS.items()}, seed=42).select("rule", *FORESTS), "forests")
+    long = scored.select("rule", F.explode(F.array(*[F.struct(F.lit(k).alias("forest"), F.col(k).alias("v")) for k in FORESTS])).alias("r")).select("rule", "r.*")
+    # whole percents, so one row of quantiles a forest serves any share
+    cuts = O.quantiles(long, "v", {f"p{i}": 1 - i / 100 for i in range(2, 13)}, ("forest",))
+    asked = F.coalesce(*[F.when(F.col("forest") == k, F.lit(share)) for k, (_, share) in FORESTS.items() if share], F.col("share"))
+    cuts = cuts.crossJoin(F.broadcast(series)).withColumn("share", F.round(asked, 2))
+    cuts = cuts.select("forest", "share", F.coalesce(*[F.when(F.round(F.col("share") * 100) == i, F.col(f"p{i}")) for i in range(2, 13)]).alias("cut"))
+    f = long.join(F.broadcast(cuts), "forest").withColumn("f", F.col("v") >= F.col("cut"))  # a row a forest
+    out = f.groupBy("forest", "share").agg(F.count_if("f").alias("flagged"), F.count("*").alias("n"), F.round(F.try_divide(F.count_if(F.col("f") & F.col("rule")), F.count_if(F.col("f") | F.col("rule"))), 6).alias("jaccard"))
+    trees = F.coalesce(*[F.when(F.col("forest") == k, F.lit(n)) for k, (n, _) in FORESTS.items()])
+    return out.select("forest", trees.alias("trees"), "share", "flagged", "n", "jaccard")
 
 
 @query()
