@@ -16,7 +16,7 @@ from ..sources.shared import written_once
 from .windows import quantiles
 
 #: Places in space that a box holds at most, and places of the sample that bounds every search.
-BLOCK = 1024
+BLOCK = 4096
 #: Places that ask a box at once, or so.
 ASKED = 16_384
 
@@ -62,33 +62,54 @@ class Boxes:
         return out
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2))
+def _kth(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """No less than the distance of each of a to its k-th place of b (from 0), and hardly more."""
+    if len(b) <= k:
+        return np.full(len(a), np.inf)
+    square = (a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)
+    at = np.argpartition(square, k, axis=1)[:, : k + 1]
+    return np.sqrt(((a[:, None, :] - b[at]) ** 2).sum(2)).max(1)
 
 
 def _nearest(x: np.ndarray, places: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k + 1 nearest points of each query place: its row, their ids and distances. Equal distances (nine decimals) by id."""
+    """The k + 1 nearest points of each query place: its row, their ids and distances. Equal distances (nine decimals) by id.
+
+    Squares by a matrix product tell which places can be among them, with room for their rounding; distances of those are then taken exactly.
+    """
+    counts = np.array([len(i) for i in ids])
+    begin = np.concatenate([[0], np.cumsum(counts)])
     names = np.concatenate(ids).astype(str)
     rank = np.argsort(np.argsort(names, kind="stable"))
-    where = np.repeat(np.arange(len(places)), [len(i) for i in ids])  # the place of each point
-    n, m = len(names), min(len(names), k + 9)
+    want = min(k + 1, len(names))
+    few = min(len(places), want)  # each place has a point at least, so the nearest k + 1 points lie in the nearest k + 1 places or as near
+    norms = (places**2).sum(1)
     out: list[tuple] = []
-    for lo in range(0, len(x), 256):
-        d = _distances(x[lo : lo + 256], places)[:, where]
-        at = np.argpartition(d, m - 1, axis=1)[:, :m] if m < n else np.broadcast_to(np.arange(n), d.shape)
-        some = np.take_along_axis(d, at, 1)
-        order = np.lexsort((rank[at], np.round(some, 9)), axis=1)
-        at, some = np.take_along_axis(at, order, 1)[:, : k + 1], np.take_along_axis(some, order, 1)
-        if m < n:  # where the last of the few is as near as the last wanted one, more points may be: look at all that are so near
-            for r in np.flatnonzero(np.round(some[:, -1], 9) <= np.round(some[:, k], 9) + 2e-9):
-                near = np.flatnonzero(d[r] <= some[r, k] + 2e-9)
-                at[r] = near[np.lexsort((rank[near], np.round(d[r, near], 9)))[: k + 1]]
-        rows = np.repeat(np.arange(lo, lo + len(at)), at.shape[1])
-        out.append((rows, names[at.ravel()], np.take_along_axis(d, at, 1).ravel()))
+    for lo in range(0, len(x), 512):
+        part = x[lo : lo + 512]
+        own = (part**2).sum(1)[:, None]
+        square = own - 2 * part @ places.T + norms
+        room = 1e-12 * (own[:, 0] + norms.max(initial=0.0)) + 1e-8
+        reach = np.partition(square, few - 1, axis=1)[:, few - 1]
+        row, place = np.nonzero(square <= (np.sqrt(np.maximum(reach, 0)) + 2e-9)[:, None] ** 2 + room[:, None])
+        d = np.sqrt(((part[row] - places[place]) ** 2).sum(1))
+        # the points of these places
+        size = counts[place]
+        point = np.repeat(begin[place] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        row, d = np.repeat(row, size), np.repeat(d, size)
+        order = np.lexsort((rank[point], np.round(d, 9), row))
+        row, d, point = row[order], d[order], point[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = nth < want
+        out.append((row[keep] + lo, names[point[keep]], d[keep]))
     rows, found, d = (np.concatenate(v) for v in zip(*out, strict=True))
     return rows, found, d
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """An explicit exchange into as many parts as the session shuffles into: adaptive execution would merge them by their bytes, and what follows is much work on few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int, block: int = BLOCK) -> DataFrame:
     """key and lof: mean local density of the k nearest neighbours over the own one. Exact; distances in space, ties (nine decimals) by key.
 
@@ -108,10 +129,10 @@ def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int, b
         x, radius = np.stack(pdf["x"].to_numpy()), []
         for lo in range(0, len(x), 256):
             part = x[lo : lo + 256]
-            radius.append(np.minimum(*[np.partition(_distances(part, of), k, axis=1)[:, k] if len(of) > k else np.full(len(part), np.inf) for of in (x, sent.value)]) + 2e-9)
+            radius.append(np.minimum(*[_kth(part, of, k) for of in (x, sent.value)]) + 2e-9)
         return pd.DataFrame({"x": pdf["x"], "radius": np.concatenate(radius)})
 
-    asked = boxes.visited(boxes.places.groupBy("cell").applyInPandas(bound, "x array<double>, radius double")).select("x", "cell")
+    asked = boxes.visited(_spread(boxes.places, "cell").groupBy("cell").applyInPandas(bound, "x array<double>, radius double"))
     asked = written_once(asked, "asked")
     parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
     asked = asked.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
@@ -121,9 +142,10 @@ def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int, b
         if not len(asks) or not len(held):
             return pd.DataFrame({"x": [], "o": [], "d": []})
         rows, o, d = _nearest(np.stack(asks["x"].to_numpy()), np.stack(held["x"].to_numpy()), held["ids"].tolist(), k)
-        return pd.DataFrame({"x": asks["x"].to_numpy()[rows], "o": o, "d": d})
+        near = d <= asks["radius"].to_numpy()[rows]  # what is farther than the bound is in no list
+        return pd.DataFrame({"x": asks["x"].to_numpy()[rows[near]], "o": o[near], "d": d[near]})
 
-    near = asked.select("x", "cell", "part").groupBy("cell", "part").cogroup(held.select("x", "ids", "cell", "part").groupBy("cell", "part")).applyInPandas(search, "x array<double>, o string, d double")
+    near = _spread(asked.select("x", "radius", "cell", "part"), "cell", "part").groupBy("cell", "part").cogroup(_spread(held.select("x", "ids", "cell", "part"), "cell", "part").groupBy("cell", "part")).applyInPandas(search, "x array<double>, o string, d double")
     near = near.withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy(F.round("d", 9), "o"))).where(F.col("rn") <= k + 1)
     lists = near.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("rn", "o", "d"))).alias("list"))
     own = pts.join(lists, "x").select("id", F.explode(F.slice(F.filter("list", lambda v: v["o"] != F.col("id")), 1, k)).alias("v"))
@@ -148,14 +170,31 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int) -> tu
     return f, at, _grow(x[left], rng, depth + 1, limit), _grow(x[~left], rng, depth + 1, limit)
 
 
-def _path(tree: tuple, x: np.ndarray) -> np.ndarray:
-    if len(tree) == 1:
-        return np.full(len(x), tree[0])
-    f, at, a, b = tree
-    left = x[:, f] < at
-    out = np.empty(len(x))
-    out[left], out[~left] = _path(a, x[left]), _path(b, x[~left])
-    return out
+class _Flat:
+    """A grown tree as arrays, so that rows go down it a level at a time."""
+
+    def __init__(self, tree: tuple):
+        self.feature, self.cut, self.left, self.right, self.length = [], [], [], [], []
+        self._add(tree)
+        self.feature, self.left, self.right = np.array(self.feature), np.array(self.left), np.array(self.right)
+        self.cut, self.length = np.array(self.cut), np.array(self.length)
+
+    def _add(self, tree: tuple) -> int:
+        at = len(self.feature)
+        leaf = len(tree) == 1
+        for values, v in ((self.feature, -1 if leaf else tree[0]), (self.cut, 0.0 if leaf else tree[1]), (self.left, at), (self.right, at), (self.length, tree[0] if leaf else 0.0)):
+            values.append(v)
+        if not leaf:
+            self.left[at], self.right[at] = self._add(tree[2]), self._add(tree[3])
+        return at
+
+    def path(self, x: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        while True:
+            f = self.feature[node]
+            if (f < 0).all():
+                return self.length[node]
+            node = np.where(x[rows, np.maximum(f, 0)] < self.cut[node], self.left[node], self.right[node])  # a leaf's children are itself
 
 
 def isolation_forests(df: DataFrame, features: list[str], forests: dict[str, int], *, sample: int = 256, seed: int = 0) -> DataFrame:
@@ -206,18 +245,18 @@ def isolation_forests(df: DataFrame, features: list[str], forests: dict[str, int
 
     # a task's lists meet again by tree: sample rows of each task and tree at most
     drawn = rows.mapInPandas(draw, layout)
-    grown = {r.tree: (r.size, pickle.loads(r.grown)) for r in drawn.groupBy("tree").applyInPandas(plant, "tree int, size int, grown binary").collect()}
-    sent = spark.sparkContext.broadcast([grown[t][1] if t in grown else (0.0,) for t in range(trees)])
+    grown = {r.tree: (r.size, pickle.loads(r.grown)) for r in _spread(drawn, "tree").groupBy("tree").applyInPandas(plant, "tree int, size int, grown binary").collect()}
+    sent = spark.sparkContext.broadcast([_Flat(grown[t][1] if t in grown else (0.0,)) for t in range(trees)])
     scale = _c(max((n for n, _ in grown.values()), default=1)) or 1.0
     names = list(forests)
 
     @F.pandas_udf("array<double>")
     def score(x: pd.Series) -> pd.Series:
         m = np.stack(x.to_numpy())
-        paths = np.cumsum([_path(t, m) for t in sent.value], axis=0)
+        paths = np.cumsum([t.path(m) for t in sent.value], axis=0)
         return pd.Series(list(np.column_stack([2 ** (-paths[forests[n] - 1] / forests[n] / scale) for n in names])))
 
-    scored = df.withColumn("_scores", score(vector))
+    scored = _spread(df).withColumn("_scores", score(vector))
     return scored.select(*df.columns, *[F.element_at("_scores", i + 1).alias(n) for i, n in enumerate(names)])
 
 
