@@ -110,33 +110,6 @@ def ridge_by_cv(df: DataFrame, features: list[str], key: list[str], penalties: t
     return M.cross_validated_ridge([found.get((i,), M.Moments.none(len(features) + 1)) for i in range(parts)], features, list(penalties))
 
 
-def quantile_regression(train: DataFrame, test: DataFrame, features: list[str], label: str, quantiles: tuple[float, float, float], rounds: int = 25) -> DataFrame:
-    """test with lo, mid, hi: linear quantile fits by iteratively reweighted least squares, each step one aggregation of moments."""
-    names = ["_one", *features]
-    x = train.select(F.lit(1.0).alias("_one"), *features, label).persist()  # read once for all steps; a lost part is computed again
-    coefficients = []
-    for q in quantiles:
-        w = np.zeros(len(names))
-        for step in range(rounds):
-            r = F.col(label) - sum((F.col(c) * float(b) for c, b in zip(names[1:], w[1:], strict=True)), F.lit(float(w[0])))
-            weight = F.lit(1.0) if step == 0 else F.when(r >= 0, F.lit(q)).otherwise(F.lit(1 - q)) / F.greatest(F.abs(r), F.lit(1e-4))
-            pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-            row = x.agg(*[F.sum(weight * F.col(names[i]) * F.col(names[j])) for i, j in pairs], *[F.sum(weight * F.col(c) * F.col(label)) for c in names]).first()
-            a = np.zeros((len(names), len(names)))
-            for (i, j), v in zip(pairs, row[: len(pairs)], strict=True):
-                a[i, j] = a[j, i] = v or 0.0
-            new = np.linalg.solve(a + 1e-9 * np.eye(len(names)), np.array([v or 0.0 for v in row[len(pairs) :]]))
-            done = np.abs(new - w).max() < 1e-6
-            w = new
-            if done:
-                break
-        coefficients.append(w)
-    x.unpersist()
-    fit = lambda w: sum((F.col(c) * float(b) for c, b in zip(features, w[1:], strict=True)), F.lit(float(w[0])))
-    a, m, b = map(fit, coefficients)
-    return test.withColumns({"_a": a, "mid": m, "_b": b}).withColumns({"lo": F.least("_a", "_b"), "hi": F.greatest("_a", "_b")}).drop("_a", "_b")
-
-
 def permuted_error(df: DataFrame, target: int, seed: int, digits: int = 2) -> DataFrame:
     """kind, smape: error of the last value as predictor, on the true panel and after values were exchanged within each year.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import learners as L
 from ..operators import moments as M
+from ..operators import quantreg as Q
 from ..operators import series as S
 from ..operators.boosting import Fit, fit_all
 from ..operators.windows import quantiles
@@ -182,11 +185,23 @@ def forecast_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("series_key", F.round(S.ridge(F.col("committeds"), F.col("years"), TARGET), 0).alias("predicted"))
 
 
+QUANTILES = (0.05, 0.5, 0.95)
+
+
 @query()
 def quantile_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantile regression at 5, 50 and 95 percent; crossed bounds are swapped."""
-    df = quarterly(spark, sf_dir)
-    return L.quantile_regression(df.where(F.col("year") < TARGET), df.where(F.col("year") == TARGET), FEATURES, "label", (0.05, 0.5, 0.95)).select("series_key", *[F.round(c, 6).alias(c) for c in ("lo", "mid", "hi")], F.col("label").between(F.col("lo"), F.col("hi")).alias("covered"))
+    """Exact quantile regression at 5, 50 and 95 percent; crossed bounds are swapped."""
+    df = written_once(quarterly(spark, sf_dir), "quantile")
+    out = Q.quantile_regression(df.where(F.col("year") < TARGET), df.where(F.col("year") == TARGET), FEATURES, "label", QUANTILES)
+    return out.select("series_key", *[F.round(c, 6).alias(c) for c in ("lo", "mid", "hi")], F.col("label").between(F.col("lo"), F.col("hi")).alias("covered"))
+
+
+@query(with_(QUARTERS, WIDE_SQL, QUARTERLY_SQL) + f"SELECT CAST(q AS DOUBLE) AS quantile, (SELECT count(*) FROM train) AS n, true AS holds FROM (SELECT unnest({list(QUANTILES)}) AS q)")
+def quantile_optimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each fitted plane is an optimum: signs of the residuals against the subgradients of the rows on it."""
+    train = written_once(quarterly(spark, sf_dir).where(F.col("year") < TARGET), "quantile")
+    parts = [Q.optimality(train, FEATURES, "label", q, Q.quantile_fit(train, FEATURES, "label", q)) for q in QUANTILES]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _STAGED_SQL = ",\n".join([linear_sql("direct", "train", "test", FEATURES, "t4"), linear_sql("third", "train", "test", FEATURES, "t3"), "moved AS (SELECT series_key, t2, p AS t3, prev FROM third)", linear_sql("rolled", "train", "moved", ["t2", "t3", "prev"], "t4")])
