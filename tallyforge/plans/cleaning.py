@@ -11,6 +11,8 @@ from ..operators import windows as O
 from ..sources import cells as C
 from ..sources.files import year_of_name
 from ..sources.panels import TARGET, annual, fine, movements, quarters, table
+from ..sources.shared import fresh_path
+from ..sources.workbook import read_cells, write_workbook
 from .base_sql import ANNUAL, FINE, MOVES, QUARTERS, with_
 from .registry import query
 
@@ -278,3 +280,19 @@ def null_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """A column if the table has it, else a typed null."""
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+@query(with_(ANNUAL) + "SELECT year, series_key, l1, round(opened, 4) AS opened, round(committed, 4) AS committed, round(transfer_in, 4) AS transfer_in, round(transfer_out, 4) AS transfer_out FROM annual")
+def workbook_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The annual panel written to workbooks, a sheet a year and two physical rows a record, and read back from them."""
+    rows = annual(spark, sf_dir)
+    empty = F.lit(None).cast("double")
+    top = F.struct(F.lit(1).alias("_half"), F.col("series_key").alias("A"), F.col("l1").alias("B"), F.round("opened", 4).alias("C"), F.round("committed", 4).alias("D"), empty.alias("E"), empty.alias("F"))
+    low = F.struct(F.lit(2).alias("_half"), F.lit(None).cast("string").alias("A"), F.lit(None).cast("string").alias("B"), empty.alias("C"), empty.alias("D"), F.round("transfer_in", 4).alias("E"), F.round("transfer_out", 4).alias("F"))
+    ledger = rows.select(F.col("year").cast("string").alias("sheet"), F.col("series_key").alias("_key"), F.explode(F.array(top, low)).alias("r")).select("sheet", "_key", "r.*")
+    path = fresh_path(spark, "workbooks")
+    write_workbook(ledger, path, "sheet", "_key", "_half")
+    cells = read_cells(spark, path, {"A": "string", "B": "string", "C": "string", "D": "string", "E": "string", "F": "string"})
+    found = C.pair_rows(cells, first_row=1, top=["A", "B", "C", "D"], low=["E", "F"], keys=["file", "sheet"])
+    number = lambda c: F.col(c).cast("double")
+    return found.select(F.col("sheet").cast("int").alias("year"), F.col("A").alias("series_key"), F.col("B").alias("l1"), number("C").alias("opened"), number("D").alias("committed"), number("E").alias("transfer_in"), number("F").alias("transfer_out"))
