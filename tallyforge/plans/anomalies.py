@@ -107,9 +107,13 @@ def rule_identity_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All row rules from one scan of the panel: series_key, year, rule, severity, value."""
-    rules = F.explode(F.filter(F.array(*[F.struct(F.expr(f"coalesce({c}, false)").alias("hit"), F.lit(r).alias("rule"), F.lit(s).alias("severity"), F.round(F.expr(v), 6).alias("value")) for r, (s, c, v) in ROW_RULES.items()]), lambda x: x["hit"]))
-    return movements(spark, sf_dir).select("series_key", "year", rules.alias("r")).select("series_key", "year", "r.rule", "r.severity", "r.value").unionByName(swings(spark, sf_dir))
+    """All row rules and huge swings from one scan of the panel: series_key, year, rule, severity, value. The value of the year before stands in the same row."""
+    c, p = F.col("committed"), F.col("before")
+    rows = movements(spark, sf_dir).withColumn("before", F.lag("committed").over(O.ordered(["series_key"], "year")))
+    found = [F.struct(F.expr(f"coalesce({cond}, false)").alias("hit"), F.lit(r).alias("rule"), F.lit(s).alias("severity"), F.round(F.expr(v), 6).alias("value")) for r, (s, cond, v) in ROW_RULES.items()]
+    swing = F.coalesce((p > 0) & (c > 0) & ((c > 10 * p) | (c * 10 < p)), F.lit(False))
+    found.append(F.struct(swing.alias("hit"), F.lit("huge_swing").alias("rule"), F.lit("low").alias("severity"), F.round(F.try_divide(c, p), 6).alias("value")))
+    return rows.select("series_key", "year", F.explode(F.filter(F.array(*found), lambda x: x["hit"])).alias("r")).select("series_key", "year", "r.rule", "r.severity", "r.value")
 
 
 FLAGS_SQL = "flags AS (" + " UNION ALL ".join(f"SELECT series_key, year, '{r}' AS rule, '{s}' AS severity, {v} AS value FROM moves WHERE {c}" for r, (s, c, v) in ROW_RULES.items()) + """
