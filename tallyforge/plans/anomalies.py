@@ -347,11 +347,11 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Robust Mahalanobis distance: concentration steps refit mean and covariance to the nine tenths of rows that are closest."""
-    from ..operators.outliers import robust_mahalanobis
+    """Robust Mahalanobis distance of each row in the eight standardised features, by the reweighted minimum covariance determinant of nine tenths of the rows."""
+    from ..operators.covariance import robust_distance
 
-    df = fine(spark, sf_dir, until=TARGET).select("series_key", "year", F.coalesce("rate", F.lit(0.0)).alias("rate"), (F.col("opened") / 1e6).alias("size"))
-    return robust_mahalanobis(df, ["rate", "size"], support=0.9).select("series_key", "year", F.round("distance", 6).alias("distance"))
+    rows = written_once(standardised(feature_rows(spark, sf_dir), EIGHT), "features")
+    return robust_distance(rows, list(EIGHT), share=0.9, seed=42).select("series_key", "year", F.round("distance", 6).alias("distance"))
 
 
 _V = "CASE WHEN rate IS NULL THEN 0 ELSE rate END"
@@ -418,7 +418,8 @@ def seven_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules: flags of the row and extraction flags of its key; isolation, lof and mahalanobis: of the row in the eight standardised features; forecast: error of the last value, in the target
     year alone; benford: distance of its chapter's first digits, the chapters' median where there are too few; changepoint: the series' largest jump of rate or net transfer.
     """
-    from ..operators.outliers import isolation_scores, local_outlier_factor, robust_mahalanobis
+    from ..operators.covariance import robust_distance
+    from ..operators.outliers import isolation_scores, local_outlier_factor
 
     w, o = W.partitionBy("series_key"), O.ordered(["series_key"], "year")
     known = (F.col("year") == TARGET) & (F.row_number().over(o) > 2)
@@ -427,7 +428,7 @@ def seven_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     jump = F.greatest(*[F.coalesce(F.abs(F.col(v) - F.lag(v).over(o)), F.lit(0.0)) for v in ("rate_ceiling", "transfer_net")])
     feats = feats.withColumn("jump", jump).withColumn("changepoint", F.max("jump").over(w)).drop("jump")
     rows = written_once(standardised(feats, EIGHT).join(rules, ["series_key", "year"]).withColumn("id", F.concat_ws(":", "series_key", "year")), "features")  # the fits below read it again and again
-    scored = robust_mahalanobis(isolation_scores(rows, list(EIGHT), trees=300, sample=256, seed=42), list(EIGHT)).withColumnRenamed("distance", "mahalanobis")
+    scored = robust_distance(isolation_scores(rows, list(EIGHT), trees=300, sample=256, seed=42), list(EIGHT), share=0.9, seed=42).withColumnRenamed("distance", "mahalanobis")
     chapters = benford(spark, sf_dir).select("l1", "chi2")
     middle = O.quantiles(chapters, "chi2", {"m": 0.5})
     ben = chapters.crossJoin(F.broadcast(middle)).select("l1", F.coalesce("chi2", "m", F.lit(0.0)).alias("benford"))
