@@ -21,6 +21,7 @@ def main(args: list[str] | None = None) -> int:
         if getattr(given, name) is not None:
             os.environ[f"TALLYFORGE_{name.upper()}"] = str(getattr(given, name))
     from .catalog import QUERIES  # reads the settings
+    from .sources.shared import clear_written
 
     unknown = sorted(set(given.queries) - set(QUERIES))
     if unknown:
@@ -28,6 +29,7 @@ def main(args: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tallyforge").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     for name in given.queries:
         QUERIES[name](spark, given.tables).write.mode("overwrite").parquet(f"{given.out}/{name}")
+        clear_written(spark)  # the result is there, so what it was read from can go
     return 0
 
 

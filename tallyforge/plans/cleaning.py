@@ -228,12 +228,12 @@ def prior_rows_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(h, (F.col("series_key") == F.col("k")) & (F.col("y") < F.col("year"))).groupBy("series_key", "year").agg(F.count("y").alias("n"), F.round(F.avg("rate"), 6).alias("mean_rate"))
 
 
-@query(with_(ANNUAL) + ", old AS (SELECT l3 AS id, l1 || '|' || l2 || '||' || l3 AS k FROM annual WHERE year = 1999), new AS (SELECT l3 AS id, l1 || '|' || l2 || '||' || l3 AS k FROM annual WHERE year = 2000) SELECT new.k, old.id AS repaired_id FROM new JOIN old USING (k)")
+@query(with_(ANNUAL) + f", old AS (SELECT l3 AS id, l1 || '|' || l2 || '||' || l3 AS k FROM annual WHERE year = {TARGET - 1}), new AS (SELECT l3 AS id, l1 || '|' || l2 || '||' || l3 AS k FROM annual WHERE year = {TARGET}) SELECT new.k, old.id AS repaired_id FROM new JOIN old USING (k)")
 def composite_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids repaired through a joined text key; one row a key on either side."""
     key = F.concat(F.col("l1"), F.lit("|"), F.col("l2"), F.lit("||"), X.normal_code(F.col("l3")))
     at = lambda y: annual(spark, sf_dir).where(F.col("year") == y).select(key.alias("k"), F.col("l3").alias("id"))
-    return at(2000).select("k").join(at(1999), "k").select("k", F.col("id").alias("repaired_id"))
+    return at(TARGET).select("k").join(at(TARGET - 1), "k").select("k", F.col("id").alias("repaired_id"))
 
 
 @query("SELECT CASE WHEN p.p_size = 1 THEN r.r_name ELSE 'NONE' END AS region, p.p_partkey, round(p.p_retailprice / CASE WHEN p.p_size = 1 THEN (SELECT count(*) FROM region) ELSE 1 END, 6) AS share FROM part p LEFT JOIN region r ON p.p_size = 1")

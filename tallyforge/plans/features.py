@@ -183,10 +183,10 @@ def snapshot_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("series_key", "t2", F.coalesce("t1", "t2").alias("t1"), F.coalesce("p2", "m2").alias("t2_prev"), F.coalesce("p4", "m4").alias("t4_prev"), F.col("p2").isNull().alias("filled"))
 
 
-@query(with_(FINE) + "SELECT series_key, year, rank() OVER (ORDER BY round(rate, 4) DESC NULLS LAST) AS rank_min, dense_rank() OVER (ORDER BY round(rate, 4) DESC NULLS LAST) AS rank_dense FROM fine WHERE year = 2000")
+@query(with_(FINE) + f"SELECT series_key, year, rank() OVER (ORDER BY round(rate, 4) DESC NULLS LAST) AS rank_min, dense_rank() OVER (ORDER BY round(rate, 4) DESC NULLS LAST) AS rank_dense FROM fine WHERE year = {TARGET}")
 def global_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimum and dense rank over all rows, from ranked distinct values: the sort has one row a value, not one a row."""
-    df = fine(spark, sf_dir).where("year = 2000").withColumn("v", F.round("rate", 4))
+    df = fine(spark, sf_dir).where(F.col("year") == TARGET).withColumn("v", F.round("rate", 4))
     values = df.groupBy("v").agg(F.count("*").alias("c"))
     w = W.orderBy(F.desc_nulls_last("v"))
     ranked = values.select("v", (F.sum("c").over(w) - F.col("c") + 1).alias("rank_min"), F.row_number().over(w).cast("long").alias("rank_dense"))

@@ -28,17 +28,17 @@ def rollup_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annual(spark, sf_dir).rollup("l1", "l2").agg(F.grouping_id().alias("level"), r4(F.sum("opened")).alias("opened"), r4(F.sum("committed")).alias("committed"), F.count("*").alias("n")).select("l1", "l2", "level", "opened", "committed", "n")
 
 
-@query(with_(ANNUAL) + "SELECT CASE WHEN grouping(l1) = 1 THEN 'TOTAL' ELSE l1 END AS l1, l2, round(sum(opened), 4) AS opened, count(DISTINCT series_key) AS series FROM annual WHERE year = 2000 GROUP BY GROUPING SETS ((l1, l2), ())")
+@query(with_(ANNUAL) + f"SELECT CASE WHEN grouping(l1) = 1 THEN 'TOTAL' ELSE l1 END AS l1, l2, round(sum(opened), 4) AS opened, count(DISTINCT series_key) AS series FROM annual WHERE year = {TARGET} GROUP BY GROUPING SETS ((l1, l2), ())")
 def rollup_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subtotals by chapter and programme with a grand total row."""
-    df = annual(spark, sf_dir).where("year = 2000").groupingSets([["l1", "l2"], []], "l1", "l2").agg(F.grouping("l1").alias("g"), r4(F.sum("opened")).alias("opened"), F.count("series_key").alias("series"))
+    df = annual(spark, sf_dir).where(F.col("year") == TARGET).groupingSets([["l1", "l2"], []], "l1", "l2").agg(F.grouping("l1").alias("g"), r4(F.sum("opened")).alias("opened"), F.count("series_key").alias("series"))
     return df.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("l1")).alias("l1"), "l2", "opened", "series")
 
 
-@query(with_(ANNUAL) + "SELECT p.l1, p.l2, round(p.kept * 0.9, 4) AS stale, round(s.x, 4) AS rebuilt FROM (SELECT l1, l2, sum(opened) AS kept FROM annual WHERE year = 2000 GROUP BY 1, 2) p JOIN (SELECT l1, l2, sum(opened) * 1.1 AS x FROM annual WHERE year = 2000 GROUP BY 1, 2) s USING (l1, l2)")
+@query(with_(ANNUAL) + f"SELECT p.l1, p.l2, round(p.kept * 0.9, 4) AS stale, round(s.x, 4) AS rebuilt FROM (SELECT l1, l2, sum(opened) AS kept FROM annual WHERE year = {TARGET} GROUP BY 1, 2) p JOIN (SELECT l1, l2, sum(opened) * 1.1 AS x FROM annual WHERE year = {TARGET} GROUP BY 1, 2) s USING (l1, l2)")
 def rollup_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parent rows replaced by the sum of their updated children."""
-    a = annual(spark, sf_dir).where("year = 2000")
+    a = annual(spark, sf_dir).where(F.col("year") == TARGET)
     parents = a.groupBy("l1", "l2").agg(r4(F.sum("opened") * 0.9).alias("stale"))
     rebuilt = a.withColumn("opened", F.col("opened") * 1.1).groupBy("l1", "l2").agg(r4(F.sum("opened")).alias("rebuilt"))
     return parents.join(rebuilt, ["l1", "l2"])
@@ -69,11 +69,11 @@ def rate_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.groupBy("year").agg(F.round(F.avg("rate"), 6).alias("mean_rate"), F.round(F.stddev_samp("rate"), 6).alias("std_rate")).join(q, "year", "left")
 
 
-@query(with_(ANNUAL) + """SELECT 'lines' AS label, CAST(count(DISTINCT series_key) AS DOUBLE) AS value FROM annual UNION ALL SELECT 'opened', round(sum(opened), 4) FROM annual WHERE year = 2000
-UNION ALL SELECT 'committed', round(sum(committed), 4) FROM annual WHERE year = 2000 UNION ALL SELECT 'rate', round(sum(committed) / sum(opened), 6) FROM annual WHERE year = 2000""")
+@query(with_(ANNUAL) + f"""SELECT 'lines' AS label, CAST(count(DISTINCT series_key) AS DOUBLE) AS value FROM annual UNION ALL SELECT 'opened', round(sum(opened), 4) FROM annual WHERE year = {TARGET}
+UNION ALL SELECT 'committed', round(sum(committed), 4) FROM annual WHERE year = {TARGET} UNION ALL SELECT 'rate', round(sum(committed) / sum(opened), 6) FROM annual WHERE year = {TARGET}""")
 def kpi_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key figures as label and value: one aggregation, unpivoted."""
-    now = F.col("year") == 2000
+    now = F.col("year") == TARGET
     total = lambda c: F.sum(F.when(now, F.col(c)))
     one = annual(spark, sf_dir).agg(F.countDistinct("series_key").cast("double").alias("lines"), r4(total("opened")).alias("opened"), r4(total("committed")).alias("committed"), F.round(total("committed") / total("opened"), 6).alias("rate"))
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("value")) for c in ("lines", "opened", "committed", "rate")])).alias("r")).select("r.*")
@@ -99,17 +99,17 @@ def key_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 2")
 
 
-@query(with_(FINE) + "SELECT l1, sum(opened)::DECIMAL(38, 4)::DOUBLE AS opened, dense_rank() OVER (ORDER BY round(sum(opened), 4) DESC) AS place FROM fine WHERE year = 2000 GROUP BY 1".replace("sum(opened)::DECIMAL(38, 4)::DOUBLE", "round(sum(opened), 2)"))
+@query(with_(FINE) + f"SELECT l1, sum(opened)::DECIMAL(38, 4)::DOUBLE AS opened, dense_rank() OVER (ORDER BY round(sum(opened), 4) DESC) AS place FROM fine WHERE year = {TARGET} GROUP BY 1".replace("sum(opened)::DECIMAL(38, 4)::DOUBLE", "round(sum(opened), 2)"))
 def dense_rank_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters by credits with their dense rank (the rank is over chapters, few rows)."""
-    g = fine(spark, sf_dir).where("year = 2000").groupBy("l1").agg(r4(F.sum("opened")).alias("opened"))
+    g = fine(spark, sf_dir).where(F.col("year") == TARGET).groupBy("l1").agg(r4(F.sum("opened")).alias("opened"))
     return g.withColumn("place", F.dense_rank().over(W.orderBy(F.desc("opened"))).cast("long"))
 
 
-@query(with_(FINE) + "SELECT l2, round(sum(opened), 4) AS opened, round(sum(committed), 4) AS committed, count(*) AS n, round(sum(committed) / sum(opened), 6) AS rate FROM fine WHERE year = 2000 GROUP BY 1 ORDER BY round(sum(committed), 4) DESC, l2 LIMIT 15")
+@query(with_(FINE) + f"SELECT l2, round(sum(opened), 4) AS opened, round(sum(committed), 4) AS committed, count(*) AS n, round(sum(committed) / sum(opened), 6) AS rate FROM fine WHERE year = {TARGET} GROUP BY 1 ORDER BY round(sum(committed), 4) DESC, l2 LIMIT 15")
 def top_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifteen largest consumers with the ratio of their sums."""
-    g = fine(spark, sf_dir).where("year = 2000").groupBy("l2").agg(r4(F.sum("opened")).alias("opened"), r4(F.sum("committed")).alias("committed"), F.count("*").alias("n"), F.round(F.sum("committed") / F.sum("opened"), 6).alias("rate"))
+    g = fine(spark, sf_dir).where(F.col("year") == TARGET).groupBy("l2").agg(r4(F.sum("opened")).alias("opened"), r4(F.sum("committed")).alias("committed"), F.count("*").alias("n"), F.round(F.sum("committed") / F.sum("opened"), 6).alias("rate"))
     return g.orderBy(F.desc("committed"), "l2").limit(15)
 
 
@@ -198,12 +198,12 @@ def page_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annual(spark, sf_dir).groupBy("year", "l1").agg(r4(F.sum("opened")).alias("opened"), r4(F.sum("committed")).alias("committed"), F.round(F.avg(rate()), 6).alias("avg_rate"), F.count_if(F.col("committed") > 1.1 * F.col("ceiling")).alias("flagged"))
 
 
-@query(with_(FINE, GROWTH_SQL) + "SELECT series_key, round((hi - lo) / nullif(p, 0) * 100, 4) AS band_width_pct FROM (SELECT series_key, committed * g AS p, greatest(committed * g * 0.9, 0) AS lo, committed * g * 1.1 AS hi FROM fine, growth WHERE year = 1999)")
+@query(with_(FINE, GROWTH_SQL) + f"SELECT series_key, round((hi - lo) / nullif(p, 0) * 100, 4) AS band_width_pct FROM (SELECT series_key, committed * g AS p, greatest(committed * g * 0.9, 0) AS lo, committed * g * 1.1 AS hi FROM fine, growth WHERE year = {TARGET - 1})")
 def band_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Width of a band in percent of its forecast; none where that is 0."""
     from .forecasts import growth
 
-    df = fine(spark, sf_dir).where("year = 1999").crossJoin(F.broadcast(growth(spark, sf_dir))).withColumn("p", F.col("committed") * F.col("g"))
+    df = fine(spark, sf_dir).where(F.col("year") == TARGET - 1).crossJoin(F.broadcast(growth(spark, sf_dir))).withColumn("p", F.col("committed") * F.col("g"))
     return df.select("series_key", F.round(F.try_divide(F.col("p") * 1.1 - F.greatest(F.col("p") * 0.9, F.lit(0.0)), F.nullif(F.col("p"), F.lit(0.0))) * 100, 4).alias("band_width_pct"))
 
 

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Paths that this process has given out and not deleted, by application.
+_given: dict[str, list[str]] = {}
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -18,7 +20,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tallyforge-"))
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete all that was written under fresh paths so far; returns how many paths there were. Results that read them must have been written before: queries are lazy."""
+    paths = _given.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
 
 
 def written_once(df: DataFrame, name: str) -> DataFrame:
