@@ -250,3 +250,19 @@ def test_boxes_hold_at_most_a_block(spark):
     boxes = outliers.Boxes(df, 2, 25)
     sizes = [r["count"] for r in boxes.places.groupBy("cell").count().collect()]
     assert max(sizes) <= 25 and sum(sizes) == len(places)
+
+
+def test_settings_take_fitted_methods_and_drop_their_sql(sf_dir):
+    """With Boosting among the methods of the settings, what depends on it has no SQL; all else keeps its own."""
+    import json
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import json; from tallyforge.catalog import ORACLE_SQL as o; print(json.dumps([n in o for n in ('best_method', 'leaderboard', 'best_with_ridge', 'panel_annual')]))"
+    said = []
+    for names in ("Naive,Ridge", "Boosting,Naive"):
+        env = dict(os.environ, TALLYFORGE_METHODS=names, PYTHONPATH=os.pathsep.join(x for x in (root, os.environ.get("PYTHONPATH")) if x))
+        said.append(json.loads(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, cwd=root, timeout=120, check=True).stdout))
+    assert said == [[True] * 4, [False, False, True, True]]
