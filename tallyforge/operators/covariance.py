@@ -1,8 +1,8 @@
 """Robust location and covariance: the minimum covariance determinant.
 
 Of all sets of a share of the rows the one whose covariance has the least determinant is looked for. Random starts of a few rows each are led by concentration steps (moments of the nearest rows, distances
-from these, the nearest again) on a bounded sample, which only tells where to start; the best of them go on over all rows until the determinant no longer falls, together with the start from all rows, so the result
-is never above that one. The covariance is then scaled to be consistent under a normal law (median distance against that of chi squared), the rows beyond its 97.5 % point are left out, and
+from these, the nearest again) on a bounded sample, which only tells where to start; the best of them and the start from all rows go on over all rows, by sketches of the distances first; the one with the
+least determinant then goes on by exact places until it no longer falls. The covariance is then scaled to be consistent under a normal law (median distance against that of chi squared), the rows beyond its 97.5 % point are left out, and
 moments and scale of the others are the result.
 
 Scale. A step over all rows is one exact order statistic of the distances and one aggregation of moments; the driver holds matrices and the sample.
@@ -97,22 +97,30 @@ def minimum_determinant(df: DataFrame, features: list[str], *, share: float = 0.
     # by a digest of the features, so the sample is the same in every run
     drawn = df.select(*features).orderBy(F.xxhash64(*features), *features).limit(sample).collect()
     x = np.array([[float(v) for v in r] for r in drawn]).reshape(-1, len(features))
-    best = None
-    for at, about in [(mean, cov), *starts(x, share, trials, keep, seed)]:
+
+    def concentrated(at: np.ndarray, about: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray, float] | None:
+        """Steps until the log determinant stops falling: by a millionth, without exact places by a thousandth."""
         last = np.inf
         while True:
             d = df.select(*features, F.round(squared_distance(features, at, np.linalg.pinv(about, rcond=1e-10, hermitian=True)), 12).alias("_d"))
-            cut = ranked_values(d, "_d").agg(F.min(F.when(F.col("upto") >= h, F.col("_d"))).alias("cut")).first().cut
+            if exact:
+                cut = ranked_values(d, "_d").agg(F.min(F.when(F.col("upto") >= h, F.col("_d"))).alias("cut")).first().cut
+            else:
+                cut = d.agg(F.percentile_approx("_d", h / n, 10_000).alias("cut")).first().cut
             if cut is None:
-                return mean, cov, _log_determinant(cov)
+                return None
             _, at2, about2 = _moments(d.where(F.col("_d") <= cut), features)
             value = _log_determinant(about2)
-            if not value < last - 1e-9:  # rows as far as the last one count too, so a step may stand still
-                break
+            if not value < last - (1e-6 if exact else 1e-3):  # rows as far as the last one count too, so a step may stand still
+                return at, about, last
             at, about, last = at2, about2, value
-        if best is None or last < best[2]:
-            best = at, about, last
-    return best
+
+    if not n:
+        return mean, cov, _log_determinant(cov)
+    # sketches of the distances lead every start near to its end; the best of them goes on by exact places
+    led = [concentrated(*start, False) for start in [(mean, cov), *starts(x, share, trials, keep, seed)]]
+    at, about, _ = min((f for f in led if f), key=lambda f: f[2], default=(mean, cov, 0.0))
+    return concentrated(at, about, True) or (mean, cov, _log_determinant(cov))
 
 
 def robust_distance(df: DataFrame, features: list[str], *, share: float = 0.9, seed: int = 0) -> DataFrame:
