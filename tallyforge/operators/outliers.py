@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -15,17 +16,19 @@ from pyspark.sql import Window as W
 from ..sources.shared import written_once
 from .windows import quantiles
 
-#: Places in space that a box holds at most, and places of the sample that bounds every search.
-BLOCK = 4096
+#: Places in space that a box holds at most, which is what a search task holds.
+BLOCK = 32_768
 #: Places that ask a box at once, or so.
-ASKED = 16_384
+ASKED = 32_768
+#: Places of a leaf of the tree that a task grows over its box, and askers that go through it together.
+LEAF = 256
 
 
 class Boxes:
     """Space cut into boxes of at most `block` distinct places, by as many rounds of splits as that takes.
 
-    Each round cuts every cell that holds more at quantiles of its widest feature (sketches of all cells and features in one aggregation). As places are distinct, each cut leaves something on either side, so
-    clusters and ties only take more rounds. levels: for each round a table of parent, cell, lo, hi: the boxes around the places of each cell, unsplit cells as their own children. Nothing of it is collected;
+    Each round cuts every cell that holds more at quantiles of a feature (sketches of all cells and features in one aggregation): the one whose bulk is widest, as whole ranges are those of a few strange places. As
+    places are distinct, each cut leaves something on either side, so clusters and ties only take more rounds. levels: for each round a table of parent, cell, lo, hi: the boxes around the places of each cell, unsplit cells as their own children. Nothing of it is collected;
     tables by cell are joined, which Spark does by broadcast only where it sees that they are small.
     """
 
@@ -37,15 +40,17 @@ class Boxes:
         own = lambda f, name: [f(F.col("x")[i]).alias(f"{name}{i}") for i in range(dims)]
         for level in range(64):
             large = at.groupBy("cell").agg(F.count("*").alias("n"), *own(F.min, "lo"), *own(F.max, "hi"), *[F.percentile_approx(F.col("x")[i], [k / self.FAN for k in range(1, self.FAN)], 200).alias(f"q{i}") for i in range(dims)]).where(F.col("n") > block)
-            wide = F.array_max(F.array(*[F.struct((F.col(f"hi{i}") - F.col(f"lo{i}")).alias("w"), F.lit(-i).alias("i")) for i in range(dims)]))
+            bulk = lambda i: F.col(f"q{i}")[self.FAN - 3] - F.col(f"q{i}")[1]  # noqa: E731  where three quarters of the places lie
+            wide = F.array_max(F.array(*[F.struct(bulk(i).alias("b"), (F.col(f"hi{i}") - F.col(f"lo{i}")).alias("w"), F.lit(-i).alias("i")) for i in range(dims)]))
             pick = lambda c: F.element_at(F.array(*[F.col(f"{c}{i}") for i in range(dims)]), 1 - F.col("w")["i"])
-            cuts = F.array_distinct(F.filter(pick("q"), lambda v: v < F.col("top")))
-            large = large.withColumn("w", wide).withColumn("top", pick("hi")).select("cell", (-F.col("w")["i"]).alias("dim"), F.when(F.size(cuts) > 0, cuts).otherwise(F.array(pick("lo"))).alias("cuts"))
+            step = F.when(1.25 * F.col("n") > 2 * block, self.FAN // 4).otherwise(self.FAN // 2)  # four parts or two, so that several features are cut
+            cuts = F.array_distinct(F.filter(pick("q"), lambda v, i: (v < F.col("top")) & ((i + 1) % F.col("step") == 0)))
+            large = large.withColumn("w", wide).withColumn("top", pick("hi")).withColumn("step", step).select("cell", (-F.col("w")["i"]).alias("dim"), F.when(F.size(cuts) > 0, cuts).otherwise(F.array(pick("lo"))).alias("cuts"))
             large = written_once(large, "splits")
             if large.isEmpty():
                 break
             part = F.size(F.filter("cuts", lambda v: v < F.element_at("x", F.col("dim") + 1)))
-            moved = at.join(large, "cell", "left").select("x", "ids", F.col("cell").alias("parent"), F.when(F.col("cuts").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", part, F.lit(level))).alias("cell"))
+            moved = at.join(large, "cell", "left").select(*places.columns, F.col("cell").alias("parent"), F.when(F.col("cuts").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", part, F.lit(level))).alias("cell"))
             moved = written_once(moved, "cells")
             boxes = moved.groupBy("parent", "cell").agg(*own(F.min, "lo"), *own(F.max, "hi"))
             sides = lambda c: F.array(*[F.col(f"{c}{i}") for i in range(dims)]).alias(c)
@@ -54,55 +59,106 @@ class Boxes:
         self.places = at
 
     def visited(self, asked: DataFrame) -> DataFrame:
-        """asked (x, radius) with each cell whose box the ball meets, found from the widest boxes down."""
+        """asked (x and radius among its columns) with each cell whose box the ball meets, found from the widest boxes down."""
         out = asked.withColumn("cell", F.lit(0).cast("long"))
         for boxes in self.levels:
-            gap = F.aggregate(F.zip_with("x", F.arrays_zip("lo", "hi"), lambda v, b: F.greatest(b["lo"] - v, v - b["hi"], F.lit(0.0))), F.lit(0.0), lambda a, g: a + g * g)
-            out = out.withColumnRenamed("cell", "parent").join(boxes, "parent").where(gap <= F.col("radius") * F.col("radius") * (1 + 1e-12)).select("x", "radius", "cell")
+            sides = [F.greatest(F.col("lo")[i] - F.col("x")[i], F.col("x")[i] - F.col("hi")[i], F.lit(0.0)) for i in range(self.dims)]  # written out, as functions over arrays aren't compiled
+            gap = sum([v * v for v in sides[1:]], sides[0] * sides[0])
+            out = out.withColumnRenamed("cell", "parent").join(boxes, "parent").where(gap <= F.col("radius") * F.col("radius") * (1 + 1e-12)).select(*asked.columns, "cell")
         return out
 
 
-def _kth(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """No less than the distance of each of a to its k-th place of b (from 0), and hardly more."""
-    if len(b) <= k:
-        return np.full(len(a), np.inf)
-    square = (a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)
-    at = np.argpartition(square, k, axis=1)[:, : k + 1]
-    return np.sqrt(((a[:, None, :] - b[at]) ** 2).sum(2)).max(1)
-
-
-def _nearest(x: np.ndarray, places: np.ndarray, ids: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k + 1 nearest points of each query place: its row, their ids and distances. Equal distances (nine decimals) by id.
-
+def _leaves(x: np.ndarray) -> list[np.ndarray]:
+    """Rows of x in parts of at most LEAF that lie close together: halved at the middle of the feature whose bulk is widest."""
+    todo, done = [np.arange(len(x))], []
+    while todo:
+        at = todo.pop()
+        if len(at) <= LEAF:
+            done.append(at)
+            continue
+        some = x[at]
+        low, high = np.quantile(some[:: max(1, len(some) // 128)], [0.125, 0.875], axis=0)
+        wide = high - low if (high > low).any() else np.ptp(some, axis=0)
+        at = at[np.argpartition(some[:, int(np.argmax(wide))], len(at) // 2)]
+        todo += [at[len(at) // 2 :], at[: len(at) // 2]]
+    return done
+
+
+def _kth(part: np.ndarray, places: np.ndarray, counts: np.ndarray, want: int) -> np.ndarray:
+    """No less than the distance of each of part to its want-th point, and hardly more; counts: points at each place."""
+    few = min(len(places), want)
+    square = (part**2).sum(1)[:, None] - 2 * part @ places.T + (places**2).sum(1)
+    at = np.argpartition(square, few - 1, axis=1)[:, :few]
+    d = np.sqrt(((part[:, None, :] - places[at]) ** 2).sum(2))
+    order = np.argsort(d, axis=1)
+    upto = np.cumsum(np.take_along_axis(counts[at], order, 1), axis=1)
+    d = np.take_along_axis(d, order, 1)
+    return np.where(upto[:, -1] >= want, np.take_along_axis(d, (upto >= want).argmax(1)[:, None], 1)[:, 0], np.inf)
+
+
+def _nearest(x: np.ndarray, radius: np.ndarray, places: np.ndarray, ids: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k + 1 nearest points of each query place within its radius: its row, their ids and distances, by row. Equal distances (nine decimals) by id. counts: ids at each place.
+
+    Places lie in the leaves of a tree. Queries that are close go together: the leaves nearest to them narrow their radius, then those that a ball meets are searched.
     Squares by a matrix product tell which places can be among them, with room for their rounding; distances of those are then taken exactly.
     """
-    counts = np.array([len(i) for i in ids])
-    begin = np.concatenate([[0], np.cumsum(counts)])
-    names = np.concatenate(ids).astype(str)
-    rank = np.argsort(np.argsort(names, kind="stable"))
-    want = min(k + 1, len(names))
-    few = min(len(places), want)  # each place has a point at least, so the nearest k + 1 points lie in the nearest k + 1 places or as near
-    norms = (places**2).sum(1)
+    want, leaves = k + 1, _leaves(places)
+    order, sizes = np.concatenate(leaves), np.array([len(v) for v in leaves])
+    begin = (np.cumsum(counts) - counts)[order]
+    places, counts = places[order], counts[order]
+    first = np.cumsum(sizes) - sizes
+    low, high = np.minimum.reduceat(places, first), np.maximum.reduceat(places, first)
+    leaf = np.repeat(np.arange(len(sizes)), sizes)
     out: list[tuple] = []
-    for lo in range(0, len(x), 512):
-        part = x[lo : lo + 512]
-        own = (part**2).sum(1)[:, None]
-        square = own - 2 * part @ places.T + norms
-        room = 1e-12 * (own[:, 0] + norms.max(initial=0.0)) + 1e-8
-        reach = np.partition(square, few - 1, axis=1)[:, few - 1]
-        row, place = np.nonzero(square <= (np.sqrt(np.maximum(reach, 0)) + 2e-9)[:, None] ** 2 + room[:, None])
-        d = np.sqrt(((part[row] - places[place]) ** 2).sum(1))
+    for asks in _leaves(x):
+        part, reach = x[asks], radius[asks]
+        gap = np.zeros((len(part), len(sizes)))
+        for f in range(x.shape[1]):
+            side = part[:, f, None]
+            gap += np.maximum(np.maximum(low[:, f] - side, side - high[:, f]), 0.0) ** 2
+        if not np.isfinite(reach).all():
+            close = np.argsort(gap.mean(0), kind="stable")
+            close = close[: np.searchsorted(np.cumsum(sizes[close]), 4 * LEAF + want) + 1]
+            some = np.isin(leaf, close)
+            reach = np.minimum(reach, _kth(part - part[0], places[some] - part[0], counts[some], want) + 2e-9)
+        met = gap <= (reach**2 * (1 + 1e-12))[:, None]
+        rows, at, far = [], [], []
+        by = np.argsort(met.sum(1), kind="stable")
+        for few in (by[lo : lo + 32] for lo in range(0, len(by), 32)):  # those that meet few leaves don't go through the many of others
+            some = np.flatnonzero(met[few].any(0)[leaf])
+            about, near = part[few] - part[few[0]], places[some] - part[few[0]]  # close to nothing, so squares lose little
+            own, norms = (about**2).sum(1), (near**2).sum(1)
+            left = np.column_stack([-2 * about, np.ones(len(about))]) @ np.vstack([near.T, norms])  # square distance less the asker's own square
+            hit = np.flatnonzero(left <= (reach[few] ** 2 - own + 1e-12 * (own + norms.max(initial=0.0)))[:, None])
+            row, place = few[hit // max(len(some), 1)], some[hit % max(len(some), 1)]
+            d = np.sqrt(((part[row] - places[place]) ** 2).sum(1))
+            inside = d <= reach[row]
+            rows.append(row[inside])
+            at.append(place[inside])
+            far.append(d[inside])
+        row, place, d = np.concatenate(rows), np.concatenate(at), np.concatenate(far)
         # the points of these places
         size = counts[place]
-        point = np.repeat(begin[place] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        point = ids[np.repeat(begin[place] - np.cumsum(size) + size, size) + np.arange(size.sum())]
         row, d = np.repeat(row, size), np.repeat(d, size)
-        order = np.lexsort((rank[point], np.round(d, 9), row))
-        row, d, point = row[order], d[order], point[order]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = nth < want
-        out.append((row[keep] + lo, names[point[keep]], d[keep]))
+        by = np.lexsort((point, np.round(d, 9), row))
+        row, d, point = row[by], d[by], point[by]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < want
+        out.append((asks[row[keep]], point[keep], d[keep]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     rows, found, d = (np.concatenate(v) for v in zip(*out, strict=True))
-    return rows, found, d
+    by = np.argsort(rows, kind="stable")
+    return rows[by], found[by], d[by]
+
+
+def _matrix(table: pa.Table, name: str, dims: int) -> np.ndarray:
+    return np.concatenate([c.flatten().to_numpy() for c in table.column(name).chunks] or [np.zeros(0)]).reshape(-1, dims)
+
+
+def _lists(values: np.ndarray, rows: np.ndarray, n: int) -> pa.Array:
+    """One list for each of n rows; values come by row."""
+    return pa.ListArray.from_arrays(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32), values)
 
 
 def _spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -113,47 +169,54 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
 def local_outlier_factor(df: DataFrame, key: str, features: list[str], k: int, block: int = BLOCK) -> DataFrame:
     """key and lof: mean local density of the k nearest neighbours over the own one. Exact; distances in space, ties (nine decimals) by key.
 
-    Points at the same place are searched for once: a place keeps its k + 1 smallest keys, which is all that any neighbour list can hold of it.
-    Places lie in boxes of at most `block`. The distance to the k-th place in the own box, or in a sample of `block` places, bounds a search; a place then visits just the boxes that its ball
-    meets. Those who ask a box come in parts of bounded size. The driver holds `block` places of a sample. A null feature counts as 0.
+    Points are numbered in the order of their keys. Points at the same place are searched for once: a place keeps its k + 1 smallest numbers, which is all that any neighbour list can hold of it.
+    Places lie in boxes of at most `block`, and a task searches a box by a tree. Each place is first searched for in its own box; the distance to the last one found there bounds the search, and a place then
+    visits just the other boxes that its ball meets. Those who ask a box come in parts of bounded size. The driver holds nothing of the points.
     """
-    spark, dims = df.sparkSession, len(features)
+    dims = len(features)
     pts = df.select(F.col(key).cast("string").alias("id"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
-    few = pts.withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy("id"))).where(F.col("rn") <= k + 1)
-    places = written_once(few.groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("ids")), "places")
-    drawn = places.select("x").orderBy(F.xxhash64("x")).limit(block).collect()
-    sent = spark.sparkContext.broadcast(np.array([r.x for r in drawn]).reshape(-1, dims))
-    boxes = Boxes(places, dims, block)
-
-    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, radius = np.stack(pdf["x"].to_numpy()), []
-        for lo in range(0, len(x), 256):
-            part = x[lo : lo + 256]
-            radius.append(np.minimum(*[_kth(part, of, k) for of in (x, sent.value)]) + 2e-9)
-        return pd.DataFrame({"x": pdf["x"], "radius": np.concatenate(radius)})
-
-    asked = boxes.visited(_spread(boxes.places, "cell").groupBy("cell").applyInPandas(bound, "x array<double>, radius double"))
-    asked = written_once(asked, "asked")
+    pts = written_once(pts.orderBy("id").select("id", "x", F.monotonically_increasing_id().alias("n")), "points")
+    alike = W.partitionBy("x")
+    placed = written_once(pts.select("n", "x", F.min("n").over(alike).alias("p"), F.row_number().over(alike.orderBy("n")).alias("rn")), "placed")
+    places = placed.where(F.col("rn") <= k + 1).groupBy("p").agg(F.first("x").alias("x"), F.array_sort(F.collect_list("n")).alias("ids"))
+    boxes = Boxes(written_once(places, "places"), dims, block)
+
+    def held(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = table.column("ids").combine_chunks()
+        return _matrix(table, "x", dims), ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64)
+
+    def at_home(table: pa.Table) -> pa.Table:
+        x, ids, counts = held(table)
+        rows, o, d = _nearest(x, np.full(len(x), np.inf), x, ids, counts, k)
+        upto = np.searchsorted(rows, np.arange(len(x) + 1))
+        full = np.diff(upto) > k
+        radius = np.where(full, d[np.maximum(upto[1:] - 1, 0)] + 2e-9 if len(d) else np.inf, np.inf)
+        return pa.table({"p": table.column("p"), "x": table.column("x"), "radius": radius, "own": table.column("cell"), "o": _lists(o, rows, len(x)), "d": _lists(d, rows, len(x))})
+
+    home = written_once(_spread(boxes.places, "cell").groupBy("cell").applyInArrow(at_home, "p long, x array<double>, radius double, own long, o array<long>, d array<double>"), "home")
+    asked = written_once(boxes.visited(home.select("p", "x", "radius", "own")).where("cell <> own").select("p", "x", "radius", "cell"), "asked")
     parts = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("parts"))
-    asked = asked.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
-    held = boxes.places.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def search(key_: tuple, asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(asks) or not len(held):
-            return pd.DataFrame({"x": [], "o": [], "d": []})
-        rows, o, d = _nearest(np.stack(asks["x"].to_numpy()), np.stack(held["x"].to_numpy()), held["ids"].tolist(), k)
-        near = d <= asks["radius"].to_numpy()[rows]  # what is farther than the bound is in no list
-        return pd.DataFrame({"x": asks["x"].to_numpy()[rows[near]], "o": o[near], "d": d[near]})
-
-    near = _spread(asked.select("x", "radius", "cell", "part"), "cell", "part").groupBy("cell", "part").cogroup(_spread(held.select("x", "ids", "cell", "part"), "cell", "part").groupBy("cell", "part")).applyInPandas(search, "x array<double>, o string, d double")
-    near = near.withColumn("rn", F.row_number().over(W.partitionBy("x").orderBy(F.round("d", 9), "o"))).where(F.col("rn") <= k + 1)
-    lists = near.groupBy("x").agg(F.array_sort(F.collect_list(F.struct("rn", "o", "d"))).alias("list"))
-    own = pts.join(lists, "x").select("id", F.explode(F.slice(F.filter("list", lambda v: v["o"] != F.col("id")), 1, k)).alias("v"))
-    near = written_once(own.select("id", F.col("v.o").alias("o"), F.col("v.d").alias("d")), "neighbours")  # read three times below
-    reach = near.groupBy("id").agg(F.max("d").alias("kd"))
-    density = near.join(reach.withColumnRenamed("id", "o"), "o").groupBy("id").agg((1 / (F.avg(F.greatest("kd", "d")) + 1e-10)).alias("lrd"))
-    other = density.select(F.col("id").alias("o"), F.col("lrd").alias("their"))
-    return near.join(other, "o").groupBy("id").agg(F.avg("their").alias("m")).join(density, "id").select(F.col("id").alias(key), (F.col("m") / F.col("lrd")).alias("lof"))
+    asked = asked.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("p"), F.col("parts")).cast("int"))
+    there = boxes.places.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def away(asks: pa.Table, table: pa.Table) -> pa.Table:
+        n = asks.num_rows
+        rows, o, d = _nearest(_matrix(asks, "x", dims), asks.column("radius").to_numpy(), *held(table), k) if n and table.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        found = np.unique(rows)
+        rows = np.searchsorted(found, rows)
+        return pa.table({"p": asks.column("p").take(pa.array(found)), "o": _lists(o, rows, len(found)), "d": _lists(d, rows, len(found))})
+
+    more = _spread(asked.select("p", "x", "radius", "cell", "part"), "cell", "part").groupBy("cell", "part").cogroup(_spread(there.select("x", "ids", "cell", "part"), "cell", "part").groupBy("cell", "part")).applyInArrow(away, "p long, o array<long>, d array<double>")
+    zipped = F.transform(F.arrays_zip("o", "d"), lambda v: F.struct(F.round(v["d"], 9).alias("r"), v["o"].alias("o"), v["d"].alias("d")))
+    found = home.select("p", "o", "d").unionByName(more).groupBy("p").agg(F.slice(F.array_sort(F.flatten(F.collect_list(zipped))), 1, k + 1).alias("list"))
+    own = F.slice(F.filter("list", lambda v: v["o"] != F.col("n")), 1, k)
+    lists = placed.select("n", "p").join(found, "p").select("n", F.transform(own, lambda v: F.struct(v["o"].alias("o"), v["d"].alias("d"))).alias("list"))
+    lists = written_once(lists.select("n", "list", F.array_max("list.d").alias("kd")), "neighbours")
+    near = lists.select("n", F.explode("list").alias("v")).select("n", "v.o", "v.d")
+    reach = near.join(lists.select(F.col("n").alias("o"), "kd"), "o")
+    density = written_once(reach.groupBy("n").agg((1 / (F.avg(F.greatest("kd", "d")) + 1e-10)).alias("lrd")), "density")
+    other = near.join(density.select(F.col("n").alias("o"), F.col("lrd").alias("their")), "o").groupBy("n").agg(F.avg("their").alias("m"))
+    return other.join(density, "n").join(pts.select("n", "id"), "n").select(F.col("id").alias(key), (F.col("m") / F.col("lrd")).alias("lof"))
 
 
 def _c(n: int) -> float:

@@ -323,7 +323,7 @@ def lof_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logarithm of the local outlier factor of each series and year in eight standardised features, by exact nearest neighbours."""
     from ..operators.outliers import local_outlier_factor
 
-    rows = standardised(feature_rows(spark, sf_dir), EIGHT).withColumn("id", F.concat_ws(":", "series_key", "year"))
+    rows = standardised(written_once(feature_rows(spark, sf_dir), "features"), EIGHT).withColumn("id", F.concat_ws(":", "series_key", "year"))
     found = local_outlier_factor(rows, "id", list(EIGHT), K)
     at = F.length("id") - 4
     return found.select(F.substring("id", F.lit(1), at - 1).alias("series_key"), F.substring("id", at + 1, F.lit(4)).cast("int").alias("year"), F.round(F.ln("lof"), 5).alias("log_lof"))
@@ -426,7 +426,7 @@ def seven_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = rule_rows(spark, sf_dir).select("series_key", "year", (F.col("rules_key") + F.col("rules_row")).cast("double").alias("rules"), F.coalesce(F.when(known, smape(F.col("committed"), F.col("before"))), F.lit(0.0)).alias("forecast"))
     feats = feature_rows(spark, sf_dir)
     jump = F.greatest(*[F.coalesce(F.abs(F.col(v) - F.lag(v).over(o)), F.lit(0.0)) for v in ("rate_ceiling", "transfer_net")])
-    feats = feats.withColumn("jump", jump).withColumn("changepoint", F.max("jump").over(w)).drop("jump")
+    feats = written_once(feats.withColumn("jump", jump).withColumn("changepoint", F.max("jump").over(w)).drop("jump"), "features")  # its moments are a scan of their own
     rows = written_once(standardised(feats, EIGHT).join(rules, ["series_key", "year"]).withColumn("id", F.concat_ws(":", "series_key", "year")), "features")  # the fits below read it again and again
     scored = robust_distance(isolation_scores(rows, list(EIGHT), trees=300, sample=256, seed=42), list(EIGHT), share=0.9, seed=42).withColumnRenamed("distance", "mahalanobis")
     chapters = benford(spark, sf_dir).select("l1", "chi2")

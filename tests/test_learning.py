@@ -98,6 +98,40 @@ def test_boosting_side_by_side_and_without_rows(rows):
     assert sum(both["x"].importance().values()) == pytest.approx(1)
 
 
+def test_passes_send_the_driver_one_sum(spark, rows, monkeypatch):
+    """The sums of all tasks are added on executors: what a level collects is one vector, however many tasks there are."""
+    from pyspark import RDD
+
+    df, *_ = rows
+    monkeypatch.setattr(B, "ROWS_A_TASK", 30)
+    monkeypatch.setattr(B, "BLOCKS_A_TASK", 1)
+    held, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: held.append(collect(self)) or held[-1])
+    fit = B.fit_all(df, {"one": B.Fit(("a", "b", "c"), how=B.Boosting(2, 1, 0.3, bins=16))}, ["id"])["one"]
+    sums = [s for s in held if s and isinstance(s[0], tuple) and isinstance(s[0][1], np.ndarray)]
+    assert len(fit.trees) == 2 and len(sums) == 2
+    widths = sum(len(np.unique(df.agg(F.percentile_approx(c, [k / 16 for k in range(1, 16)], 320)).first()[0])) + 2 for c in "abc")
+    assert all(sum(len(v) for _, v in s) == 2 * widths for s in sums)
+    parts = [(1, (2, np.array([1e16]))), (1, (0, np.array([1.0]))), (1, (1, np.array([-1e16])))]
+    assert [(i, v.tolist()) for i, v in B._added(iter(parts))] == [(1, [1.0 - 1e16 + 1e16])]
+
+
+def test_leaf_of_a_row_goes_down_the_tree():
+    """By columns: the same leaves as from node to node, missing values included."""
+    rng = np.random.default_rng(3)
+    bins, missing = rng.integers(0, 7, (500, 3)).astype(np.uint8), np.array([6, 6, 6])
+    t = B.Tree(np.array([0, 1, -1, 2, 0, -1, -1, -1, -1, -1, -1, -1, -1, -1, -1], np.int32), np.zeros(15), np.array([3, 2, 0, 4, 1] + [0] * 10), np.array([True, False] * 7 + [False]), np.zeros(15), np.zeros(15))
+    want = []
+    for row in bins:
+        node = 0
+        while t.feature[node] >= 0:
+            b = row[t.feature[node]]
+            node = 2 * node + (1 if (t.missing_left[node] if b == 6 else b <= t.place[node]) else 2)
+        want.append(node)
+    got = t.node_of(np.asfortranarray(bins), missing)
+    assert got.tolist() == want and got.dtype == np.uint8
+
+
 # --- moments -----------------------------------------------------------------------------------------
 def test_moments_give_the_models_of_the_rows(spark):
     rng = np.random.default_rng(2)
@@ -252,6 +286,41 @@ def test_boxes_hold_at_most_a_block(spark):
     assert max(sizes) <= 25 and sum(sizes) == len(places)
 
 
+def test_quarterly_rows_are_written_once(spark, sf_dir):
+    """Fits and tests read a table, not the line items again and again."""
+    from tallyforge.plans import learning
+
+    files = learning.quarterly(spark, sf_dir).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
+
+
+def test_balls_meet_few_boxes(spark):
+    """Boxes cut where the bulk is, not where a few strange places stretch a feature."""
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.normal(size=(4000, 2)), rng.normal(size=(4000, 2)) * 1e-3])
+    x[:40, 2:] = rng.normal(size=(40, 2)) * 100
+    places = spark.createDataFrame([(i, v.tolist(), [i]) for i, v in enumerate(x)], "p long, x array<double>, ids array<long>")
+    boxes = outliers.Boxes(places, 4, 100)
+    met = boxes.visited(places.select("p", "x", F.lit(0.05).alias("radius"))).groupBy("p").count()
+    assert met.agg(F.avg("count").alias("m")).first().m < 5
+
+
+def test_nearest_of_a_tree_equals_all_pairs():
+    """More places than leaves hold, copies among them; with and without a radius."""
+    rng, k = np.random.default_rng(9), 6
+    places = np.unique(np.round(np.concatenate([rng.normal(size=(1500, 3)), rng.normal(size=(300, 3)) ** 5]), 2), axis=0)
+    counts = rng.integers(1, 4, len(places))
+    ids = rng.permutation(counts.sum())
+    at = np.repeat(places, counts, axis=0)
+    x = places[::3]
+    d = np.sqrt(((x[:, None] - at[None]) ** 2).sum(2))
+    for radius in (np.full(len(x), np.inf), np.full(len(x), 0.2)):
+        rows, found, far = outliers._nearest(x, radius, places, ids, counts, k)
+        for i in range(len(x)):
+            near = [j for j in np.lexsort((ids, np.round(d[i], 9)))[: k + 1] if d[i][j] <= radius[i]]
+            assert found[rows == i].tolist() == ids[near].tolist() and np.allclose(far[rows == i], d[i][near], atol=1e-12)
+
+
 def test_settings_take_fitted_methods_and_drop_their_sql(sf_dir):
     """With Boosting among the methods of the settings, what depends on it has no SQL; all else keeps its own."""
     import json
